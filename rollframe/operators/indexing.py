@@ -1,20 +1,26 @@
 """Global positional index without an unpartitioned window.
 
-``with_row_index`` range-partitions on an explicit order key, sorts inside partitions, and
-adds each partition's offset (a prefix sum over one count per partition, broadcast: its
-size is bounded by the number of partitions, not by the data).  Both passes see the same
-range partitioning, so the offsets agree with the rows; rows tied on the order key are
-numbered in arbitrary order, exactly like any sort.  ``materialize=True`` writes a reliable
-checkpoint (to ``spark.checkpoint.dir``) first when the input is expensive to recompute.
+``with_row_index`` numbers rows in the order of an explicit (ascending) key:
+
+1. a bounded sample of the key (about 20 keys per bucket) is collected once and cut into
+   bucket bounds, which become literals of a binary-search ``CASE`` expression - so the
+   bucket of a row is a pure function of its key, identical on every recomputation;
+2. the exact row count per bucket (one number per bucket, bounded) gives each bucket's
+   offset;
+3. ``row_number()`` over a window *partitioned by bucket* numbers the rows inside it.
+
+Every pass is deterministic, so retried tasks or lost executors cannot shift the numbering.
+Rows tied on the whole key are numbered in arbitrary order, like any sort; pass a unique
+tie-breaker as the last key when positions must be reproducible.
 """
 
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollframe.session import checkpoint_dir
-
 
 def _cols(order_by) -> list[Column]:
     if isinstance(order_by, (str, Column)):
@@ -22,27 +28,63 @@ def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
+def _cmp(a, b) -> int:
+    for x, y in zip(a, b):
+        if x == y:
+            continue
+        if x is None:
+            return -1
+        if y is None:
+            return 1
+        return -1 if x < y else 1
+    return 0
+
+
+def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Binary search: number of bounds strictly below ``key`` among bounds[lo:hi]."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key <= bounds[mid], _bucket_expr(key, bounds, lo, mid)).otherwise(
+        _bucket_expr(key, bounds, mid + 1, hi))
+
+
 def with_row_index(df: DataFrame, order_by, out_col: str = "row_idx",
-                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
-    """0-based position of every row in ``order_by`` order."""
+                   num_buckets: int | None = None, sample_per_bucket: int = 20) -> DataFrame:
+    """0-based position of every row in ascending ``order_by`` order."""
     spark = df.sparkSession
-    if materialize:
-        checkpoint_dir(spark)
-        df = df.checkpoint(eager=True)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order_by)
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.select(
-        "__pid", (F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__off"))
-    offsets = offsets.fillna(0, subset=["__off"])
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    return (tagged.join(F.broadcast(offsets), "__pid")
-            .withColumn(out_col, F.col("__off") + local)
-            .drop("__pid", "__mid", "__off"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    kdf = df.select(*[k.alias(n) for k, n in zip(keys, names)])
+    types = [f.dataType for f in kdf.schema.fields]
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = kdf.count()  # bounded scalar
+    bounds: list[tuple] = []
+    if n > 1 and total > 0:
+        frac = min(1.0, n * sample_per_bucket / total)
+        sample = [tuple(r) for r in kdf.sample(False, frac, seed=17).collect()]  # ~n*20 keys
+        sample.sort(key=cmp_to_key(_cmp))
+        picks = [sample[(i * len(sample)) // n] for i in range(1, n)] if sample else []
+        for p in picks:
+            if not bounds or _cmp(bounds[-1], p) < 0:
+                bounds.append(p)
+    key = F.struct(*[k.alias(nm) for k, nm in zip(keys, names)])
+    lit_bounds = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, t, nm in zip(b, types, names)]) for b in bounds]
+    bucket = _bucket_expr(key, lit_bounds, 0, len(lit_bounds))
+    d = df.withColumn("__bucket", bucket)
+    counts = {r[0]: r[1] for r in d.groupBy("__bucket").count().collect()}  # one row per bucket
+    offsets, acc = {}, 0
+    for b in sorted(counts):
+        offsets[b] = acc
+        acc += counts[b]
+    if offsets:
+        off = F.element_at(F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))]),
+                           F.col("__bucket"))
+    else:
+        off = F.lit(0)
+    w = Window.partitionBy("__bucket").orderBy(*keys)
+    return (d.withColumn(out_col, (off + F.row_number().over(w) - 1).cast("bigint"))
+            .drop("__bucket"))
 
 
 def row_count(df: DataFrame) -> int:
