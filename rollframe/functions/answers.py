@@ -40,7 +40,7 @@ def hash_answer_flexible(text) -> Column:
     runs = F.regexp_extract_all(_c(text), F.lit(NUMBER_RUN_PATTERN), 1)
     valid = F.filter(runs, lambda x: ~x.isin("", "."))
     return F.when(F.size(runs) > 0,
-                  F.coalesce(F.element_at(valid, -1), F.element_at(runs, 1)))
+                  F.coalesce(F.try_element_at(valid, F.lit(-1)), F.try_element_at(runs, F.lit(1))))
 
 
 def score_hash_answer(text, ground_truth, method: str = "strict",
@@ -91,7 +91,7 @@ def _closing_brace_index(tail: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times in ``body`` (a lambda) without copying the
     expression tree: ``element_at(transform(array(value), body), 1)``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def boxed_answer(text) -> Column:
@@ -190,7 +190,7 @@ def score_think_format(text, ground_truth) -> Column:
 def extract_code_block(text, language: str = "python") -> Column:
     pat = {"python": PYTHON_BLOCK_PATTERN, "json": JSON_BLOCK_PATTERN}[language]
     blocks = F.regexp_extract_all(_c(text), F.lit(pat), 1)
-    return F.coalesce(F.element_at(blocks, -1), F.lit(""))
+    return F.coalesce(F.try_element_at(blocks, F.lit(-1)), F.lit(""))
 
 
 # ---------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def minerva_normalize(s) -> Column:
 def minerva_pred(text) -> Column:
     tail = F.substring(_c(text), -300, 300)
     found = F.regexp_extract_all(tail, F.lit(MINERVA_ANSWER_PATTERN), 1)
-    extracted = F.coalesce(F.element_at(found, -1), F.lit("[INVALID]"))
+    extracted = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("[INVALID]"))
     return minerva_normalize(extracted)
 
 

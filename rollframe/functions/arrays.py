@@ -90,4 +90,4 @@ def suffix_sum_sql(x) -> Column:
 def shift_left(a, fill: float = 0.0) -> Column:
     """a[t+1] at position t, ``fill`` past the end."""
     a = _c(a)
-    return F.transform(a, lambda _, i: F.when(i + 1 < F.size(a), F.element_at(a, i + 2)).otherwise(F.lit(fill)))
+    return F.transform(a, lambda _, i: F.when(i + 1 < F.size(a), F.try_element_at(a, i + 2)).otherwise(F.lit(fill)))

@@ -78,7 +78,7 @@ def with_row_index(df: DataFrame, order_by, out_col: str = "row_idx",
         offsets[b] = acc
         acc += counts[b]
     if offsets:
-        off = F.element_at(F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))]),
+        off = F.try_element_at(F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))]),
                            F.col("__bucket"))
     else:
         off = F.lit(0)

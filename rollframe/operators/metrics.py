@@ -98,3 +98,211 @@ def validation_metrics(df: DataFrame, var_cols: list[str], source_col: str = "da
     ).select(*keys, "kv.metric", "kv.value")
     per_prompt = basic.unionByName(bw)
     return per_prompt.groupBy(source_col, "var", "metric").agg(F.avg("value").alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# Shares and reports
+# ---------------------------------------------------------------------------
+def reward_type_share(df: DataFrame, class_col: str = "reward_type", source_col: str = "data_source") -> DataFrame:
+    """Share of each class overall and per source in one ``GROUPING SETS`` aggregation;
+    list-valued classes are exploded first.  Output ``(data_source or NULL, class, share)``."""
+    d = df
+    if dict(df.dtypes)[class_col].startswith("array"):
+        d = df.withColumn(class_col, F.explode(class_col))
+    g = (d.groupingSets([[class_col], [source_col, class_col]], class_col, source_col)
+         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__gid")))
+    tot = F.sum("n").over(Window.partitionBy("__gid", source_col))
+    return g.select(source_col, class_col, (F.col("n") / tot).alias("share"))
+
+
+def fail_reason_share(df: DataFrame, reason_col: str = "fail_reason") -> DataFrame:
+    """Share of each non-null reason among non-null reasons (list columns exploded)."""
+    d = df
+    if dict(df.dtypes)[reason_col].startswith("array"):
+        d = df.withColumn(reason_col, F.explode(reason_col))
+    g = d.filter(F.col(reason_col).isNotNull() & (F.col(reason_col) != "None")).groupBy(reason_col).agg(
+        F.count(F.lit(1)).alias("n"))
+    return g.select(reason_col, (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+GOOD_INPUT = ["GoodInputFailGood", "GoodInputPassGoodPassBad", "PassGoodFailBad"]
+FAIL_GOOD = ["FailGood", "GoodInputFailGood"]
+SUMMARY_CLASSES = ["PassGoodFailBad", "FailGood", "GoodInputFailGood", "PassGoodPassBad",
+                   "GoodInputPassGoodPassBad", "FormatError"]
+
+
+def seeded_outcome_summary(df: DataFrame, pos_col: str, class_col: str = "reward_type") -> DataFrame:
+    """Per seed position: percentage of items in each class; then mean and population std
+    over positions, plus the derived good_input and fail_good groups."""
+    per = df.groupBy(pos_col).agg(
+        *[(F.avg(F.when(F.col(class_col) == c, 100.0).otherwise(0.0))).alias(c) for c in SUMMARY_CLASSES],
+        F.avg(F.when(F.col(class_col).isin(*GOOD_INPUT), 100.0).otherwise(0.0)).alias("good_input"),
+        F.avg(F.when(F.col(class_col).isin(*FAIL_GOOD), 100.0).otherwise(0.0)).alias("fail_good"))
+    names = SUMMARY_CLASSES + ["good_input", "fail_good"]
+    stack = ", ".join(f"'{n}', `{n}`" for n in names)
+    long = per.select(pos_col, F.expr(f"stack({len(names)}, {stack}) AS (metric, pct)"))
+    return long.groupBy("metric").agg(F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"))
+
+
+def batch_data_metrics(df: DataFrame, score_col: str = "seq_score", reward_col: str = "seq_reward",
+                       adv_col: str = "advantages", ret_col: str = "returns", val_col: str | None = "values",
+                       mask_col: str = "response_mask", max_response_length: int | None = None) -> DataFrame:
+    """One-row batch report: score/reward mean-max-min, masked advantage/return/value
+    mean-max-min, ``vf_explained_var`` = 1 - var(ret - val)/(var(ret) + 1e-5) over valid
+    tokens (sample variance), response-length mean-max-min and clip ratio.  Token
+    statistics come from per-row aggregates combined globally (no explode)."""
+    from rollframe.functions import arrays as AR
+    m = F.col(mask_col)
+    valid = lambda c: F.filter(F.zip_with(c, m, lambda v, k: F.when(k > 0, v)), lambda x: x.isNotNull())
+    rl = AR.arr_isum(mask_col)
+    aggs = [F.avg(score_col).alias("score_mean"), F.max(score_col).alias("score_max"), F.min(score_col).alias("score_min"),
+            F.avg(reward_col).alias("reward_mean"), F.max(reward_col).alias("reward_max"), F.min(reward_col).alias("reward_min"),
+            F.avg(rl).alias("response_length_mean"), F.max(rl).alias("response_length_max"),
+            F.min(rl).alias("response_length_min")]
+    if max_response_length is not None:
+        aggs.append(F.avg(F.when(rl == max_response_length, 1.0).otherwise(0.0)).alias("response_length_clip_ratio"))
+    cols = {"adv": adv_col, "ret": ret_col}
+    if val_col:
+        cols["val"] = val_col
+    d = df
+    for k, c in cols.items():
+        d = d.withColumn(f"__{k}", valid(F.col(c)))
+        aggs += [(F.sum(AR.arr_sum(f"__{k}")) / F.sum(F.size(f"__{k}"))).alias(f"{k}_mean"),
+                 F.max(F.array_max(f"__{k}")).alias(f"{k}_max"), F.min(F.array_min(f"__{k}")).alias(f"{k}_min")]
+    if val_col:
+        d = d.withColumn("__diff", F.zip_with("__ret", "__val", lambda a, b: a - b))
+        n = F.sum(F.size("__ret"))
+        s1, s2 = F.sum(AR.arr_sum("__ret")), F.sum(AR.arr_sum(F.transform("__ret", lambda x: x * x)))
+        d1, d2 = F.sum(AR.arr_sum("__diff")), F.sum(AR.arr_sum(F.transform("__diff", lambda x: x * x)))
+        var_ret = (s2 - s1 * s1 / n) / (n - 1)
+        var_diff = (d2 - d1 * d1 / n) / (n - 1)
+        aggs.append((1 - var_diff / (var_ret + 1e-5)).alias("vf_explained_var"))
+    return d.agg(*aggs)
+
+
+def timing_metrics(timings: DataFrame, tokens: DataFrame, step_col: str = "step") -> DataFrame:
+    """ms per token per section: ``gen`` uses response tokens, other sections all tokens.
+    ``timings``: (step, section, seconds); ``tokens``: (step, prompt_tokens, response_tokens)."""
+    t = tokens.groupBy(step_col).agg(F.sum("prompt_tokens").alias("__p"), F.sum("response_tokens").alias("__r"))
+    j = timings.join(t, step_col)
+    denom = F.when(F.col("section") == "gen", F.col("__r")).otherwise(F.col("__p") + F.col("__r"))
+    return j.select(step_col, "section", (F.col("seconds") * 1000 / denom).alias("ms_per_token"))
+
+
+def throughput_metrics(df: DataFrame, n_gpus: int, step_col: str = "step") -> DataFrame:
+    """tokens / (step time * n_gpus); input (step, total_tokens, step_seconds)."""
+    return df.select(step_col, (F.col("total_tokens") / (F.col("step_seconds") * n_gpus)).alias("throughput"))
+
+
+def reduce_metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean of every micro-batch value per metric name: input (.., metric, value)."""
+    return df.groupBy(*(keys or []), "metric").agg(F.avg("value").alias("value"))
+
+
+def core_vs_aux(df: DataFrame, source_col: str = "data_source") -> DataFrame:
+    """Mark validation metrics as core: var ``acc`` when the source has it (else
+    ``reward``), name starting mean/maj/best and containing ``@{n_max}``."""
+    n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")
+    d = df.withColumn("__n", n)
+    w = Window.partitionBy(source_col)
+    d = d.withColumns({"__nmax": F.max("__n").over(w),
+                       "__has_acc": F.max(F.when(F.col("var") == "acc", 1).otherwise(0)).over(w)})
+    core_var = F.when(F.col("__has_acc") == 1, F.lit("acc")).otherwise(F.lit("reward"))
+    core = ((F.col("var") == core_var) & F.col("metric").rlike("^(mean|maj|best)")
+            & F.col("metric").contains(F.concat(F.lit("@"), F.col("__nmax").cast("string"))))
+    return d.withColumn("metric_sec", F.when(core, "val-core").otherwise("val-aux")).drop("__n", "__nmax", "__has_acc")
+
+
+def majority_vote(df: DataFrame, keys: list[str], pred_col: str, val_col: str, order_col: str) -> DataFrame:
+    """Exact full-sample majority: the value of the first-seen row of the most frequent
+    prediction (ties -> the prediction seen first).  Per-(key, pred) partial aggregates
+    only, so a hot prompt is pre-reduced map-side."""
+    g = df.groupBy(*keys, pred_col).agg(F.count(F.lit(1)).alias("__c"),
+                                        F.min_by(val_col, order_col).alias("__v"), F.min(order_col).alias("__first"))
+    w = Window.partitionBy(*keys).orderBy(F.col("__c").desc(), F.col("__first"))
+    return (g.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") == 1)
+            .select(*keys, F.col(pred_col).alias("maj_pred"), F.col("__v").alias("maj_val"), F.col("__c").alias("maj_count")))
+
+
+def majority_at_n_bootstrap(df: DataFrame, keys: list[str], pred_col: str, val_col: str, order_col: str,
+                            n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
+    """Reference-parity bootstrap of maj@n (seeded numpy per group) via ``applyInPandas``;
+    one group = one prompt's responses (bounded by the sample count per prompt)."""
+    import numpy as np
+    import pandas as pd
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_col)
+        vals, preds = pdf[val_col].tolist(), pdf[pred_col].tolist()
+        n_resps = len(vals)
+        ns, k = [], 2
+        while k < n_resps:
+            ns.append(k)
+            k *= 2
+        ns.append(n_resps)
+        out = []
+        for n in ns:
+            np.random.seed(seed)
+            res = []
+            for _ in range(n_bootstrap):
+                idx = np.random.choice(n_resps, size=n, replace=True)
+                counts, first = {}, {}
+                for i in idx:
+                    p = preds[i]
+                    counts[p] = counts.get(p, 0) + 1
+                    first.setdefault(p, vals[i])
+                best = max(counts, key=counts.get)
+                res.append(first[best])
+            out.append({**{kk: pdf[kk].iloc[0] for kk in keys}, "n": n,
+                        "maj_mean": float(np.mean(res)), "maj_std": float(np.std(res))})
+        return pd.DataFrame(out)
+
+    key_schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
+    return df.groupBy(*keys).applyInPandas(per_group, f"{key_schema}, n int, maj_mean double, maj_std double")
+
+
+BRUTE_FORCE_KEYWORDS = ["brute_", "brute-"]
+
+
+def testcase_style_share(df: DataFrame, code_col: str, source_col: str = "data_source") -> DataFrame:
+    """Per response flags from the last python block: ``brute_force`` (keywords, ``\\bbrute\\b``,
+    a ``def`` whose name contains ``correct``) and ``property`` (an ``assert`` line using
+    ``!=``, ``>``, ``<``, ``check`` or ``valid`` after stripping comments and strings);
+    shares overall and per source via grouping sets.  No code block -> all false."""
+    from rollframe.functions.answers import extract_code_block
+    code = extract_code_block(F.col(code_col))
+    low = F.lower(code)
+    brute = (F.length(code) > 0) & (low.contains("brute_") | low.contains("brute-") | low.rlike(r"\bbrute\b")
+                                    | low.rlike(r"def\s+\w*correct\w*\s*\("))
+    lines = F.transform(F.split(code, "\n", -1), lambda ln: F.regexp_replace(
+        F.regexp_replace(ln, r"#.*$", ""), r"'[^']*'|\"[^\"]*\"", ""))
+    prop = (F.length(code) > 0) & F.exists(lines, lambda ln: ln.rlike(r"^\s*assert\b") & (
+        ln.contains("!=") | ln.contains(">") | ln.contains("<") | ln.contains("check") | ln.contains("valid")))
+    d = df.select(source_col, brute.alias("brute_force"), prop.alias("property"))
+    g = d.groupingSets([[], [source_col]], source_col).agg(
+        F.avg(F.col("brute_force").cast("double")).alias("brute_force_share"),
+        F.avg(F.col("property").cast("double")).alias("property_share"))
+    return g
+
+
+def best_reward_from_logs(lines: DataFrame, text_col: str = "value", pattern: str = r"reward[:=]\s*(-?[0-9.]+)",
+                          target: float | None = None) -> DataFrame:
+    """Best reward printed in a text log (regex capture), compared with a target."""
+    r = F.regexp_extract(F.col(text_col), pattern, 1)
+    g = lines.filter(r != "").agg(F.max(r.cast("double")).alias("best_reward"))
+    if target is not None:
+        g = g.withColumn("reached", F.col("best_reward") >= F.lit(float(target)))
+    return g
+
+
+def pivot_samples_wide(df: DataFrame, step_col: str, sample_col: str, cols: list[str], n_samples: int) -> DataFrame:
+    """One row per step with ``{col}_{i}`` for the logged samples i < n (fixed pivot values,
+    so no distinct-value scan)."""
+    g = df.filter(F.col(sample_col) < n_samples).groupBy(step_col).pivot(sample_col, list(range(n_samples)))
+    out = g.agg(*[F.first(c).alias(c) for c in cols])
+    ren = {}
+    for i in range(n_samples):
+        for c in cols:
+            src = f"{i}_{c}" if len(cols) > 1 else str(i)
+            ren[src] = f"{c}_{i}"
+    return out.withColumnsRenamed({k: v for k, v in ren.items() if k in out.columns})

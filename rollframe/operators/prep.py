@@ -130,7 +130,7 @@ def extract_nested_field(df: DataFrame, path: str, out_col: str) -> DataFrame:
     c, t = None, df.schema
     for part in path.split("."):
         if isinstance(t, ArrayType):
-            c = F.when(F.size(c) == 1, F.element_at(c, 1)).otherwise(
+            c = F.when(F.size(c) == 1, F.try_element_at(c, F.lit(1))).otherwise(
                 F.raise_error(F.lit(f"expected a single-element list before '{part}'")))
             t = t.elementType
         if not isinstance(t, StructType):

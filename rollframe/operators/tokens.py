@@ -171,7 +171,7 @@ def assemble_sequence(df: DataFrame, prompt_ids: str, prompt_mask: str, response
     d = d.withColumn("__rmask", eos_response_mask("__resp", eos))
     ppos = position_ids(prompt_mask)
     d = d.withColumn("__ppos", ppos)
-    last = F.element_at(F.col("__ppos"), -1)
+    last = F.try_element_at(F.col("__ppos"), F.lit(-1))
     return d.select("*",
                     F.concat(F.col(prompt_ids), F.col("__resp")).alias("input_ids"),
                     F.concat(F.col(prompt_mask), F.col("__rmask")).alias("attention_mask"),

@@ -47,3 +47,106 @@ SELECT data_source, var, metric, round(avg(value), 6) AS value FROM per_prompt G
 def q_validation_metrics(spark, sf_dir):
     out = M.validation_metrics(T.rollouts(spark, sf_dir), ["score", "acc"])
     return out.select("data_source", "var", "metric", r6("value").alias("value"))
+
+
+from rollframe.operators import groups as G  # noqa: E402
+from rollframe.operators import outcomes as O  # noqa: E402
+from rollframe.plans.catalog import TOKENS_SQL  # noqa: E402
+from rollframe.plans.q_outcomes import CLASSIFY_SQL  # noqa: E402
+
+
+@register("reward_type_share", with_(ROLLOUTS_SQL) + """
+, g AS (SELECT data_source, pred AS reward_type, count(*) AS n, grouping(data_source) AS gid FROM rollouts
+        GROUP BY GROUPING SETS ((pred), (data_source, pred)))
+SELECT data_source, reward_type, round(n / sum(n) OVER (PARTITION BY gid, data_source), 6) AS share FROM g""")
+def q_reward_type_share(spark, sf_dir):
+    r = T.rollouts(spark, sf_dir).withColumnRenamed("pred", "reward_type")
+    out = M.reward_type_share(r)
+    return out.select("data_source", "reward_type", r6("share").alias("share"))
+
+
+@register("fail_reason_share", CLASSIFY_SQL + """
+SELECT fail_reason, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cls WHERE fail_reason IS NOT NULL GROUP BY fail_reason""")
+def q_fail_reason_share(spark, sf_dir):
+    c = O.classify_test_outcome(T.executions(spark, sf_dir))
+    return M.fail_reason_share(c).select("fail_reason", r6("share").alias("share"))
+
+
+@register("seeded_outcome_summary", CLASSIFY_SQL + """
+, per AS (SELECT response_id % 4 AS pos,
+    avg(CASE WHEN reward_type = 'PassGoodFailBad' THEN 100.0 ELSE 0.0 END) AS PassGoodFailBad,
+    avg(CASE WHEN reward_type = 'FailGood' THEN 100.0 ELSE 0.0 END) AS FailGood,
+    avg(CASE WHEN reward_type = 'GoodInputFailGood' THEN 100.0 ELSE 0.0 END) AS GoodInputFailGood,
+    avg(CASE WHEN reward_type = 'PassGoodPassBad' THEN 100.0 ELSE 0.0 END) AS PassGoodPassBad,
+    avg(CASE WHEN reward_type = 'GoodInputPassGoodPassBad' THEN 100.0 ELSE 0.0 END) AS GoodInputPassGoodPassBad,
+    avg(CASE WHEN reward_type = 'FormatError' THEN 100.0 ELSE 0.0 END) AS FormatError,
+    avg(CASE WHEN reward_type IN ('GoodInputFailGood', 'GoodInputPassGoodPassBad', 'PassGoodFailBad') THEN 100.0 ELSE 0.0 END) AS good_input,
+    avg(CASE WHEN reward_type IN ('FailGood', 'GoodInputFailGood') THEN 100.0 ELSE 0.0 END) AS fail_good
+  FROM cls GROUP BY 1)
+, long AS (UNPIVOT per ON PassGoodFailBad, FailGood, GoodInputFailGood, PassGoodPassBad, GoodInputPassGoodPassBad, FormatError, good_input, fail_good
+           INTO NAME metric VALUE pct)
+SELECT metric, round(avg(pct), 6) AS mean, round(stddev_pop(pct), 6) AS std FROM long GROUP BY metric""")
+def q_seeded_outcome_summary(spark, sf_dir):
+    c = O.classify_test_outcome(T.executions(spark, sf_dir)).withColumn("pos", F.col("response_id") % 4)
+    out = M.seeded_outcome_summary(c, "pos")
+    return out.select("metric", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@register("majority_vote", with_(ROLLOUTS_SQL) + """
+, g AS (SELECT uid, pred, count(*) AS c, arg_min(acc, sample_idx) AS v, min(sample_idx) AS first FROM rollouts GROUP BY uid, pred)
+SELECT uid, pred AS maj_pred, v AS maj_val, c AS maj_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY c DESC, first) AS rk FROM g) WHERE rk = 1""")
+def q_majority_vote(spark, sf_dir):
+    return M.majority_vote(T.rollouts(spark, sf_dir), ["uid"], "pred", "acc", "sample_idx")
+
+
+@register("pivot_samples_wide", with_(ROLLOUTS_SQL) + """
+SELECT uid, max(CASE WHEN sample_idx = 0 THEN score END) AS score_0, max(CASE WHEN sample_idx = 1 THEN score END) AS score_1,
+  max(CASE WHEN sample_idx = 2 THEN score END) AS score_2,
+  max(CASE WHEN sample_idx = 0 THEN pred END) AS pred_0, max(CASE WHEN sample_idx = 1 THEN pred END) AS pred_1,
+  max(CASE WHEN sample_idx = 2 THEN pred END) AS pred_2
+FROM rollouts GROUP BY uid""")
+def q_pivot_samples_wide(spark, sf_dir):
+    return M.pivot_samples_wide(T.rollouts(spark, sf_dir), "uid", "sample_idx", ["score", "pred"], 3)
+
+
+@register("reduce_metrics", with_(ROLLOUTS_SQL) + """
+SELECT step, data_source AS metric, round(avg(score), 6) AS value FROM rollouts GROUP BY step, data_source""")
+def q_reduce_metrics(spark, sf_dir):
+    r = T.rollouts(spark, sf_dir).select("step", F.col("data_source").alias("metric"), F.col("score").alias("value"))
+    out = M.reduce_metrics(r, ["step"])
+    return out.select("step", "metric", r6("value").alias("value"))
+
+
+@register("best_reward_from_logs", """SELECT max(CAST(regexp_extract(props, '"k": (-?[0-9.]+)', 1) AS DOUBLE)) AS best_reward,
+  max(CAST(regexp_extract(props, '"k": (-?[0-9.]+)', 1) AS DOUBLE)) >= 90 AS reached FROM events""")
+def q_best_reward_from_logs(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    return M.best_reward_from_logs(e, "props", r'"k": (-?[0-9.]+)', target=90)
+
+
+@register("sample_sizes", with_(ROLLOUTS_SQL) + """
+, n AS (SELECT uid, count(*) AS n FROM rollouts GROUP BY uid)
+SELECT uid, CAST(unnest(list_concat(list_filter(list_transform(range(1, 40), lambda e: CAST(pow(2, e) AS BIGINT)), lambda p: p < n), [n])) AS INTEGER) AS sample_size FROM n""")
+def q_sample_sizes(spark, sf_dir):
+    n = T.rollouts(spark, sf_dir).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    return M.sample_sizes(n).select("uid", "sample_size")
+
+
+@register("batch_data_metrics")
+def q_batch_data_metrics(spark, sf_dir):
+    t = G.adv_grpo(T.tokens(spark, sf_dir))
+    t = G.sequence_scores(t, "token_level_scores", "seq_score")
+    t = G.sequence_scores(t, "token_level_rewards", "seq_reward")
+    return M.batch_data_metrics(t, max_response_length=64)
+
+
+@register("core_vs_aux")
+def q_core_vs_aux(spark, sf_dir):
+    v = M.validation_metrics(T.rollouts(spark, sf_dir), ["score", "acc"])
+    return M.core_vs_aux(v)
+
+
+@register("testcase_style_share")
+def q_testcase_style_share(spark, sf_dir):
+    return M.testcase_style_share(T.table(spark, sf_dir, "documents").withColumnRenamed("source", "data_source"), "text")

@@ -77,7 +77,7 @@ SELECT item_id, list_transform(list_sort(list_transform(list_concat([w[1]], w[2:
 FROM x""".lstrip(", ").replace("x AS (", "WITH x AS (", 1))
 def q_shuffled_choices(spark, sf_dir):
     b = T.table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " ", -1))
-    b = b.withColumns({"gold": F.element_at("w", 1), "dis": F.slice("w", 2, 3)})
+    b = b.withColumns({"gold": F.try_element_at("w", F.lit(1)), "dis": F.slice("w", 2, 3)})
     return P.shuffled_choices(b, "item_id", "gold", "dis").select("item_id", "choices")
 
 
