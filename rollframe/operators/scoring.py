@@ -207,5 +207,5 @@ def expand_reward_to_eos(df: DataFrame, score_col: str, position_ids_col: str,
     ``response_length`` positions."""
     pm = F.zip_with(position_ids_col, attention_mask_col, lambda p, m: p * m)
     eos = F.array_position(pm, F.array_max(pm)) - 1
-    full = F.transform(pm, lambda _, i: F.when(i == eos, F.col(score_col).cast("double")).otherwise(0.0))
+    full = A.let(eos, lambda e: F.transform(pm, lambda _, i: F.when(i == e, F.col(score_col).cast("double")).otherwise(0.0)))
     return df.withColumn(out_col, F.slice(full, -response_length, response_length))

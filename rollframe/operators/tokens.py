@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollframe.functions import arrays as AR
+from rollframe.functions.answers import let
 
 
 def _c(x) -> Column:
@@ -63,7 +64,9 @@ def eos_response_mask(ids, eos) -> Column:
     ids = _c(ids)
     hits = F.filter(F.transform(ids, lambda t, i: F.when(t.isin(*eos), i)), lambda x: x.isNotNull())
     first = F.coalesce(F.array_min(hits), F.size(ids))
-    return F.transform(ids, lambda _, i: F.when(i <= first, 1).otherwise(0))
+    # bind the first-EOS index once: referencing it inside the element lambda would
+    # re-scan the array for every element (quadratic in length)
+    return let(first, lambda f: F.transform(ids, lambda _, i: F.when(i <= f, 1).otherwise(0)))
 
 
 def remove_padding(ids, mask) -> Column:
