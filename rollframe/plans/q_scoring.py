@@ -106,3 +106,62 @@ def q_mean_score_by_source(spark, sf_dir):
     scored = S.score_by_source(T.responses(spark, sf_dir))
     out = M.mean_score_by_source(scored)
     return out.select("data_source", r6("mean_score").alias("mean_score"), "n_prompts")
+
+
+from rollframe.plans.catalog import ROLLOUTS_SQL, EXECUTIONS_SQL  # noqa: E402
+
+
+@register("place_terminal_reward", with_(ROLLOUTS_SQL) + """
+SELECT response_id, list_transform(range(16), lambda i: CASE WHEN i = CAST(sample_idx % 16 AS BIGINT) THEN round(score, 6) ELSE 0.0 END) AS token_level_scores
+FROM rollouts""")
+def q_place_terminal_reward(spark, sf_dir):
+    r = T.rollouts(spark, sf_dir).withColumn("response_len", (F.col("sample_idx") % 16 + 1).cast("int"))
+    d = S.place_terminal_reward(r.withColumn("score", r6("score")), width=16)
+    return d.select("response_id", "token_level_scores")
+
+
+@register("overlong_penalty", with_(ROLLOUTS_SQL) + """
+SELECT response_id, round(least(-(sample_idx - (80 - 16)) / 16.0 * 1.0, 0.0), 6) AS overlong_reward,
+  least(-(sample_idx - (80 - 16)) / 16.0 * 1.0, 0.0) < 0 AS overlong,
+  round(score + least(-(sample_idx - (80 - 16)) / 16.0 * 1.0, 0.0), 6) AS score FROM rollouts""")
+def q_overlong_penalty(spark, sf_dir):
+    d = S.overlong_penalty(T.rollouts(spark, sf_dir), "sample_idx", 80, 16, 1.0)
+    return d.select("response_id", r6("overlong_reward").alias("overlong_reward"), "overlong", r6("score").alias("score"))
+
+
+@register("strip_eos_suffix", with_(RESPONSES_SQL) + """
+SELECT response_id, CASE WHEN ends_with(response, '}') THEN substr(response, 1, length(response) - 1) ELSE response END AS response FROM responses""")
+def q_strip_eos_suffix(spark, sf_dir):
+    return S.strip_eos_suffix(T.responses(spark, sf_dir), "response", "}").select("response_id", "response")
+
+
+@register("fill_failed_scores", with_(ROLLOUTS_SQL) + """
+SELECT r.response_id, coalesce(s.score, 0.0) AS score,
+  CASE WHEN s.response_id IS NULL THEN 'TimeoutError' ELSE coalesce(s.reward_type, 'FailGood') END AS reward_type
+FROM rollouts r LEFT JOIN (SELECT response_id, score, CASE WHEN acc > 0 THEN 'PassGoodFailBad' END AS reward_type
+                           FROM rollouts WHERE step % 5 <> 0) s USING (response_id)""")
+def q_fill_failed_scores(spark, sf_dir):
+    r = T.rollouts(spark, sf_dir)
+    results = r.filter(F.col("step") % 5 != 0).select(
+        "response_id", "score", F.when(F.col("acc") > 0, F.lit("PassGoodFailBad")).alias("reward_type"))
+    d = S.fill_failed_scores(r.select("response_id"), results, "response_id")
+    return d.select("response_id", "score", "reward_type")
+
+
+@register("score_minerva")
+def q_score_minerva(spark, sf_dir):
+    d = T.responses(spark, sf_dir)
+    text = F.concat(F.lit("Work.\nAnswer: "), F.col("response"))
+    return d.select("response_id", A.score_minerva(text, F.col("ground_truth")).alias("m")).select(
+        "response_id", "m.score", "m.acc", "m.pred")
+
+
+@register("score_numeric_tolerance", with_(ROLLOUTS_SQL) + """
+SELECT response_id, coalesce(abs(score - CAST(pred AS DOUBLE) * 50) <= 1e-4 * greatest(abs(score), abs(CAST(pred AS DOUBLE) * 50))
+   OR abs(score - CAST(pred AS DOUBLE) * 50 / 100) <= 1e-4 * greatest(abs(score), abs(CAST(pred AS DOUBLE) * 50 / 100))
+   OR abs(score - CAST(pred AS DOUBLE) * 50 * 100) <= 1e-4 * greatest(abs(score), abs(CAST(pred AS DOUBLE) * 50 * 100)), false) AS correct
+FROM rollouts""")
+def q_score_numeric_tolerance(spark, sf_dir):
+    r = T.rollouts(spark, sf_dir).withColumns({"p": F.col("score").cast("string"),
+                                               "ref": (F.col("pred").cast("double") * 50).cast("string")})
+    return S.score_numeric_tolerance(r, "p", "ref").select("response_id", "correct")
