@@ -251,3 +251,23 @@ def score_strict_box(text, ground_truth) -> Column:
     ok = F.coalesce(ans == _c(ground_truth), F.lit(False))
     return F.struct(F.when(ok, 1.0).otherwise(-1.0).alias("score"), ok.alias("acc"),
                     ans.alias("pred"))
+
+
+# Interval spellings -> bracket notation (first match wins)
+INTERVAL_FORMS = [
+    (r"^Interval\((.*)\)$", "[", "]"),
+    (r"^Interval\.Ropen\((.*)\)$", "[", ")"),
+    (r"^Interval\.Lopen\((.*)\)$", "(", "]"),
+    (r"^Interval\.open\((.*)\)$", "(", ")"),
+]
+
+
+def normalize_interval(text) -> Column:
+    """``Interval(a, b)`` -> ``[a, b]``, ``.Ropen`` -> ``[a, b)``, ``.Lopen`` -> ``(a, b]``,
+    ``.open`` -> ``(a, b)``; anything else unchanged."""
+    t = _c(text)
+    out = None
+    for pat, lo, hi in INTERVAL_FORMS:
+        v = F.concat(F.lit(lo), F.regexp_extract(t, pat, 1), F.lit(hi))
+        out = F.when(t.rlike(pat), v) if out is None else out.when(t.rlike(pat), v)
+    return out.otherwise(t)

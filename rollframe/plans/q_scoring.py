@@ -165,3 +165,23 @@ def q_score_numeric_tolerance(spark, sf_dir):
     r = T.rollouts(spark, sf_dir).withColumns({"p": F.col("score").cast("string"),
                                                "ref": (F.col("pred").cast("double") * 50).cast("string")})
     return S.score_numeric_tolerance(r, "p", "ref").select("response_id", "correct")
+
+
+@register("normalize_interval", r"""
+WITH p AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Interval(' WHEN 'view' THEN 'Interval.Ropen('
+    WHEN 'purchase' THEN 'Interval.Lopen(' WHEN 'signup' THEN 'Interval.open(' ELSE 'Set(' END
+    || CAST(user_id AS VARCHAR) || ', ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ')' AS pred FROM events)
+SELECT event_id, CASE
+  WHEN regexp_matches(pred, '^Interval\((.*)\)$') THEN '[' || regexp_extract(pred, '^Interval\((.*)\)$', 1) || ']'
+  WHEN regexp_matches(pred, '^Interval\.Ropen\((.*)\)$') THEN '[' || regexp_extract(pred, '^Interval\.Ropen\((.*)\)$', 1) || ')'
+  WHEN regexp_matches(pred, '^Interval\.Lopen\((.*)\)$') THEN '(' || regexp_extract(pred, '^Interval\.Lopen\((.*)\)$', 1) || ']'
+  WHEN regexp_matches(pred, '^Interval\.open\((.*)\)$') THEN '(' || regexp_extract(pred, '^Interval\.open\((.*)\)$', 1) || ')'
+  ELSE pred END AS normalized
+FROM p""")
+def q_normalize_interval(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    head = (F.when(et == "click", "Interval(").when(et == "view", "Interval.Ropen(")
+            .when(et == "purchase", "Interval.Lopen(").when(et == "signup", "Interval.open(").otherwise("Set("))
+    pred = F.concat(head, F.col("user_id").cast("string"), F.lit(", "), F.floor("value").cast("bigint").cast("string"), F.lit(")"))
+    return e.select("event_id", A.normalize_interval(pred).alias("normalized"))
