@@ -16,6 +16,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document; ids as count and hash, and whether the text came back."""
+    from rollframe.llm.sentencepiece import piece_decode, piece_encode
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = piece_decode(piece_encode(docs), "ids", "decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                      F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.url_filter import url_filter
+
+    return url_filter(read_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollframe.llm.sharding import assign_shards
 
@@ -24,6 +40,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollframe.llm.line_dedup import line_dedup
 
@@ -31,8 +53,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.decontamination import decontaminate
+
+    out = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_url_filter": op3_url_filter,
     "op4_sharding": op4_sharding,
+    "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
 }

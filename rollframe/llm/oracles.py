@@ -99,3 +99,83 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(dropped, 0)::BIGINT A
   sha256(CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END) AS kept_sha256
 FROM d LEFT JOIN a USING (rid)
 """
+
+
+def _order(n: int, k: int = 5, weight: float = 4.0) -> str:
+    """SQL of order n of the character model: gram, pa, pr."""
+    sums = f"SELECT substr(gram, {k - n + 1}, {n}) AS gram, sum(acc) AS acc, sum(rej) AS rej FROM top GROUP BY 1"
+    if n == 1:
+        return (f"o1 AS (SELECT gram, (acc + {weight} * (1.0::DOUBLE / 95)) / (sum(acc) OVER () + {weight})::DOUBLE AS pa, "
+                f"(rej + {weight} * (1.0::DOUBLE / 95)) / (sum(rej) OVER () + {weight})::DOUBLE AS pr FROM ({sums}))")
+    return (f"o{n} AS (SELECT t.gram, (acc + {weight} * pa) / (na + {weight}) AS pa, (rej + {weight} * pr) / (nr + {weight}) AS pr "
+            f"FROM (SELECT *, sum(acc) OVER (PARTITION BY substr(gram, 1, {n - 1})) AS na, "
+            f"sum(rej) OVER (PARTITION BY substr(gram, 1, {n - 1})) AS nr FROM ({sums})) t "
+            f"JOIN o{n - 1} ON substr(t.gram, 2) = o{n - 1}.gram)")
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (
+  SELECT rid, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (
+  SELECT rid, arg_max(rules.h || rules.p, length(rules.h || rules.p)) AS rule, arg_max(v, length(rules.h || rules.p)) AS said
+  FROM p JOIN rules ON (p.host = rules.h OR ends_with(p.host, '.' || rules.h)) AND starts_with(p.path, rules.p) GROUP BY rid),
+r AS (
+  SELECT p.*, rule, said,
+    regexp_replace(lower(regexp_replace(host || path, '[^\x20-\x7e]', '~', 'g')), '[1-9]', '0', 'g') AS s
+  FROM p LEFT JOIN m USING (rid)),
+seen AS (
+  SELECT s, substr(md5(s), 1, 1) < '3' AS cal, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b
+  FROM r GROUP BY s),
+g AS (
+  SELECT s, cal, a, b, substr('^^^^' || s || '$', i, 5) AS gram
+  FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM seen)),
+top AS (
+  SELECT gram, sum(CASE WHEN cal THEN 0 ELSE a END) AS acc, sum(CASE WHEN cal THEN 0 ELSE b END) AS rej FROM g GROUP BY gram),
+""" + ",\n".join(_order(n) for n in range(1, 6)) + r""",
+sc AS (
+  SELECT s, any_value(cal) AS cal, any_value(a) AS a, any_value(b) AS b, round(avg(ln(pa / pr)), 9) AS score
+  FROM g JOIN o5 USING (gram) GROUP BY s),
+mo AS (
+  SELECT sum(a) AS na, sum(a * score) / sum(a) AS ma, sum(a * score * score) / sum(a) AS qa,
+    sum(b) AS nb, sum(b * score) / sum(b) AS mb, sum(b * score * score) / sum(b) AS qb FROM sc WHERE cal),
+sd AS (SELECT *, sqrt(greatest(qa - ma * ma, 0)) AS sa, sqrt(greatest(qb - mb * mb, 0)) AS sb FROM mo),
+th AS (
+  SELECT CASE WHEN coalesce(na, 0) = 0 OR coalesce(nb, 0) = 0 THEN '-infinity'::DOUBLE
+    WHEN sa + sb > 0 THEN round((ma * sb + mb * sa) / (sa + sb), 9) ELSE round((ma + mb) / 2, 9) END AS t FROM sd)
+SELECT page_id, host, path, rule,
+  coalesce(said, CASE WHEN score >= (SELECT t FROM th) THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN sc USING (s)
+"""
+
+ORACLES["op8_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+    FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+    SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT rid, i, n, item_id FROM dw JOIN bw USING (n, win)),
+p AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid),
+t AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
+"""
