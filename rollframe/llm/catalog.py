@@ -40,6 +40,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.quality_classifier import quality_classifier
+
+    out = quality_classifier(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollframe.llm.token_counts import token_counts
 
@@ -66,6 +73,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,

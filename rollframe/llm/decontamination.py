@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollframe.session import ship_package
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -95,6 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > max_benchmark_bytes:
         return decontaminate_by_join(docs, items, id_col, text_col, window)
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

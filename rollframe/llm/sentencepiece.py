@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollframe.session import ship_package
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # the model's space mark
 LITERAL_MARK = 0x110000  # stands for a space mark that is in the text itself: no piece has it
@@ -259,6 +261,7 @@ def model_bytes(path: str = MODEL_PATH, max_bytes: int = 32 << 20) -> bytes:
 
 def codecs(spark: SparkSession, path: str = MODEL_PATH) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """(encode, decode) column functions for the model at ``path`` on the driver."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model_bytes(path))
     kept: dict[str, Encoder] = {}
 

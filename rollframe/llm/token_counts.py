@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollframe.session import ship_package
 from rollframe.llm.sentencepiece import MODEL_PATH, in_slices, model_bytes
 
 WORD_MARK = "▁".encode()
@@ -113,6 +114,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have 0 of both; repeated rows give repeated results; extra columns
     are not read.  The vocabulary is read by the driver (bounded) and broadcast.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kept: dict[str, LongestMatch] = {}
 

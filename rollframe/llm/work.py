@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollframe.session import checkpoint_dir
+from rollframe.session import checkpoint_dir, ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
