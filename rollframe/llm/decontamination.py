@@ -6,13 +6,10 @@ its offset and every hit maps back to the original.  Each document is scanned on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rollframe.session import ship_package
 
@@ -74,50 +71,46 @@ def scan(text: str | None, automaton) -> tuple[int, int, list[dict], list[str]]:
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+FOUND_DDL = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+COLUMNS = ("n_words", "n_hit", "spans", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-                  max_benchmark_bytes: int = 1 << 20) -> DataFrame:
-    """(id, n_words, n_hit, spans, items) for every input row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", window: int = 10, max_benchmark_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` plus ``n_words``, ``n_hit``, ``spans`` and ``items``.
 
     A window is ``window`` consecutive item words, or all of a shorter item.  Words inside any
     occurrence of a window are hit; ``spans`` are the runs of hit words in the original text
     (characters, end exclusive), ``items`` the sorted ids of items with an occurring window.
     Null and empty texts have no words; an empty benchmark hits nothing; benchmark rows
     without an id hit but are not listed; repeated rows of either side change nothing else.
-    Extra columns are not read.
+    Input columns named like the four are replaced, all others pass through.
 
     The automaton is broadcast as item texts, only while these are at most
     ``max_benchmark_bytes`` in all; beyond, the same result comes from an exact join on window
-    hashes (:func:`decontaminate_by_join`).
+    hashes (:func:`decontaminate_by_join`).  The texts are not shuffled.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     items = items.where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > max_benchmark_bytes:
-        return decontaminate_by_join(docs, items, id_col, text_col, window)
+        return decontaminate_by_join(docs, items, text_col, window)
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    kept: dict = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(item_windows(shared.value, window))
-        for batch in batches:
-            rows = [scan(t.as_py(), automaton) for t in batch.column(1)]
-            n, hit, spans, ids = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, SPANS),
-                 pa.array(ids, pa.list_(pa.string()))], names=[id_col, "n_words", "n_hit", "spans", "items"])
+    @F.arrow_udf(FOUND_DDL)
+    def found(texts: pa.Array) -> pa.Array:
+        if "a" not in kept:
+            kept["a"] = build_automaton(item_windows(shared.value, window))
+        return pa.array([dict(zip(COLUMNS, scan(t.as_py(), kept["a"]))) for t in texts], FOUND)
 
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(span)),
-        T.StructField("items", T.ArrayType(T.StringType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    out = docs.drop(*COLUMNS).withColumn("__found", found(F.col(text_col)))
+    return out.select("*", "__found.*").drop("__found")
 
 
-def decontaminate_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def decontaminate_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
     """The same for a benchmark of any size, ``items(item, text)``; ``spans`` are in words.
 
     Distinct texts are cut into windows of each length that an item needs, joined with the
@@ -131,8 +124,8 @@ def decontaminate_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_c
 
     wins = items.select("item", words("text").alias("w")).where(F.size("w") > 0)
     wins = wins.select("item", F.explode(cut(F.least(F.size("w"), F.lit(window)))).alias("x")).select("item", "x.len", "x.h").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("k"), F.col(text_col).alias("t"))
-    w = rows.groupBy("k").agg(F.first("t").alias("t")).select("k", words("t").alias("w"))
+    rows = docs.drop(*COLUMNS).withColumn("__k", F.md5(F.coalesce(text_col, F.lit(""))))
+    w = rows.groupBy(F.col("__k").alias("k")).agg(F.first(text_col).alias("t")).select("k", words("t").alias("w"))
     all_cuts = F.filter(F.array(*[cut(F.lit(n)) for n in range(1, window + 1)]), lambda a: a.isNotNull())
     hits = (w.select("k", F.explode(F.flatten(all_cuts)).alias("x")).select("k", "x.i", "x.len", "x.h").join(wins, ["len", "h"])
             .groupBy("k").agg(F.collect_set(F.struct("i", "len")).alias("at"), F.collect_set("item").alias("items")))
@@ -144,7 +137,9 @@ def decontaminate_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_c
     last = F.filter(pos, lambda p, j: ~F.coalesce(F.get(pos, j + 1) == p + 1, F.lit(False)))
     spans = F.zip_with(first, last, lambda a, b: F.struct(a.cast("long").alias("start"), (b + 1).cast("long").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return rows.join(hits, "k", "left").select(
-        F.col("id").alias(id_col), F.coalesce(F.size(words("t")), F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(spans, none).alias("spans"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    hits = hits.select(F.col("k").alias("__k"), F.size("at").alias("__hit"), spans.alias("__spans"), F.col("items").alias("__items"))
+    out = rows.join(hits, "__k", "left")
+    return out.select(
+        *[c for c in rows.columns if c != "__k"], F.coalesce(F.size(words(text_col)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__spans", none).alias("spans"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
