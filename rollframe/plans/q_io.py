@@ -1,17 +1,30 @@
 """Registered source / sink / streaming queries.  Logs are written below
-the session's ``spark.checkpoint.dir`` and read back, batch or streaming."""
+the session's ``spark.checkpoint.dir`` and read back, batch or streaming.
 
-from __future__ import annotations
+Streaming queries read their log as files of rows in hashed order, two files a micro-batch, and
+a closing record at the end."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as TT
 
 from rollframe.plans import tables as T
-from rollframe.plans.catalog import ROLLOUTS_SQL, register, with_
+from rollframe.plans.catalog import ROLLOUTS_SQL, TOKENS_SQL, register, r6, with_
 from rollframe.sources import io as IO
 from rollframe.streaming import jobs as S
 
+FILES, PER_BATCH = 6, 2
+
+
+def _at(id_):
+    """Event time from an id: a second each, from 2000 on."""
+    return F.timestamp_seconds(F.lit(946684800) + id_)
+
+
+#: The source has ended when the closing record comes: nothing before it is late.
+LATENESS = "36500 days"
+
 
 @register("read_parquet_concat", """SELECT doc_id, NULL AS item_id, text, lang FROM documents
 UNION ALL SELECT NULL AS doc_id, item_id, text, NULL AS lang FROM benchmark""")
@@ -27,6 +40,16 @@ def _log(spark, sf_dir):
                     F.col("response_id"), F.col("sample_idx"), F.col("uid"))
 
 
+@register("read_rollout_log", with_(ROLLOUTS_SQL) + """
+SELECT CAST(uid AS VARCHAR) AS input, pred AS output, score, step, data_source, response_id FROM rollouts""")
+def q_read_rollout_log(spark, sf_dir):
+    path = IO.scratch_path(spark, "rollout-log")
+    log = _log(spark, sf_dir).select("input", "output", "score", "step", "data_source", "response_id")
+    IO.write_generations_jsonl(log, path)
+    extra = TT.StructType([TT.StructField("data_source", TT.StringType()), TT.StructField("response_id", TT.LongType())])
+    return IO.read_rollout_log(spark, path, extra=extra)
+
+
 @register("generations_log_roundtrip", with_(ROLLOUTS_SQL) + """
 SELECT CAST(uid AS VARCHAR) AS input, pred AS output, score, step FROM rollouts""")
 def q_generations_log_roundtrip(spark, sf_dir):
@@ -35,48 +58,151 @@ def q_generations_log_roundtrip(spark, sf_dir):
     return IO.read_rollout_log(spark, path).select("input", "output", "score", "step")
 
 
+@register("read_shards_if_exist", """SELECT o_orderkey, o_totalprice, 'model' AS shard_model, 'p0' AS shard_prompt,
+  CAST(o_orderkey % 3 * 100 AS INTEGER) AS shard_start, 7 AS shard_seed FROM orders""")
+def q_read_shards_if_exist(spark, sf_dir):
+    path = IO.scratch_path(spark, "shards")
+    o = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    starts = [0, 100, 200, 300]  # no shard 300 is written: it is absent, not an error
+    for s in starts[:3]:
+        IO.write_shard(o.where(F.col("o_orderkey") % 3 == s // 100), path, "model", "p0", s, 7)
+    return IO.read_shards_if_exist(spark, path, [("model", "p0", s, 7) for s in starts])
+
+
+@register("write_parquet_split", """SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM customer""")
+def q_write_parquet_split(spark, sf_dir):
+    path = IO.scratch_path(spark, "split")
+    c = T.table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_custkey") % 10 == 0, "test").otherwise("train").alias("split"))
+    IO.write_parquet_split(c, path)
+    return spark.read.parquet(path)
+
+
+@register("write_validation_jsonl", with_(ROLLOUTS_SQL) + """
+SELECT CAST(uid AS VARCHAR) AS uid, data_source AS input, pred AS response, score, [pred] AS reward_types, step,
+  CASE WHEN response_id % 2 = 0 THEN 'val' ELSE 'test' END AS split FROM rollouts""")
+def q_write_validation_jsonl(spark, sf_dir):
+    path = IO.scratch_path(spark, "validation")
+    r = T.rollouts(spark, sf_dir).select(
+        F.col("uid").cast("string").alias("uid"), F.col("data_source").alias("input"), F.col("pred").alias("response"), "score",
+        F.array("pred").alias("reward_types"), "step", F.when(F.col("response_id") % 2 == 0, "val").otherwise("test").alias("split"))
+    IO.write_validation_jsonl(r, path)
+    return IO.read_rollout_log(spark, path, IO.VALIDATION_LOG_SCHEMA)
+
+
+@register("write_metrics", with_(ROLLOUTS_SQL) + """
+SELECT step, 'val' AS split, 'mean_score/' || data_source AS metric, round(avg(score), 6) AS value FROM rollouts GROUP BY step, data_source""")
+def q_write_metrics(spark, sf_dir):
+    path = IO.scratch_path(spark, "metrics")
+    m = T.rollouts(spark, sf_dir).groupBy("step", "data_source").agg(r6(F.avg("score")).alias("value"))
+    IO.write_metrics(m.select("step", F.lit("val").alias("split"), F.concat(F.lit("mean_score/"), "data_source").alias("metric"), "value"), path)
+    return spark.read.parquet(path).select("step", "split", "metric", "value")
+
+
+def _stream(spark, log, name, time_col=None, close=None):
+    """``log`` as a stream of JSON files in hashed row order; the closing record comes last."""
+    path = IO.scratch_path(spark, name)
+    log.repartition(FILES, F.xxhash64(*log.columns)).write.json(path)
+    if time_col:
+        S.closing_rows(log, time_col, **(close or {})).coalesce(1).write.mode("append").json(path)
+    return IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH)
+
+
 @register("stream_reward_type_share", with_(ROLLOUTS_SQL) + """
-SELECT step, data_source, pred AS reward_type, count(*) AS n FROM rollouts GROUP BY ALL""")
+SELECT step, data_source, pred AS reward_type, count(*) AS n,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY step, data_source), 6) AS share FROM rollouts GROUP BY step, data_source, pred""")
 def q_stream_reward_type_share(spark, sf_dir):
-    from pyspark.sql import types as TT
-    path = IO.scratch_path(spark, "rt-log")
-    _log(spark, sf_dir).select("step", "data_source", "reward_type").write.json(path)
-    schema = TT.StructType([TT.StructField("step", TT.IntegerType()), TT.StructField("data_source", TT.StringType()),
-                            TT.StructField("reward_type", TT.StringType())])
-    stream = IO.read_rollout_log(spark, path, schema, streaming=True, max_files_per_trigger=2)
-    name = f"rt_share_{uuid.uuid4().hex[:8]}"
-    out = S.run_available_now(S.stream_reward_type_share(stream), name, IO.scratch_path(spark, "ckpt"), "complete")
-    return out.select("step", "data_source", "reward_type", "n")
+    stream = _stream(spark, _log(spark, sf_dir).select("step", "data_source", "reward_type"), "rt-log")
+    out = S.drain_complete(S.stream_reward_type_share(stream), IO.scratch_path(spark, "rt-out"),
+                           IO.scratch_path(spark, "ckpt"), S.reward_type_shares)
+    return out.select("step", "data_source", "reward_type", "n", r6("share").alias("share"))
 
 
 @register("stream_group_filter", with_(ROLLOUTS_SQL) + """
 , g AS (SELECT *, CAST(uid AS VARCHAR) || '-' || CAST(sample_idx // 4 AS VARCHAR) AS grp FROM rollouts)
-SELECT response_id, grp FROM g WHERE grp IN (SELECT grp FROM g GROUP BY grp HAVING count(*) = 4 AND min(acc) <> max(acc))""")
+, s AS (SELECT grp, CASE WHEN count(*) < 4 THEN 'incomplete' WHEN min(acc) <> max(acc) THEN 'kept' END AS status FROM g GROUP BY grp)
+SELECT response_id, grp, acc, status FROM g JOIN s USING (grp) WHERE status IS NOT NULL""")
 def q_stream_group_filter(spark, sf_dir):
-    from pyspark.sql import types as TT
-    path = IO.scratch_path(spark, "grp-log")
     r = T.rollouts(spark, sf_dir).select(
         "response_id", F.concat(F.col("uid").cast("string"), F.lit("-"), (F.col("sample_idx") / 4).cast("bigint").cast("string")).alias("grp"),
-        "acc")
-    r.write.json(path)
-    schema = TT.StructType([TT.StructField("response_id", TT.LongType()), TT.StructField("grp", TT.StringType()),
-                            TT.StructField("acc", TT.DoubleType())])
-    stream = IO.read_rollout_log(spark, path, schema, streaming=True, max_files_per_trigger=2)
-    name = f"grp_filter_{uuid.uuid4().hex[:8]}"
-    out = S.run_available_now(S.stream_group_filter(stream, 4, "grp", "acc"), name, IO.scratch_path(spark, "ckpt"))
-    return out.select("response_id", "grp")
+        "acc", _at(F.col("response_id")).alias("at"))
+    stream = _stream(spark, r, "grp-log", "at", {"grp": F.lit("closing")})
+    out = S.drain(S.stream_group_filter(stream, 4, "grp", "acc", "at", LATENESS, 1000), IO.scratch_path(spark, "grp-out"),
+                  IO.scratch_path(spark, "ckpt"))
+    return out.where("grp <> 'closing'").select("response_id", "grp", "acc", "status")
 
 
-@register("stream_tool_reward", """
+def _attempts(spark, sf_dir):
+    return T.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("value").alias("reward"), _at(F.col("event_id")).alias("at"))
+
+
+_TOOL_SQL = """
 SELECT event_id, user_id, CASE WHEN value > coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0.0)
-  THEN 0.0e0 ELSE -0.05e0 END AS tool_reward FROM events""")
+  THEN 0.0e0 ELSE -0.05e0 END AS tool_reward FROM events"""
+
+
+def _tool_rewards(stream):
+    return S.stream_tool_reward(stream, "user_id", "event_id", "reward", "at", LATENESS)
+
+
+@register("stream_tool_reward", _TOOL_SQL)
 def q_stream_tool_reward(spark, sf_dir):
-    from pyspark.sql import types as TT
-    path = IO.scratch_path(spark, "tool-log")
-    T.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").alias("reward")).write.json(path)
-    schema = TT.StructType([TT.StructField("event_id", TT.LongType()), TT.StructField("user_id", TT.LongType()),
-                            TT.StructField("reward", TT.DoubleType())])
-    stream = IO.read_rollout_log(spark, path, schema, streaming=True)
-    name = f"tool_{uuid.uuid4().hex[:8]}"
-    out = S.run_available_now(S.stream_tool_reward(stream, "user_id", "event_id"), name, IO.scratch_path(spark, "ckpt"))
-    return out.select("event_id", "user_id", "tool_reward")
+    stream = _stream(spark, _attempts(spark, sf_dir), "tool-log", "at", {"user_id": F.lit(-1)})
+    out = S.drain(_tool_rewards(stream), IO.scratch_path(spark, "tool-out"), IO.scratch_path(spark, "ckpt"))
+    return out.where("user_id >= 0").select("event_id", "user_id", "tool_reward")
+
+
+@register("resume", _TOOL_SQL)
+def q_resume(spark, sf_dir):
+    """The tool rewards again, by a query that ends after part of its files and is started anew
+    from its checkpoint when the rest has come."""
+    log, path = _attempts(spark, sf_dir), IO.scratch_path(spark, "resume-log")
+    out, ckpt = IO.scratch_path(spark, "resume-out"), IO.scratch_path(spark, "ckpt")
+
+    def run():
+        stream = IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH)
+        return S.drain(_tool_rewards(stream), out, ckpt)
+
+    early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    log.where(early).repartition(FILES).write.json(path)
+    run()
+    log.where(~early).repartition(FILES).write.mode("append").json(path)
+    S.closing_rows(log, "at", user_id=F.lit(-1)).coalesce(1).write.mode("append").json(path)
+    return run().where("user_id >= 0").select("event_id", "user_id", "tool_reward")
+
+
+@register("stream_adaptive_kl", with_(TOKENS_SQL) + """
+, RECURSIVE_STEPS AS (SELECT uid AS run, response_id AS step,
+    abs(list_sum(list_transform(list_zip(log_probs, ref_log_probs), lambda e: e[1] - e[2]))) AS kl,
+    row_number() OVER (PARTITION BY uid ORDER BY response_id) AS i FROM tokens)
+, f AS (SELECT *, 1 + least(greatest(kl / 0.1 - 1, -0.2), 0.2) * 4 / 1000 AS m FROM RECURSIVE_STEPS)
+SELECT run, step, round(0.2 * coalesce(exp(sum(ln(m)) OVER (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0), 6) AS kl_coef
+FROM f""")
+def q_stream_adaptive_kl(spark, sf_dir):
+    t = T.tokens(spark, sf_dir)
+    kl = F.abs(F.aggregate(F.zip_with("log_probs", "ref_log_probs", lambda a, b: a - b), F.lit(0.0), lambda s, x: s + x))
+    steps = t.select(F.col("uid").alias("run"), F.col("response_id").alias("step"), kl.alias("kl"), F.lit(4).alias("n_steps"),
+                     _at(F.col("response_id")).alias("at"))
+    stream = _stream(spark, steps, "kl-log", "at", {"run": F.lit(-1)})
+    out = S.drain(S.stream_adaptive_kl(stream, 0.2, 0.1, 1000, "at", LATENESS), IO.scratch_path(spark, "kl-out"),
+                  IO.scratch_path(spark, "ckpt"))
+    return out.where("run >= 0").select("run", "step", r6("kl_coef").alias("kl_coef"))
+
+
+@register("scoring timeout", """
+SELECT event_id, CASE WHEN hit THEN value ELSE 0.0e0 END AS score, CASE WHEN hit THEN 'Correct' ELSE 'TimeoutError' END AS reward_type
+FROM (SELECT *, event_id % 3 <> 0 AND event_id % 500 <= 360 AS hit FROM events)""")
+def q_scoring_timeout(spark, sf_dir):
+    ev = T.table(spark, sf_dir, "events")
+    at = _at(F.col("event_id"))
+    asked = ev.select("event_id", at.alias("at"))
+    # a third of the answers never come, and some come too late
+    given = ev.where(F.col("event_id") % 3 != 0).select(
+        F.col("event_id").alias("event_id_result"), _at(F.col("event_id") + F.col("event_id") % 500).alias("at_result"),
+        F.col("value").alias("score"), F.lit("Correct").alias("reward_type"))
+    requests = _stream(spark, asked, "asked", "at", {"event_id": F.lit(-1)})
+    results = _stream(spark, given, "given", "at_result", {"event_id_result": F.lit(-2)})
+    out = S.drain(S.scoring_with_timeout(requests, results, "event_id", "at", watermark=LATENESS), IO.scratch_path(spark, "scored"),
+                  IO.scratch_path(spark, "ckpt"))
+    return out.where("event_id >= 0").select("event_id", "score", "reward_type")

@@ -1,29 +1,42 @@
 """Structured Streaming twins of the batch operators over the JSONL rollout logs.
 
-Each job returns a streaming DataFrame (or a started query); with ``trigger(availableNow)``
-it equals its batch twin on the same files.  Stateful logic uses
-``applyInPandasWithState`` keyed by uid / run / instance, so state is partitioned and
-checkpointed to the query's ``checkpointLocation`` (resume = restart with the same
-location)."""
+Each job returns a streaming DataFrame.  Stateful jobs keep typed state per group and act on
+it in event-time order: rows wait in state until the watermark has passed them, so neither the
+order of files nor the cut into micro-batches or Arrow chunks changes a result.  State lives
+in the query's ``checkpointLocation``; a restart with the same location resumes.  Results go
+to a file sink below the shared checkpoint folder, never to the driver.
+"""
 
 from __future__ import annotations
 
-import io
-from typing import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rollframe.session import ship_package
+
+#: Event time of a closing record: a source that has ended sends one, so that the watermark
+#: passes every real row.
+CLOSING_TIME = "2200-01-01 00:00:00"
+
 
 def stream_reward_type_share(events: DataFrame, class_col: str = "reward_type", step_col: str = "step",
                              source_col: str = "data_source") -> DataFrame:
-    """Running counts per (step, source, class); shares are counts over the step total
-    (computed by readers of the complete-mode sink)."""
+    """Running counts per (step, source, class), for a complete-mode sink with
+    :func:`reward_type_shares` as its view."""
     return events.groupBy(step_col, source_col, class_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def reward_type_shares(counts: DataFrame, step_col: str = "step", source_col: str = "data_source") -> DataFrame:
+    """``share`` of each count in its (step, source) total."""
+    total = counts.groupBy(step_col, source_col).agg(F.sum("n").alias("__all"))
+    return counts.join(total, [step_col, source_col]).withColumn("share", F.col("n") / F.col("__all")).drop("__all")
+
+
 def stream_reward_type_share_windowed(events: DataFrame, ts_col: str, window: str, watermark: str,
                                       class_col: str = "reward_type") -> DataFrame:
     """Event-time variant: tumbling windows with a watermark for late rows."""
@@ -31,93 +44,131 @@ def stream_reward_type_share_windowed(events: DataFrame, ts_col: str, window: st
             .groupBy(F.window(ts_col, window), class_col).agg(F.count(F.lit(1)).alias("n")))
 
 
-def stream_group_filter(responses: DataFrame, n_per_group: int, group_col: str = "uid",
-                        metric_col: str = "score", timeout: str | None = None) -> DataFrame:
-    """Hold a group's responses until ``n_per_group`` arrived, then emit them if the
-    metric varies (or the group is a single trajectory), else drop them.  Groups that do
-    not complete before ``timeout`` (processing time) are dropped."""
-    schema = responses.schema
-    value_cols = [f.name for f in schema.fields]
+def _held(schema: T.StructType, names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.ArrayType(schema[n].dataType)) for n in names])
+
+
+def _millis(ts: pd.Series) -> pd.Series:
+    return (ts.astype("datetime64[ns]").astype("int64") // 1_000_000).astype("int64")
+
+
+def _plain(values: list) -> list:
+    """Python values for the state row (no numpy scalars; missing as None)."""
+    return [None if v is None or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v for v in values]
+
+
+def stream_group_filter(responses: DataFrame, n_per_group: int, group_col: str, metric_col: str, time_col: str,
+                        watermark: str, wait_ms: int) -> DataFrame:
+    """Hold a group's responses until ``n_per_group`` have arrived; emit them with ``status``
+    ``kept`` if the metric varies (or the group is one trajectory), else nothing.  A group that
+    is still short ``wait_ms`` of event time after its latest row comes out with ``status``
+    ``incomplete``, so no group stays in state for ever and none is lost unseen.
+
+    State is one typed array per column."""
+    ship_package(responses.sparkSession)
+    names = [f.name for f in responses.schema.fields if f.name not in (group_col, time_col)]
+    key_field = responses.schema[group_col]
+    out = T.StructType([key_field, *[responses.schema[n] for n in names], T.StructField("status", T.StringType())])
+    state_type = T.StructType([*_held(responses.schema, names).fields, T.StructField("until", T.LongType())])
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
+        until = state.get[-1] if state.exists else 0
+
+        def emit(status: str) -> pd.DataFrame:
+            return pd.DataFrame({group_col: [key[0]] * len(held[names[0]]), **held, "status": status})
+
         if state.hasTimedOut:
             state.remove()
+            yield emit("incomplete")
             return
-        parts = [pd.read_json(io.StringIO(state.get[0]), orient="split")] if state.exists else []
-        parts += [p for p in pdfs if len(p)]
-        if not parts:
-            return
-        cur = pd.concat(parts, ignore_index=True)
-        if len(cur) >= n_per_group:
-            state.remove()
-            vals = cur[metric_col]
-            if len(cur) == 1 or vals.max() != vals.min():
-                yield cur[value_cols]
-        else:
-            state.update((cur.to_json(orient="split"),))
-            if timeout:
-                state.setTimeoutDuration(timeout)
-
-    return responses.groupBy(group_col).applyInPandasWithState(
-        fn, outputStructType=schema, stateStructType="held string", outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
-
-
-def stream_tool_reward(attempts: DataFrame, instance_col: str, attempt_col: str, reward_col: str = "reward") -> DataFrame:
-    """Per instance, the tool penalty of each attempt (0.0 when the reward improved on the
-    previous attempt, else -0.05), carrying the last reward in state across micro-batches."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType(attempts.schema.fields + [StructField("tool_reward", DoubleType())])
-
-    def fn(key, pdfs, state: GroupState):
-        last = state.get[0] if state.exists else 0.0
         for pdf in pdfs:
-            pdf = pdf.sort_values(attempt_col)
-            out = []
-            for r in pdf[reward_col].tolist():
-                out.append(0.0 if r > last else -0.05)
-                last = r
-            yield pdf.assign(tool_reward=out)
-        state.update((float(last),))
-
-    return attempts.groupBy(instance_col).applyInPandasWithState(
-        fn, outputStructType=schema, stateStructType="last double", outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+            for n in names:
+                held[n] += _plain(pdf[n].tolist())
+            if len(pdf):
+                until = max(until, int(_millis(pdf[time_col]).max()) + wait_ms)
+        if len(held[names[0]]) >= n_per_group:
+            if state.exists:
+                state.remove()
+            values = held[metric_col]
+            if len(values) == 1 or max(values) != min(values):
+                yield emit("kept")
+        elif held[names[0]]:
+            state.update((*[held[n] for n in names], until))
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    return responses.withWatermark(time_col, watermark).groupBy(group_col).applyInPandasWithState(
+        fn, outputStructType=out, stateStructType=state_type, outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+
+
+def _ordered_scan(rows: DataFrame, key_col: str, order_col: str, value_cols: list[str], time_col: str, watermark: str,
+                  start: float, step: Callable[[float, tuple], tuple[float, float]], out_col: str) -> DataFrame:
+    """Per key, ``carry, out = step(carry, values)`` over rows in (event time, order) order.
+
+    Rows wait in state, as typed arrays, until the watermark has passed them."""
+    ship_package(rows.sparkSession)
+    out = T.StructType([rows.schema[key_col], rows.schema[order_col], T.StructField(out_col, T.DoubleType())])
+    names = [order_col, *value_cols]
+    state_type = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), *_held(rows.schema, names).fields,
+                               T.StructField("carry", T.DoubleType())])
 
-
-def stream_adaptive_kl(step_kl: DataFrame, init_coef: float, target: float, horizon: int,
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        had = state.get if state.exists else None
+        waiting = list(zip(*had[:-1])) if had is not None else []
+        carry = had[-1] if had is not None else start
+        for pdf in pdfs:
+            if len(pdf):
+                waiting += zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names])
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        passed = state.getCurrentWatermarkMs()
+        done: list[tuple] = []
+        n = 0
+        while n < len(waiting) and waiting[n][0] <= passed:
+            carry, value = step(carry, waiting[n][2:])
+            done.append((key[0], waiting[n][1], value))
+            n += 1
+        rest = waiting[n:]
+        columns = [list(c) for c in zip(*rest)] if rest else [[] for _ in range(len(names) + 1)]
+        state.update((*columns, float(carry)))
+        if rest:
+            state.setTimeoutTimestamp(max(rest[0][0], passed + 1))
+        if done:
+            yield pd.DataFrame(done, columns=[key_col, order_col, out_col])
+
+    return rows.withWatermark(time_col, watermark).groupBy(key_col).applyInPandasWithState(
+        fn, outputStructType=out, stateStructType=state_type, outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_tool_reward(attempts: DataFrame, instance_col: str, attempt_col: str, reward_col: str, time_col: str,
+                       watermark: str) -> DataFrame:
+    """Per instance, the tool penalty of each attempt: 0.0 when the reward improved on the
+    previous attempt (0.0 before the first), else -0.05."""
+    return _ordered_scan(attempts, instance_col, attempt_col, [reward_col], time_col, watermark, 0.0,
+                         lambda last, v: (v[0], 0.0 if v[0] > last else -0.05), "tool_reward")
+
+
+def stream_adaptive_kl(step_kl: DataFrame, init_coef: float, target: float, horizon: int, time_col: str, watermark: str,
                        run_col: str = "run", step_col: str = "step", kl_col: str = "kl",
                        n_col: str = "n_steps") -> DataFrame:
-    """Adaptive KL coefficient carried in state per run: emits (run, step, kl_coef used at
-    the step) and updates ``beta *= 1 + clip(kl/target - 1, +-0.2) * n/horizon``."""
-    from pyspark.sql.types import DoubleType, StructField, StructType, StringType, IntegerType
-    schema = StructType([StructField(run_col, step_kl.schema[run_col].dataType), StructField(step_col, IntegerType()),
-                         StructField("kl_coef", DoubleType())])
-
-    def fn(key, pdfs, state: GroupState):
-        beta = state.get[0] if state.exists else float(init_coef)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(step_col)
-            rows = []
-            for _, r in pdf.iterrows():
-                rows.append((key[0], int(r[step_col]), beta))
-                err = min(max(r[kl_col] / target - 1, -0.2), 0.2)
-                beta *= 1 + err * r[n_col] / horizon
-            yield pd.DataFrame(rows, columns=[run_col, step_col, "kl_coef"])
-        state.update((float(beta),))
+    """Adaptive KL coefficient per run: the coefficient used at each step, updated after it by
+    ``beta *= 1 + clip(kl/target - 1, +-0.2) * n/horizon``."""
+    def step(beta: float, v: tuple) -> tuple[float, float]:
+        err = min(max(v[0] / target - 1, -0.2), 0.2)
+        return beta * (1 + err * v[1] / horizon), beta
 
-    return step_kl.groupBy(run_col).applyInPandasWithState(
-        fn, outputStructType=schema, stateStructType="beta double", outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+    return _ordered_scan(step_kl, run_col, step_col, [kl_col, n_col], time_col, watermark, float(init_coef), step, "kl_coef")
 
 
 def scoring_with_timeout(requests: DataFrame, results: DataFrame, key: str, ts_col: str,
-                         timeout: str = "360 seconds") -> DataFrame:
+                         timeout: str = "360 seconds", watermark: str | None = None) -> DataFrame:
     """Stream-stream left outer join of scoring requests and results within ``timeout``
-    of event time; unmatched requests come out (after the watermark passes) with score 0.0
+    of event time, rows of either side up to ``watermark`` late (``timeout`` if not given);
+    unmatched requests come out (after the watermark passes) with score 0.0
     and the ``TimeoutError`` label."""
-    req = requests.withWatermark(ts_col, timeout).alias("q")
-    res = results.withWatermark(f"{ts_col}_result", timeout).alias("r")
+    req = requests.withWatermark(ts_col, watermark or timeout).alias("q")
+    res = results.withWatermark(f"{ts_col}_result", watermark or timeout).alias("r")
     cond = (F.col(f"q.{key}") == F.col(f"r.{key}_result")) & (
         F.col(f"r.{ts_col}_result").between(F.col(f"q.{ts_col}"), F.col(f"q.{ts_col}") + F.expr(f"INTERVAL {timeout}")))
     j = req.join(res, cond, "leftOuter")
@@ -126,9 +177,36 @@ def scoring_with_timeout(requests: DataFrame, results: DataFrame, key: str, ts_c
                     .otherwise(F.coalesce(F.col("r.reward_type"), F.lit("Correct"))).alias("reward_type"))
 
 
-def run_available_now(stream: DataFrame, name: str, checkpoint: str, output_mode: str = "append"):
-    """Drain the source once (``availableNow``) into a memory table; returns the table."""
-    q = (stream.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def closing_rows(like: DataFrame, time_col: str, **values: Column) -> DataFrame:
+    """One record at the closing time, other columns null but for ``values``."""
+    spark = like.sparkSession
+    cols = [(F.lit(CLOSING_TIME).cast("timestamp") if f.name == time_col else values.get(f.name, F.lit(None)))
+            .cast(f.dataType).alias(f.name) for f in like.schema.fields]
+    return spark.range(1).select(*cols)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an append-mode query over what its source has now, into parquet at ``path``; the
+    table written so far."""
+    q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def drain_complete(stream: DataFrame, path: str, checkpoint: str,
+                   view: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """The same for a complete-mode aggregate: each micro-batch writes ``view`` of its result
+    as parquet of its own, and the latest one is read."""
+    last: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        view(batch).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        last.append(batch_id)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .outputMode("complete").trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return view(stream.sparkSession.createDataFrame([], stream.schema))
+    return stream.sparkSession.read.parquet(f"{path}/batch-{last[-1]}")
