@@ -3,14 +3,15 @@
 Element-wise work uses the JVM higher-order functions (``transform``, ``zip_with``,
 ``aggregate``); each is linear in the array length and needs no shuffle.  Reverse linear
 recurrences (discounted returns, GAE) have no linear-time SQL form (building the output
-array inside ``aggregate`` copies it at every step), so they run in a vectorised
-``pandas_udf`` that walks all rows of an Arrow batch position by position.
+array inside ``aggregate`` copies it at every step), so they run in an Arrow UDF on the flat
+values of a batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,27 +47,35 @@ def scalar_times_mask(s, m) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# y_t = x_t + c_t * y_{t+1}, y_L = 0   (vectorised over the rows of an Arrow batch)
+# y_t = x_t + c_t * y_{t+1}, y_L = 0
 # ---------------------------------------------------------------------------
-def _reverse_scan_np(xs: pd.Series, cs: pd.Series) -> pd.Series:
-    n = len(xs)
-    if n == 0:
-        return pd.Series([], dtype=object)
-    lens = np.fromiter((0 if x is None else len(x) for x in xs), dtype=np.int64, count=n)
-    width = int(lens.max()) if n else 0
-    X = np.zeros((n, width + 1))
-    C = np.zeros((n, width + 1))
-    for i, (x, c) in enumerate(zip(xs, cs)):
-        if x is not None and len(x):
-            X[i, :len(x)] = x
-            C[i, :len(c)] = c
-    Y = np.zeros((n, width + 1))
-    for t in range(width - 1, -1, -1):
-        Y[:, t] = X[:, t] + C[:, t] * Y[:, t + 1]
-    return pd.Series([None if xs.iloc[i] is None else Y[i, :lens[i]] for i in range(n)])
-
-
-reverse_scan_udf = F.pandas_udf(_reverse_scan_np, returnType=T.ArrayType(T.DoubleType()))
+def reverse_scan_ragged(x: np.ndarray, c: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The recurrence inside each [offsets[i], offsets[i+1]), on flat values.  All rows that
+    are long enough take a step together; memory follows the number of values, not the longest
+    row."""
+    y = np.array(x, np.float64)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    last = offsets[1:][order] - 1
+    longer = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    for t in range(1, len(longer)):
+        at = last[:longer[t]] - t
+        y[at] += c[at] * y[at + 1]
+    return y
+
+
+def _reverse_scan_arrow(xs: pa.Array, cs: pa.Array) -> pa.Array:
+    lists = xs.is_valid()
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(xs), 0), np.int64))
+    x, c = (np.asarray(pc.fill_null(a.flatten(), 0.0)) for a in (xs, cs))
+    if len(c) != len(x):
+        raise ValueError("reverse_scan: the two arrays of a row differ in length")
+    offsets = np.concatenate(([0], ends))
+    out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(reverse_scan_ragged(x, c, offsets)))
+    return pc.if_else(lists, out, pa.scalar(None, out.type)) if xs.null_count else out
+
+
+reverse_scan_udf = F.arrow_udf(_reverse_scan_arrow, returnType=T.ArrayType(T.DoubleType()))
 
 
 def reverse_scan(x, c) -> Column:

@@ -2,8 +2,8 @@
 
 At scale the assignment is a *snake draft* over the global length rank (pure column math
 on top of :func:`with_row_index`): rank r goes to part ``r mod k`` on even rounds and
-``k-1 - r mod k`` on odd rounds, so every part gets the same number of rows (+-1) and
-near-equal sums.  When sums must be tight inside one training batch, ``balance_in_batches``
+``k-1 - r mod k`` on odd rounds, so every part gets the same number of rows (+-1), and
+the sums of any two parts differ by the longest row's length at most.  When sums must be tight inside one training batch, ``balance_in_batches``
 runs a greedy largest-first assignment per batch with ``applyInPandas`` (one batch = one
 bounded group; batches run in parallel).
 """
@@ -33,10 +33,19 @@ def balance_partitions(df: DataFrame, k: int, len_col: str, id_col: str, equal_s
     return d.withColumn(out_col, part).drop("__r")
 
 
+def contiguous_partitions(df: DataFrame, k: int, id_col: str, out_col: str = "part") -> DataFrame:
+    """The rows in id order, cut into k runs of ceil(N / k) rows: what balancing is measured
+    against."""
+    size = -(-row_count(df) // k)
+    d = with_row_index(df, id_col, out_col="__r")
+    return d.withColumn(out_col, F.least((F.col("__r") / max(size, 1)).cast("int"), F.lit(k - 1))).drop("__r")
+
+
 def balance_in_batches(df: DataFrame, k: int, len_col: str, id_col: str, batch_col: str,
-                       out_col: str = "part") -> DataFrame:
+                       out_col: str = "part", max_rows: int = 100_000) -> DataFrame:
     """Greedy largest-first per batch: each row (longest first) joins the part with the
-    smallest token sum among parts that still have room (equal sizes when k | n)."""
+    smallest token sum among parts that still have room (equal sizes when k | n).  A batch is
+    one training step's rows; one of more than ``max_rows`` fails before it is grouped."""
     from pyspark.sql.types import IntegerType, StructField, StructType
     schema = StructType(df.schema.fields + [StructField(out_col, IntegerType())])
 
@@ -61,6 +70,10 @@ def balance_in_batches(df: DataFrame, k: int, len_col: str, id_col: str, batch_c
                 heapq.heappush(heap, x)
         return pdf.assign(**{out_col: parts})
 
+    size = df.groupBy(batch_col).agg(F.count("*").alias("__n"))
+    most = size.agg(F.max("__n")).first()[0] or 0
+    if most > max_rows:
+        raise ValueError(f"a batch has {most} rows; more than {max_rows} are no training batch")
     return df.groupBy(batch_col).applyInPandas(per_batch, schema)
 
 
@@ -76,14 +89,11 @@ def token_budget_batches(df: DataFrame, max_tokens: int, len_col: str, id_col: s
                          out_col: str = "micro_batch") -> DataFrame:
     """Per batch: ``ceil(total / max_tokens)`` micro-batches, rows snake-drafted by length
     (``max_tokens`` must cover the longest row)."""
-    longest = df.agg(F.max(len_col)).first()[0] or 0
-    if longest > max_tokens:
-        raise ValueError(f"max_tokens {max_tokens} must be >= the longest row {longest}")
-    tot = df.groupBy(batch_col).agg(F.ceil(F.sum(len_col) / F.lit(max_tokens)).cast("bigint").alias("__k"))
-    d = df.join(tot, batch_col)
-    d = with_row_index(d, [F.col(batch_col), -F.col(len_col), F.col(id_col)], out_col="__g")
-    first = d.groupBy(batch_col).agg(F.min("__g").alias("__f"))
-    d = d.join(first, batch_col).withColumn("__r", F.col("__g") - F.col("__f"))
+    d = with_row_index(df, [F.col(batch_col), -F.col(len_col), F.col(id_col)], out_col="__g")
+    k = F.when(F.max(len_col) > max_tokens, F.raise_error(F.lit("a row is longer than max_tokens"))).otherwise(
+        F.ceil(F.sum(len_col) / F.lit(max_tokens)).cast("bigint"))
+    of_batch = d.groupBy(batch_col).agg(F.min("__g").alias("__f"), k.alias("__k"))
+    d = d.join(of_batch, batch_col).withColumn("__r", F.col("__g") - F.col("__f"))
     rnd = (F.col("__r") / F.col("__k")).cast("bigint")
     pos = F.col("__r") % F.col("__k")
     mb = F.when(rnd % 2 == 0, pos).otherwise(F.col("__k") - 1 - pos).cast("int")

@@ -67,9 +67,12 @@ def concat_rows(dfs: list[DataFrame]) -> DataFrame:
 
 
 def take_rows(df: DataFrame, index_df: DataFrame, index_col: str = "take_idx", key: str = IDX) -> DataFrame:
-    """Rows at the given positions (duplicates allowed); ``take_pos`` keeps the request order."""
+    """Rows at the given positions (duplicates allowed); ``take_pos`` keeps the request order.
+    A position outside the batch fails the job; the check is part of the key column."""
     req = index_df.select(F.col(index_col).alias(key), F.col("take_pos"))
-    return df.join(req, key, "inner")
+    found = req.join(df.withColumn("__has", F.lit(True)), key, "left")
+    return found.withColumn(key, F.when(F.col("__has"), F.col(key)).otherwise(F.raise_error(F.concat(
+        F.lit("take_rows: no row at position "), F.col(key).cast("string"))))).drop("__has")
 
 
 def take_mask(df: DataFrame, mask_col: str) -> DataFrame:
@@ -102,9 +105,16 @@ def slice_rows(df: DataFrame, start: int | None, stop: int | None, step: int | N
 
 def reorder_rows(df: DataFrame, perm: DataFrame, key: str = IDX) -> DataFrame:
     """Apply a permutation given as ``(new_idx, old_idx)``: row ``new_idx`` of the output
-    is row ``old_idx`` of the input."""
-    p = perm.select(F.col("old_idx").alias(key), "new_idx")
-    return df.join(p, key, "inner").drop(key).withColumnRenamed("new_idx", key)
+    is row ``old_idx`` of the input.  Both columns must be duplicate-free, and every row and
+    every position must have its match, else the job fails (checked in the new key)."""
+    n = perm.agg(F.count("*"), F.count_distinct("old_idx"), F.count_distinct("new_idx")).first()
+    if len(set(n)) != 1:
+        raise ValueError(f"reorder_rows: {n[0]} positions, {n[1]} different old and {n[2]} different new ones")
+    p = perm.select(F.col("old_idx").alias(key), "new_idx", F.lit(True).alias("__p"))
+    d = df.withColumn("__d", F.lit(True)).join(p, key, "full_outer")
+    new = F.when(F.col("__d") & F.col("__p"), F.col("new_idx")).otherwise(
+        F.raise_error(F.lit("reorder_rows: rows and positions don't match")))
+    return d.withColumn(key, new).drop("new_idx", "__d", "__p")
 
 
 def repeat_rows(df: DataFrame, repeat_times: int, interleave: bool = True, key: str = IDX,
@@ -124,7 +134,7 @@ def repeat_rows(df: DataFrame, repeat_times: int, interleave: bool = True, key:
 def chunk_rows(df: DataFrame, chunks: int, key: str = IDX, n: int | None = None) -> DataFrame:
     n = row_count(df) if n is None else n
     if n % chunks != 0:
-        raise ValueError(f"only support equal chunk. Got size of DataProto {n} and chunk {chunks}.")
+        raise ValueError(f"{n} rows can't be cut into {chunks} chunks of one size")
     return df.withColumn("chunk_id", (F.col(key) / (n // chunks)).cast("bigint"))
 
 

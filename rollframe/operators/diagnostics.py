@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollframe.functions import arrays as AR
+from rollframe.session import ship_package
 
 EPS = 1e-8
 
@@ -77,21 +78,28 @@ def loss_aggregate(df: DataFrame, loss_col: str, mask_col: str, mode: str = "tok
                    keys: list[str] | None = None) -> DataFrame:
     """The four loss aggregation modes as one aggregate (per ``keys`` or global)."""
     keys = keys or []
-    ls = AR.masked_sum(loss_col, mask_col)
-    ms = AR.arr_sum(mask_col)
-    if mode == "token-mean":
-        agg = F.sum(ls) / (F.sum(ms) + EPS)
-    elif mode == "seq-mean-token-sum":
-        agg = F.avg(ls)
-    elif mode == "seq-mean-token-mean":
-        agg = F.avg(ls / ms)
-    elif mode == "seq-mean-token-sum-norm":
-        agg = F.sum(ls) / F.max(F.size(mask_col))
-    else:
-        raise ValueError(f"Invalid loss_agg_mode: {mode}")
+    agg = _loss(mode, AR.masked_sum(loss_col, mask_col), AR.arr_sum(mask_col), F.size(mask_col))
     return df.groupBy(*keys).agg(agg.alias("loss"))
 
 
+def _loss(mode: str, ls, ms, width):
+    if mode == "token-mean":
+        return F.sum(ls) / (F.sum(ms) + EPS)
+    if mode == "seq-mean-token-sum":
+        return F.avg(ls)
+    if mode == "seq-mean-token-mean":
+        return F.avg(ls / ms)
+    if mode == "seq-mean-token-sum-norm":
+        return F.sum(ls) / F.max(width)
+    raise ValueError(f"no loss aggregation is called {mode}")
+
+
+def loss_aggregates(df: DataFrame, loss_col: str, mask_col: str, modes: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Several of the modes in one aggregation, a column each (dashes as underscores)."""
+    d = df.select(*(keys or []), AR.masked_sum(loss_col, mask_col).alias("ls"), AR.arr_sum(mask_col).alias("ms"), F.size(mask_col).alias("width"))
+    return d.groupBy(*(keys or [])).agg(*[_loss(m, F.col("ls"), F.col("ms"), F.col("width")).alias(m.replace("-", "_")) for m in modes])
+
+
 def policy_loss_tokens(df: DataFrame, old_col: str = "old_log_probs", logp_col: str = "log_probs",
                        adv_col: str = "advantages", clip_low: float = 0.2, clip_high: float | None = None,
                        clip_ratio_c: float = 3.0) -> DataFrame:
@@ -132,15 +140,7 @@ def policy_clip_report(df: DataFrame, mask_col: str = "response_mask", mode: str
 
 
 def _policy_aggs(mask_col: str, mode: str):
-    ls = AR.masked_sum("pg_losses", mask_col)
-    ms = AR.arr_sum(mask_col)
-    if mode == "token-mean":
-        return [(F.sum(ls) / (F.sum(ms) + EPS)).alias("pg_loss")]
-    if mode == "seq-mean-token-sum":
-        return [F.avg(ls).alias("pg_loss")]
-    if mode == "seq-mean-token-mean":
-        return [F.avg(ls / ms).alias("pg_loss")]
-    return [(F.sum(ls) / F.max(F.size(mask_col))).alias("pg_loss")]
+    return [_loss(mode, AR.masked_sum("pg_losses", mask_col), AR.arr_sum(mask_col), F.size(mask_col)).alias("pg_loss")]
 
 
 def value_clip_report(df: DataFrame, vpred_col: str, returns_col: str = "returns", values_col: str = "values",
@@ -172,74 +172,95 @@ def dpo_ce_loss(df: DataFrame, scores_col: str, acc_col: str, mask_col: str, bet
     return df.agg(F.avg(-(y * lg(p) + (1 - y) * lg(1 - p))).alias("dpo_ce_loss"))
 
 
-def _level_table(df: DataFrame, group_col: str, acc_col: str, q_col: str | None = None) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("c")]
-    if q_col:
-        aggs.append(F.sum(q_col).alias("q"))
-    lv = df.groupBy(group_col, F.col(acc_col).cast("double").alias("lvl")).agg(*aggs)
-    fields = ["lvl", "c"] + (["q"] if q_col else [])
-    return lv.groupBy(group_col).agg(F.collect_list(F.struct(*fields)).alias("__levels"))
-
-
 def dpo_group_loss(df: DataFrame, scores_col: str, acc_col: str, mask_col: str, beta: float,
                    group_col: str = "uid", bon_mode: str = "none") -> DataFrame:
     """Contrast each response's Q = beta * sum(scores*mask) with the mean Q of strictly
     worse group members (acc > 0) or strictly better ones (acc <= 0); loss
-    ``-log sigmoid((Q - Q_other) * sign)``.  Group members are summarised per accuracy
-    level (bounded list), so no pairs are formed."""
+    ``-log sigmoid((Q - Q_other) * sign)``, in a form that stays finite at any margin.
+
+    Members are summed per (group, accuracy); sums of lower and higher accuracies are running
+    totals over that smaller table, and each response joins the row of its own accuracy.  No
+    pairs and no lists are formed, whatever the number of accuracies."""
     d = df.withColumn("__qraw", AR.masked_sum(scores_col, mask_col)).withColumn("__acc", F.col(acc_col).cast("double"))
-    d = d.join(_level_table(d, group_col, "__acc", "__qraw"), group_col, "left")
+    level = d.groupBy(group_col, "__acc").agg(F.count("*").alias("c"), F.sum("__qraw").alias("q"))
+    w = Window.partitionBy(group_col).orderBy("__acc")
+    below, above = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     a = F.col("__acc")
-    chosen = F.filter("__levels", lambda s: F.when(a > 0, s["lvl"] < a).otherwise(s["lvl"] > a))
-    csum = F.aggregate(chosen, F.lit(0.0), lambda acc, s: acc + s["q"])
-    ccnt = F.aggregate(chosen, F.lit(0).cast("bigint"), lambda acc, s: acc + s["c"])
-    other = F.when(ccnt > 0, csum / ccnt * F.lit(float(beta))).otherwise(F.lit(0.0))
-    cur = F.col("__qraw") * F.lit(float(beta))
-    sign = F.when(a > 0, 1.0).otherwise(-1.0)
-    loss = -F.log(F.lit(1.0) / (1 + F.exp(-(cur - other) * sign)))
-    d = d.withColumn("__loss", loss)
+    side = lambda c: F.when(a > 0, F.sum(c).over(below)).otherwise(F.sum(c).over(above))
+    level = level.select(group_col, "__acc", side("c").alias("__oc"), side("q").alias("__oq"),
+                         F.sum("c").over(Window.partitionBy(group_col)).alias("__n"), F.sum("c").over(w).alias("__le"))
+    d = d.join(level, [group_col, "__acc"], "left")
+    other = F.coalesce(F.col("__oq") / F.col("__oc") * F.lit(float(beta)), F.lit(0.0))
+    z = (F.col("__qraw") * F.lit(float(beta)) - other) * F.when(a > 0, 1.0).otherwise(-1.0)
+    d = d.withColumn("__loss", F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))
     if bon_mode == "none":
         return d.agg(F.avg("__loss").alias("dpo_loss"))
-    n = F.aggregate("__levels", F.lit(0).cast("bigint"), lambda acc, s: acc + s["c"]).cast("double")
+    n = F.col("__n").cast("double")
     if bon_mode == "bon_acc":
-        le = F.aggregate(F.filter("__levels", lambda s: s["lvl"] <= a), F.lit(0).cast("bigint"), lambda acc, s: acc + s["c"])
+        le = F.col("__le")
     elif bon_mode == "bon_rm":
-        w = Window.partitionBy(group_col).orderBy("__qraw").rangeBetween(Window.unboundedPreceding, 0)
-        le = F.count(F.lit(1)).over(w)
+        le = F.count("*").over(Window.partitionBy(group_col).orderBy("__qraw").rangeBetween(Window.unboundedPreceding, 0))
     else:
         raise NotImplementedError(bon_mode)
-    weight = n * F.pow(le / n, n - 1)
-    return d.agg(F.sum(F.col("__loss") * weight).alias("dpo_loss"))
+    d = d.withColumn("__weight", n * F.pow(le / n, n - 1))
+    return d.agg(F.sum(F.col("__loss") * F.col("__weight")).alias("dpo_loss"))
+
+
+#: Up to so many different accuracies, pairwise_accuracy keeps one running count for each.
+MAX_LEVELS = 32
 
 
 def pairwise_accuracy(df: DataFrame, scores_col: str, acc_col: str, mask_col: str,
-                      group_col: str = "uid", order_col: str = "sample_idx",
-                      levels: tuple[float, ...] = (0.0, 1.0)) -> DataFrame:
+                      group_col: str = "uid", order_col: str = "sample_idx") -> DataFrame:
     """Mean over groups of the |acc diff|-weighted agreement between score and accuracy
     orderings over pairs i < j (0.5 when all accuracies are equal).
 
     Computed without forming pairs: with ``s`` ordered by (score, position), a higher-acc
-    member agrees with a lower-acc one exactly when it comes later in that order, so the
-    numerator is a running per-level count over a window partitioned by the group and the
-    denominator a per-level count.  Accuracies must lie in ``levels``."""
-    s = AR.masked_sum(scores_col, mask_col)
-    a = F.col(acc_col).cast("double")
-    bad = ~a.isin(*levels)
-    d = df.select(group_col, order_col, s.alias("__s"),
-                  F.when(bad, F.raise_error(F.lit("accuracy outside the declared levels"))).otherwise(a).alias("__a"))
-    w = Window.partitionBy(group_col).orderBy("__s", order_col).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(group_col)
-    num = F.lit(0.0)
-    den = F.lit(0.0)
-    for v in levels:
-        before = F.coalesce(F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(w), F.lit(0))
-        total = F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(wall)
-        gain = F.when(F.col("__a") > v, F.col("__a") - v).otherwise(F.lit(0.0))
-        num = num + before * gain
-        den = den + total * gain
-    per = d.select(group_col, num.alias("__num"), den.alias("__den"))
-    g = per.groupBy(group_col).agg(F.sum("__num").alias("n"), F.sum("__den").alias("dd"))
-    return g.agg(F.avg(F.when(F.col("dd") == 0, F.lit(0.5)).otherwise(F.col("n") / F.col("dd"))).alias("pairwise_accuracy"))
+    member agrees with a lower-acc one exactly when it comes later in that order.  With few
+    different accuracies in the table (0 and 1, say) the numerator is a running count per
+    accuracy, over a window of the group; with more, each group (the samples of one prompt)
+    is merge-sorted in one task.  A lone response has no pairs and counts in no mean."""
+    d = df.select(F.col(group_col).alias("__g"), F.col(order_col).alias("__o"), AR.masked_sum(scores_col, mask_col).alias("__s"),
+                  F.col(acc_col).cast("double").alias("__a"))
+    levels = [r[0] for r in d.select("__a").distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(levels) <= MAX_LEVELS:
+        w = Window.partitionBy("__g").orderBy("__s", "__o").rowsBetween(Window.unboundedPreceding, -1)
+        wall = Window.partitionBy("__g")
+        num, den = F.lit(0.0), F.lit(0.0)
+        for v in sorted(x for x in levels if x is not None):
+            before = F.coalesce(F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(w), F.lit(0))
+            total = F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(wall)
+            gain = F.when(F.col("__a") > v, F.col("__a") - v).otherwise(F.lit(0.0))
+            num, den = num + before * gain, den + total * gain
+        per = d.select("__g", num.alias("__num"), den.alias("__den"))
+        g = per.groupBy("__g").agg(F.sum("__num").alias("n"), F.sum("__den").alias("dd"), F.count("*").alias("c"))
+    else:
+        ship_package(df.sparkSession)
+        g = d.groupBy("__g").applyInPandas(_pair_sums, "n double, dd double, c bigint")
+    ratio = F.when(F.col("dd") == 0, F.lit(0.5)).otherwise(F.col("n") / F.col("dd"))
+    return g.where("c > 1").agg(F.avg(ratio).alias("pairwise_accuracy"))
+
+
+def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Agreeing and all |acc diff| of a group's pairs, from one walk in score order over sums by
+    accuracy rank (a binary indexed tree)."""
+    a = pdf.sort_values(["__s", "__o"], kind="mergesort")["__a"].to_numpy()
+    ranks = np.unique(a, return_inverse=True)[1] + 1
+    size = int(ranks.max(initial=0)) + 1
+    count, total, agree = np.zeros(size), np.zeros(size), 0.0
+    for x, r in zip(a.tolist(), ranks.tolist()):
+        i = r - 1
+        while i > 0:
+            agree += count[i] * x - total[i]
+            i -= i & -i
+        i = r
+        while i < size:
+            count[i] += 1
+            total[i] += x
+            i += i & -i
+    s = np.sort(a)
+    every = float((s * (2 * np.arange(len(s)) - len(s) + 1)).sum())
+    return pd.DataFrame({"n": [agree], "dd": [every], "c": [len(a)]})
 
 
 def sign_accuracy(df: DataFrame, scores_col: str, acc_col: str, mask_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollframe.operators.batch import shuffle_key
-from rollframe.operators.indexing import with_row_index
+from rollframe.operators.indexing import running_total, with_row_index
 
 
 def filter_zero_variance_groups(df: DataFrame, group_col: str = "uid", metric_col: str = "score") -> DataFrame:
@@ -58,11 +58,13 @@ def prioritized_downsample(df: DataFrame, keep_rows: int, group_col: str = "uid"
     """Groups passing the filters first (ties by group order), then keep the first
     ``keep_rows`` rows of that order.  The reference's argsort is not stable; the group
     order is used as the tie-break."""
-    groups = df.groupBy(group_col).agg(F.first(pass_col).alias("__p"), F.min(group_order_col).alias("__o"))
-    ranked = with_row_index(groups, [~F.col("__p"), F.col("__o"), F.col(group_col)], out_col="__grank")
-    d = df.join(ranked.select(group_col, "__grank"), group_col)
-    d = with_row_index(d, ["__grank", row_order_col], out_col="new_pos")
-    return d.filter(F.col("new_pos") < keep_rows).drop("__grank")
+    groups = df.groupBy(group_col).agg(F.first(pass_col).alias("__p"), F.min(group_order_col).alias("__o"), F.count("*").alias("__n"))
+    # positions come from row counts over the per-group table; rows are ordered in their group only
+    ranked = running_total(groups, [~F.col("__p"), F.col("__o"), F.col(group_col)], F.col("__n"), "__first")
+    ranked = ranked.filter(F.col("__first") < keep_rows).select(group_col, "__first")
+    at = F.row_number().over(Window.partitionBy(group_col).orderBy(row_order_col)) - 1
+    d = df.join(ranked, group_col).withColumn("new_pos", (F.col("__first") + at).cast("bigint"))
+    return d.filter(F.col("new_pos") < keep_rows).drop("__first")
 
 
 def accumulate_to_target(df: DataFrame, target_prompts: int, n_per_prompt: int, round_col: str = "gen_round",

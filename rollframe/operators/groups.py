@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollframe.functions import arrays as AR
+from rollframe.sources.io import materialise
 
 EPS_STD = 1e-6      # GRPO: (s - mean) / (std + 1e-6)
 EPS_MASK = 1e-8     # masked_mean: sum / (mask_sum + 1e-8); whiten: rsqrt(var + 1e-8)
@@ -71,20 +72,21 @@ def adv_rloo(df: DataFrame, group_col: str = "uid", rewards_col: str = "token_le
 def masked_stats(df: DataFrame, values_col: str, mask_col: str, batch_col: str = "batch_id") -> DataFrame:
     """Per batch: ``mask_sum``, ``mean = sum(v*m)/(sum(m)+1e-8)`` and the Bessel-corrected
     masked variance.  A batch whose mask sums to 0 or 1 raises, as in the reference."""
-    per_row = df.select(batch_col,
-                        AR.arr_sum(mask_col).alias("m0"),
-                        AR.masked_sum(values_col, mask_col).alias("m1"),
-                        AR.masked_sq_sum(values_col, mask_col).alias("m2"))
-    s = per_row.groupBy(batch_col).agg(F.sum("m0").alias("S0"), F.sum("m1").alias("S1"),
-                                       F.sum("m2").alias("S2"))
-    mean = F.col("S1") / (F.col("S0") + EPS_MASK)
-    centered = F.col("S2") - 2 * mean * F.col("S1") + mean * mean * F.col("S0")
-    var = centered / (F.col("S0") + EPS_MASK)
-    bessel = F.col("S0") / (F.col("S0") - 1)
-    var = (F.when(F.col("S0") == 0, F.raise_error(F.lit("At least one element in the mask has to be 1.")))
-           .when(F.col("S0") == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
-           .otherwise(var * bessel))
-    return s.select(batch_col, F.col("S0").alias("mask_sum"), mean.alias("mean"), var.cast("double").alias("var"))
+    # squares are summed around each row's own mean, then moved to the batch mean: no cancellation
+    per_row = df.select(F.col(batch_col).alias("b"), AR.arr_sum(mask_col).alias("m0"), AR.masked_sum(values_col, mask_col).alias("m1"),
+                        F.col(values_col).alias("v"), F.col(mask_col).alias("m"))
+    per_row = per_row.withColumn("mu_r", F.when(F.col("m0") != 0, F.col("m1") / F.col("m0")).otherwise(F.lit(0.0)))
+    per_row = per_row.select("b", "m0", "m1", "mu_r", AR.arr_sum(F.zip_with(
+        "v", "m", lambda v, m: (v - F.col("mu_r")) * (v - F.col("mu_r")) * m)).alias("m2"))
+    s = per_row.groupBy("b").agg(F.sum("m0").alias("S0"), F.sum("m1").alias("S1"))
+    s = s.withColumn("mu", F.col("S1") / (F.col("S0") + EPS_MASK)).withColumnRenamed("b", "__b")
+    away = (F.col("mu_r") - F.col("mu")) * (F.col("mu_r") - F.col("mu"))
+    s = per_row.join(s, F.col("b").eqNullSafe(F.col("__b"))).groupBy(F.col("__b").alias(batch_col)).agg(
+        F.first("S0").alias("S0"), F.first("mu").alias("mu"), F.sum(F.col("m2") + F.col("m0") * away).alias("S2"))
+    var = (F.when(F.col("S0") == 0, F.raise_error(F.lit("masked_stats: a batch has an empty mask")))
+           .when(F.col("S0") == 1, F.raise_error(F.lit("masked_stats: a batch has one masked-in position, so no variance")))
+           .otherwise(F.col("S2") / (F.col("S0") + EPS_MASK) * F.col("S0") / (F.col("S0") - 1)))
+    return s.select(batch_col, F.col("S0").alias("mask_sum"), F.col("mu").alias("mean"), var.cast("double").alias("var"))
 
 
 def masked_whiten(df: DataFrame, values_col: str, mask_col: str, batch_col: str = "batch_id",
@@ -120,7 +122,8 @@ def adv_rfpp(df: DataFrame, gamma: float = 1.0, rewards_col: str = "token_level_
     whitened over the batch, then masked."""
     m = F.col(mask_col)
     coef = F.transform(AR.shift_left(m, 0.0), lambda nm: F.lit(float(gamma)) * nm)
-    d = df.withColumn("returns", AR.reverse_scan(F.col(rewards_col), coef))
+    # written once: the whitening statistics and the result both read the scanned arrays
+    d = materialise(df.withColumn("returns", AR.reverse_scan(F.col(rewards_col), coef)), "rfpp")
     d = masked_whiten(d, "returns", mask_col, batch_col, out_col="__w")
     return d.withColumn(out_col, AR.mul_mask("__w", mask_col)).drop("__w")
 
@@ -147,7 +150,7 @@ def adv_gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0,
     delta = F.zip_with(F.zip_with(rewards_col, nv, lambda r, n: r + F.lit(float(gamma)) * n), v,
                        lambda a, b: a - b)
     coef = F.transform(v, lambda _: F.lit(float(gamma * lam)))
-    d = df.withColumn("__A", AR.reverse_scan(delta, coef))
+    d = materialise(df.withColumn("__A", AR.reverse_scan(delta, coef)), "gae")
     d = d.withColumn("returns", F.zip_with("__A", values_col, lambda a, b: a + b))
     d = masked_whiten(d, "__A", mask_col, batch_col)
     return d.withColumnRenamed("__A", out_col)
@@ -170,8 +173,10 @@ def adv_rloo_multi_source(df: DataFrame, sources: list[tuple[str, str, float]],
         st = d.groupBy(group_col).agg(F.sum(mean_k).alias(f"__gs{k}"), F.count(F.lit(1)).alias(f"__n{k}"))
         d = d.join(st, group_col, "left")
         n = F.col(f"__n{k}").cast("double")
-        base = F.col(f"__gs{k}") / (n - 1)
-        term = F.zip_with(rcol, mcol, lambda r, m: F.when(m > 0, r * (n / (n - 1)) - base).otherwise(F.lit(0.0))
+        # a lone response has no others to compare with: its rewards stay as they are
+        base = F.when(n > 1, F.col(f"__gs{k}") / (n - 1)).otherwise(F.lit(0.0))
+        up = F.when(n > 1, n / (n - 1)).otherwise(F.lit(1.0))
+        term = F.zip_with(rcol, mcol, lambda r, m: F.when(m > 0, r * up - base).otherwise(F.lit(0.0))
                           * F.lit(float(coef)))
         d = d.withColumn(f"__t{k}", term)
         total = F.col(f"__t{k}") if total is None else F.zip_with(total, F.col(f"__t{k}"), lambda a, b: a + b)
@@ -190,14 +195,19 @@ ESTIMATORS = {
 def compute_advantage(df: DataFrame, estimator: str, **kw) -> DataFrame:
     """Dispatch to one of the advantage estimators by name."""
     if estimator not in ESTIMATORS:
-        raise NotImplementedError(f"Unknown advantage estimator: {estimator}")
+        raise NotImplementedError(f"no advantage estimator is called {estimator}")
     return ESTIMATORS[estimator](df, **kw)
 
 
 def group_context_arrays(df: DataFrame, group_col: str = "uid", order_col: str = "sample_idx",
-                         cols: tuple[str, ...] = ("score", "acc")) -> DataFrame:
+                         cols: tuple[str, ...] = ("score", "acc"), max_group: int = 4096) -> DataFrame:
     """Attach to each response the arrays of all group members' values, ordered by
-    ``order_col`` (bounded by the number of samples per prompt)."""
+    ``order_col``.  A group is the samples of one prompt; more than ``max_group`` of them
+    fail the job before any list is built."""
+    size = df.groupBy(group_col).agg(F.count("*").alias("__n"))
+    most = size.agg(F.max("__n")).first()[0] or 0
+    if most > max_group:
+        raise ValueError(f"a group has {most} rows; group arrays are for {max_group} at most")
     agg = df.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(order_col, *cols))).alias("__g"))
     def field(c):
         return F.transform("__g", lambda s: s[c]).alias(f"group_{c}")

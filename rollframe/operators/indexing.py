@@ -1,26 +1,22 @@
-"""Global positional index without an unpartitioned window.
+"""Global positions and running totals without an unpartitioned window.
 
-``with_row_index`` numbers rows in the order of an explicit (ascending) key:
+Rows are range-partitioned on an explicit (ascending) key and written once, with the number of
+their partition, to the shared checkpoint folder.  Each partition's total is one row of a small
+table; a window inside the partition does the rest.  What was written is what is numbered, so
+retried tasks or lost executors cannot shift a position, and neither the plan nor the driver
+grows with the number of partitions.
 
-1. a bounded sample of the key (about 20 keys per bucket) is collected once and cut into
-   bucket bounds, which become literals of a binary-search ``CASE`` expression - so the
-   bucket of a row is a pure function of its key, identical on every recomputation;
-2. the exact row count per bucket (one number per bucket, bounded) gives each bucket's
-   offset;
-3. ``row_number()`` over a window *partitioned by bucket* numbers the rows inside it.
-
-Every pass is deterministic, so retried tasks or lost executors cannot shift the numbering.
 Rows tied on the whole key are numbered in arbitrary order, like any sort; pass a unique
 tie-breaker as the last key when positions must be reproducible.
 """
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollframe.sources.io import materialise
+
 
 def _cols(order_by) -> list[Column]:
     if isinstance(order_by, (str, Column)):
@@ -28,63 +24,25 @@ def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def _cmp(a, b) -> int:
-    for x, y in zip(a, b):
-        if x == y:
-            continue
-        if x is None:
-            return -1
-        if y is None:
-            return 1
-        return -1 if x < y else 1
-    return 0
-
-
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Binary search: number of bounds strictly below ``key`` among bounds[lo:hi]."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key <= bounds[mid], _bucket_expr(key, bounds, lo, mid)).otherwise(
-        _bucket_expr(key, bounds, mid + 1, hi))
+def running_total(df: DataFrame, order_by, value: Column, out_col: str) -> DataFrame:
+    """Sum of ``value`` (an integer column) over all rows before this one in ``order_by`` order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"__k{i}" for i in range(len(_cols(order_by)))]
+    keyed = df.withColumns(dict(zip(names, _cols(order_by)))).withColumn("__v", value.cast("bigint"))
+    dealt = materialise(keyed.repartitionByRange(n, *names).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = (Window.unboundedPreceding, -1)
+    # one row per partition
+    totals = dealt.groupBy("__part").agg(F.sum("__v").alias("__t"))
+    starts = totals.select("__part", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(*before)), F.lit(0)).alias("__start"))
+    inside = F.sum("__v").over(Window.partitionBy("__part").orderBy(*names).rowsBetween(*before))
+    return (dealt.withColumn("__in", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "__part")
+            .withColumn(out_col, (F.col("__start") + F.col("__in")).cast("bigint"))
+            .drop("__part", "__start", "__in", "__v", *names))
 
 
-def with_row_index(df: DataFrame, order_by, out_col: str = "row_idx",
-                   num_buckets: int | None = None, sample_per_bucket: int = 20) -> DataFrame:
+def with_row_index(df: DataFrame, order_by, out_col: str = "row_idx") -> DataFrame:
     """0-based position of every row in ascending ``order_by`` order."""
-    spark = df.sparkSession
-    keys = _cols(order_by)
-    names = [f"__k{i}" for i in range(len(keys))]
-    kdf = df.select(*[k.alias(n) for k, n in zip(keys, names)])
-    types = [f.dataType for f in kdf.schema.fields]
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = kdf.count()  # bounded scalar
-    bounds: list[tuple] = []
-    if n > 1 and total > 0:
-        frac = min(1.0, n * sample_per_bucket / total)
-        sample = [tuple(r) for r in kdf.sample(False, frac, seed=17).collect()]  # ~n*20 keys
-        sample.sort(key=cmp_to_key(_cmp))
-        picks = [sample[(i * len(sample)) // n] for i in range(1, n)] if sample else []
-        for p in picks:
-            if not bounds or _cmp(bounds[-1], p) < 0:
-                bounds.append(p)
-    key = F.struct(*[k.alias(nm) for k, nm in zip(keys, names)])
-    lit_bounds = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, t, nm in zip(b, types, names)]) for b in bounds]
-    bucket = _bucket_expr(key, lit_bounds, 0, len(lit_bounds))
-    d = df.withColumn("__bucket", bucket)
-    counts = {r[0]: r[1] for r in d.groupBy("__bucket").count().collect()}  # one row per bucket
-    offsets, acc = {}, 0
-    for b in sorted(counts):
-        offsets[b] = acc
-        acc += counts[b]
-    if offsets:
-        off = F.try_element_at(F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))]),
-                           F.col("__bucket"))
-    else:
-        off = F.lit(0)
-    w = Window.partitionBy("__bucket").orderBy(*keys)
-    return (d.withColumn(out_col, (off + F.row_number().over(w) - 1).cast("bigint"))
-            .drop("__bucket"))
+    return running_total(df, order_by, F.lit(1), out_col)
 
 
 def row_count(df: DataFrame) -> int:

@@ -19,7 +19,7 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def to_prompt_schema(df: DataFrame, question, data_source: str, ability: str, ground_truth,
+def to_prompt_schema(df: DataFrame, question, data_source: str | Column, ability: str, ground_truth,
                      split: str, index_col: str, style: str = "rule", suffix: str = "",
                      answer=None) -> DataFrame:
     """Raw rows -> canonical record (data_source, prompt[{role, content}], ability,
@@ -27,7 +27,7 @@ def to_prompt_schema(df: DataFrame, question, data_source: str, ability: str, gr
     q = _c(question)
     content = F.concat(q, F.lit(suffix)) if suffix else q
     return df.select(
-        F.lit(data_source).alias("data_source"),
+        (data_source if isinstance(data_source, Column) else F.lit(data_source)).alias("data_source"),
         F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("prompt"),
         F.lit(ability).alias("ability"),
         F.struct(F.lit(style).alias("style"), _c(ground_truth).cast("string").alias("ground_truth")).alias("reward_model"),
@@ -87,13 +87,15 @@ def filter_date_window(df: DataFrame, col: str, lo: str, hi: str) -> DataFrame:
 
 def shuffled_choices(df: DataFrame, id_col: str, gold_col: str, distractors_col: str, seed: int = 0) -> DataFrame:
     """Gold + distractors ordered by ``md5(seed|id|choice)``; ``answer`` = letter of the
-    gold position."""
+    gold position (a row with more than 26 choices fails)."""
     allc = F.concat(F.array(F.col(gold_col)), F.col(distractors_col))
     keyed = F.transform(allc, lambda ch: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), ch)).alias("k"),
                                                  ch.alias("c")))
     ordered = F.transform(F.array_sort(keyed), lambda s: s["c"])
     pos = F.array_position(ordered, F.col(gold_col))
-    return df.withColumns({"choices": ordered, "answer": F.substring(F.lit("ABCDEFGH"), pos.cast("int"), 1)})
+    letter = F.when(F.size(ordered) > 26, F.raise_error(F.lit("shuffled_choices: more choices than letters"))).otherwise(
+        F.char(F.lit(64) + pos))
+    return df.withColumns({"choices": ordered, "answer": letter})
 
 
 def union_sources(dfs: dict[str, DataFrame], tasks: list[str]) -> DataFrame:

@@ -69,7 +69,7 @@ RESPONSES_SQL = r"""responses AS (
         FROM events))"""
 
 TOKENS_SQL = """tokens AS (
-  SELECT vec_id AS response_id, CAST(label AS BIGINT) AS uid, CAST(label // 5 AS BIGINT) AS batch_id,
+  SELECT vec_id AS response_id, CAST(vec_id // 40 * 100 + label AS BIGINT) AS uid, CAST(vec_id // 128 AS BIGINT) AS batch_id,
          list_transform(range(64), lambda i: CASE WHEN i < 16 + vec_id % 49 THEN 1 ELSE 0 END) AS response_mask,
          list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS log_probs,
          list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 0.95) AS old_log_probs,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollframe.operators import balance as BL
+from rollframe.operators.indexing import with_row_index
 from rollframe.plans import tables as T
 from rollframe.plans.catalog import register, r6
 
@@ -16,16 +17,29 @@ _SNAKE = """WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY -n_ch
 @register("balance_partitions", _SNAKE + "SELECT doc_id, part FROM p")
 def q_balance_partitions(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return BL.balance_partitions(d, 8, "n_chars", "doc_id").select("doc_id", "part")
+    return BL.balance_partitions(d, 8, "n_chars", "doc_id", equal_size=False).select("doc_id", "part")
 
 
 @register("balance_report", _SNAKE + """
 , s AS (SELECT part, sum(n_chars) AS s FROM p GROUP BY part)
-SELECT min(s) AS min_sum, max(s) AS max_sum, max(s) - min(s) AS spread, round(avg(s), 6) AS mean_sum FROM s""")
+, b AS (SELECT n_chars, least((row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil((SELECT count(*) FROM documents) / 8.0) AS BIGINT), 7) AS part FROM documents)
+, t AS (SELECT part, sum(n_chars) AS s FROM b GROUP BY part)
+SELECT 'balanced' AS side, min(s) AS min_sum, max(s) AS max_sum, max(s) - min(s) AS spread, round(avg(s), 6) AS mean_sum FROM s
+UNION ALL SELECT 'contiguous', min(s), max(s), max(s) - min(s), round(avg(s), 6) FROM t""")
 def q_balance_report(spark, sf_dir):
-    d = BL.balance_partitions(T.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 8, "n_chars", "doc_id")
-    r = BL.balance_report(d, "part", "n_chars")
-    return r.select("min_sum", "max_sum", "spread", r6("mean_sum").alias("mean_sum"))
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    parts = BL.balance_partitions(d, 8, "n_chars", "doc_id", equal_size=False)
+    chunks = BL.contiguous_partitions(d, 8, "doc_id")
+    sides = [BL.balance_report(p, "part", "n_chars").withColumn("side", F.lit(s)) for p, s in ((parts, "balanced"), (chunks, "contiguous"))]
+    r = sides[0].unionByName(sides[1])
+    return r.select("side", "min_sum", "max_sum", "spread", r6("mean_sum").alias("mean_sum"))
+
+
+@register("restore_order", """SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents""")
+def q_restore_order(spark, sf_dir):
+    d = with_row_index(T.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", out_col="pos")
+    parts = BL.balance_partitions(d, 8, "n_chars", "doc_id", equal_size=False)
+    return BL.restore_order(parts, "pos").select("doc_id", "n_chars", "pos")
 
 
 @register("token_budget_batches", """WITH d AS (SELECT doc_id, n_chars, lang AS batch FROM documents)
@@ -37,8 +51,21 @@ def q_token_budget_batches(spark, sf_dir):
     return BL.token_budget_batches(d, 50000, "n_chars", "doc_id", "batch").select("doc_id", "batch", "micro_batch")
 
 
-@register("balance_in_batches")
+@register("balance_in_batches", """WITH RECURSIVE d AS (
+  SELECT doc_id, n_chars, doc_id // 256 AS batch, row_number() OVER (PARTITION BY doc_id // 256 ORDER BY n_chars DESC, doc_id) AS i,
+    CAST(ceil(count(*) OVER (PARTITION BY doc_id // 256) / 4.0) AS BIGINT) AS cap FROM documents),
+go AS (
+  SELECT batch, 0::BIGINT AS i, NULL::BIGINT AS doc_id, [0::BIGINT, 0, 0, 0] AS sums, [0::BIGINT, 0, 0, 0] AS ns, NULL::INTEGER AS part
+  FROM (SELECT DISTINCT batch FROM d)
+  UNION ALL
+  SELECT batch, i, doc_id, list_transform(sums, lambda s, j: CASE WHEN j = p THEN s + n_chars ELSE s END),
+    list_transform(ns, lambda s, j: CASE WHEN j = p THEN s + 1 ELSE s END), p - 1
+  FROM (
+    SELECT go.batch, d.i, d.doc_id, d.n_chars, sums, ns,
+      CAST(list_position(list_transform(sums, lambda s, j: CASE WHEN ns[j] < cap THEN s ELSE 9000000000000000000 END),
+        list_min(list_transform(sums, lambda s, j: CASE WHEN ns[j] < cap THEN s ELSE 9000000000000000000 END))) AS INTEGER) AS p
+    FROM go JOIN d ON go.batch = d.batch AND d.i = go.i + 1))
+SELECT doc_id, batch, part FROM go WHERE i > 0""")
 def q_balance_in_batches(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("batch"))
-    b = BL.balance_in_batches(d, 4, "n_chars", "doc_id", "batch")
-    return BL.balance_report(b, "part", "n_chars", ["batch"])
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 256).cast("bigint").alias("batch"))
+    return BL.balance_in_batches(d, 4, "n_chars", "doc_id", "batch").select("doc_id", "batch", "part")

@@ -22,29 +22,28 @@ def q_with_row_index(spark, sf_dir):
     return _cust(spark, sf_dir).select("c_custkey", "row_idx")
 
 
-@register("select_columns", _CUST + "SELECT row_idx, c_name, c_acctbal FROM cust")
+@register("select_columns", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def q_select_columns(spark, sf_dir):
-    return B.select_columns(_cust(spark, sf_dir), ["c_name", "c_acctbal"], key="row_idx")
+    return B.select_columns(T.table(spark, sf_dir, "customer"), ["c_name", "c_acctbal"], key="c_custkey")
 
 
-@register("pop_columns", _CUST + "SELECT row_idx, c_mktsegment FROM cust")
+@register("pop_columns", """SELECT c_custkey, c_mktsegment, c_name, c_acctbal FROM customer""")
 def q_pop_columns(spark, sf_dir):
-    popped, rest = B.pop_columns(_cust(spark, sf_dir), ["c_mktsegment"])
-    return popped
+    c = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    popped, rest = B.pop_columns(c, ["c_mktsegment"], key="c_custkey")
+    return popped.join(rest, "c_custkey")
 
 
-@register("rename_columns", _CUST + "SELECT row_idx, c_name AS name, c_acctbal AS balance FROM cust")
+@register("rename_columns", "SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer")
 def q_rename_columns(spark, sf_dir):
-    d = B.rename_columns(_cust(spark, sf_dir), ["c_name", "c_acctbal"], ["name", "balance"])
-    return d.select("row_idx", "name", "balance")
+    d = B.rename_columns(T.table(spark, sf_dir, "customer"), ["c_name", "c_acctbal"], ["name", "balance"])
+    return d.select("c_custkey", "name", "balance")
 
 
-@register("union_columns", _CUST + "SELECT row_idx, c_custkey, c_name, c_acctbal FROM cust")
+@register("union_columns", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def q_union_columns(spark, sf_dir):
-    c = _cust(spark, sf_dir)
-    a = c.select("row_idx", "c_custkey", "c_name")
-    b = c.select("row_idx", "c_custkey", "c_acctbal")
-    return B.union_columns(a, b)
+    c = T.table(spark, sf_dir, "customer")
+    return B.union_columns(c.select("c_custkey", "c_name", "c_nationkey"), c.select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey")
 
 
 @register("concat_rows", """SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -56,9 +55,10 @@ def q_concat_rows(spark, sf_dir):
 
 
 @register("take_rows", _CUST + """SELECT o.o_orderkey AS take_pos, cust.row_idx, cust.c_custkey
-FROM orders o JOIN cust ON cust.row_idx = o.o_custkey % 1000""")
+FROM orders o JOIN cust ON cust.row_idx = o.o_custkey % (SELECT count(*) FROM customer)""")
 def q_take_rows(spark, sf_dir):
-    idx = T.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 1000).alias("take_idx"),
+    n = T.table(spark, sf_dir, "customer").count()
+    idx = T.table(spark, sf_dir, "orders").select((F.col("o_custkey") % n).alias("take_idx"),
                                                   F.col("o_orderkey").alias("take_pos"))
     return B.take_rows(_cust(spark, sf_dir), idx).select("take_pos", "row_idx", "c_custkey")
 
@@ -86,9 +86,11 @@ def q_repeat_rows(spark, sf_dir):
     return a.unionByName(b)
 
 
-@register("chunk_rows", _CUST + """SELECT row_idx, c_custkey, CAST(row_idx // ((SELECT count(*) FROM customer) // 3) AS BIGINT) AS chunk_id FROM cust""")
+@register("chunk_rows", _CUST + """SELECT row_idx, c_custkey, CAST(row_idx // ((SELECT count(*) + (3 - count(*) % 3) % 3 FROM customer) // 3) AS BIGINT) AS chunk_id FROM cust""")
 def q_chunk_rows(spark, sf_dir):
-    return B.chunk_rows(_cust(spark, sf_dir), 3).select("row_idx", "c_custkey", "chunk_id")
+    # padded first, so that the chunk count divides any table
+    padded, _ = B.pad_to_divisor(_cust(spark, sf_dir), 3)
+    return B.unpad(B.chunk_rows(padded, 3)).select("row_idx", "c_custkey", "chunk_id")
 
 
 @register("pad_to_divisor", _CUST + """, n AS (SELECT count(*) AS n FROM customer)
@@ -136,10 +138,14 @@ def q_columns_to_rows(spark, sf_dir):
     return B.columns_to_rows(cols, ["o_orderkey", "o_totalprice"], keep=["o_custkey"])
 
 
-@register("minibatch_ids", """SELECT c_custkey, CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '0', '0', CAST(c_custkey AS VARCHAR))), c_custkey) - 1) // 100 AS BIGINT) AS minibatch
+@register("minibatch_ids", """SELECT c_custkey, CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '0', '0', CAST(c_custkey AS VARCHAR))), c_custkey) - 1) // (SELECT count(*) // (SELECT max(k) FROM range(1, 11) t(k) WHERE (SELECT count(*) FROM customer) % k = 0) FROM customer) AS BIGINT) AS minibatch
 FROM customer""")
 def q_minibatch_ids(spark, sf_dir):
-    d = B.minibatch_ids(T.table(spark, sf_dir, "customer"), 100, "c_custkey", seed=0, epoch=0)
+    c = T.table(spark, sf_dir, "customer")
+    # the batch size must divide the rows: up to 10 batches, as many as do
+    n = c.count()
+    size = n // max(k for k in range(1, 11) if n % k == 0)
+    d = B.minibatch_ids(c, size, "c_custkey", seed=0, epoch=0, n=n)
     return d.select("c_custkey", "minibatch")
 
 

@@ -63,11 +63,8 @@ SELECT batch_id,
 FROM tokens GROUP BY batch_id""")
 def q_loss_aggregate(spark, sf_dir):
     t = T.tokens(spark, sf_dir)
-    out = None
-    for mode in ["token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm"]:
-        a = D.loss_aggregate(t, "log_probs", "response_mask", mode, ["batch_id"]).withColumnRenamed(
-            "loss", mode.replace("-", "_"))
-        out = a if out is None else out.join(a, "batch_id")
+    modes = ["token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm"]
+    out = D.loss_aggregates(t, "log_probs", "response_mask", modes, ["batch_id"])
     return out.select("batch_id", *[r6(c).alias(c) for c in out.columns if c != "batch_id"])
 
 

@@ -47,7 +47,7 @@ SELECT response_id, uid, new_pos FROM (
 def q_prioritized_downsample(spark, sf_dir):
     r = T.rollouts(spark, sf_dir)
     flagged = FL.accuracy_band_filter(r, 0.3, 0.6).withColumn("group_pos", F.col("uid"))
-    d = FL.prioritized_downsample(flagged, r.count() // 2)
+    d = FL.prioritized_downsample(flagged, T.table(spark, sf_dir, "events").count() // 2)
     return d.select("response_id", "uid", "new_pos")
 
 

@@ -40,7 +40,7 @@ def q_sequence_scores(spark, sf_dir):
 
 @register("adv_grpo", with_(TOKENS_SQL) + _STATS + """
 SELECT response_id, list_transform(response_mask, lambda m: round(
-   (s - CASE WHEN n = 1 THEN 0.0 ELSE mean END) / (CASE WHEN n = 1 THEN 1.0 ELSE std END + 1e-6) * m, 6)) AS advantages
+   (s - CASE WHEN n = 1 THEN 0.0 ELSE mean END) / (CASE WHEN n = 1 THEN 1.0 ELSE std END + 1e-6) * m, 6) + 0.0) AS advantages
 FROM j""")
 def q_adv_grpo(spark, sf_dir):
     d = G.adv_grpo(T.tokens(spark, sf_dir))
@@ -49,7 +49,7 @@ def q_adv_grpo(spark, sf_dir):
 
 @register("adv_grpo_centered", with_(TOKENS_SQL) + _STATS + """
 SELECT response_id, list_transform(response_mask, lambda m: round(
-   (s - CASE WHEN n = 1 THEN 0.0 ELSE mean END) * m, 6)) AS advantages
+   (s - CASE WHEN n = 1 THEN 0.0 ELSE mean END) * m, 6) + 0.0) AS advantages
 FROM j""")
 def q_adv_grpo_centered(spark, sf_dir):
     d = G.adv_grpo_centered(T.tokens(spark, sf_dir))
@@ -58,7 +58,7 @@ def q_adv_grpo_centered(spark, sf_dir):
 
 @register("adv_rloo", with_(TOKENS_SQL) + _STATS + """
 SELECT response_id, list_transform(response_mask, lambda m: round(
-   CASE WHEN n > 1 THEN s * n / (n - 1) - mean * n / (n - 1) ELSE s END * m, 6)) AS advantages
+   CASE WHEN n > 1 THEN s * n / (n - 1) - mean * n / (n - 1) ELSE s END * m, 6) + 0.0) AS advantages
 FROM j""")
 def q_adv_rloo(spark, sf_dir):
     d = G.adv_rloo(T.tokens(spark, sf_dir))
@@ -99,7 +99,7 @@ def q_adv_rfpp_baseline(spark, sf_dir):
                     "list_transform(response_mask, lambda m, i: 0.99 * coalesce(response_mask[i + 1], 0))") + """ AS ret
         FROM tokens)""" + _whiten_sql("b", "ret") + """
 SELECT b.response_id, list_transform(list_zip(b.ret, b.response_mask),
-          lambda e: round((e[1] - mv.mu) / sqrt(mv.var + 1e-8) * e[2], 6)) AS advantages,
+          lambda e: round((e[1] - mv.mu) / sqrt(mv.var + 1e-8) * e[2], 6) + 0.0) AS advantages,
        list_transform(b.ret, lambda v: round(v, 6)) AS returns
 FROM b JOIN mv USING (batch_id)""")
 def q_adv_rfpp(spark, sf_dir):

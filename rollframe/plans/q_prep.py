@@ -72,13 +72,14 @@ def q_filter_date_window(spark, sf_dir):
     return P.filter_date_window(e, "iso", "2024-01-10T00:00:00", "2024-01-20T00:00:00").select("event_id")
 
 
-@register("shuffled_choices", """, x AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
-SELECT item_id, list_transform(list_sort(list_transform(list_concat([w[1]], w[2:4]), lambda c: struct_pack(k := md5(concat_ws('|', '0', CAST(item_id AS VARCHAR), c)), c := c))), lambda s: s.c) AS choices
-FROM x""".lstrip(", ").replace("x AS (", "WITH x AS (", 1))
+@register("shuffled_choices", """, x AS (SELECT item_id, string_split(text, '. ') AS w FROM benchmark)
+, y AS (SELECT item_id, w, list_transform(list_sort(list_transform(w, lambda c: struct_pack(k := md5(concat_ws('|', '0', CAST(item_id AS VARCHAR), c)), c := c))), lambda s: s.c) AS choices
+FROM x)
+SELECT item_id, choices, chr(CAST(64 + list_position(choices, w[1]) AS INTEGER)) AS answer FROM y""".lstrip(", ").replace("x AS (", "WITH x AS (", 1))
 def q_shuffled_choices(spark, sf_dir):
-    b = T.table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " ", -1))
-    b = b.withColumns({"gold": F.try_element_at("w", F.lit(1)), "dis": F.slice("w", 2, 3)})
-    return P.shuffled_choices(b, "item_id", "gold", "dis").select("item_id", "choices")
+    b = T.table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", r"\. ", -1))
+    b = b.withColumns({"gold": F.try_element_at("w", F.lit(1)), "dis": F.slice("w", F.lit(2), F.size("w") - 1)})
+    return P.shuffled_choices(b, "item_id", "gold", "dis").select("item_id", "choices", "answer")
 
 
 @register("union_sources", """SELECT doc_id AS id, text, NULL AS quality FROM documents

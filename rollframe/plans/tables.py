@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollframe.session import ship_package
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -26,6 +28,7 @@ EVENT_SOURCE = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -89,7 +92,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tokens``: 64-position arrays from ``embeddings``.
 
-    response_id=vec_id, uid=label (group), batch_id=label div 5; log_probs = embedding,
+    response_id=vec_id, uid = label within a run of 40 ids (groups of a few, some of one),
+    batch_id = run of 128 ids; log_probs = embedding,
     old = 0.95x, ref = 0.9x, values = 0.5x, rewards = x; response mask = first
     16 + vec_id % 49 positions."""
     emb = table(spark, sf_dir, "embeddings")
@@ -97,8 +101,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_valid = F.lit(16) + F.col("vec_id") % 49
     return emb.select(
         F.col("vec_id").alias("response_id"),
-        F.col("label").cast("bigint").alias("uid"),
-        (F.col("label") / 5).cast("bigint").alias("batch_id"),
+        (F.floor(F.col("vec_id") / 40) * 100 + F.col("label")).cast("bigint").alias("uid"),
+        F.floor(F.col("vec_id") / 128).cast("bigint").alias("batch_id"),
         F.transform(F.sequence(F.lit(0), F.lit(63)),
                     lambda i: F.when(i < n_valid, 1).otherwise(0)).alias("response_mask"),
         x.alias("log_probs"),
