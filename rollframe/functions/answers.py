@@ -123,6 +123,7 @@ def math_normalize(s) -> Column:
     Returns NULL where the reference normaliser raises (its caller then falls back to raw
     string equality)."""
     x = _c(s)
+    # Spellings that are replaced
     for a, b in [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"),
                  ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""),
                  ("\\$", "")]:
@@ -217,6 +218,7 @@ def minerva_normalize(s) -> Column:
         x = _repl(x, a, b)
     for a in MINERVA_REMOVED_EXPRESSIONS:
         x = _repl(x, a, "")
+    # Patterns that are rewritten
     x = F.regexp_replace(x, r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$")
     x = F.regexp_replace(x, r"(\\text\{)(.*?)(\})", "$2")
     x = F.regexp_replace(x, r"(\\textbf\{)(.*?)(\})", "$2")
@@ -245,14 +247,147 @@ def score_minerva(text, ground_truth) -> Column:
                     pred.alias("pred"))
 
 
+def strict_box_answer(text) -> Column:
+    """What the last ``\\boxed{`` of a text holds, if its braces close."""
+    return let(_c(text), lambda t: F.when(F.instr(t, "\\boxed{") > 0, let(
+        F.concat(F.lit("{"), F.substring_index(t, "\\boxed{", -1)),
+        lambda tail: let(_closing_brace_index(tail), lambda end: F.when(end > 0, F.substring(tail, F.lit(2), end - 1))))))
+
+
 def score_strict_box(text, ground_truth) -> Column:
-    """Last 100 characters, last ``\\boxed{}`` content compared exactly; +-1."""
-    ans = boxed_answer(F.substring(_c(text), -100, 100))
+    """Last 100 characters, the last ``\\boxed{...}`` in them compared exactly; +-1."""
+    ans = strict_box_answer(F.substring(_c(text), -100, 100))
     ok = F.coalesce(ans == _c(ground_truth), F.lit(False))
     return F.struct(F.when(ok, 1.0).otherwise(-1.0).alias("score"), ok.alias("acc"),
                     ans.alias("pred"))
 
 
+# ---------------------------------------------------------------------------
+# Free-text final answers: extraction, unit-free normal form, tuples
+# ---------------------------------------------------------------------------
+_TRIM = r"^\s+|\s+$"
+# Markers, in the order in which they are tried
+AFTER_MARKERS = ["answer:", "answer is", "answers are"]
+BEFORE_MARKERS = ["is answer", "is the answer", "are answers", "are the answers"]
+LAST_MARKERS = ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]
+# Spellings that are replaced, units that are dropped
+TEXT_REPLACEMENTS = [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                     ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
+UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year",
+         "foot", "feet", "inch", "yard", "liter"]
+
+
+def extract_final_answer(text) -> Column:
+    """struct(matched, answer): what a free text gives as its answer.
+
+    The text is cut after the last of each leading marker, before the last of each trailing
+    one, to the last box, before the last ``. ``, and after the last of the short words.  It
+    is matched if any marker or box was there and what is left has a digit."""
+    def step(state, cut, seen):
+        return let(state, lambda s: F.struct((s["m"] | seen(s["t"])).alias("m"), F.when(seen(s["t"]), F.regexp_replace(
+            cut(s["t"]), _TRIM, "")).otherwise(s["t"]).alias("t")))
+
+    def after(mark):
+        at = f"(?is)^.*{mark}"
+        return lambda t: F.regexp_replace(t, at, ""), lambda t: t.rlike(at)
+
+    def before(mark):
+        at = f"(?is)^(.*){mark}"
+        return lambda t: F.regexp_extract(t, at, 1), lambda t: t.rlike(at)
+
+    state = F.struct(F.lit(False).alias("m"), _c(text).alias("t"))
+    for cut, seen in [after(m) for m in AFTER_MARKERS] + [before(m) for m in BEFORE_MARKERS]:
+        state = step(state, cut, seen)
+    state = let(state, lambda s: let(last_box(s["t"]), lambda b: F.struct(
+        (s["m"] | (F.coalesce(b, F.lit("")) != "")).alias("m"), F.when(b != "", b).otherwise(s["t"]).alias("t"))))
+    state = let(state, lambda s: F.struct(s["m"].alias("m"), F.when(s["t"].contains(". "), F.regexp_replace(
+        F.regexp_extract(s["t"], r"(?s)^(.*)\. ", 1), _TRIM, "")).otherwise(s["t"]).alias("t")))
+    for mark in LAST_MARKERS:
+        state = step(state, *after(mark))
+    return let(state, lambda s: F.struct((s["m"] & s["t"].rlike(r"\d")).alias("matched"), s["t"].alias("answer")))
+
+
+def last_box(text) -> Column:
+    """Trimmed content of the braces after the last ``\\boxed`` (else ``\\fbox``), if they close."""
+    def body(t):
+        tail = F.when(F.instr(t, "\\boxed") > 0, F.substring_index(t, "\\boxed", -1)).when(
+            F.instr(t, "\\fbox") > 0, F.substring_index(t, "\\fbox", -1))
+        opened = F.when(F.instr(tail, "{") > 0, F.regexp_extract(tail, r"(?s)(\{.*)", 1))
+        return let(opened, lambda o: let(_closing_brace_index(o), lambda end: F.when(
+            end >= 0, F.regexp_replace(F.substring(o, F.lit(2), end - 1), _TRIM, ""))))
+    return let(_c(text), body)
+
+
+def _whole_number(x: Column) -> Column:
+    """A number that is whole, as its integer spelling; null else."""
+    v = x.try_cast("double")
+    return F.when((F.abs(v) < 1e15) & (F.abs(v - F.round(v)) <= 1e-7), F.round(v).cast("bigint").cast("string"))
+
+
+def plain_latex(x: Column) -> Column:
+    """Fractions, roots and a few symbols as plain text; other commands stay."""
+    x = F.regexp_replace(x, r"\\[td]frac", r"\\frac")
+    x = F.regexp_replace(x, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
+    x = F.regexp_replace(x, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
+    for a, b in [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]:
+        x = _repl(x, a, b)
+    return F.regexp_replace(x, _TRIM, "")
+
+
+def normalize_units_text(text) -> Column:
+    """A free-text answer without text braces, currency, percent signs and units, large-number
+    words as powers, whole numbers in one spelling, in lower case."""
+    x = let(_c(text), lambda t: F.when(t.rlike(r"^\\text\{.+?\}$"), F.regexp_extract(t, r"^\\text\{(.+?)\}$", 1)).otherwise(t))
+    for a, b in TEXT_REPLACEMENTS:
+        x = _repl(x, a, b)
+    for unit in UNITS:
+        x = F.regexp_replace(x, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
+    x = F.regexp_replace(x, r"\^ *\\circ", "")
+    x = let(x, lambda t: F.when(t.rlike(r"(?s)^\{.*\}$"), F.regexp_extract(
+        t, r"(?s)^\{(.*)\}$", 1)).otherwise(t))
+    x = F.regexp_replace(x, r",\\! *", "")
+    x = let(x, lambda t: F.coalesce(_whole_number(t), F.when(t.contains("\\"), plain_latex(t)).otherwise(t)))
+    x = F.regexp_replace(x, "- *", "-")
+    x = F.regexp_replace(x, "([0-9]) +([0-9])", "$1+$2")
+    return let(F.lower(x), lambda t: F.coalesce(_whole_number(without_commas(t)), t))
+
+
+def without_commas(x: Column) -> Column:
+    """Without the commas of well-formed large numbers; those between tuple elements stay."""
+    return F.regexp_replace(x, r"(\d),(?=\d\d\d($|\D))", "$1")
+
+
+def tuple_elements(x: Column) -> Column:
+    """Elements of a tuple or interval (one pair of brackets around them), else the text itself."""
+    return let(without_commas(x), lambda t: F.when(
+        t.rlike(r"(?s)^[\(\[][^\(\)\[\]]+[\)\]]$"), F.transform(
+            F.split(F.regexp_extract(t, r"(?s)^.(.*).$", 1), ","), lambda e: F.regexp_replace(e, _TRIM, ""))).otherwise(F.array(t)))
+
+
+def score_tuple_answers(given, truth) -> Column:
+    """True if two answers are the same: in the LaTeX or the unit-free normal form, or element
+    by element in brackets of one kind.  Elements are the same as texts or, unless one is a
+    fraction or just one is whole, as numbers (symbolic algebra is not attempted)."""
+    frac = lambda e: e.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
+
+    def same(p):
+        a, b = p["a"], p["b"]
+        x, y = a.try_cast("double"), b.try_cast("double")
+        whole = _whole_number(a).isNull() == _whole_number(b).isNull()
+        return F.coalesce((a == b) | (~(frac(a) & frac(b)) & whole & (x == y)), F.lit(False))
+
+    def ends(g, h):
+        return (F.substring(g, 1, 1) == F.substring(h, 1, 1)) & (F.substring(g, -1, 1) == F.substring(h, -1, 1))
+
+    def normal(g, h):
+        return (g == h) | ((F.length(g) > 0) & let(tuple_elements(g), lambda u: let(tuple_elements(h), lambda v: (
+            (F.size(u) == F.size(v)) & ((F.size(v) == 1) | ends(g, h)) & F.forall(
+                F.zip_with(u, v, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), same)))))
+
+    return let(_c(given), lambda a: let(_c(truth), lambda b: F.coalesce(math_equiv(a, b), F.lit(False)) | F.coalesce(
+        let(normalize_units_text(a), lambda g: let(normalize_units_text(b), lambda h: normal(g, h))), F.lit(False))))
+
+
 # Interval spellings -> bracket notation (first match wins)
 INTERVAL_FORMS = [
     (r"^Interval\((.*)\)$", "[", "]"),

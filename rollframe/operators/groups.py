@@ -199,6 +199,36 @@ def compute_advantage(df: DataFrame, estimator: str, **kw) -> DataFrame:
     return ESTIMATORS[estimator](df, **kw)
 
 
+def token_process_reward(df: DataFrame, beta: float, lam: float = 0.0, granularity: str = "token",
+                         logp_col: str = "log_probs", ref_col: str = "ref_log_probs", mask_col: str = "response_mask",
+                         acc_col: str | None = None, out_col: str = "token_level_scores") -> DataFrame:
+    """Process rewards from a reward model's log ratios ``q = logp - ref`` within the response
+    length.
+
+    ``lam`` 0: r = beta q.  Else r_t = beta q_t + lam r_{t+1}, where with ``acc_col`` the last
+    token's term is first set so that all terms add up to the accuracy.  ``token`` keeps r of
+    all tokens but the last; ``whole`` puts the sum of r at the last token."""
+    n = AR.arr_isum(mask_col)
+    q = F.zip_with(logp_col, ref_col, lambda a, b: (a - b) * F.lit(float(beta)))
+    d = df.withColumn("__n", n).withColumn("__q", F.transform(q, lambda v, i: F.when(i < F.col("__n"), v).otherwise(F.lit(0.0))))
+    if lam == 0.0:
+        d = d.withColumn("__r", F.col("__q"))
+    else:
+        if acc_col is not None:
+            rest = AR.arr_sum(F.slice("__q", F.lit(1), F.greatest(F.col("__n") - 1, F.lit(0)).cast("int")))
+            d = d.withColumn("__last", F.col(acc_col).cast("double") - rest).withColumn("__q", F.transform(
+                "__q", lambda v, i: F.when(i == F.col("__n") - 1, F.col("__last")).otherwise(v))).drop("__last")
+        d = d.withColumn("__r", AR.reverse_scan(F.col("__q"), F.transform("__q", lambda _: F.lit(float(lam)))))
+    if granularity == "token":
+        out = F.transform("__r", lambda v, i: F.when(i < F.col("__n") - 1, v).otherwise(F.lit(0.0)))
+    elif granularity == "whole":
+        d = d.withColumn("__sum", AR.arr_sum(F.slice("__r", F.lit(1), F.greatest(F.col("__n"), F.lit(0)).cast("int"))))
+        out = F.transform("__r", lambda _, i: F.when(i == F.col("__n") - 1, F.col("__sum")).otherwise(F.lit(0.0)))
+    else:
+        raise ValueError(f"no granularity is called {granularity}")
+    return d.withColumn(out_col, out).drop("__n", "__q", "__r", "__sum")
+
+
 def group_context_arrays(df: DataFrame, group_col: str = "uid", order_col: str = "sample_idx",
                          cols: tuple[str, ...] = ("score", "acc"), max_group: int = 4096) -> DataFrame:
     """Attach to each response the arrays of all group members' values, ordered by

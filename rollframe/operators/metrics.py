@@ -146,10 +146,11 @@ def seeded_outcome_summary(df: DataFrame, pos_col: str, class_col: str = "reward
 
 def batch_data_metrics(df: DataFrame, score_col: str = "seq_score", reward_col: str = "seq_reward",
                        adv_col: str = "advantages", ret_col: str = "returns", val_col: str | None = "values",
-                       mask_col: str = "response_mask", max_response_length: int | None = None) -> DataFrame:
+                       mask_col: str = "response_mask", max_response_length: int | None = None,
+                       prompt_mask_col: str | None = None, max_prompt_length: int | None = None) -> DataFrame:
     """One-row batch report: score/reward mean-max-min, masked advantage/return/value
     mean-max-min, ``vf_explained_var`` = 1 - var(ret - val)/(var(ret) + 1e-5) over valid
-    tokens (sample variance), response-length mean-max-min and clip ratio.  Token
+    tokens (sample variance), response- and prompt-length mean-max-min and clip ratio.  Token
     statistics come from per-row aggregates combined globally (no explode)."""
     from rollframe.functions import arrays as AR
     m = F.col(mask_col)
@@ -161,6 +162,11 @@ def batch_data_metrics(df: DataFrame, score_col: str = "seq_score", reward_col:
             F.min(rl).alias("response_length_min")]
     if max_response_length is not None:
         aggs.append(F.avg(F.when(rl == max_response_length, 1.0).otherwise(0.0)).alias("response_length_clip_ratio"))
+    if prompt_mask_col is not None:
+        pl = AR.arr_isum(prompt_mask_col)
+        aggs += [F.avg(pl).alias("prompt_length_mean"), F.max(pl).alias("prompt_length_max"), F.min(pl).alias("prompt_length_min")]
+        if max_prompt_length is not None:
+            aggs.append(F.avg(F.when(pl == max_prompt_length, 1.0).otherwise(0.0)).alias("prompt_length_clip_ratio"))
     cols = {"adv": adv_col, "ret": ret_col}
     if val_col:
         cols["val"] = val_col
@@ -171,12 +177,18 @@ def batch_data_metrics(df: DataFrame, score_col: str = "seq_score", reward_col:
                  F.max(F.array_max(f"__{k}")).alias(f"{k}_max"), F.min(F.array_min(f"__{k}")).alias(f"{k}_min")]
     if val_col:
         d = d.withColumn("__diff", F.zip_with("__ret", "__val", lambda a, b: a - b))
-        n = F.sum(F.size("__ret"))
-        s1, s2 = F.sum(AR.arr_sum("__ret")), F.sum(AR.arr_sum(F.transform("__ret", lambda x: x * x)))
-        d1, d2 = F.sum(AR.arr_sum("__diff")), F.sum(AR.arr_sum(F.transform("__diff", lambda x: x * x)))
-        var_ret = (s2 - s1 * s1 / n) / (n - 1)
-        var_diff = (d2 - d1 * d1 / n) / (n - 1)
-        aggs.append((1 - var_diff / (var_ret + 1e-5)).alias("vf_explained_var"))
+        # moments around each row's own mean; rows are then weighed around the batch's
+        for k in ("ret", "diff"):
+            d = d.withColumn(f"__n_{k}", F.size(f"__{k}").cast("double"))
+            d = d.withColumn(f"__mu_{k}", F.when(F.col(f"__n_{k}") > 0, AR.arr_sum(f"__{k}") / F.col(f"__n_{k}")).otherwise(F.lit(0.0)))
+            mu = F.col(f"__mu_{k}")
+            d = d.withColumn(f"__m2_{k}", AR.arr_sum(F.transform(f"__{k}", lambda x: (x - mu) * (x - mu))))
+        mid = d.agg(*[(F.sum(F.col(f"__n_{k}") * F.col(f"__mu_{k}")) / F.sum(f"__n_{k}")).alias(k) for k in ("ret", "diff")]).first()
+
+        def var(k):
+            away = F.col(f"__mu_{k}") - F.lit(mid[k])
+            return F.sum(F.col(f"__m2_{k}") + F.col(f"__n_{k}") * away * away) / (F.sum(f"__n_{k}") - 1)
+        aggs.append((1 - var("diff") / (var("ret") + 1e-5)).alias("vf_explained_var"))
     return d.agg(*aggs)
 
 
@@ -201,12 +213,12 @@ def reduce_metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def core_vs_aux(df: DataFrame, source_col: str = "data_source") -> DataFrame:
     """Mark validation metrics as core: var ``acc`` when the source has it (else
-    ``reward``), name starting mean/maj/best and containing ``@{n_max}``."""
+    ``reward``), name starting mean/maj/best and containing ``@{n_max}``, the largest n of its
+    (source, var)."""
     n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")
     d = df.withColumn("__n", n)
-    w = Window.partitionBy(source_col)
-    d = d.withColumns({"__nmax": F.max("__n").over(w),
-                       "__has_acc": F.max(F.when(F.col("var") == "acc", 1).otherwise(0)).over(w)})
+    d = d.withColumns({"__nmax": F.max("__n").over(Window.partitionBy(source_col, "var")),
+                       "__has_acc": F.max(F.when(F.col("var") == "acc", 1).otherwise(0)).over(Window.partitionBy(source_col))})
     core_var = F.when(F.col("__has_acc") == 1, F.lit("acc")).otherwise(F.lit("reward"))
     core = ((F.col("var") == core_var) & F.col("metric").rlike("^(mean|maj|best)")
             & F.col("metric").contains(F.concat(F.lit("@"), F.col("__nmax").cast("string"))))
@@ -233,56 +245,62 @@ def majority_at_n_bootstrap(df: DataFrame, keys: list[str], pred_col: str, val_c
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col)
-        vals, preds = pdf[val_col].tolist(), pdf[pred_col].tolist()
-        n_resps = len(vals)
-        ns, k = [], 2
-        while k < n_resps:
-            ns.append(k)
-            k *= 2
-        ns.append(n_resps)
+        values = pdf[val_col].to_numpy(float)
+        names = pd.factorize(pdf[pred_col])[0]
+        n_resps, width = len(values), int(names.max()) + 1
+        sizes = [2 ** i for i in range(1, 40) if 2 ** i < n_resps] + [n_resps]
         out = []
-        for n in ns:
+        for n in sizes:
             np.random.seed(seed)
-            res = []
-            for _ in range(n_bootstrap):
-                idx = np.random.choice(n_resps, size=n, replace=True)
-                counts, first = {}, {}
-                for i in idx:
-                    p = preds[i]
-                    counts[p] = counts.get(p, 0) + 1
-                    first.setdefault(p, vals[i])
-                best = max(counts, key=counts.get)
-                res.append(first[best])
-            out.append({**{kk: pdf[kk].iloc[0] for kk in keys}, "n": n,
-                        "maj_mean": float(np.mean(res)), "maj_std": float(np.std(res))})
+            # one draw of all samples gives what as many single draws give
+            draws = np.random.choice(n_resps, size=(n_bootstrap, n), replace=True)
+            row = np.repeat(np.arange(n_bootstrap), n)
+            drawn = names[draws].ravel()
+            counts = np.bincount(row * width + drawn, minlength=n_bootstrap * width).reshape(n_bootstrap, width)
+            # where each prediction first comes up in its draw; of equally frequent ones the earliest wins
+            first = np.full(n_bootstrap * width, n, np.int64)
+            np.minimum.at(first, row * width + drawn, np.tile(np.arange(n), n_bootstrap))
+            first = first.reshape(n_bootstrap, width)
+            rank = counts * (n + 1) - first
+            best = rank.argmax(axis=1)
+            each = np.arange(n_bootstrap)
+            got = values[draws[each, first[each, best]]]
+            out.append({**{k: pdf[k].iloc[0] for k in keys}, "n": n, "maj_mean": float(got.mean()), "maj_std": float(got.std())})
         return pd.DataFrame(out)
 
     key_schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
     return df.groupBy(*keys).applyInPandas(per_group, f"{key_schema}, n int, maj_mean double, maj_std double")
 
 
+# Words that mark a brute-force check, signs of a property check
 BRUTE_FORCE_KEYWORDS = ["brute_", "brute-"]
-
-
-def testcase_style_share(df: DataFrame, code_col: str, source_col: str = "data_source") -> DataFrame:
-    """Per response flags from the last python block: ``brute_force`` (keywords, ``\\bbrute\\b``,
-    a ``def`` whose name contains ``correct``) and ``property`` (an ``assert`` line using
-    ``!=``, ``>``, ``<``, ``check`` or ``valid`` after stripping comments and strings);
-    shares overall and per source via grouping sets.  No code block -> all false."""
-    from rollframe.functions.answers import extract_code_block
-    code = extract_code_block(F.col(code_col))
-    low = F.lower(code)
-    brute = (F.length(code) > 0) & (low.contains("brute_") | low.contains("brute-") | low.rlike(r"\bbrute\b")
-                                    | low.rlike(r"def\s+\w*correct\w*\s*\("))
-    lines = F.transform(F.split(code, "\n", -1), lambda ln: F.regexp_replace(
-        F.regexp_replace(ln, r"#.*$", ""), r"'[^']*'|\"[^\"]*\"", ""))
-    prop = (F.length(code) > 0) & F.exists(lines, lambda ln: ln.rlike(r"^\s*assert\b") & (
-        ln.contains("!=") | ln.contains(">") | ln.contains("<") | ln.contains("check") | ln.contains("valid")))
-    d = df.select(source_col, brute.alias("brute_force"), prop.alias("property"))
-    g = d.groupingSets([[], [source_col]], source_col).agg(
-        F.avg(F.col("brute_force").cast("double")).alias("brute_force_share"),
-        F.avg(F.col("property").cast("double")).alias("property_share"))
-    return g
+PROPERTY_SIGNS = ["!=", ">", "<", "check", "valid"]
+
+
+def testcase_style_share(df: DataFrame, response_col: str, source_col: str = "data_source") -> DataFrame:
+    """Shares, overall and per source, of responses whose last python block is of a style.
+
+    ``brute_force``: a keyword, the word brute, or code that begins with a function whose name
+    contains correct.  ``property``: a line with an assert that has a property sign before any
+    ``#`` or ``"`` on it.  ``complex_input`` has no keywords, so no response is.  Responses
+    without a block are of no style."""
+    code = F.coalesce(F.try_element_at(F.regexp_extract_all(F.col(response_col), F.lit(r"(?s)```python\n(.*?)\n```"), 1), F.lit(-1)), F.lit(""))
+    d = df.select(source_col, code.alias("code")).withColumn("low", F.lower("code"))
+    brute = F.col("low").rlike(r"\bbrute\b") | F.col("low").rlike(r"^\s*def\s+\w*correct\w*\s*\(")
+    for word in BRUTE_FORCE_KEYWORDS:
+        brute = brute | F.col("low").contains(word)
+
+    def signed(line):
+        head = F.regexp_replace(line, "[#\"].*$", "")
+        has = F.lit(False)
+        for sign in PROPERTY_SIGNS:
+            has = has | head.contains(sign)
+        return line.contains("assert") & has
+
+    d = d.select(source_col, brute.alias("brute"), F.exists(F.split("code", "\n"), signed).alias("prop"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return d.groupingSets([[], [source_col]], source_col).agg(
+        share("brute").alias("brute_force_share"), share("prop").alias("property_share"), F.lit(0.0).alias("complex_input_share"))
 
 
 def best_reward_from_logs(lines: DataFrame, text_col: str = "value", pattern: str = r"reward[:=]\s*(-?[0-9.]+)",

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollframe.functions.answers import let
+
 # Outcome classes and execution statuses
 REWARD_TYPES = ["FormatError", "PassGoodFailBad", "PassGoodPassBad", "FailGood", "Truncated",
                 "GoodInputFailGood", "GoodInputPassGoodPassBad"]
@@ -32,9 +34,10 @@ def output_equal(a, b) -> Column:
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     sa, sb = _strip(a), _strip(b)
-    la = F.transform(F.split(sa, _LINES, -1), _strip)
-    lb = F.transform(F.split(sb, _LINES, -1), _strip)
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise((sa == sb) | (la == lb))
+    lines = lambda s: F.transform(F.split(s, _LINES, -1), _strip)
+    # most outputs are equal as they are; only others are trimmed, and only unequal ones split
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(a == b, True).otherwise(
+        let(sa, lambda x: let(sb, lambda y: F.when(x == y, True).otherwise(lines(x) == lines(y)))))
 
 
 def classify_test_outcome(executions: DataFrame, response_keys: list[str] | None = None,
@@ -47,6 +50,8 @@ def classify_test_outcome(executions: DataFrame, response_keys: list[str] | None
     3. some input differs -> GoodInputFailGood if a good output fails its check; else
        GoodInputPassGoodPassBad if the bad program passes every non-equal input, else
        PassGoodFailBad.
+    The reason of a failed output check is the checker's own (``check_good_reason`` of the first
+    failing input, if the table has it), else AssertionError.
     ``formats`` (response keys + ``format_ok``) marks FormatError responses; responses without
     executions have no inputs and pass trivially."""
     keys = response_keys or ["uid", "response_id"]
@@ -61,11 +66,13 @@ def classify_test_outcome(executions: DataFrame, response_keys: list[str] | None
     good_fail = ran & ~F.col("check_good")
     bad_fail = ~equal_idx & (bad_err | ~F.col("check_bad"))
     idx = F.col("input_idx")
+    reason = F.col("check_good_reason") if "check_good_reason" in e.columns else F.lit(None).cast("string")
     agg = e.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_inputs"),
         F.min(F.when(good_err, idx)).alias("__err_idx"),
         F.bool_or(diff).alias("__diff"),
         F.min(F.when(good_fail, idx)).alias("__gfail_idx"),
+        F.min_by(F.when(good_fail, reason), F.when(good_fail, idx)).alias("__greason"),
         F.bool_or(bad_fail).alias("__bfail"),
     )
     if formats is not None:
@@ -87,7 +94,7 @@ def classify_test_outcome(executions: DataFrame, response_keys: list[str] | None
     fail_index = (F.when(fmt_bad, F.lit(None)).when(has_err, F.col("__err_idx"))
                   .when(~good_ok, F.col("__gfail_idx")))
     fail_reason = (F.when(fmt_bad, F.lit(None)).when(has_err, F.lit("ExecutionError"))
-                   .when(~good_ok, F.lit("AssertionError")))
+                   .when(~good_ok, F.coalesce("__greason", F.lit("AssertionError"))))
     out = agg.select(*keys, cls.alias("reward_type"), fail_index.cast("int").alias("fail_index"),
                      fail_reason.alias("fail_reason"),
                      F.when(fmt_bad, F.lit(-1)).otherwise(F.coalesce(F.col("num_inputs"), F.lit(0)))
@@ -143,10 +150,14 @@ def positional_chunks(df: DataFrame, item_col: str, pos_col: str, k: int, out_co
 
 def program_pass_counts(df: DataFrame, item_col: str, program_col: str, passed_col: str,
                         format_col: str | None = None) -> DataFrame:
-    """Per (item, candidate program): total tests passed over all responses; responses
-    with a format error count 0."""
-    ok = F.col(passed_col) if format_col is None else F.col(passed_col) & F.col(format_col)
-    return df.groupBy(item_col, program_col).agg(F.sum(ok.cast("bigint")).alias("num_passed"))
+    """Per (item, candidate program): tests passed over all responses, and ``num_tests``.  Tests of
+    a response with a format error are not run: they count in neither, and an item that has
+    no others has ``num_tests`` -1."""
+    ran = F.lit(True) if format_col is None else F.col(format_col)
+    g = df.groupBy(item_col, program_col).agg(
+        F.sum(F.when(ran & F.col(passed_col), 1).otherwise(0)).cast("bigint").alias("num_passed"),
+        F.sum(F.when(ran, 1).otherwise(0)).cast("bigint").alias("__n"))
+    return g.withColumn("num_tests", F.when(F.col("__n") > 0, F.col("__n")).otherwise(F.lit(-1))).drop("__n")
 
 
 def test_case_pass_fraction(df: DataFrame, keys: list[str], idx_col: str, passed_col: str,

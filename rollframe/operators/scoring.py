@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollframe.functions import answers as A
+from rollframe.session import ship_package
 
 Scorer = Callable[[Column, Column], Column]
 Predicate = Callable[[Column], Column]
@@ -24,6 +26,8 @@ NUMINA_SOURCES = ["numina_aops_forum", "numina_synthetic_math", "numina_amc_aime
                   "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"]
 CODE_SOURCES = ["codecontests", "apps", "codeforces", "taco"]
 GPQA_SOURCES = ["Idavidrein/gpqa"]
+CONTEST_SOURCES = ["Maxwell-Jia/AIME_2024", "opencompass/cnmo2024_en", "opencompass/cnmo2024_zh"]
+EXECUTED = ("code", "testcase")
 
 
 @dataclass
@@ -54,7 +58,7 @@ class ScorerRegistry:
             out = F.when(pred(source), s) if out is None else out.when(pred(source), s)
         if on_unknown == "error":
             fallback = F.raise_error(F.concat(
-                F.lit("Reward function is not implemented for data_source="),
+                F.lit("no scorer is registered for source "),
                 F.coalesce(source, F.lit("NULL")))).cast("double")
         else:
             fallback = F.lit(None).cast("double")
@@ -62,15 +66,20 @@ class ScorerRegistry:
 
 
 def default_registry() -> ScorerRegistry:
-    """Text-only routes of the reference (code/testcase sources are scored from an
-    executions table by :mod:`rollframe.operators.outcomes`)."""
+    """The text routes, in order.  Code and test-case sources come before the math prefix and
+    give no score here: :func:`score_by_source` takes theirs from executed results."""
+    none = lambda t, g: F.lit(None).cast("double")
     r = ScorerRegistry()
     r.register("gsm8k", lambda s: s == "openai/gsm8k", lambda t, g: A.score_hash_answer(t, g))
     r.register("math", lambda s: s.isin(*MATH_SOURCES), A.score_boxed_math)
     r.register("prime_math", lambda s: s.isin(*NUMINA_SOURCES),
-               lambda t, g: F.when(score_numeric_or_text(A.boxed_answer(t), g), 1.0).otherwise(0.0))
+               lambda t, g: A.let(A.extract_final_answer(t)["answer"], lambda a: F.when(
+                   A.score_tuple_answers(a, g) | score_numeric_or_text(a, g), 1.0).otherwise(0.0)))
+    r.register("code", lambda s: s.isin(*CODE_SOURCES), none)
+    r.register("testcase", lambda s: s.contains("testcase"), none)
     r.register("math_prefix", lambda s: s.startswith("math") | s.startswith("AIME"),
                A.score_boxed_math)
+    r.register("contest_math", lambda s: s.isin(*CONTEST_SOURCES), A.score_boxed_math)
     r.register("gpqa", lambda s: s.isin(*GPQA_SOURCES), A.score_multiple_choice)
     return r
 
@@ -78,14 +87,55 @@ def default_registry() -> ScorerRegistry:
 def score_by_source(df: DataFrame, registry: ScorerRegistry | None = None,
                     source_col: str = "data_source", response_col: str = "response",
                     ground_truth_col: str = "ground_truth", out_col: str = "score",
-                    on_unknown: str = "error") -> DataFrame:
-    """Append ``score`` (double) and ``scorer`` (route name) to every response row."""
+                    on_unknown: str = "error", executed: DataFrame | None = None,
+                    key_col: str = "response_id") -> DataFrame:
+    """Append ``score`` (double) and ``scorer`` (route name) to every response row.
+
+    ``executed(key, score)`` holds the scores of responses whose programs were run (see
+    :mod:`rollframe.operators.outcomes`); rows of the code and test-case routes get theirs from
+    it, 0.0 if it has none."""
     reg = registry or default_registry()
     src = F.col(source_col)
-    return df.withColumns({
+    out = df.withColumns({
         "scorer": reg.route_name(src),
         out_col: reg.score(src, F.col(response_col), F.col(ground_truth_col), on_unknown),
     })
+    if executed is None:
+        return out
+    ran = executed.select(F.col(key_col), F.col("score").cast("double").alias("__ran"))
+    out = out.join(ran, key_col, "left")
+    return out.withColumn(out_col, F.when(F.col("scorer").isin(*EXECUTED), F.coalesce("__ran", F.lit(0.0))).otherwise(
+        F.col(out_col))).drop("__ran")
+
+
+def custom_scorer(df: DataFrame, fn: Callable, response_col: str = "response", ground_truth_col: str = "ground_truth",
+                  out_col: str = "score", batched: bool = False, **kwargs) -> DataFrame:
+    """Scores by a user's Python function, on Arrow batches: ``fn(response, ground_truth,
+    **kwargs)`` per row, or with lists of both if ``batched``.  A call that fails gives 0.0
+    and its message in ``error`` (for a batch, all its rows)."""
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("struct<score:double,error:string>")
+    def run(responses: pa.Array, truths: pa.Array) -> pa.Array:
+        a, b = responses.to_pylist(), truths.to_pylist()
+        if batched:
+            try:
+                out = [{"score": float(x), "error": None} for x in fn(a, b, **kwargs)]
+                if len(out) != len(a):
+                    raise ValueError(f"{len(out)} scores for {len(a)} responses")
+            except Exception as e:  # noqa: BLE001
+                out = [{"score": 0.0, "error": f"{type(e).__name__}: {e}"}] * len(a)
+        else:
+            out = []
+            for x, y in zip(a, b):
+                try:
+                    out.append({"score": float(fn(x, y, **kwargs)), "error": None})
+                except Exception as e:  # noqa: BLE001
+                    out.append({"score": 0.0, "error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("score", pa.float64()), ("error", pa.string())]))
+
+    out = df.withColumn("__s", run(F.col(response_col), F.col(ground_truth_col)))
+    return out.withColumns({out_col: F.col("__s.score"), "error": F.col("__s.error")}).drop("__s")
 
 
 def score_hash_answer(df: DataFrame, method: str = "strict", response_col: str = "response",

@@ -101,4 +101,4 @@ def with_(*ctes: str) -> str:
 
 
 # Import the query modules so their @register decorators run.
-from rollframe.plans import q_scoring, q_metrics, q_groups, q_batch, q_outcomes, q_filters, q_tokens, q_diag, q_prep, q_balance, q_io  # noqa: E402,F401
+from rollframe.plans import q_scoring, q_metrics, q_groups, q_batch, q_outcomes, q_filters, q_tokens, q_diag, q_prep, q_balance, q_io, q_more  # noqa: E402,F401

@@ -49,9 +49,7 @@ def q_validation_metrics(spark, sf_dir):
     return out.select("data_source", "var", "metric", r6("value").alias("value"))
 
 
-from rollframe.operators import groups as G  # noqa: E402
 from rollframe.operators import outcomes as O  # noqa: E402
-from rollframe.plans.catalog import TOKENS_SQL  # noqa: E402
 from rollframe.plans.q_outcomes import CLASSIFY_SQL  # noqa: E402
 
 
@@ -131,22 +129,3 @@ SELECT uid, CAST(unnest(list_concat(list_filter(list_transform(range(1, 40), lam
 def q_sample_sizes(spark, sf_dir):
     n = T.rollouts(spark, sf_dir).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     return M.sample_sizes(n).select("uid", "sample_size")
-
-
-@register("batch_data_metrics")
-def q_batch_data_metrics(spark, sf_dir):
-    t = G.adv_grpo(T.tokens(spark, sf_dir))
-    t = G.sequence_scores(t, "token_level_scores", "seq_score")
-    t = G.sequence_scores(t, "token_level_rewards", "seq_reward")
-    return M.batch_data_metrics(t, max_response_length=64)
-
-
-@register("core_vs_aux")
-def q_core_vs_aux(spark, sf_dir):
-    v = M.validation_metrics(T.rollouts(spark, sf_dir), ["score", "acc"])
-    return M.core_vs_aux(v)
-
-
-@register("testcase_style_share")
-def q_testcase_style_share(spark, sf_dir):
-    return M.testcase_style_share(T.table(spark, sf_dir, "documents").withColumnRenamed("source", "data_source"), "text")

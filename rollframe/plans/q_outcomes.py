@@ -81,7 +81,7 @@ def q_reward_type_counts(spark, sf_dir):
 
 
 @register("program_pass_counts", with_(EXECUTIONS_SQL) + """
-SELECT uid, program, sum(CAST(passed AS BIGINT)) AS num_passed FROM (
+SELECT uid, program, CAST(sum(CAST(passed AS BIGINT)) AS BIGINT) AS num_passed, count(*) AS num_tests FROM (
   SELECT uid, 'good' AS program, good_status = 'Correct' AND check_good AS passed FROM executions
   UNION ALL SELECT uid, 'bad', bad_status = 'Correct' AND check_bad FROM executions) GROUP BY uid, program""")
 def q_program_pass_counts(spark, sf_dir):
@@ -94,11 +94,11 @@ def q_program_pass_counts(spark, sf_dir):
 
 
 @register("test_case_pass_fraction", with_(EXECUTIONS_SQL) + """
-SELECT response_id, round(CASE WHEN bool_and(p) THEN 1.0e0 ELSE coalesce(avg(CASE WHEN input_idx < 3 THEN CAST(p AS DOUBLE) END), 0.0e0) END, 6) AS pass_fraction
+SELECT response_id, round(CASE WHEN bool_and(p) THEN 1.0e0 ELSE coalesce(avg(CASE WHEN input_idx < 10 THEN CAST(p AS DOUBLE) END), 0.0e0) END, 6) AS pass_fraction
 FROM (SELECT response_id, input_idx, good_status = 'Correct' AND check_good AS p FROM executions) GROUP BY response_id""")
 def q_test_case_pass_fraction(spark, sf_dir):
     e = T.executions(spark, sf_dir).withColumn("p", (F.col("good_status") == "Correct") & F.col("check_good"))
-    d = O.test_case_pass_fraction(e, ["response_id"], "input_idx", "p", first_n=3)
+    d = O.test_case_pass_fraction(e, ["response_id"], "input_idx", "p", first_n=10)
     return d.select("response_id", r6("pass_fraction").alias("pass_fraction"))
 
 

@@ -148,14 +148,6 @@ def q_fill_failed_scores(spark, sf_dir):
     return d.select("response_id", "score", "reward_type")
 
 
-@register("score_minerva")
-def q_score_minerva(spark, sf_dir):
-    d = T.responses(spark, sf_dir)
-    text = F.concat(F.lit("Work.\nAnswer: "), F.col("response"))
-    return d.select("response_id", A.score_minerva(text, F.col("ground_truth")).alias("m")).select(
-        "response_id", "m.score", "m.acc", "m.pred")
-
-
 @register("score_numeric_tolerance", with_(ROLLOUTS_SQL) + """
 SELECT response_id, coalesce(abs(score - CAST(pred AS DOUBLE) * 50) <= 1e-4 * greatest(abs(score), abs(CAST(pred AS DOUBLE) * 50))
    OR abs(score - CAST(pred AS DOUBLE) * 50 / 100) <= 1e-4 * greatest(abs(score), abs(CAST(pred AS DOUBLE) * 50 / 100))
