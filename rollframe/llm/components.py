@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
             edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = (both.where("y > x").join(least, "x").where("y <> m")
-                 .select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+                 .select(F.col("y").alias("u"), F.col("m").alias("v")))
         large = written(large, "star")
         # small star: the smaller neighbours of x, and x, move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))

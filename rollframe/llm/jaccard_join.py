@@ -244,44 +244,22 @@ def _counts(column: pa.Array) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, GROUPS)
 
 
-def _bounded(t: Threshold):
-    """Pairs (a, b, pa, pb) whose summed coordinate minima reach the needed overlap."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                a, b = _counts(part.column("pa")), _counts(part.column("pb"))
-                keep.append(np.minimum(a, b).sum(axis=1) >= t.needed(a.sum(axis=1) + b.sum(axis=1)))
-            if keep:
-                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
-
-    return run
-
-
 def _verify(t: Threshold):
-    """Over (hub, chunk, role, id, shingles) with a hub's own rows first: the links to it."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
+    """Over (a, b, sa, sb): the pairs whose sets link.  The summed minima of their group counts
+    bound the overlap first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
         for batch in batches:
-            a, b = [], []
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column("shingles"))
-            for hub, chunk, role, id_, body in rows:
-                x = np.frombuffer(body.as_buffer(), np.uint64) if body.is_valid else np.zeros(0, np.uint64)
-                if (hub, chunk) != at:
-                    at, own = (hub, chunk), []
-                if role == 0:
-                    own.append(x.copy())
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (sa, sb) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (sa, sb))
+                total = len(x) + len(y)
+                if min(len(x), len(y)) < t.needed(total):
                     continue
-                for h in own:
-                    both = int((h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x).sum()) if len(h) else 0
-                    if both and t.den * both >= t.num * (len(h) + len(x) - both):
-                        a.append(hub)
-                        b.append(id_)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                gx, gy = (np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for v in (x, y))
+                if np.minimum(gx, gy).sum() >= t.needed(total):
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    keep[i] = both >= t.needed(total)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -360,7 +338,7 @@ PAIR_DDL = "a bigint, b bigint"
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90,
-                    den: int = 100, chunk: int = 256, tree_rows: int = 2048, star_rounds: int = 3) -> DataFrame:
+                    den: int = 100, tree_rows: int = 2048, star_rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id) for every input row: two documents link when den *
     intersection >= num * union of their sets of distinct ``words``-word shingles (ASCII
     letters lowered; a shorter text is one shingle), and the component is named by its
@@ -372,9 +350,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared as 64-bit hashes.  Extra columns are not read.  An empty table gives none.
 
     Shuffled are one 24-byte row per block (about 0.17 per shingle), the texts once by id to
-    fetch the sets of documents that share a cell, and those sets next to their hubs in chunks
-    of ``chunk``.  A cell with more than ``tree_rows`` unsettled members is split into parts
-    that meet pairwise, so no task holds more than two parts.
+    fetch the sets of documents that share a cell (by a merge join: the list of those ids has
+    no bound that a broadcast could rely on), and those sets once per tested pair.  Joins on a
+    hub's id are split by the engine where the hub is hot.  A cell with more than ``tree_rows``
+    unsettled members is split into parts that meet pairwise, so no task of the tree step
+    holds more than two parts.
     """
     t = Threshold(num, den)
     ship_package(docs.sparkSession)
@@ -383,81 +363,72 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     points = table.where("kind = 0").select("id", "n", "s1", "s2", "point")
     blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id")
 
-    # equal sets: one of them stands for all
+    # equal sets: the smallest id stands for all, its copies follow it
     sets = points.where("n > 0 and id is not null")
     same = written(sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("point").alias("point")), "same")
     copies = written(sets.select("s1", "s2", F.col("id").alias("copy")).join(
         same.where("id <> last").select("s1", "s2", "id"), ["s1", "s2"]).where("copy <> id").select("copy", "id").distinct(), "copies")
-    # a copy's id may also stand for another text of its own: it is then kept as it is
-    to = copies.join(same.select(F.col("id").alias("copy")), "copy", "left_anti").groupBy("copy").agg(F.min("id").alias("to"))
-
-    # cells with more than one set
+    # an id with several texts may be a copy of one set and stand for another: then it is a node of its own
+    both = copies.join(same.select(F.col("id").alias("copy")).distinct(), "copy", "left_semi")
+    several = copies.groupBy("copy").count().where("count > 1").select("copy")
+    nodes = written(both.select("copy").unionByName(several).distinct(), "nodes")
+    links = copies.join(nodes, "copy", "left_semi").select(F.col("id").alias("a"), F.col("copy").alias("b"))
+    to = copies.join(nodes, "copy", "left_anti").select("copy", F.col("id").alias("to"))
+
+    # cells with more than one set; of cells with the same members one
     shared = blocks.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
     members = blocks.join(shared, "cell").join(to, F.col("id") == F.col("copy"), "left")
     members = written(members.select("cell", F.coalesce("to", "id").alias("id")).distinct(), "members")
+    who = [F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("w1"),
+           F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("w2"), F.min("id").alias("hub")]
+    cells = members.groupBy("cell").agg(*who).where("m > 1")
+    cells = cells.groupBy("m", "w1", "w2", "hub").agg(F.min("cell").alias("cell")).select("cell", "m", "hub")
+    members = written(members.join(cells, "cell"), "cells")
 
-    def star(cells: DataFrame, hub) -> DataFrame:
-        """(a, b): each member of ``cells(cell, id)`` with its cell's hub."""
-        hubs = cells.groupBy("cell").agg(hub.alias("hub"), F.count("*").alias("m")).where("m > 1").select("cell", "hub")
-        pairs = cells.join(hubs, "cell").where("id <> hub")
-        return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-    point = same.groupBy("id").agg(F.collect_list("point").alias("ps"))  # one, but for texts that share an id
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        p = point.select("id", F.explode("ps").alias("p"))
-        wide = (pairs.join(p.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
-                .join(p.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b"))
-        return wide.select("a", "b", "pa", "pb").mapInArrow(_bounded(t), PAIR_DDL).distinct()
-
-    first = written(star(members, F.min("id")), "pairs")
-    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    bodies = written(rows.join(ids, "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets")
+    ids = members.select("id").distinct()
+    bodies = written(rows.join(ids.hint("merge"), "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        n = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("chunks"))
-        dealt = pairs.join(n, "a").select(F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), chunks)").alias("chunk"), "b")
-        left = dealt.select("hub", "chunk").distinct().join(bodies, F.col("hub") == F.col("id")).select(
-            "hub", "chunk", F.lit(0).alias("role"), "id", "shingles")
-        right = dealt.join(bodies, F.col("b") == F.col("id")).select("hub", "chunk", F.lit(1).alias("role"), "id", "shingles")
-        return (left.unionByName(right).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
-                .mapInArrow(_verify(t), PAIR_DDL))
-
-    equal = copies.select(F.col("id").alias("a"), F.col("copy").alias("b"))
-    links = equal.unionByName(written(verified(written(bounded(first), "near")), "links"))
-    tested = first
-    found = components(links)
+        near = (pairs.join(bodies.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+                .join(bodies.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))
+        return written(near.select("a", "b", "sa", "sb").mapInArrow(_verify(t), PAIR_DDL), "links")
+
+    # first each member with the smallest of its cells' hubs
+    tested = written(members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
+    found = components(links.unionByName(verified(tested)))
+    left = members.select("cell", "id", "m")
     for turn in range(star_rounds + 1):
-        # cells with members in several components; cells with the same members count once
-        named = members.join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
-        left = named.groupBy("cell").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("x <> y and m > 2")
-        left = left.groupBy("who", "m").agg(F.min("cell").alias("cell")).select("cell", "m")
-        left = written(named.join(left, "cell"), "unsettled")
+        # what is left: cells with members in several components
+        named = left.select("cell", "id", "m").join(found, "id", "left").select(
+            "cell", "id", "m", F.coalesce("component", "id").alias("component"))
+        open_ = named.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
+        left = written(named.join(open_, "cell"), "unsettled")
         if left.isEmpty():
             break
         if turn < star_rounds:
-            # another hub, not the same one for all cells of a group
+            # a hub by chance, and not the same one for all cells of a group
             order = F.xxhash64("id", F.expr("pmod(cell, 4)"), F.lit(turn))
-            pairs = star(left.select("cell", "id"), F.min_by("id", order))
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            hubs = left.groupBy("cell").agg(F.min_by(F.struct("id", "component"), order).alias("h"))
+            pairs = left.join(hubs, "cell").where("component <> h.component")
+            pairs = pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
         else:
             parts = F.ceil(F.col("m") / F.lit(tree_rows)).cast("int")
             dealt = left.join(same.select("id", "point"), "id").withColumn("parts", parts)
             dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
             dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            part = F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")
+            part = F.least("own", "other").cast("long") * F.lit(1 << 20) + F.greatest("own", "other")
             pairs = (dealt.select("cell", part.alias("part"), "id", "component", "point").repartition("cell", "part")
                      .sortWithinPartitions("cell", "part").mapInArrow(_tree_pairs(t), PAIR_DDL).distinct())
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        near = written(bounded(pairs) if turn < star_rounds else pairs, "near")
-        more = written(verified(near), "links")
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = verified(pairs)
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-    out = points.select("id", "n").join(found, "id", "left")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
+            # the stars found so far stand for the links that made them
+            found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    node = points.select("id", "n").join(to, F.col("id") == F.col("copy"), "left").withColumn("node", F.coalesce("to", "id"))
+    out = node.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    kind = docs.schema[id_col].dataType
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
+                      F.coalesce("component", "node").cast(kind).alias("component_id"))
