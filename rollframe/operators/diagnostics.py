@@ -8,6 +8,8 @@ per-level counts and running counts over a window partitioned by the group.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -74,13 +74,18 @@ def best_worst_at_n(df: DataFrame, keys: list[str], value_col: str) -> DataFrame
 
 
 def validation_metrics(df: DataFrame, var_cols: list[str], source_col: str = "data_source",
-                       prompt_col: str = "uid") -> DataFrame:
-    """Per (source, prompt, var): ``mean@N``, population ``std@N``, ``best@s``/``worst@s``
+                       prompt_col: str = "uid", pred_col: str | None = None, order_col: str = "sample_idx") -> DataFrame:
+    """String variables are skipped.  With ``pred_col``, ``maj@s`` mean and std of each variable
+    come from the seeded bootstrap of :func:`majority_at_n_bootstrap`.
+
+    Per (source, prompt, var): ``mean@N``, population ``std@N``, ``best@s``/``worst@s``
     mean and std; then the mean over prompts per (source, var, metric).
 
     Output: ``(data_source, var, metric, value)``."""
+    var_cols = [v for v in var_cols if df.schema[v].dataType.simpleString() != "string"]
     stack = ", ".join(f"'{v}', CAST(`{v}` AS DOUBLE)" for v in var_cols)
-    long = df.select(source_col, prompt_col,
+    more = [pred_col, order_col] if pred_col else []
+    long = df.select(source_col, prompt_col, *more,
                      F.expr(f"stack({len(var_cols)}, {stack}) AS (var, value)"))
     keys = [source_col, prompt_col, "var"]
     basic = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"), F.avg("value").alias("m"),
@@ -97,6 +102,12 @@ def validation_metrics(df: DataFrame, var_cols: list[str], source_col: str = "da
         for kind in ("best", "worst") for stat in ("mean", "std")])).alias("kv")
     ).select(*keys, "kv.metric", "kv.value")
     per_prompt = basic.unionByName(bw)
+    if pred_col:
+        maj = majority_at_n_bootstrap(long, keys, pred_col, "value", order_col)
+        n = F.col("n").cast("string")
+        per_prompt = per_prompt.unionByName(maj.select(*keys, F.explode(F.array(*[
+            F.struct(F.concat(F.lit("maj@"), n, F.lit(f"/{stat}")).alias("metric"), F.col(f"maj_{stat}").alias("value"))
+            for stat in ("mean", "std")])).alias("kv")).select(*keys, "kv.metric", "kv.value"))
     return per_prompt.groupBy(source_col, "var", "metric").agg(F.avg("value").alias("value"))
 
 
@@ -131,14 +142,19 @@ SUMMARY_CLASSES = ["PassGoodFailBad", "FailGood", "GoodInputFailGood", "PassGood
                    "GoodInputPassGoodPassBad", "FormatError"]
 
 
-def seeded_outcome_summary(df: DataFrame, pos_col: str, class_col: str = "reward_type") -> DataFrame:
-    """Per seed position: percentage of items in each class; then mean and population std
+def seeded_outcome_summary(df: DataFrame, pos_col: str, class_col: str = "reward_type",
+                           num_inputs_col: str | None = None) -> DataFrame:
+    """With ``num_inputs_col``, also the mean number of inputs over responses that have one (0 or
+    more), as metric ``num_inputs``.
+
+    Per seed position: percentage of items in each class; then mean and population std
     over positions, plus the derived good_input and fail_good groups."""
     per = df.groupBy(pos_col).agg(
         *[(F.avg(F.when(F.col(class_col) == c, 100.0).otherwise(0.0))).alias(c) for c in SUMMARY_CLASSES],
         F.avg(F.when(F.col(class_col).isin(*GOOD_INPUT), 100.0).otherwise(0.0)).alias("good_input"),
-        F.avg(F.when(F.col(class_col).isin(*FAIL_GOOD), 100.0).otherwise(0.0)).alias("fail_good"))
-    names = SUMMARY_CLASSES + ["good_input", "fail_good"]
+        F.avg(F.when(F.col(class_col).isin(*FAIL_GOOD), 100.0).otherwise(0.0)).alias("fail_good"),
+        *([F.avg(F.when(F.col(num_inputs_col) >= 0, F.col(num_inputs_col).cast("double"))).alias("num_inputs")] if num_inputs_col else []))
+    names = SUMMARY_CLASSES + ["good_input", "fail_good"] + (["num_inputs"] if num_inputs_col else [])
     stack = ", ".join(f"'{n}', `{n}`" for n in names)
     long = per.select(pos_col, F.expr(f"stack({len(names)}, {stack}) AS (metric, pct)"))
     return long.groupBy("metric").agg(F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"))

@@ -18,7 +18,7 @@ def _ms(a: str) -> str:
 
 @register("kl_estimate", with_(TOKENS_SQL) + """
 SELECT response_id,
-  list_transform(list_zip(old_log_probs, ref_log_probs), lambda e: round(e[1] - e[2], 6)) AS kl,
+  list_transform(list_zip(old_log_probs, ref_log_probs), lambda e: round(e[1] - e[2], 6) + 0.0) AS kl,
   list_transform(list_zip(old_log_probs, ref_log_probs), lambda e: round(abs(e[1] - e[2]), 6)) AS kl_abs,
   list_transform(list_zip(old_log_probs, ref_log_probs), lambda e: round(0.5 * (e[1] - e[2]) * (e[1] - e[2]), 6)) AS kl_mse,
   list_transform(list_zip(old_log_probs, ref_log_probs), lambda e: round(least(greatest(exp(e[2] - e[1]) - (e[2] - e[1]) - 1, -10.0), 10.0), 6)) AS kl_low_var

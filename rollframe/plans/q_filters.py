@@ -57,17 +57,21 @@ def q_prioritized_downsample(spark, sf_dir):
                                        HAVING count(*) = 1 OR min(acc) <> max(acc)) k USING (gen_round, uid))
 , cum AS (SELECT gen_round, sum(cnt) OVER (ORDER BY gen_round) AS c
           FROM (SELECT gen_round, count(DISTINCT uid) AS cnt FROM kept GROUP BY gen_round))
-, lim AS (SELECT min(gen_round) AS last FROM cum WHERE c >= 40)
+, target AS (SELECT max(c) // 2 AS t FROM cum)
+, lim AS (SELECT min(gen_round) AS last FROM cum WHERE c >= (SELECT t FROM target))
 SELECT response_id, gen_round, uid, batch_pos FROM (
   SELECT response_id, gen_round, uid, row_number() OVER (ORDER BY gen_round, uid, sample_idx) - 1 AS batch_pos
-  FROM kept WHERE gen_round <= (SELECT last FROM lim)) WHERE batch_pos < 40 * 10""")
+  FROM kept WHERE gen_round <= (SELECT last FROM lim)) WHERE batch_pos < (SELECT t FROM target) * 10""")
 def q_accumulate_to_target(spark, sf_dir):
     r = T.rollouts(spark, sf_dir).withColumn("gen_round", (F.col("step") / 10).cast("int"))
-    d = FL.accumulate_to_target(r, 40, 10, metric_col="acc")
+    # half of the groups that can be kept: reachable at any scale
+    groups = r.groupBy("gen_round", "uid").agg(F.count("*").alias("n"), F.min("acc").alias("lo"), F.max("acc").alias("hi"))
+    target = groups.where("n = 1 or lo <> hi").count() // 2
+    d = FL.accumulate_to_target(r, target, 10, metric_col="acc")
     return d.select("response_id", "gen_round", "uid", "batch_pos")
 
 
-@register("single_score_group_share", with_(ROLLOUTS_SQL) + """
+@register("mask_single_score_groups", with_(ROLLOUTS_SQL) + """
 , g AS (SELECT data_source, uid, count(DISTINCT acc) AS nd, min(acc) AS s FROM rollouts GROUP BY data_source, uid)
 SELECT g.data_source, s AS score, round(count(*) / any_value(t.n), 6) AS share
 FROM g JOIN (SELECT data_source, count(*) AS n FROM g GROUP BY data_source) t USING (data_source)

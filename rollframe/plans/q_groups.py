@@ -73,7 +73,7 @@ def q_masked_whiten(spark, sf_dir):
     return d.select("response_id", r6a("whitened").alias("whitened"))
 
 
-@register("masked_stats", with_(TOKENS_SQL) + _whiten_sql("tokens", "log_probs") + """
+@register("masked_sum/mean/var", with_(TOKENS_SQL) + _whiten_sql("tokens", "log_probs") + """
 SELECT mv.batch_id, CAST(ms.s0 AS BIGINT) AS mask_sum, round(mv.mu, 6) AS mean, round(mv.var, 6) AS var
 FROM mv JOIN ms USING (batch_id)""")
 def q_masked_stats(spark, sf_dir):

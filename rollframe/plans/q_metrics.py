@@ -79,14 +79,15 @@ def q_fail_reason_share(spark, sf_dir):
     avg(CASE WHEN reward_type = 'GoodInputPassGoodPassBad' THEN 100.0 ELSE 0.0 END) AS GoodInputPassGoodPassBad,
     avg(CASE WHEN reward_type = 'FormatError' THEN 100.0 ELSE 0.0 END) AS FormatError,
     avg(CASE WHEN reward_type IN ('GoodInputFailGood', 'GoodInputPassGoodPassBad', 'PassGoodFailBad') THEN 100.0 ELSE 0.0 END) AS good_input,
-    avg(CASE WHEN reward_type IN ('FailGood', 'GoodInputFailGood') THEN 100.0 ELSE 0.0 END) AS fail_good
+    avg(CASE WHEN reward_type IN ('FailGood', 'GoodInputFailGood') THEN 100.0 ELSE 0.0 END) AS fail_good,
+    avg(CASE WHEN num_inputs >= 0 THEN CAST(num_inputs AS DOUBLE) END) AS num_inputs
   FROM cls GROUP BY 1)
-, long AS (UNPIVOT per ON PassGoodFailBad, FailGood, GoodInputFailGood, PassGoodPassBad, GoodInputPassGoodPassBad, FormatError, good_input, fail_good
+, long AS (UNPIVOT per ON PassGoodFailBad, FailGood, GoodInputFailGood, PassGoodPassBad, GoodInputPassGoodPassBad, FormatError, good_input, fail_good, num_inputs
            INTO NAME metric VALUE pct)
 SELECT metric, round(avg(pct), 6) AS mean, round(stddev_pop(pct), 6) AS std FROM long GROUP BY metric""")
 def q_seeded_outcome_summary(spark, sf_dir):
     c = O.classify_test_outcome(T.executions(spark, sf_dir)).withColumn("pos", F.col("response_id") % 4)
-    out = M.seeded_outcome_summary(c, "pos")
+    out = M.seeded_outcome_summary(c, "pos", num_inputs_col="num_inputs")
     return out.select("metric", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
