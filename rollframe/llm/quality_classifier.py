@@ -31,8 +31,8 @@ class ClassifierParams:
     dims, nonzero: of the vectors.  hidden, epochs, rate, decay: of the network.
     slice_bytes: text pooled at a time; max_known: words that a worker remembers."""
 
-    max_rows: int = 6000
-    max_bytes: int = 1 << 16
+    max_rows: int = 4000
+    max_bytes: int = 1 << 15
     max_words: int = 5000
     min_docs: int = 5
     dims: int = 64
@@ -85,26 +85,32 @@ class WordVectors:
         once = np.unique(doc * max(1, len(words)) + index) % max(1, len(words))
         in_docs = np.bincount(once, minlength=len(words)) if len(words) else np.zeros(0, int)
         often = [i for i in np.argsort(-in_docs, kind="stable")[:p.max_words] if in_docs[i] >= p.min_docs]
-        names = [("w", spelled[i]) for i in often]
-        self.row = {n: i + 1 for i, n in enumerate(names + [("s", s) for s in sorted(set(shape.tolist()))])}
+        types = [("w", spelled[i]) for i in often] + [("s", s) for s in sorted(set(shape.tolist()))]
+        self.row = {n: i + 1 for i, n in enumerate(types)}
         self.known: dict[str, int] = {}
         kind = np.array([self.row.get(("w", w)) or self.row[("s", s)] for w, s in zip(spelled, shape)], np.int64)[index] if len(words) else index
-        look = np.array([index_vector("s" + s, p.dims, p.nonzero) for s in shape.tolist()], np.float32).reshape(-1, p.dims)
+        kinds = len(self.row) + 1
+        names, sid = np.unique(shape.astype(str), return_inverse=True)
+        look = np.array([index_vector("s" + s, p.dims, p.nonzero) for s in names.tolist()], np.float32).reshape(-1, p.dims)
         same = index_vector("same", p.dims, p.nonzero)
-        context = np.zeros((len(self.row) + 1, p.dims), np.float32)
+        context = np.zeros((kinds, p.dims), np.float32)
+        sid = sid[index]
         for step in (1, 2):
             ok = np.flatnonzero(doc[step:] == doc[:-step]) if len(doc) > step else np.zeros(0, int)
-            for at, other, turn in ((ok + step, ok, step), (ok, ok + step, step + 8)):
-                for lo in range(0, len(at), 1 << 18):
-                    a, o = at[lo:lo + (1 << 18)], other[lo:lo + (1 << 18)]
-                    v = np.roll(look, turn, axis=1)[index[o]] + (index[a] == index[o])[:, None] * same
-                    np.add.at(context, kind[a], v)
+            again = ok[index[ok] == index[ok + step]]
+            for at, other, turn, rep in ((ok + step, ok, step, again + step), (ok, ok + step, step + 8, again)):
+                # neighbours by type and shape are counted before their vectors are added
+                pair, times = np.unique(kind[at] * len(names) + sid[other], return_counts=True)
+                np.add.at(context, pair // max(1, len(names)), times[:, None] * np.roll(look, turn, axis=1)[pair % max(1, len(names))])
+                context += np.bincount(kind[rep], minlength=kinds)[:, None] * same
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = context / np.where(norm > 0, norm, 1)
         self.vectors[0] = self.vectors[1:].mean(axis=0) if len(self.row) else 0
-        self.look = np.zeros_like(self.vectors)
-        for (kind_, s), i in self.row.items():
-            self.look[i] = index_vector("s" + (s if kind_ == "s" else shapes(pa.array([s]))[0].as_py()), p.dims, p.nonzero)
+        shaped = {("w", spelled[i]): shape[i] for i in often}
+        own = np.zeros_like(self.vectors)
+        for name, i in self.row.items():
+            own[i] = look[np.searchsorted(names, shaped.get(name, name[1]))]
+        self.vectors = np.concatenate((self.vectors, own), axis=1)
 
     def rows(self, words: pa.Array) -> np.ndarray:
         if len(self.known) > self.p.max_known:
@@ -125,9 +131,11 @@ class WordVectors:
             row = self.rows(words)[index]
             some = np.flatnonzero(count)
             first = (np.cumsum(count) - count)[some]
-            size = count[some][:, None]
-            out[some, :self.p.dims] = np.add.reduceat(self.vectors[row], first, axis=0) / size
-            out[some, self.p.dims:2 * self.p.dims] = np.add.reduceat(self.look[row], first, axis=0) / size
+            # a document's words of one type are counted before its vectors are added
+            pair, times = np.unique(doc * len(self.vectors) + row, return_counts=True)
+            head = np.searchsorted(pair, some * len(self.vectors))
+            total = np.add.reduceat(self.vectors[pair % len(self.vectors)] * times[:, None].astype(np.float32), head, axis=0)
+            out[some, :2 * self.p.dims] = total / count[some][:, None]
             again = np.zeros(len(doc), np.float32)
             again[1:] = (index[1:] == index[:-1]) & (doc[1:] == doc[:-1])
             distinct = np.bincount(np.unique(doc * len(words) + index) // len(words), minlength=n)
