@@ -179,3 +179,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
 """
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM (
+    SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY 1, 2),
+l AS (
+  SELECT dx.doc_id AS x, dy.doc_id AS y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y JOIN d dx ON dx.rid = x JOIN d dy ON dy.rid = y
+  WHERE 100 * i >= 90 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN c ON c.a = doc_id
+"""
+
+ORACLES["op10_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, o, substr(h, 2 * o + 1, 200) AS s FROM (
+  SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS o FROM d)),
+g AS (SELECT doc_id, o, row_number() OVER (PARTITION BY s ORDER BY doc_id, o) AS k FROM w),
+m AS (SELECT doc_id, o, max(o + 100) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g WHERE k > 1),
+r AS (SELECT doc_id, o, sum(CASE WHEN upto IS NULL OR o > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM m),
+sp AS (SELECT doc_id, run, min(o) AS a, max(o) + 100 AS b FROM r GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id),
+edges AS (
+  SELECT doc_id, 0 AS run, 0 AS a, 0 AS b FROM d UNION ALL SELECT doc_id, run, a, b FROM sp),
+k AS (
+  SELECT e.doc_id, e.run, substr(h, 2 * e.b + 1,
+    2 * (coalesce(lead(e.a) OVER (PARTITION BY e.doc_id ORDER BY e.run), length(h) // 2) - e.b)) AS piece
+  FROM edges e JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS h FROM k GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
