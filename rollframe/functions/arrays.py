@@ -83,6 +83,23 @@ def reverse_scan(x, c) -> Column:
     return reverse_scan_udf(_c(x).cast("array<double>"), _c(c).cast("array<double>"))
 
 
+def _running_sum_arrow(xs: pa.Array) -> pa.Array:
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(xs), 0), np.int64))
+    offsets = np.concatenate(([0], ends))
+    total = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(xs.flatten(), 0), np.int64))))
+    out = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+    return pc.if_else(xs.is_valid(), made, pa.scalar(None, made.type)) if xs.null_count else made
+
+
+running_sum_udf = F.arrow_udf(_running_sum_arrow, returnType=T.ArrayType(T.LongType()))
+
+
+def running_sum(x) -> Column:
+    """Inclusive running sum of an integer array (array<bigint>)."""
+    return running_sum_udf(_c(x).cast("array<bigint>"))
+
+
 def suffix_sum(x, gamma: float = 1.0) -> Column:
     """Discounted reverse cumulative sum."""
     x = _c(x)

@@ -37,20 +37,15 @@ def pad_or_truncate(a, max_length: int, pad, left_pad: bool = True, truncation:
         cut = F.slice(a, 1, max_length)
     elif truncation == "error":
         cut = F.raise_error(F.concat(F.lit("sequence_length="), n.cast("string"),
-                                     F.lit(f" is larger than max_length={max_length}")))
+                                     F.lit(f" exceeds the {max_length} that fit")))
     else:
-        raise NotImplementedError(f"Unknown truncation method {truncation}")
+        raise ValueError(f"no way to truncate is called {truncation}")
     return F.when(n > max_length, cut).otherwise(padded)
 
 
-def prefix_sum(a) -> Column:
-    """Inclusive cumulative sum (double)."""
-    return F.reverse(AR.suffix_sum(F.reverse(_c(a).cast("array<double>"))))
-
-
 def position_ids(mask) -> Column:
     """``clip(cumsum(mask) - 1, 0)``."""
-    return F.transform(prefix_sum(mask), lambda c: F.greatest(c - 1, F.lit(0.0)).cast("int"))
+    return F.transform(AR.running_sum(mask), lambda c: F.greatest(c - 1, F.lit(0)).cast("int"))
 
 
 def position_ids_multiturn(mask) -> Column:

@@ -39,40 +39,36 @@ def q_eos_response_mask(spark, sf_dir):
     return d.select("doc_id", TK.eos_response_mask("ids", [1, 2]).alias("response_mask"))
 
 
+def _left_padded(spark, sf_dir):
+    """Whole documents with doc_id mod 5 pads on the left."""
+    d = _docs(spark, sf_dir).withColumn("pads", (F.col("doc_id") % 5).cast("int"))
+    pad = F.array_repeat(F.lit(0), F.col("pads"))
+    return d.select("doc_id", F.concat(pad, "ids").alias("ids"), F.concat(pad, F.transform("ids", lambda _: F.lit(1))).alias("mask"))
+
+
 @register("position_ids", DOC_IDS_SQL + """
-, p AS (SELECT doc_id, CASE WHEN len(ids) > 64 THEN list_transform(range(64), lambda x: 1)
-       ELSE list_concat(list_transform(range(64 - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)) END AS mask FROM docs)
-SELECT doc_id, list_transform(mask, lambda m, i: CAST(greatest(list_sum(mask[1:i]) - 1, 0) AS INTEGER)) AS position_ids,
-       list_transform(mask, lambda m, i: (i - 1) * m) AS position_ids_multiturn
-FROM p""")
+SELECT doc_id, list_transform(range(len(ids) + doc_id % 5), lambda i: CAST(greatest(i - doc_id % 5, 0) AS INTEGER)) AS position_ids,
+  list_transform(range(len(ids) + doc_id % 5), lambda i: CAST(CASE WHEN i < doc_id % 5 THEN 0 ELSE i END AS INTEGER)) AS position_ids_multiturn FROM docs""")
 def q_position_ids(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
-    d = TK.pad_truncate(d, "ids", "mask", 64, 0, left_pad=True, truncation="left")
+    d = _left_padded(spark, sf_dir)
     return d.select("doc_id", TK.position_ids("mask").alias("position_ids"),
                     TK.position_ids_multiturn("mask").alias("position_ids_multiturn"))
 
 
-@register("remove_padding", DOC_IDS_SQL + """
-, p AS (SELECT doc_id, CASE WHEN len(ids) > 64 THEN ids[len(ids) - 63:] ELSE list_concat(list_transform(range(64 - len(ids)), lambda x: 0), ids) END AS ids,
-  least(len(ids), 64) AS n FROM docs)
-SELECT doc_id, ids[64 - n + 1:] AS ids FROM p""")
+@register("remove_padding", DOC_IDS_SQL + "SELECT doc_id, ids FROM docs")
 def q_remove_padding(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
-    d = TK.pad_truncate(d, "ids", "mask", 64, 0, left_pad=True, truncation="left")
+    d = _left_padded(spark, sf_dir)
     return d.select("doc_id", TK.remove_padding("ids", "mask").alias("ids"))
 
 
 @register("sft_loss_mask", DOC_IDS_SQL + """
-, p AS (SELECT doc_id, CAST(doc_id % 20 AS INTEGER) + 1 AS pl, len(ids) - (CAST(doc_id % 20 AS INTEGER) + 1) AS rl,
-   CASE WHEN len(ids) > 128 THEN list_transform(range(128), lambda x: 1)
-        ELSE list_concat(list_transform(ids, lambda x: 1), list_transform(range(128 - len(ids)), lambda x: 0)) END AS m FROM docs)
-SELECT doc_id, list_transform(m, lambda v, i: CASE WHEN (pl > 1 AND i - 1 < least(pl, 128) - 1) OR i - 1 = least(pl + rl, 128) - 1 THEN 0 ELSE v END) AS loss_mask
+, p AS (SELECT doc_id, CAST(doc_id % 20 AS INTEGER) + 1 AS pl, len(ids) AS n FROM docs)
+SELECT doc_id, list_transform(range(n + 3), lambda i: CASE WHEN i >= n OR (pl > 1 AND i < least(pl, n + 3) - 1) OR i = greatest(n, pl) - 1 THEN 0 ELSE 1 END) AS loss_mask
 FROM p""")
 def q_sft_loss_mask(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumn("m", F.transform("ids", lambda _: F.lit(1)))
-    d = d.withColumns({"pl": (F.col("doc_id") % 20).cast("int") + 1})
-    d = d.withColumn("rl", F.size("ids") - F.col("pl"))
-    d = d.withColumn("m", TK.pad_or_truncate("m", 128, 0, left_pad=False, truncation="right"))
+    d = _docs(spark, sf_dir).withColumn("pl", (F.col("doc_id") % 20).cast("int") + 1)
+    d = d.withColumn("rl", F.greatest(F.size("ids") - F.col("pl"), F.lit(0)))
+    d = d.withColumn("m", F.concat(F.transform("ids", lambda _: F.lit(1)), F.array_repeat(F.lit(0), 3)))
     return d.select("doc_id", TK.sft_loss_mask("m", "pl", "rl").alias("loss_mask"))
 
 
@@ -126,14 +122,19 @@ def q_unpadded_offsets(spark, sf_dir):
 
 
 @register("preference_pair_arrays", DOC_IDS_SQL + """
-, p AS (SELECT doc_id, ids[1:3] AS prompt, ids[4:6] AS chosen, ids[7:9] AS rejected FROM docs)
+, p AS (SELECT doc_id, len(ids) // 3 AS k, ids FROM docs)
+, q AS (SELECT doc_id, list_concat(ids[1:2 * k], [50256]) AS c, list_concat(ids[1:k], ids[2 * k + 1:], [50256]) AS r FROM p)
 SELECT doc_id,
-  list_concat(list_concat(prompt, chosen, [50256]), list_transform(range(12 - len(prompt) - len(chosen) - 1), lambda x: 0)) AS chosen_input_ids,
-  list_concat(list_concat(prompt, rejected, [50256]), list_transform(range(12 - len(prompt) - len(rejected) - 1), lambda x: 0)) AS rejected_input_ids,
-  list_concat(list_transform(list_concat(prompt, chosen, [50256]), lambda x: 1), list_transform(range(12 - len(prompt) - len(chosen) - 1), lambda x: 0)) AS chosen_attention_mask
-FROM p""")
+  list_transform(range(256), lambda i: CASE WHEN i < len(c) THEN c[i + 1] ELSE 0 END) AS chosen_input_ids,
+  list_transform(range(256), lambda i: CASE WHEN i < len(r) THEN r[i + 1] ELSE 0 END) AS rejected_input_ids,
+  list_transform(range(256), lambda i: CASE WHEN i < len(c) THEN 1 ELSE 0 END) AS chosen_attention_mask,
+  list_transform(range(256), lambda i: CASE WHEN i < len(r) THEN 1 ELSE 0 END) AS rejected_attention_mask
+FROM q""")
 def q_preference_pair_arrays(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.slice("ids", 1, 3).alias("p"), F.slice("ids", 4, 3).alias("c"),
-                                    F.slice("ids", 7, 3).alias("r"))
-    d = TK.preference_pair_arrays(d, "p", "c", "r", 50256, 12, 0)
-    return d.select("doc_id", "chosen_input_ids", "rejected_input_ids", "chosen_attention_mask")
+    """Whole documents in thirds: prompt, chosen, rejected; longer ones are truncated at 256."""
+    k = F.floor(F.size("ids") / 3).cast("int")
+    d = _docs(spark, sf_dir).withColumn("k", k).select(
+        "doc_id", F.slice("ids", F.lit(1), F.col("k")).alias("p"), F.slice("ids", F.col("k") + 1, F.col("k")).alias("c"),
+        F.slice("ids", F.col("k") * 2 + 1, F.size("ids") - F.col("k") * 2).alias("r"))
+    d = TK.preference_pair_arrays(d, "p", "c", "r", 50256, 256, 0)
+    return d.select("doc_id", "chosen_input_ids", "rejected_input_ids", "chosen_attention_mask", "rejected_attention_mask")
