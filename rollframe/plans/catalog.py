@@ -87,6 +87,7 @@ EXECUTIONS_SQL = """executions AS (
               WHEN l_partkey % 13 = 0 THEN NULL
               ELSE ' ' || q || chr(10) END AS bad_output,
          NOT (l_returnflag = 'N' AND l_quantity <= 2) AS check_good,
+         CASE l_linenumber % 3 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'AssertionError' ELSE 'RuntimeError' END AS check_good_reason,
          (l_suppkey % 4) <> 0 AS check_bad
   FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q,
           CASE WHEN l_returnflag = 'R' AND l_tax >= 0.07 THEN 'RuntimeError'

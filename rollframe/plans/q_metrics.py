@@ -49,8 +49,7 @@ def q_validation_metrics(spark, sf_dir):
     return out.select("data_source", "var", "metric", r6("value").alias("value"))
 
 
-from rollframe.operators import outcomes as O  # noqa: E402
-from rollframe.plans.q_outcomes import CLASSIFY_SQL  # noqa: E402
+from rollframe.plans.q_outcomes import CLASSIFY_SQL, classified  # noqa: E402
 
 
 @register("reward_type_share", with_(ROLLOUTS_SQL) + """
@@ -66,7 +65,7 @@ def q_reward_type_share(spark, sf_dir):
 @register("fail_reason_share", CLASSIFY_SQL + """
 SELECT fail_reason, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cls WHERE fail_reason IS NOT NULL GROUP BY fail_reason""")
 def q_fail_reason_share(spark, sf_dir):
-    c = O.classify_test_outcome(T.executions(spark, sf_dir))
+    c = classified(spark, sf_dir)
     return M.fail_reason_share(c).select("fail_reason", r6("share").alias("share"))
 
 
@@ -86,7 +85,7 @@ def q_fail_reason_share(spark, sf_dir):
            INTO NAME metric VALUE pct)
 SELECT metric, round(avg(pct), 6) AS mean, round(stddev_pop(pct), 6) AS std FROM long GROUP BY metric""")
 def q_seeded_outcome_summary(spark, sf_dir):
-    c = O.classify_test_outcome(T.executions(spark, sf_dir)).withColumn("pos", F.col("response_id") % 4)
+    c = classified(spark, sf_dir).withColumn("pos", F.col("response_id") % 4)
     out = M.seeded_outcome_summary(c, "pos", num_inputs_col="num_inputs")
     return out.select("metric", r6("mean").alias("mean"), r6("std").alias("std"))
 

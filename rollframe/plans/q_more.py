@@ -19,25 +19,7 @@ from rollframe.plans.q_groups import _rs, _whiten_sql
 # ---------------------------------------------------------------------------
 # Responses with code, from orders: the kind is o_orderkey mod 9
 # ---------------------------------------------------------------------------
-_GEN, _ASSERT = "def generate_input_1():\\n    return 1\\n", "def check_output(a, b):\\n    assert a == b\\n    return True"
-CODE_KINDS = [
-    "no code here",
-    "```python\\n" + _GEN + _ASSERT + "\\n```",
-    "```python\\n" + _GEN + "def check_output(a, b):\\n    return a == b  # assert a\\n```",
-    "```python\\ndef helper():\\n    return 1\\n```",
-    "```python\\ndef solve(x):\\n    return x\\n" + _GEN + _ASSERT + "\\n```",
-    "Use brute force.\\n```python\\ndef brute_solve(x):\\n    assert x != 1\\n" + _GEN + "\\n```",
-    "```python\\ndef my_correct_answer (x):\\n    print(\"assert a > b\")\\n" + _GEN + "def check_output(a, b):\\n    pass\\n```",
-    "```python\\nfirst = 1\\n```\\nthen\\n```python\\n    " + _GEN + "assert first # a > b\\n```",
-    "```json\\n[1]\\n```",
-]
-
-
-def _code_text(key):
-    out = F.lit(None).cast("string")
-    for i, t in enumerate(CODE_KINDS):
-        out = F.when(key % len(CODE_KINDS) == i, F.lit(t.replace("\\n", "\n"))).otherwise(out)
-    return F.concat(F.lit("Answer to "), key.cast("string"), F.lit(":\n"), out)
+CODE_KINDS = T.CODE_KINDS
 
 
 def _sql_text(t: str) -> str:
@@ -52,7 +34,7 @@ CODE_SQL = ("code_texts AS (SELECT o_orderkey AS response_id, o_orderpriority AS
 def _code_responses(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("response_id"), F.col("o_orderpriority").alias("data_source"),
-                    _code_text(F.col("o_orderkey")).alias("response"))
+                    T.code_text(F.col("o_orderkey")).alias("response"))
 
 
 _BLOCK = r"coalesce(regexp_extract_all(response, '(?s)```python\n(.*?)\n\s*```', 1)[-1], '')"

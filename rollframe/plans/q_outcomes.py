@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollframe.functions import answers as A
 from rollframe.operators import outcomes as O
 from rollframe.plans import tables as T
 from rollframe.plans.catalog import EXECUTIONS_SQL, register, r6, with_
@@ -26,18 +27,20 @@ CLASSIFY_SQL = with_(EXECUTIONS_SQL) + r"""
     min(CASE WHEN good_err THEN input_idx END) AS err_idx,
     coalesce(bool_or(ran AND (bad_err OR coalesce(eq = false, false))), false) AS any_diff,
     min(CASE WHEN ran AND NOT check_good THEN input_idx END) AS gfail_idx,
+    arg_min(check_good_reason, input_idx) FILTER (ran AND NOT check_good) AS gfail_reason,
     coalesce(bool_or(NOT (ran AND NOT bad_err AND coalesce(eq, false)) AND (bad_err OR NOT check_bad)), false) AS bfail
   FROM g GROUP BY uid, response_id)
 , cls AS (SELECT uid, response_id,
-    CASE WHEN err_idx IS NOT NULL THEN 'FailGood'
+    CASE WHEN response_id % 9 IN (0, 8) THEN 'FormatError'
+         WHEN err_idx IS NOT NULL THEN 'FailGood'
          WHEN NOT any_diff AND gfail_idx IS NULL THEN 'PassGoodPassBad'
          WHEN NOT any_diff THEN 'FailGood'
          WHEN gfail_idx IS NOT NULL THEN 'GoodInputFailGood'
          WHEN NOT bfail THEN 'GoodInputPassGoodPassBad'
          ELSE 'PassGoodFailBad' END AS reward_type,
-    CAST(CASE WHEN err_idx IS NOT NULL THEN err_idx WHEN gfail_idx IS NOT NULL THEN gfail_idx END AS INTEGER) AS fail_index,
-    CASE WHEN err_idx IS NOT NULL THEN 'ExecutionError' WHEN gfail_idx IS NOT NULL THEN 'AssertionError' END AS fail_reason,
-    CAST(n AS BIGINT) AS num_inputs
+    CAST(CASE WHEN response_id % 9 IN (0, 8) THEN NULL WHEN err_idx IS NOT NULL THEN err_idx WHEN gfail_idx IS NOT NULL THEN gfail_idx END AS INTEGER) AS fail_index,
+    CASE WHEN response_id % 9 IN (0, 8) THEN NULL WHEN err_idx IS NOT NULL THEN 'ExecutionError' WHEN gfail_idx IS NOT NULL THEN gfail_reason END AS fail_reason,
+    CASE WHEN response_id % 9 IN (0, 8) THEN -1 ELSE CAST(n AS BIGINT) END AS num_inputs
   FROM a)
 , rew AS (SELECT *, CASE reward_type WHEN 'FailGood' THEN 0.0e0 WHEN 'PassGoodPassBad' THEN 0.0e0
       WHEN 'GoodInputFailGood' THEN 0.1e0 WHEN 'GoodInputPassGoodPassBad' THEN 0.1e0
@@ -45,18 +48,22 @@ CLASSIFY_SQL = with_(EXECUTIONS_SQL) + r"""
 """
 
 
-def _classified(spark, sf_dir):
-    return O.classify_test_outcome(T.executions(spark, sf_dir))
+def classified(spark, sf_dir):
+    """Outcomes of the executions; responses whose text has no program are format errors."""
+    e = T.executions(spark, sf_dir)
+    formats = e.select("uid", "response_id").distinct()
+    formats = formats.withColumn("format_ok", F.length(A.extract_code_block(T.code_text(F.col("response_id")))) > 0)
+    return O.classify_test_outcome(e, formats=formats)
 
 
 @register("classify_test_outcome", CLASSIFY_SQL + "SELECT * FROM cls")
 def q_classify(spark, sf_dir):
-    return _classified(spark, sf_dir)
+    return classified(spark, sf_dir)
 
 
 @register("outcome_reward", CLASSIFY_SQL + "SELECT uid, response_id, reward_type, score FROM rew")
 def q_outcome_reward(spark, sf_dir):
-    d = O.outcome_reward(_classified(spark, sf_dir))
+    d = O.outcome_reward(classified(spark, sf_dir))
     return d.select("uid", "response_id", "reward_type", "score")
 
 
@@ -71,13 +78,13 @@ SELECT uid, CAST(response_id // 2 AS BIGINT) AS pair, min(score) AS score,
   count(*) AS n_aggregated
 FROM rew GROUP BY uid, CAST(response_id // 2 AS BIGINT)""")
 def q_aggregate_outcomes(spark, sf_dir):
-    d = O.outcome_reward(_classified(spark, sf_dir)).withColumn("pair", (F.col("response_id") / 2).cast("bigint"))
+    d = O.outcome_reward(classified(spark, sf_dir)).withColumn("pair", (F.col("response_id") / 2).cast("bigint"))
     return O.aggregate_outcomes(d, ["uid", "pair"])
 
 
 @register("reward_type_counts", CLASSIFY_SQL + "SELECT reward_type, count(*) AS n FROM cls GROUP BY reward_type")
 def q_reward_type_counts(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("reward_type").agg(F.count(F.lit(1)).alias("n"))
+    return classified(spark, sf_dir).groupBy("reward_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("program_pass_counts", with_(EXECUTIONS_SQL) + """

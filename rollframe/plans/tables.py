@@ -141,5 +141,30 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad_status.alias("bad_status"),
         bad_output.alias("bad_output"),
         (~((F.col("l_returnflag") == "N") & (F.col("l_quantity") <= 2))).alias("check_good"),
+        F.when(F.col("l_linenumber") % 3 == 0, "TimeoutError").when(F.col("l_linenumber") % 3 == 1, "AssertionError")
+        .otherwise("RuntimeError").alias("check_good_reason"),
         ((F.col("l_suppkey") % 4) != 0).alias("check_bad"),
     )
+
+
+# What responses with code look like
+_GEN, _ASSERT = "def generate_input_1():\\n    return 1\\n", "def check_output(a, b):\\n    assert a == b\\n    return True"
+CODE_KINDS = [
+    "no code here",
+    "```python\\n" + _GEN + _ASSERT + "\\n```",
+    "```python\\n" + _GEN + "def check_output(a, b):\\n    return a == b  # assert a\\n```",
+    "```python\\ndef helper():\\n    return 1\\n```",
+    "```python\\ndef solve(x):\\n    return x\\n" + _GEN + _ASSERT + "\\n```",
+    "Use brute force.\\n```python\\ndef brute_solve(x):\\n    assert x != 1\\n" + _GEN + "\\n```",
+    "```python\\ndef my_correct_answer (x):\\n    print(\"assert a > b\")\\n" + _GEN + "def check_output(a, b):\\n    pass\\n```",
+    "```python\\nfirst = 1\\n```\\nthen\\n```python\\n    " + _GEN + "assert first # a > b\\n```",
+    "```json\\n[1]\\n```",
+]
+
+
+def code_text(key):
+    """A response with code: the kind is the key modulo the number of kinds."""
+    out = F.lit(None).cast("string")
+    for i, t in enumerate(CODE_KINDS):
+        out = F.when(key % len(CODE_KINDS) == i, F.lit(t.replace("\\n", "\n"))).otherwise(out)
+    return F.concat(F.lit("Answer to "), key.cast("string"), F.lit(":\n"), out)
