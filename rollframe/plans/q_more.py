@@ -462,3 +462,27 @@ def q_batch_data_metrics(spark, sf_dir):
     m = M.batch_data_metrics(t, max_response_length=64, prompt_mask_col="prompt_mask", max_prompt_length=48)
     keep = [c for c in m.columns if not c.startswith(("reward_", "ret_"))]
     return m.select(*[c if c.endswith(("length_max", "length_min")) else r6(c).alias(c) for c in keep])
+
+
+# ---------------------------------------------------------------------------
+# Spellings of boxed answers, from events: the kind is event_id mod 16
+# ---------------------------------------------------------------------------
+BOXED_KINDS = [  # response with N for the number, truth, score
+    (r"so \boxed{\frac{1}{N}}.", r"\frac{1}{N}", 1.0), (r"\boxed{\dfrac{1}{N}}", r"\frac{1}{N}", 1.0), (r"\boxed{N\text{ cm}}", "N", 1.0),
+    (r"\boxed{N\%}", "N", 1.0), (r"\boxed{x=N}", "N", 1.0), (r"\boxed{\sqrt3 + N}", r"\sqrt{3}+N", 1.0), (r"N: \boxed{.5}", r"\frac{1}{2}", 1.0),
+    (r"\boxed{1/N}", r"\frac{1}{N}", 1.0), (r"\boxed{\left(N, 1\right)}", "(N,1)", 1.0), (r"\boxed N$ as said", "N", 1.0), (r"\boxed{N", "N", 0.0),
+    (r"\boxed{a{b}N}", "a{b}N", 1.0), (r"\boxed{N^\circ}", "N", 1.0), (r"\boxed{1} then \boxed{N}", "1", 0.0), (r"\fbox{N}", "N", 0.0),
+    ("it is N", "N", 0.0),
+]
+
+
+@register("score_boxed_math_forms", "SELECT event_id, CASE CAST(event_id % " + str(len(BOXED_KINDS)) + " AS INTEGER) "
+          + " ".join(f"WHEN {i} THEN {k[2]}e0" for i, k in enumerate(BOXED_KINDS)) + " END AS score FROM events")
+def q_score_boxed_math_forms(spark, sf_dir):
+    ev = T.table(spark, sf_dir, "events")
+    n = (F.floor("value").cast("bigint") % 900 + 100).cast("string")
+    text, truth = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (a, b, _) in enumerate(BOXED_KINDS):
+        k = F.col("event_id") % len(BOXED_KINDS) == i
+        text, truth = F.when(k, F.lit(a)).otherwise(text), F.when(k, F.lit(b)).otherwise(truth)
+    return ev.select("event_id", A.score_boxed_math(F.replace(text, F.lit("N"), n), F.replace(truth, F.lit("N"), n)).alias("score"))

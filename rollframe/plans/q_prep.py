@@ -27,13 +27,11 @@ def q_clean_wikihow_text(spark, sf_dir):
 def q_to_prompt_schema(spark, sf_dir):
     from rollframe.operators.indexing import with_row_index
     d = with_row_index(T.table(spark, sf_dir, "documents"), "doc_id", out_col="idx")
-    rec = P.to_prompt_schema(d, "text", "docs", "nlp", "n_chars", "train", "idx", suffix=" Answer in one word.")
-    src = d.select(F.col("idx").alias("index"), F.concat(F.lit("docs/"), F.col("source")).alias("data_source"))
-    flat = rec.select(F.col("extra_info.index").alias("index"), F.col("prompt")[0]["role"].alias("role"),
+    rec = P.to_prompt_schema(d, "text", F.concat(F.lit("docs/"), F.col("source")), "nlp", "n_chars", "train", "idx", suffix=" Answer in one word.")
+    return rec.select("data_source", F.col("extra_info.index").alias("index"), F.col("prompt")[0]["role"].alias("role"),
                       F.col("prompt")[0]["content"].alias("content"), "ability",
                       F.col("reward_model.style").alias("style"), F.col("reward_model.ground_truth").alias("ground_truth"),
                       F.col("extra_info.split").alias("split"), F.col("extra_info.question").alias("question"))
-    return src.join(flat, "index")
 
 
 @register("index_within_split", """SELECT doc_id, lang AS split, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS index FROM documents""")
