@@ -19,7 +19,7 @@ pass are verified.  No pair within a known component is tested, none outside is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ from rollframe.llm.suffix_dedup import _mix, _tables
 from rollframe.llm.work import written
 from rollframe.session import ship_package
 
-GROUPS, SLICE_BYTES = 64, 1 << 20
+#: Groups of the count vector: of GROUPS random counts the minima bound sets of up to some ten
+#: thousand shingles well; leaf: rows of a tree's leaf.
+GROUPS, LEAF, SLICE_BYTES, SPARE_BITS = 256, 48, 1 << 20, 20
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 C1, C2, C3 = (np.uint64(c) for c in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
@@ -66,7 +68,8 @@ def classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
         b = max(a + 1, int(a * 1.4))
         d = t.differing(b - 1 + t.partner(b - 1))
         lo.append(a)
-        blocks.append(d + (2 if d >= 8 else 1))
+        # blocks to spare: linked pairs then agree on several, and hot ones can be done without
+        blocks.append(d + 1 + (-(-d // 5) if d <= 20 else 4 + (d - 20) // 10))
         a = b
     return np.array(lo + [a], np.int64), np.array(blocks, np.int64)
 
@@ -150,11 +153,13 @@ def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def cell_keys(count: np.ndarray, hashes: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell key) of every block sub-vector that the rows (with their set sizes) index."""
-    rows_out, keys_out = [], []
+def cell_keys(count: np.ndarray, hashes: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell key, spare) of every block sub-vector that the rows (with their set sizes)
+    index.  spare: the size class in the high bits, and on how many blocks of it the row agrees
+    at least with any set that it links with there."""
+    rows_out, keys_out, spare_out = [], [], []
     if not count.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     lo, blocks = classes(t.num, t.den, 1 << (int(count.max()) - 1).bit_length() + 1)
     own = np.searchsorted(lo, count, "right") - 1
     first = np.cumsum(count) - count
@@ -177,19 +182,23 @@ def cell_keys(count: np.ndarray, hashes: np.ndarray, t: Threshold) -> tuple[np.n
         block = np.arange(len(vector)) - np.repeat(start, k)
         row = np.repeat(rows, k)
         empty = np.add.reduceat(~filled, start)
-        # an equal empty block only matters if it may be the one equal block
-        matters = empty >= k - t.differing(n + t.partner(n))
+        # an equal empty block only matters if all blocks that agree may be empty
+        agree = k - t.differing(n + t.partner(n))
+        matters = empty >= agree
         use = filled | np.repeat(matters, k)
         key = _mix(vector + _mix(np.repeat(c[rows], k).astype(np.uint64) * C3 + block.astype(np.uint64) * C1))
         rows_out.append(row[use])
         keys_out.append(key[use])
+        # an empty block that is left out takes none of the others' agreement with it
+        spare = (c[rows] << SPARE_BITS) | np.clip(agree - np.where(matters, 0, empty), 1, (1 << SPARE_BITS) - 1)
+        spare_out.append(np.repeat(spare, k)[use])
         down += 1
-    return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64)
+    return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64), np.concatenate(spare_out).astype(np.int32)
 
 
 POINTS = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                    ("point", pa.binary())])
-POINTS_DDL = "kind tinyint, id bigint, n bigint, s1 bigint, s2 bigint, point binary"
+                    ("point", pa.binary()), ("spare", pa.int32())])
+POINTS_DDL = "kind tinyint, id bigint, n bigint, s1 bigint, s2 bigint, point binary, spare int"
 
 
 def _points(words: int, t: Threshold):
@@ -203,24 +212,24 @@ def _points(words: int, t: Threshold):
                 part = ids.slice(at, len(count))
                 s1, s2 = _sums(_mix(hashes ^ C1), count).view(np.int64), _sums(_mix(hashes ^ C3), count).view(np.int64)
                 row = np.repeat(np.arange(len(count)), count)
-                group = (hashes >> np.uint64(58)).astype(np.int64)
+                group = (hashes >> np.uint64(56)).astype(np.int64)
                 points = np.bincount(row * GROUPS + group, minlength=len(count) * GROUPS).astype("<u4")
                 size = 4 * GROUPS
                 buffers = [None, pa.py_buffer((np.arange(len(count) + 1) * size).astype(np.int32)), pa.py_buffer(points)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(count), np.int8)), part, pa.array(count.astype(np.int64)), pa.array(s1), pa.array(s2),
-                     pa.Array.from_buffers(pa.binary(), len(count), buffers)], schema=POINTS)
+                     pa.Array.from_buffers(pa.binary(), len(count), buffers), pa.nulls(len(count), pa.int32())], schema=POINTS)
                 new = np.zeros(len(count), bool)
                 for i, key in enumerate(zip(s1.tolist(), s2.tolist())):
                     if count[i] and part[i].is_valid and key not in seen:
                         seen.add(key)
                         new[i] = True
                 n = np.where(new, count, 0)
-                r, key = cell_keys(n, hashes[np.repeat(new, count)], t)
+                r, key, spare = cell_keys(n, hashes[np.repeat(new, count)], t)
                 none = pa.nulls(len(r), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(len(r), np.int8)), part.take(pa.array(r)), none, pa.array(key), none,
-                     pa.nulls(len(r), pa.binary())], schema=POINTS)
+                     pa.nulls(len(r), pa.binary()), pa.array(spare)], schema=POINTS)
 
     return run
 
@@ -241,24 +250,32 @@ def _sets(words: int):
 
 def _counts(column: pa.Array) -> np.ndarray:
     out = [np.frombuffer(x.as_buffer(), "<u4") for x in column]
-    return np.array(out, np.int64).reshape(-1, GROUPS)
+    return np.array(out, np.int32).reshape(-1, GROUPS)
+
+
+def _bounded(t: Threshold):
+    """Pairs (a, b, pa, pb) whose summed coordinate minima reach the needed overlap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                a, b = _counts(part.column("pa")), _counts(part.column("pb"))
+                keep = np.minimum(a, b).sum(axis=1) >= t.needed(a.sum(axis=1) + b.sum(axis=1))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _verify(t: Threshold):
-    """Over (a, b, sa, sb): the pairs whose sets link.  The summed minima of their group counts
-    bound the overlap first."""
+    """Over (a, b, sa, sb): the pairs whose sets link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (sa, sb) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (sa, sb))
-                total = len(x) + len(y)
-                if min(len(x), len(y)) < t.needed(total):
-                    continue
-                gx, gy = (np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for v in (x, y))
-                if np.minimum(gx, gy).sum() >= t.needed(total):
+                if len(x) and len(y):
                     both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    keep[i] = both >= t.needed(total)
+                    keep[i] = both >= t.needed(len(x) + len(y))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -268,7 +285,7 @@ class CountTree:
     """R-tree over count vectors: packed bottom-up after sorting by size, then by the coordinate
     that varies most; a node keeps coordinate maxima and the size range of its points."""
 
-    def __init__(self, points: np.ndarray, t: Threshold, leaf: int = 16, fan: int = 8):
+    def __init__(self, points: np.ndarray, t: Threshold, leaf: int = LEAF, fan: int = 8):
         self.t, self.points, self.size = t, points, points.sum(axis=1)
         spread = points[:, np.argsort(-points.var(axis=0), kind="stable")[:2]]
         # slabs of like sizes, tiled by the widest coordinates
@@ -309,7 +326,14 @@ def _tree_pairs(t: Threshold):
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         ids, comp = np.asarray(rows.column("id")), np.asarray(rows.column("component"))
-        tree, a, b = CountTree(_counts(rows.column("point").combine_chunks()), t), [], []
+        counts = _counts(rows.column("point").combine_chunks())
+        if len(ids) <= LEAF:  # one leaf: all its bounds at once
+            size = counts.sum(axis=1)
+            bound = np.minimum(counts[:, None], counts[None]).sum(axis=2)
+            ok = (bound >= t.needed(size[:, None] + size[None])) & (ids[:, None] < ids[None]) & (comp[:, None] != comp[None])
+            i, j = np.nonzero(ok)
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], schema=schema)
+        tree, a, b = CountTree(counts, t), [], []
         for i in range(len(ids)):
             near = tree.near(i)
             near = near[(ids[near] > ids[i]) & (comp[near] != comp[i])]
@@ -338,7 +362,7 @@ PAIR_DDL = "a bigint, b bigint"
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90,
-                    den: int = 100, tree_rows: int = 2048, star_rounds: int = 1) -> DataFrame:
+                    den: int = 100, tree_rows: int = 2048, star_rounds: int = 1, hot_rows: int = 32) -> DataFrame:
     """(id, n_shingles, component_id) for every input row: two documents link when den *
     intersection >= num * union of their sets of distinct ``words``-word shingles (ASCII
     letters lowered; a shorter text is one shingle), and the component is named by its
@@ -349,10 +373,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts with one id are one node of the graph and each get a result row.  Shingles are
     compared as 64-bit hashes.  Extra columns are not read.  An empty table gives none.
 
-    Shuffled are one 24-byte row per block (about 0.17 per shingle), the texts once by id to
-    fetch the sets of documents that share a cell (by a merge join: the list of those ids has
-    no bound that a broadcast could rely on), and those sets once per tested pair.  Joins on a
-    hub's id are split by the engine where the hub is hot.  A cell with more than ``tree_rows``
+    Shuffled are one 24-byte row per block (about 0.2 per shingle at 90 of 100), count vectors of
+    documents that share a cell, the texts by id to fetch the sets of those in pairs that pass
+    the bound (by merge joins, up to three: the list of those ids has no bound that a broadcast
+    could rely on), and those sets once per pair.  Joins on a
+    hub's id are split by the engine where the hub is hot.  A cell of more than ``hot_rows``
+    members is often one common line's: members that meet all their partners elsewhere leave
+    it, by a count of blocks that must agree, so nothing is lost.  A cell with more than ``tree_rows``
     unsettled members is split into parts that meet pairwise, so no task of the tree step
     holds more than two parts.
     """
@@ -361,7 +388,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(rows.mapInArrow(_points(words, t), POINTS_DDL), "points")
     points = table.where("kind = 0").select("id", "n", "s1", "s2", "point")
-    blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id")
+    blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id", "spare")
 
     # equal sets: the smallest id stands for all, its copies follow it
     sets = points.where("n > 0 and id is not null")
@@ -377,25 +404,45 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # cells with more than one set; of cells with the same members one
     shared = blocks.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
-    members = blocks.join(shared, "cell").join(to, F.col("id") == F.col("copy"), "left")
-    members = written(members.select("cell", F.coalesce("to", "id").alias("id")).distinct(), "members")
+    members = blocks.join(written(shared, "shared"), "cell").join(to, F.col("id") == F.col("copy"), "left")
+    members = members.groupBy("cell", F.coalesce("to", "id").alias("id")).agg(F.min("spare").alias("spare"))
+    members = written(members, "members")
+    # a member agrees with each of its partners on ``spare`` blocks at least: if fewer of its cells
+    # than that are hot, it meets every partner in another one, and leaves the hot ones
+    size = members.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
+    sized = members.join(size, "cell").withColumn("class", F.shiftright("spare", SPARE_BITS))
+    hot = sized.where(F.col("m") > hot_rows)
+    agree = F.min("spare").bitwiseAND((1 << SPARE_BITS) - 1)
+    light = hot.groupBy("id", "class").agg(F.count("*").alias("h"), agree.alias("agree")).where("h < agree").select("id", "class")
+    members = sized.where(F.col("m") <= hot_rows).unionByName(hot.join(light, ["id", "class"], "left_anti")).select("cell", "id")
     who = [F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("w1"),
            F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("w2"), F.min("id").alias("hub")]
     cells = members.groupBy("cell").agg(*who).where("m > 1")
     cells = cells.groupBy("m", "w1", "w2", "hub").agg(F.min("cell").alias("cell")).select("cell", "m", "hub")
     members = written(members.join(cells, "cell"), "cells")
 
-    ids = members.select("id").distinct()
-    bodies = written(rows.join(ids.hint("merge"), "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets")
+    point = same.select("id", "point")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        wide = (pairs.join(point.select(F.col("id").alias("a"), F.col("point").alias("pa")), "a")
+                .join(point.select(F.col("id").alias("b"), F.col("point").alias("pb")), "b"))
+        return wide.select("a", "b", "pa", "pb").mapInArrow(_bounded(t), PAIR_DDL).distinct()
+
+    fetched: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        for had in fetched:
+            ids = ids.join(had.select("id"), "id", "left_anti")
+        fetched.append(written(rows.join(ids.hint("merge"), "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets"))
+        bodies = reduce(DataFrame.unionByName, fetched)
         near = (pairs.join(bodies.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
                 .join(bodies.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))
         return written(near.select("a", "b", "sa", "sb").mapInArrow(_verify(t), PAIR_DDL), "links")
 
     # first each member with the smallest of its cells' hubs
     tested = written(members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
-    found = components(links.unionByName(verified(tested)))
+    found = components(links.unionByName(verified(written(bounded(tested), "near"))))
     left = members.select("cell", "id", "m")
     for turn in range(star_rounds + 1):
         # what is left: cells with members in several components
@@ -422,7 +469,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        more = verified(pairs)
+        more = verified(written(bounded(pairs), "near") if turn < star_rounds else pairs)
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             # the stars found so far stand for the links that made them

@@ -50,15 +50,16 @@ def varied(rng, n_base=12, copies=9):
     return rows
 
 
-@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
-def test_jaccard_classes_against_brute_force(spark, n, num, den):
+@pytest.mark.parametrize("n,num,den,hot", [(3, 90, 100, 32), (5, 80, 100, 2), (2, 60, 100, 3)])
+def test_jaccard_classes_against_brute_force(spark, n, num, den, hot):
     rng = random.Random(num)
-    rows = varied(rng) + [(500, None), (501, ""), (502, " \n"), (503, "One Two"), (504, "one  TWO"), (505, "one two three"),
+    line = "this line is on many pages "
+    rows = varied(rng) + [(400 + i, line + " ".join(f"q{rng.randint(0, 900)}" for _ in range(rng.randint(3, 60)))) for i in range(40)] + [(500, None), (501, ""), (502, " \n"), (503, "One Two"), (504, "one  TWO"), (505, "one two three"),
                           (506, "é É"), (None, "one two"), (None, None), (503, "One Two"), (504, "quite another text of some words")]
     rows += [(600 + i, "hot text " * 40) for i in range(30)]
     rng.shuffle(rows)
     d = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, n_shingles int, id string").repartition(7)
-    got = jj.jaccard_classes(d, words=n, num=num, den=den).collect()
+    got = jj.jaccard_classes(d, words=n, num=num, den=den, hot_rows=hot).collect()
     assert sorted(map(tuple, got), key=str) == brute_classes(rows, n, num, den)
 
 
@@ -94,7 +95,7 @@ def test_a_linked_pair_shares_a_cell():
         a, b = (np.unique(np.concatenate((common, e))) for e in extra)
         both = len(np.intersect1d(a, b))
         if 100 * both >= 90 * (len(a) + len(b) - both):
-            row, key = jj.cell_keys(np.array([len(a), len(b)]), np.concatenate((a, b)), t)
+            row, key, _ = jj.cell_keys(np.array([len(a), len(b)]), np.concatenate((a, b)), t)
             assert set(key[row == 0]) & set(key[row == 1])
 
 
