@@ -27,8 +27,9 @@ LITERAL_MARK = 0x110000  # stands for a space mark that is in the text itself: n
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 RUNS = re.compile(" +[^ ]*")
+TOP_SHIFT = np.uint64(64 - 18)
 #: Characters solved at a time, bytes of text tokenised at a time, spellings remembered.
-CHUNK_CHARS, SLICE_BYTES, MAX_UNITS = 1 << 16, 4 << 20, 300_000
+CHUNK_CHARS, SLICE_BYTES, MAX_UNITS = 1 << 16, 8 << 20, 300_000
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -83,10 +84,16 @@ class PieceModel:
             raise ValueError("two pieces have one key")
         self.ids = np.array([i for i, _, _ in normal], np.int32)[order]
         self.scores = np.array([s for _, _, s in normal], np.float64)[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        pairs = {(ord(a) << 21) | ord(b) for _, p, _ in normal for a, b in zip(p, p[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
+        # where the keys with the same top bits start; a probe looks at a few neighbours
+        top = (self.keys >> TOP_SHIFT).astype(np.int64)
+        self.bucket = np.full(1 << (64 - int(TOP_SHIFT)), len(top), np.int32)
+        self.bucket[top[::-1]] = np.arange(len(top))[::-1]
+        self.deepest = int(np.bincount(top).max())
+        self.keys = np.append(self.keys, np.full(self.deepest + 1, self.keys[-1] + np.uint64(1)))
+        # may any piece have these two neighbours?  A wrong yes only leaves a segment longer.
+        pairs = np.array(sorted({(ord(a) << 21) | ord(b) for _, p, _ in normal for a, b in zip(p, p[1:])}), np.uint64)
+        self.joined = np.zeros(1 << (64 - int(TOP_SHIFT)), bool)
+        self.joined[((pairs * BASE) >> TOP_SHIFT).astype(np.int64)] = True
         self.out_len = np.array([len(b) for b in self.out], np.int64)
         self.out_at = np.concatenate(([0], np.cumsum(self.out_len)))
         self.out_blob = np.frombuffer(b"".join(self.out), np.uint8)
@@ -106,11 +113,9 @@ class PieceModel:
         its first space."""
         done, lens = [], []
         at = 0
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
         while at < len(units):
-            to, size = at, 0
-            while to < len(units) and (to == at or size + len(units[to]) < CHUNK_CHARS):
-                size += len(units[to]) + 1
-                to += 1
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS, "right")))
             ids, n = self._solve(units[at:to])
             done.append(ids)
             lens.append(n)
@@ -121,8 +126,8 @@ class PieceModel:
 
     def _solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         k = self.longest
-        points = _points("".join("\0" + u for u in units)).astype(np.int64)
-        unit_len = np.array([len(u) + 1 for u in units])
+        points = _points("\0" + "\0".join(units)).astype(np.int64)
+        unit_len = np.fromiter(map(len, units), np.int64, len(units)) + 1
         unit_end = np.cumsum(unit_len)
         first = unit_end - unit_len
         points[points == SPACE] = LITERAL_MARK
@@ -130,10 +135,9 @@ class PieceModel:
         points[first] = SPACE
         n = len(points)
         # segments: no piece spans their borders
-        pair = (points[:-1] << 21) | points[1:]
-        slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        pair = ((points[:-1] << 21) | points[1:]).astype(np.uint64)
         cut = np.ones(n, bool)
-        cut[1:] = self.pairs[slot] != pair
+        cut[1:] = ~self.joined[((pair * BASE) >> TOP_SHIFT).astype(np.int64)]
         cut[first] = True
         start = np.flatnonzero(cut)
         seg_len = np.diff(np.append(start, n))
@@ -142,28 +146,31 @@ class PieceModel:
         prefix, back_power = self._prefix(points.astype(np.uint64)), _powers(BASE_INV, n + 1)
         score = np.full((n, k), -np.inf)
         piece = np.full((n, k), -1, np.int32)
+        end = np.arange(n)
         for length in range(1, min(k, int(seg_len.max())) + 1):
-            end = np.flatnonzero(inside >= length - 1)
-            s = end + 1 - length
-            key = _mix((prefix[end + 1] - prefix[s]) * back_power[s], length)
-            ok = self.maybe[(key >> np.uint64(42)).astype(np.int64)]
-            end, key = end[ok], key[ok]
-            hit = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[hit] == key
-            end, hit = end[ok], hit[ok]
-            score[end, k - length] = self.scores[hit]
-            piece[end, k - length] = self.ids[hit]
+            end = end[inside[end] >= length - 1]
+            at = end + 1 - length
+            key = _mix((prefix[end + 1] - prefix[at]) * back_power[at], length)
+            hit = self.bucket[(key >> TOP_SHIFT).astype(np.int64)]
+            some = np.flatnonzero(hit < len(self.ids))
+            key, hit, to = key[some], hit[some], end[some]
+            for _ in range(self.deepest):
+                ok = np.flatnonzero(self.keys[hit] == key)
+                score[to[ok], k - length] = self.scores[hit[ok]]
+                piece[to[ok], k - length] = self.ids[hit[ok]]
+                hit = hit + 1
         score[piece[:, k - 1] < 0, k - 1] = self.unk
         back = np.zeros(n, np.int64)
         for length in np.unique(seg_len):
             rows = start[seg_len == length]
-            best = np.full((len(rows), k + length + 1), -np.inf)
-            best[:, k] = 0.0
+            best = np.zeros((len(rows), length + 1))
+            each = np.arange(len(rows))
             for e in range(length):
-                cand = score[rows + e] + best[:, e + 1:e + 1 + k]
+                w = min(k, e + 1)
+                cand = score[rows + e, k - w:] + best[:, e + 1 - w:e + 1]
                 c = cand.argmax(axis=1)  # of equal sums the one with the longest last piece
-                best[:, k + e + 1] = cand[np.arange(len(rows)), c]
-                back[rows + e] = k - c
+                best[:, e + 1] = cand[each, c]
+                back[rows + e] = w - c
         is_end, token = np.zeros(n, bool), np.zeros(n, np.int32)
         at, low = start + seg_len - 1, start
         while len(at):
@@ -204,9 +211,33 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Start over, but remember what was known for one more round."""
+        self.old = getattr(self, "now", None)
+        self.now = ({}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _learn(self, units: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        known, flat, start, counts = self.now
+        base = len(known)
+        known.update(zip(units, range(base, base + len(units))))
+        self.now = (known, np.concatenate((flat, ids)), np.concatenate((start, len(flat) + np.cumsum(count) - count)),
+                    np.concatenate((counts, count)))
+
+    def _spelled(self, units: list[str]) -> np.ndarray:
+        """Places of the units among the known ones; those that aren't are solved."""
+        known = self.now[0]
+        at = list(map(known.get, units))
+        if None in at:
+            new = [u for u, i in zip(units, at) if i is None]
+            if self.old is not None:
+                had = [u for u in new if u in self.old[0]]
+                if had:
+                    was = np.array([self.old[0][u] for u in had])
+                    self._learn(had, gather(self.old[1], self.old[2][was], self.old[3][was]), self.old[3][was])
+                    new = [u for u in new if u not in known]
+            if new:
+                self._learn(new, *self.model.encode_units(new))
+            at = list(map(known.get, units))
+        return np.array(at, np.int64)
 
     def encode(self, texts: pa.Array) -> pa.Array:
         size = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
@@ -221,20 +252,12 @@ class Encoder:
         n_words = np.zeros(len(texts), np.int64)
         n_words[size > 0] = np.asarray(pc.list_value_length(parts))
         coded = words.dictionary_encode()
-        spellings = coded.dictionary.to_pylist()
-        if len(self.known) > MAX_UNITS:
+        if len(self.now[0]) > MAX_UNITS:
             self.forget()
-        new = [u for u in spellings if u not in self.known]
-        if new:
-            ids, count = self.model.encode_units(new)
-            base = len(self.known)
-            self.known.update((u, base + i) for i, u in enumerate(new))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
-            self.count = np.concatenate((self.count, count))
-            self.flat = np.concatenate((self.flat, ids))
-        unit = np.array([self.known[u] for u in spellings], np.int64)[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
-        count = self.count[unit]
-        ids = gather(self.flat, self.start[unit], count)
+        unit = self._spelled(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        _, flat, start, counts = self.now
+        count = counts[unit]
+        ids = gather(flat, start[unit], count)
         total = np.concatenate(([0], np.cumsum(count)))
         ends = np.concatenate(([0], total[np.cumsum(n_words)]))
         out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
