@@ -35,7 +35,7 @@ from rollframe.session import ship_package
 
 #: Groups of the count vector: of GROUPS random counts the minima bound sets of up to some ten
 #: thousand shingles well; leaf: rows of a tree's leaf.
-GROUPS, LEAF, SLICE_BYTES, SPARE_BITS = 256, 48, 1 << 20, 20
+GROUPS, LEAF, SLICE_BYTES = 256, 48, 1 << 20
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 C1, C2, C3 = (np.uint64(c) for c in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
@@ -65,7 +65,7 @@ def classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     t, lo, blocks = Threshold(num, den), [], []
     a = 1
     while a <= largest:
-        b = max(a + 1, int(a * 1.4))
+        b = max(a + 1, int(a * 1.6))
         d = t.differing(b - 1 + t.partner(b - 1))
         lo.append(a)
         # blocks to spare: linked pairs then agree on several, and hot ones can be done without
@@ -154,12 +154,13 @@ def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def cell_keys(count: np.ndarray, hashes: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell key, spare) of every block sub-vector that the rows (with their set sizes)
-    index.  spare: the size class in the high bits, and on how many blocks of it the row agrees
-    at least with any set that it links with there."""
-    rows_out, keys_out, spare_out = [], [], []
+    """(row, cell key) of every block sub-vector that the rows (with their set sizes) index, and
+    of each row the number of indexed blocks on which it agrees at least with any set that it
+    links with."""
+    rows_out, keys_out = [], []
+    agreed = np.full(len(count), 1 << 30, np.int64)
     if not count.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(count), np.int64)
     lo, blocks = classes(t.num, t.den, 1 << (int(count.max()) - 1).bit_length() + 1)
     own = np.searchsorted(lo, count, "right") - 1
     first = np.cumsum(count) - count
@@ -189,16 +190,15 @@ def cell_keys(count: np.ndarray, hashes: np.ndarray, t: Threshold) -> tuple[np.n
         key = _mix(vector + _mix(np.repeat(c[rows], k).astype(np.uint64) * C3 + block.astype(np.uint64) * C1))
         rows_out.append(row[use])
         keys_out.append(key[use])
-        # an empty block that is left out takes none of the others' agreement with it
-        spare = (c[rows] << SPARE_BITS) | np.clip(agree - np.where(matters, 0, empty), 1, (1 << SPARE_BITS) - 1)
-        spare_out.append(np.repeat(spare, k)[use])
+        # empty blocks that are left out may be among those that agree
+        agreed[rows] = np.minimum(agreed[rows], np.where(matters, 1, np.maximum(agree - empty, 1)))
         down += 1
-    return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64), np.concatenate(spare_out).astype(np.int32)
+    return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64), np.where(count > 0, agreed, 0)
 
 
 POINTS = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                    ("point", pa.binary()), ("spare", pa.int32())])
-POINTS_DDL = "kind tinyint, id bigint, n bigint, s1 bigint, s2 bigint, point binary, spare int"
+                    ("point", pa.binary()), ("agree", pa.int64())])
+POINTS_DDL = "kind tinyint, id bigint, n bigint, s1 bigint, s2 bigint, point binary, agree bigint"
 
 
 def _points(words: int, t: Threshold):
@@ -216,20 +216,20 @@ def _points(words: int, t: Threshold):
                 points = np.bincount(row * GROUPS + group, minlength=len(count) * GROUPS).astype("<u4")
                 size = 4 * GROUPS
                 buffers = [None, pa.py_buffer((np.arange(len(count) + 1) * size).astype(np.int32)), pa.py_buffer(points)]
+                r, key, agree = cell_keys(count, hashes, t)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(count), np.int8)), part, pa.array(count.astype(np.int64)), pa.array(s1), pa.array(s2),
-                     pa.Array.from_buffers(pa.binary(), len(count), buffers), pa.nulls(len(count), pa.int32())], schema=POINTS)
+                     pa.Array.from_buffers(pa.binary(), len(count), buffers), pa.array(agree)], schema=POINTS)
                 new = np.zeros(len(count), bool)
-                for i, key in enumerate(zip(s1.tolist(), s2.tolist())):
-                    if count[i] and part[i].is_valid and key not in seen:
-                        seen.add(key)
+                for i, both in enumerate(zip(s1.tolist(), s2.tolist())):
+                    if count[i] and part[i].is_valid and both not in seen:
+                        seen.add(both)
                         new[i] = True
-                n = np.where(new, count, 0)
-                r, key, spare = cell_keys(n, hashes[np.repeat(new, count)], t)
+                r, key = r[new[r]], key[new[r]]
                 none = pa.nulls(len(r), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(len(r), np.int8)), part.take(pa.array(r)), none, pa.array(key), none,
-                     pa.nulls(len(r), pa.binary()), pa.array(spare)], schema=POINTS)
+                     pa.nulls(len(r), pa.binary()), none], schema=POINTS)
 
     return run
 
@@ -373,7 +373,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts with one id are one node of the graph and each get a result row.  Shingles are
     compared as 64-bit hashes.  Extra columns are not read.  An empty table gives none.
 
-    Shuffled are one 24-byte row per block (about 0.2 per shingle at 90 of 100), count vectors of
+    Shuffled are one 16-byte row per block, twice (about 0.2 blocks per shingle at 90 of 100), count vectors of
     documents that share a cell, the texts by id to fetch the sets of those in pairs that pass
     the bound (by merge joins, up to three: the list of those ids has no bound that a broadcast
     could rely on), and those sets once per pair.  Joins on a
@@ -387,12 +387,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(rows.mapInArrow(_points(words, t), POINTS_DDL), "points")
-    points = table.where("kind = 0").select("id", "n", "s1", "s2", "point")
-    blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id", "spare")
+    points = table.where("kind = 0").select("id", "n", "s1", "s2", "point", "agree")
+    blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id")
 
     # equal sets: the smallest id stands for all, its copies follow it
     sets = points.where("n > 0 and id is not null")
-    same = written(sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("point").alias("point")), "same")
+    same = written(sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("point").alias("point"), F.min("agree").alias("agree")), "same")
     copies = written(sets.select("s1", "s2", F.col("id").alias("copy")).join(
         same.where("id <> last").select("s1", "s2", "id"), ["s1", "s2"]).where("copy <> id").select("copy", "id").distinct(), "copies")
     # an id with several texts may be a copy of one set and stand for another: then it is a node of its own
@@ -405,16 +405,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # cells with more than one set; of cells with the same members one
     shared = blocks.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
     members = blocks.join(written(shared, "shared"), "cell").join(to, F.col("id") == F.col("copy"), "left")
-    members = members.groupBy("cell", F.coalesce("to", "id").alias("id")).agg(F.min("spare").alias("spare"))
-    members = written(members, "members")
-    # a member agrees with each of its partners on ``spare`` blocks at least: if fewer of its cells
+    members = written(members.select("cell", F.coalesce("to", "id").alias("id")).distinct(), "members")
+    # a member agrees with each of its partners on ``agree`` blocks at least: if fewer of its cells
     # than that are hot, it meets every partner in another one, and leaves the hot ones
     size = members.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
-    sized = members.join(size, "cell").withColumn("class", F.shiftright("spare", SPARE_BITS))
+    sized = members.join(size, "cell")
     hot = sized.where(F.col("m") > hot_rows)
-    agree = F.min("spare").bitwiseAND((1 << SPARE_BITS) - 1)
-    light = hot.groupBy("id", "class").agg(F.count("*").alias("h"), agree.alias("agree")).where("h < agree").select("id", "class")
-    members = sized.where(F.col("m") <= hot_rows).unionByName(hot.join(light, ["id", "class"], "left_anti")).select("cell", "id")
+    agree = same.groupBy("id").agg(F.min("agree").alias("agree"))
+    light = hot.groupBy("id").agg(F.count("*").alias("h")).join(agree, "id").where("h < agree").select("id")
+    members = sized.where(F.col("m") <= hot_rows).unionByName(hot.join(light, "id", "left_anti")).select("cell", "id")
     who = [F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("w1"),
            F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("w2"), F.min("id").alias("hub")]
     cells = members.groupBy("cell").agg(*who).where("m > 1")
