@@ -10,6 +10,7 @@ few word-level rates.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ class ClassifierParams:
     dims, nonzero: of the vectors.  hidden, epochs, rate, decay: of the network.
     slice_bytes: text pooled at a time; max_known: words that a worker remembers."""
 
-    max_rows: int = 4000
-    max_bytes: int = 1 << 15
+    max_rows: int = 2000
+    max_bytes: int = 1 << 14
     max_words: int = 5000
     min_docs: int = 5
     dims: int = 64
@@ -213,7 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     vectors = WordVectors(texts, p)
     x = np.concatenate([vectors.pooled(s) for s in in_slices(texts, p.slice_bytes)] or [np.zeros((0, 2 * p.dims + 4), np.float32)])
     vectors.known.clear()
-    return vectors, Network(x, y, hold, p)
+    network = Network(x, y, hold, p)
+    # the driver keeps the model, not the sample
+    del rows, texts, x
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return vectors, network
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
