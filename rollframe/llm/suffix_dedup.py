@@ -253,6 +253,33 @@ class SuffixFamily:
         return out
 
 
+def _windows(body: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of some contexts, in order: (context, place in it, start in the bytes, hash),
+    and the bytes."""
+    body = pc.cast(body, pa.large_binary())
+    offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset:body.offset + len(body) + 1]
+    data = np.frombuffer(body.buffers()[2], np.uint8)
+    count = np.diff(offsets) - window + 1
+    ctx = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
+    start = offsets[:-1][ctx] + place
+    inverse = _tables()[2]
+    hashes = np.empty(len(ctx), np.uint64)
+    step = (1 << PLACE_BITS) // (127 + window)  # contexts hashed at a time
+    for a in range(0, len(count), step):
+        b = min(a + step, len(count))
+        s = _prefix(data[offsets[a]:offsets[b]])
+        w = slice(*np.searchsorted(ctx, (a, b)))
+        p = start[w] - offsets[a]
+        hashes[w] = (s[p + window] - s[p]) * inverse[p]
+    return ctx, place, start, hashes, data
+
+
+def _place(pos: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Positions of single windows of the runs at ``pos``."""
+    return ((pos >> AT_SHIFT) + place) << AT_SHIFT | (1 << N_SHIFT)
+
+
 def _settle(window: int, batch_windows: int = 1 << 16):
     """Over contexts (k, id, pos, bytes) sorted by position: spans of windows that occur earlier.
     Windows whose 64-bit hash no other window of the key range has are left out first."""
@@ -266,22 +293,7 @@ def _settle(window: int, batch_windows: int = 1 << 16):
         once[1:] = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])
         if not once.all():
             t, ids, pos = t.filter(pa.array(once)).combine_chunks(), ids[once], pos[once]
-        body = pc.cast(t.column("body").combine_chunks(), pa.large_binary())
-        offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset:body.offset + len(body) + 1]
-        data = np.frombuffer(body.buffers()[2], np.uint8)
-        count = np.diff(offsets) - window + 1
-        ctx = np.repeat(np.arange(len(ids)), count)
-        place = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-        start = offsets[:-1][ctx] + place
-        inverse = _tables()[2]
-        hashes = np.empty(len(ctx), np.uint64)
-        step = (1 << PLACE_BITS) // (127 + window)  # contexts hashed at a time
-        for a in range(0, len(ids), step):
-            b = min(a + step, len(ids))
-            s = _prefix(data[offsets[a]:offsets[b]])
-            w = slice(*np.searchsorted(ctx, (a, b)))
-            p = start[w] - offsets[a]
-            hashes[w] = (s[p + window] - s[p]) * inverse[p]
+        ctx, place, start, hashes, data = _windows(t.column("body").combine_chunks(), window)
         _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
         some = np.flatnonzero(times[back] > 1)
         family, dup = SuffixFamily(), np.zeros(len(ctx), bool)
@@ -291,12 +303,97 @@ def _settle(window: int, batch_windows: int = 1 << 16):
             dup[w] = family.add(np.ascontiguousarray(view[start[w]]).view(f"S{window}").ravel())
         hit = np.flatnonzero(dup)
         if len(hit):
-            at = ((pos[ctx[hit]] >> AT_SHIFT) + place[hit]) << AT_SHIFT | (1 << N_SHIFT)
-            yield _spans(ids[ctx[hit]], at, window)
+            yield _spans(ids[ctx[hit]], _place(pos[ctx[hit]], place[hit]), window)
+
+    return run
+
+
+def _hash_windows(window: int, compared: int = 1 << 16):
+    """Over contexts (id, pos, body) in any order: the windows (kind 3, k is their hash, h the
+    context's position) without those that are, byte for byte, later copies in the batch; these
+    are spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ctx, place, start, hashes, data = _windows(batch.column("body"), window)
+            own, runs = np.asarray(batch.column("id"))[ctx], np.asarray(batch.column("pos"))[ctx]
+            pos = _place(runs, place)
+            order = np.lexsort((pos, own, hashes))
+            own, runs, pos, start, hashes = own[order], runs[order], pos[order], start[order], hashes[order]
+            head = np.ones(len(order), bool)
+            head[1:] = hashes[1:] != hashes[:-1]
+            view = np.lib.stride_tricks.sliding_window_view(data, window)
+            same = np.flatnonzero(~head)
+            for a in range(0, len(same), compared):
+                i = same[a:a + compared]
+                head[i] = (view[start[i]] != view[start[i - 1]]).any(axis=1)
+            later = _greater(own, pos, np.flatnonzero(head)[np.cumsum(head) - 1])
+            if later.any():
+                yield _spans(own[later], pos[later], window)
+            yield _rows(3, hashes[head].view(np.int64), runs[head], own[head], pos[head])
+
+    return run
+
+
+def _cut_windows(window: int):
+    """(id, pos, body, asked) rows to (k, id, pos, body): the bytes of each asked-for window."""
+    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("asked")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(asked)).astype(np.int64))
+            k, pos = (np.asarray(asked.flatten().field(c)) for c in ("k", "pos"))
+            at = (pos >> AT_SHIFT) - (np.asarray(batch.column("pos")) >> AT_SHIFT)[row]
+            bodies = [b.as_buffer() for b in batch.column("body")]
+            for a in range(0, len(k), 10_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[a:a + 10_000]), pa.array(np.asarray(batch.column("id"))[row[a:a + 10_000]]), pa.array(pos[a:a + 10_000]),
+                     pa.array([bytes(memoryview(bodies[r])[o:o + window]) for r, o in zip(row[a:a + 10_000].tolist(), at[a:a + 10_000].tolist())],
+                              pa.binary())], schema=schema)
 
     return run
 
 
+def _match_windows(window: int):
+    """Over windows sorted by (k, body, id, pos): spans of those that are not the first with their bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the first window with the latest bytes
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.select(["k", "id", "pos", "body"])
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            ids, pos = np.asarray(batch.column("id")), np.asarray(batch.column("pos"))
+            head = np.ones(len(ids), bool)
+            head[1:] = np.asarray(pc.not_equal(batch.column("body")[1:], batch.column("body")[:-1]))
+            heads = np.flatnonzero(head)
+            later = _greater(ids, pos, heads[np.cumsum(head) - 1])
+            if later.any():
+                yield _spans(ids[later], pos[later], window)
+            last = batch.take(pa.array([heads[-1]]))
+
+    return run
+
+
+def _settle_hot(contexts: DataFrame, window: int) -> DataFrame:
+    """Spans from the contexts (k, id, pos, body) of anchors that are too frequent for one task.
+
+    Equal windows meet by their own hash: first without their bytes, which are then cut only for
+    windows whose hash another one has.  Both steps stream, so no task holds an anchor's or a
+    window's occurrences at once."""
+    contexts = written(contexts.select("id", "pos", "body").distinct(), "hot")
+    windows = written(contexts.mapInArrow(_hash_windows(window), FOUND_DDL), "windows")
+    often = windows.where("kind = 3").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    asked = (windows.where("kind = 3").join(often, "k").groupBy("id", "h")
+             .agg(F.collect_list(F.struct("k", "pos")).alias("asked")).withColumnRenamed("h", "pos"))
+    cut = contexts.join(asked, ["id", "pos"]).mapInArrow(_cut_windows(window), "k bigint, id bigint, pos bigint, body binary")
+    found = cut.repartition("k").sortWithinPartitions("k", "body", "id", "pos").mapInArrow(_match_windows(window), FOUND_DDL)
+    return windows.where("kind = 1").unionByName(found)
+
+
 def _cut_contexts(window: int):
     """(id, sub, text, asked) rows to (k, id, pos, body): the bytes of each asked-for run."""
     schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("body", pa.binary())])
@@ -378,6 +475,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         per_doc = asked.groupBy("id", sub).agg(F.collect_list(F.struct("k", "pos")).alias("asked"))
         texts = rows.select("id", "sub", "body").join(per_doc, ["id", "sub"])
         contexts = texts.mapInArrow(_cut_contexts(window), "k bigint, id bigint, pos bigint, body binary")
+        # an anchor with more edges than a task takes is split by the windows themselves
+        hot = written(asked.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > contexts_per_task).select("k"), "hot-anchors")
+        if not hot.isEmpty():
+            spans = spans.unionByName(written(_settle_hot(contexts.join(F.broadcast(hot), "k"), window), "hot-edges"))
+            contexts = contexts.join(F.broadcast(hot), "k", "left_anti")
         edges = (contexts.repartition(max(1, -(-n_asked // contexts_per_task)), "k").sortWithinPartitions("id", "pos")
                  .mapInArrow(_settle(window), FOUND_DDL))
         spans = spans.unionByName(written(edges, "edges"))

@@ -164,6 +164,33 @@ def test_suffix_dedup_against_brute_force(spark, k):
     assert sd.suffix_dedup(d.limit(0)).count() == 0
 
 
+def test_no_task_settles_a_hot_anchor(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    notice, passage = word(60), word(130)
+    rows = [(i, word(90) + notice + word(rng.randint(60, 90))) for i in range(200)]
+    rows += [(200 + i, word(30) + passage[:110] + notice + passage[rng.randint(0, 20):] + word(20)) for i in range(40)]
+    rows += [(None, rows[-1][1] + "end"), rows[210], rows[3]]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want, most, settle = brute_removed(rows, 100), spark.sparkContext.accumulator(0), sd._settle
+
+    def watched(window):
+        def run(batches):
+            tables = list(batches)
+            ks = pa.chunked_array([b.column("k") for b in tables]) if tables else pa.array([], pa.int64())
+            if len(ks) and max(x["counts"].as_py() for x in ks.value_counts()) > 30:
+                most.add(1)
+            yield from settle(window)(iter(tables))
+        return run
+
+    monkeypatch.setattr(sd, "_settle", watched)
+    got = sd.suffix_dedup(d, contexts_per_task=30).collect()
+    assert most.value == 0 and len(got) == len(rows)
+    for r in got:
+        n, spans, kept = want[r["doc_id"]]
+        assert (r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) == (n, spans, kept), r["doc_id"]
+
+
 def test_suffix_dedup_of_texts_over_several_pieces(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(9000))
