@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from rollframe.session import ship_package
 from rollframe.llm.work import written
@@ -27,8 +26,8 @@ from rollframe.llm.work import written
 #: Bytes of text hashed at a time; the low bits of an anchor's sort key hold its place there.
 PIECE, PLACE_BITS = 1 << 20, 21
 BASE = 0x9E3779B97F4A7C15 | 1
-#: A position: rank among texts with one id, offset, windows of the run, anchor's place in it.
-AT_SHIFT, N_SHIFT, SUB_SHIFT = 14, 7, 44
+#: A position in a text: offset, windows of the run, anchor's place in it.
+AT_SHIFT, N_SHIFT = 14, 7
 NULL_ID = -(1 << 63)
 
 
@@ -129,84 +128,88 @@ def _pieces(texts: pa.Array, window: int, longest: int = PIECE) -> Iterator[tupl
         i = j
 
 
-def _greater(ids: np.ndarray, pos: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _greater(ids: np.ndarray, sub: np.ndarray, pos: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Is the position after that of row ``first``?  The run's shape is not part of it."""
     a, b = pos >> AT_SHIFT, pos[first] >> AT_SHIFT
-    return (ids > ids[first]) | ((ids == ids[first]) & (a > b))
+    late = (sub > sub[first]) | ((sub == sub[first]) & (a > b))
+    return (ids > ids[first]) | ((ids == ids[first]) & late)
 
 
-FOUND = pa.schema([("kind", pa.int8()), ("k", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int64())])
-FOUND_DDL = "kind tinyint, k bigint, h bigint, id bigint, pos bigint"
+#: id and sub name a text: sub is its hash if some id has several texts, else 0.
+FOUND = pa.schema([("kind", pa.int8()), ("k", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("sub", pa.int64()), ("pos", pa.int64())])
+FOUND_DDL = "kind tinyint, k bigint, h bigint, id bigint, sub bigint, pos bigint"
 
 
-def _rows(kind: int, k, h, ids, pos) -> pa.RecordBatch:
+CONTEXT = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("sub", pa.int64()), ("pos", pa.int64()), ("body", pa.binary())])
+CONTEXT_DDL = "k bigint, id bigint, sub bigint, pos bigint, body binary"
+
+
+def _rows(kind: int, k, h, ids, sub, pos) -> pa.RecordBatch:
     n = len(ids)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(k), pa.array(h), pa.array(ids), pa.array(pos)], schema=FOUND)
+        [pa.array(np.full(n, kind, np.int8)), *(pa.array(x) for x in (k, h, ids, sub, pos))], schema=FOUND)
 
 
-def _spans(ids: np.ndarray, pos: np.ndarray, window: int, end: np.ndarray | None = None) -> pa.RecordBatch:
-    """Span rows (kind 1), merged: k spreads them, pos has rank and start, h the end."""
-    sub, start = pos >> SUB_SHIFT, (pos >> AT_SHIFT) & ((1 << (SUB_SHIFT - AT_SHIFT)) - 1)
-    if end is None:
-        end = start + ((pos >> N_SHIFT) & 127) + window - 1
+def _spans(ids: np.ndarray, sub: np.ndarray, pos: np.ndarray, window: int) -> pa.RecordBatch:
+    """Span rows (kind 1), merged: k spreads them, pos has the start, h the end."""
+    start = pos >> AT_SHIFT
+    end = start + ((pos >> N_SHIFT) & 127) + window - 1
     order = np.lexsort((start, sub, ids))
     ids, sub, start, end = ids[order], sub[order], start[order], end[order]
     doc = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]) | (sub[1:] != sub[:-1])))) if len(ids) else ids
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(ids) else ids
     doc, start, end = merged(doc, start, end)
     ids, sub = ids[first][doc], sub[first][doc]
-    k = _mix((ids ^ (start << 20)).view(np.uint64)).view(np.int64)
-    return _rows(1, k, end, ids, (sub << SUB_SHIFT) | (start << AT_SHIFT))
+    k = _mix((ids ^ sub ^ (start << 20)).view(np.uint64)).view(np.int64)
+    return _rows(1, k, end, ids, sub, start << AT_SHIFT)
 
 
 def _read_runs(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: list[tuple[np.ndarray, ...]] = []
-            ids, sub = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
+            ids, sub = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for raw, row, at, length in _pieces(batch.column(2), window):
                 piece, offset, count, place, gram, whole = anchored_runs(raw, length, window, k)
                 r = row[piece]
-                got.append((gram, whole, ids[r], (sub[r] << SUB_SHIFT) | ((at[piece] + offset) << AT_SHIFT)
-                            | (count << N_SHIFT) | place))
+                got.append((gram, whole, ids[r], sub[r], ((at[piece] + offset) << AT_SHIFT) | (count << N_SHIFT) | place))
             if not got:
                 continue
-            gram, whole, ids, pos = (np.concatenate(x) for x in zip(*got))
+            gram, whole, ids, sub, pos = (np.concatenate(x) for x in zip(*got))
             # of equal runs the first goes on; later ones are copies already
-            order = np.lexsort((pos, ids, whole, gram))
-            gram, whole, ids, pos = gram[order], whole[order], ids[order], pos[order]
+            order = np.lexsort((pos, sub, ids, whole, gram))
+            gram, whole, ids, sub, pos = gram[order], whole[order], ids[order], sub[order], pos[order]
             head = np.ones(len(gram), bool)
             head[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
             first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = _greater(ids, pos, first)
-            yield _spans(ids[later], pos[later], window)
-            yield _rows(0, gram[head], whole[head], ids[head], pos[head])
+            later = _greater(ids, sub, pos, first)
+            yield _spans(ids[later], sub[later], pos[later], window)
+            yield _rows(0, gram[head], whole[head], ids[head], sub[head], pos[head])
 
     return run
 
 
 def _match_runs(window: int):
-    """Over rows sorted by (k, h, id, pos): spans pass; later rows of one (k, h) are copies;
+    """Over rows sorted by (k, h, id, sub, pos): spans pass; later rows of one (k, h) are copies;
     the first rows of each h of a k with several are asked for (kind 2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (k, h, id, pos) of the latest first row
+        last = None  # (k, h, id, sub, pos) of the latest first row
         alone = None  # the one first row of the latest k, while it has no other
         for batch in batches:
             kind = np.asarray(batch.column(0))
             if (kind == 1).any():
                 yield batch.filter(pa.array(kind == 1))
-            k, h, ids, pos = (np.asarray(batch.column(i))[kind == 0] for i in range(1, 5))
+            k, h, ids, sub, pos = (np.asarray(batch.column(i))[kind == 0] for i in range(1, 6))
             if not len(k):
                 continue
             if last is not None:
-                k, h, ids, pos = (np.concatenate(([a], b)) for a, b in zip(last, (k, h, ids, pos)))
+                k, h, ids, sub, pos = (np.concatenate(([a], b)) for a, b in zip(last, (k, h, ids, sub, pos)))
             head = np.ones(len(k), bool)
             head[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
             heads = np.flatnonzero(head)
-            later = _greater(ids, pos, heads[np.cumsum(head) - 1])
+            later = _greater(ids, sub, pos, heads[np.cumsum(head) - 1])
             if later.any():
-                yield _spans(ids[later], pos[later], window)
+                yield _spans(ids[later], sub[later], pos[later], window)
             hk = k[heads]
             near = np.zeros(len(heads), bool)
             near[1:] |= hk[1:] == hk[:-1]
@@ -216,10 +219,10 @@ def _match_runs(window: int):
                 near[1:] |= hk[1:] == hk[0]
             ask = heads[near]
             if len(ask):
-                yield _rows(2, k[ask], h[ask], ids[ask], pos[ask])
+                yield _rows(2, k[ask], h[ask], ids[ask], sub[ask], pos[ask])
             i = heads[-1]
             was_asked = bool(near[-1]) or (last is not None and alone is None and len(heads) == 1)
-            last = (k[i], h[i], ids[i], pos[i])
+            last = (k[i], h[i], ids[i], sub[i], pos[i])
             alone = None if was_asked else last
 
     return run
@@ -281,18 +284,18 @@ def _place(pos: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _settle(window: int, batch_windows: int = 1 << 16):
-    """Over contexts (k, id, pos, bytes) sorted by position: spans of windows that occur earlier.
+    """Over contexts (k, id, sub, pos, bytes) sorted by position: spans of windows that occur earlier.
     Windows whose 64-bit hash no other window of the key range has are left out first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         t = pa.Table.from_batches(tables).combine_chunks()
-        ids, pos = np.asarray(t.column("id")), np.asarray(t.column("pos"))
+        ids, sub, pos = (np.asarray(t.column(c)) for c in ("id", "sub", "pos"))
         once = np.ones(len(ids), bool)  # a repeated input row is one place
-        once[1:] = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])
+        once[1:] = (ids[1:] != ids[:-1]) | (sub[1:] != sub[:-1]) | (pos[1:] != pos[:-1])
         if not once.all():
-            t, ids, pos = t.filter(pa.array(once)).combine_chunks(), ids[once], pos[once]
+            t, ids, sub, pos = t.filter(pa.array(once)).combine_chunks(), ids[once], sub[once], pos[once]
         ctx, place, start, hashes, data = _windows(t.column("body").combine_chunks(), window)
         _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
         some = np.flatnonzero(times[back] > 1)
@@ -303,13 +306,13 @@ def _settle(window: int, batch_windows: int = 1 << 16):
             dup[w] = family.add(np.ascontiguousarray(view[start[w]]).view(f"S{window}").ravel())
         hit = np.flatnonzero(dup)
         if len(hit):
-            yield _spans(ids[ctx[hit]], _place(pos[ctx[hit]], place[hit]), window)
+            yield _spans(ids[ctx[hit]], sub[ctx[hit]], _place(pos[ctx[hit]], place[hit]), window)
 
     return run
 
 
 def _hash_windows(window: int, compared: int = 1 << 16):
-    """Over contexts (id, pos, body) in any order: the windows (kind 3, k is their hash, h the
+    """Over contexts (id, sub, pos, body) in any order: the windows (kind 3, k is their hash, h the
     context's position) without those that are, byte for byte, later copies in the batch; these
     are spans."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +320,10 @@ def _hash_windows(window: int, compared: int = 1 << 16):
             if not batch.num_rows:
                 continue
             ctx, place, start, hashes, data = _windows(batch.column("body"), window)
-            own, runs = np.asarray(batch.column("id"))[ctx], np.asarray(batch.column("pos"))[ctx]
+            own, sub, runs = (np.asarray(batch.column(c))[ctx] for c in ("id", "sub", "pos"))
             pos = _place(runs, place)
-            order = np.lexsort((pos, own, hashes))
-            own, runs, pos, start, hashes = own[order], runs[order], pos[order], start[order], hashes[order]
+            order = np.lexsort((pos, sub, own, hashes))
+            own, sub, runs, pos, start, hashes = (x[order] for x in (own, sub, runs, pos, start, hashes))
             head = np.ones(len(order), bool)
             head[1:] = hashes[1:] != hashes[:-1]
             view = np.lib.stride_tricks.sliding_window_view(data, window)
@@ -328,18 +331,16 @@ def _hash_windows(window: int, compared: int = 1 << 16):
             for a in range(0, len(same), compared):
                 i = same[a:a + compared]
                 head[i] = (view[start[i]] != view[start[i - 1]]).any(axis=1)
-            later = _greater(own, pos, np.flatnonzero(head)[np.cumsum(head) - 1])
+            later = _greater(own, sub, pos, np.flatnonzero(head)[np.cumsum(head) - 1])
             if later.any():
-                yield _spans(own[later], pos[later], window)
-            yield _rows(3, hashes[head].view(np.int64), runs[head], own[head], pos[head])
+                yield _spans(own[later], sub[later], pos[later], window)
+            yield _rows(3, hashes[head].view(np.int64), runs[head], own[head], sub[head], pos[head])
 
     return run
 
 
 def _cut_windows(window: int):
-    """(id, pos, body, asked) rows to (k, id, pos, body): the bytes of each asked-for window."""
-    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("body", pa.binary())])
-
+    """(id, sub, pos, body, asked) rows to (k, id, sub, pos, body): the bytes of each asked-for window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("asked")
@@ -347,69 +348,69 @@ def _cut_windows(window: int):
             k, pos = (np.asarray(asked.flatten().field(c)) for c in ("k", "pos"))
             at = (pos >> AT_SHIFT) - (np.asarray(batch.column("pos")) >> AT_SHIFT)[row]
             bodies = [b.as_buffer() for b in batch.column("body")]
+            ids, sub = (np.asarray(batch.column(c))[row] for c in ("id", "sub"))
             for a in range(0, len(k), 10_000):
+                s = slice(a, a + 10_000)
+                cut = [bytes(memoryview(bodies[r])[o:o + window]) for r, o in zip(row[s].tolist(), at[s].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[a:a + 10_000]), pa.array(np.asarray(batch.column("id"))[row[a:a + 10_000]]), pa.array(pos[a:a + 10_000]),
-                     pa.array([bytes(memoryview(bodies[r])[o:o + window]) for r, o in zip(row[a:a + 10_000].tolist(), at[a:a + 10_000].tolist())],
-                              pa.binary())], schema=schema)
+                    [*(pa.array(x[s]) for x in (k, ids, sub, pos)), pa.array(cut, pa.binary())], schema=CONTEXT)
 
     return run
 
 
 def _match_windows(window: int):
-    """Over windows sorted by (k, body, id, pos): spans of those that are not the first with their bytes."""
+    """Over windows sorted by (k, body, id, sub, pos): spans of those that are not the first with their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the first window with the latest bytes
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = batch.select(["k", "id", "pos", "body"])
+            batch = batch.select(CONTEXT.names)
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            ids, pos = np.asarray(batch.column("id")), np.asarray(batch.column("pos"))
+            ids, sub, pos = (np.asarray(batch.column(c)) for c in ("id", "sub", "pos"))
             head = np.ones(len(ids), bool)
             head[1:] = np.asarray(pc.not_equal(batch.column("body")[1:], batch.column("body")[:-1]))
             heads = np.flatnonzero(head)
-            later = _greater(ids, pos, heads[np.cumsum(head) - 1])
+            later = _greater(ids, sub, pos, heads[np.cumsum(head) - 1])
             if later.any():
-                yield _spans(ids[later], pos[later], window)
+                yield _spans(ids[later], sub[later], pos[later], window)
             last = batch.take(pa.array([heads[-1]]))
 
     return run
 
 
 def _settle_hot(contexts: DataFrame, window: int) -> DataFrame:
-    """Spans from the contexts (k, id, pos, body) of anchors that are too frequent for one task.
+    """Spans from the contexts (k, id, sub, pos, body) of anchors that are too frequent for one task.
 
     Equal windows meet by their own hash: first without their bytes, which are then cut only for
     windows whose hash another one has.  Both steps stream, so no task holds an anchor's or a
     window's occurrences at once."""
-    contexts = written(contexts.select("id", "pos", "body").distinct(), "hot")
+    contexts = written(contexts.select("id", "sub", "pos", "body").distinct(), "hot")
     windows = written(contexts.mapInArrow(_hash_windows(window), FOUND_DDL), "windows")
     often = windows.where("kind = 3").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    asked = (windows.where("kind = 3").join(often, "k").groupBy("id", "h")
+    asked = (windows.where("kind = 3").join(often, "k").groupBy("id", "sub", "h")
              .agg(F.collect_list(F.struct("k", "pos")).alias("asked")).withColumnRenamed("h", "pos"))
-    cut = contexts.join(asked, ["id", "pos"]).mapInArrow(_cut_windows(window), "k bigint, id bigint, pos bigint, body binary")
-    found = cut.repartition("k").sortWithinPartitions("k", "body", "id", "pos").mapInArrow(_match_windows(window), FOUND_DDL)
+    cut = contexts.join(asked, ["id", "sub", "pos"]).mapInArrow(_cut_windows(window), CONTEXT_DDL)
+    found = cut.repartition("k").sortWithinPartitions("k", "body", "id", "sub", "pos").mapInArrow(_match_windows(window), FOUND_DDL)
     return windows.where("kind = 1").unionByName(found)
 
 
 def _cut_contexts(window: int):
-    """(id, sub, text, asked) rows to (k, id, pos, body): the bytes of each asked-for run."""
-    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("body", pa.binary())])
-
+    """(id, sub, text, asked) rows to (k, id, sub, pos, body): the bytes of each asked-for run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = batch.column("body")[i].as_buffer()
                 asked = batch.column("asked")[i].values
                 k, pos = np.asarray(asked.field("k")), np.asarray(asked.field("pos"))
-                at = (pos >> AT_SHIFT) & ((1 << (SUB_SHIFT - AT_SHIFT)) - 1)
+                at = pos >> AT_SHIFT
                 n = ((pos >> N_SHIFT) & 127) + window - 1
                 view = memoryview(raw)
+                own = (pa.array(np.full(len(k), batch.column(c)[i].as_py(), np.int64)) for c in ("id", "sub"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(np.full(len(k), batch.column("id")[i].as_py(), np.int64)), pa.array(pos),
-                     pa.array([bytes(view[a:a + m]) for a, m in zip(at.tolist(), n.tolist())], pa.binary())], schema=schema)
+                    [pa.array(k), *own, pa.array(pos),
+                     pa.array([bytes(view[a:a + m]) for a, m in zip(at.tolist(), n.tolist())], pa.binary())], schema=CONTEXT)
 
     return run
 
@@ -450,10 +451,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result.  Different texts with one id are taken as documents in the order of their hash.
     Null text: no bytes.  Texts shorter than a window keep all.  Extra columns are not read.
 
-    Shuffled are 40-byte rows, one per run of windows (about 2.5 per 100 bytes of text), the
+    Shuffled are 48-byte rows, one per run of windows (about 2.5 per 100 bytes of text), the
     texts by id to fetch the edges of copied passages and to cut the spans, and those edges.
     A task of the last step gets about ``contexts_per_task`` edges, so its suffix arrays fit
-    in memory at any size.  Positions hold texts up to 1 GiB.
+    in memory at any size; an anchor with more of them is settled window by window.
     """
     if not 2 * k <= window or window - k + 1 > 127:
         raise ValueError("the anchor must be at most half a window, and a run at most 127 windows")
@@ -462,29 +463,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.col(text_col).cast("binary").alias("body"))
     mark = F.xxhash64(F.coalesce("body", F.lit(b"")))
     several = rows.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").limit(1).count()
-    rank = F.dense_rank().over(W.partitionBy("id").orderBy(mark)) - 1 if several else F.lit(0)
-    rows = rows.select("row_id", "id", rank.cast("int").alias("sub"), "body")
+    rows = rows.select("row_id", "id", (mark if several else F.lit(0)).cast("long").alias("sub"), "body")
     runs = rows.select("id", "sub", "body").mapInArrow(_read_runs(window, k), FOUND_DDL)
-    found = written(runs.repartition("k").sortWithinPartitions("k", "h", "id", "pos")
+    found = written(runs.repartition("k").sortWithinPartitions("k", "h", "id", "sub", "pos")
                     .mapInArrow(_match_runs(window), FOUND_DDL), "runs")
-    sub = F.shiftright("pos", SUB_SHIFT).cast("int").alias("sub")
     asked = found.where("kind = 2")
     n_asked = asked.count()
     spans = found.where("kind = 1")
     if n_asked:
-        per_doc = asked.groupBy("id", sub).agg(F.collect_list(F.struct("k", "pos")).alias("asked"))
+        per_doc = asked.groupBy("id", "sub").agg(F.collect_list(F.struct("k", "pos")).alias("asked"))
         texts = rows.select("id", "sub", "body").join(per_doc, ["id", "sub"])
-        contexts = texts.mapInArrow(_cut_contexts(window), "k bigint, id bigint, pos bigint, body binary")
+        contexts = texts.mapInArrow(_cut_contexts(window), CONTEXT_DDL)
         # an anchor with more edges than a task takes is split by the windows themselves
         hot = written(asked.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > contexts_per_task).select("k"), "hot-anchors")
         if not hot.isEmpty():
             spans = spans.unionByName(written(_settle_hot(contexts.join(F.broadcast(hot), "k"), window), "hot-edges"))
             contexts = contexts.join(F.broadcast(hot), "k", "left_anti")
-        edges = (contexts.repartition(max(1, -(-n_asked // contexts_per_task)), "k").sortWithinPartitions("id", "pos")
+        edges = (contexts.repartition(max(1, -(-n_asked // contexts_per_task)), "k").sortWithinPartitions("id", "sub", "pos")
                  .mapInArrow(_settle(window), FOUND_DDL))
         spans = spans.unionByName(written(edges, "edges"))
-    start = F.shiftright("pos", AT_SHIFT).bitwiseAND((1 << (SUB_SHIFT - AT_SHIFT)) - 1)
-    per_doc = spans.groupBy("id", sub).agg(F.collect_list(F.struct(start.alias("start"), F.col("h").alias("end"))).alias("found"))
+    start = F.shiftright("pos", AT_SHIFT)
+    per_doc = spans.groupBy("id", "sub").agg(F.collect_list(F.struct(start.alias("start"), F.col("h").alias("end"))).alias("found"))
     out = rows.join(per_doc, ["id", "sub"], "left").select("row_id", "body", "found").mapInArrow(
         _keep(), f"row_id {docs.schema[id_col].dataType.simpleString()}, {KEPT_DDL}")
     return out.withColumnRenamed("row_id", id_col)

@@ -219,6 +219,19 @@ def test_texts_with_one_id_are_ordered_documents(spark):
     assert all(x for x in firsts)
 
 
+def test_many_texts_with_one_id_need_no_rank(spark):
+    n = 600_000  # more different texts under the null id than a 19-bit rank holds
+    passage = "".join(random.Random(3).choices("abcdefgh ", k=120))
+    d = spark.range(n, numPartitions=8).select(
+        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 150_000 == 0, F.concat(F.lit(passage), F.col("id").cast("string")))
+        .otherwise(F.col("id").cast("string")).alias("text"))
+    out = sd.suffix_dedup(d)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "rank" not in plan
+    got = [bytes(r["kept"]) for r in out.where("n_bytes > 100").collect()]
+    assert len(got) == 4 and sum(passage.encode() in x for x in got) == 1 and sum(len(x) < 10 for x in got) == 3
+
+
 def test_suffix_family_keeps_few_levels():
     rng, family, seen = np.random.default_rng(1), sd.SuffixFamily(), set()
     for _ in range(64):
