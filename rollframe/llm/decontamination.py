@@ -1,7 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton over all item windows.
 
 Texts are normalised byte for byte (A-Z lowered, other separators to spaces), so a word keeps
-its offset and every hit maps back to the original.  Each document is scanned once.
+its offset and every hit maps back to the original.  Each document is scanned once; with a
+benchmark too large for one automaton, once per block of items.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollframe.llm.work import written
 from rollframe.session import ship_package
 
+#: Item words in a row that stay in one block.
+PART_WORDS = 2048
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,17 +46,18 @@ def build_automaton(windows: dict[str, tuple[int, set[str]]]):
     return automaton
 
 
-def scan(text: str | None, automaton) -> tuple[int, int, list[dict], list[str]]:
-    """(words, hit words, hit spans in characters of the original, items)."""
+def scan_runs(text: str | None, automaton) -> tuple[int, list[dict], list[str]]:
+    """(words, runs of hit words, items): a run has its words (first, end) and its span in
+    characters of the original (start, end)."""
     if not text:
-        return 0, 0, [], []
+        return 0, [], []
     raw = text.encode()
     flat = raw.translate(TABLE)
     words = flat.split()
     norm = (b" " + b" ".join(words) + b" ").decode("latin-1")
     found = list(automaton.iter(norm)) if len(automaton) else []
     if not found:
-        return len(words), 0, [], []
+        return len(words), [], []
     # a word starts after each space of the normalised text
     starts = np.flatnonzero(np.frombuffer(norm.encode("latin-1"), np.uint8) == 32)
     step, items = np.zeros(len(words) + 1, np.int64), set()
@@ -62,12 +67,18 @@ def scan(text: str | None, automaton) -> tuple[int, int, list[dict], list[str]]:
         step[last + 1] -= 1
         items |= ids
     hit = np.cumsum(step[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
     word = np.frombuffer(flat, np.uint8) != 32
     bounds = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-    spans = [{"start": len(raw[:bounds[2 * a]].decode()), "end": len(raw[:bounds[2 * b - 1]].decode())}
-             for a, b in zip(edge[::2], edge[1::2])]
-    return len(words), int(hit.sum()), spans, sorted(items)
+    runs = [{"a": a, "b": b, "start": len(raw[:bounds[2 * a]].decode()), "end": len(raw[:bounds[2 * b - 1]].decode())}
+            for a, b in zip(edge[::2], edge[1::2])]
+    return len(words), runs, sorted(items)
+
+
+def scan(text: str | None, automaton) -> tuple[int, int, list[dict], list[str]]:
+    """(words, hit words, hit spans in characters of the original, items)."""
+    n, runs, items = scan_runs(text, automaton)
+    return n, sum(r["b"] - r["a"] for r in runs), [{"start": r["start"], "end": r["end"]} for r in runs], items
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -87,15 +98,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     without an id hit but are not listed; repeated rows of either side change nothing else.
     Input columns named like the four are replaced, all others pass through.
 
-    The automaton is broadcast as item texts, only while these are at most
-    ``max_benchmark_bytes`` in all; beyond, the same result comes from an exact join on window
-    hashes (:func:`decontaminate_by_join`).  The texts are not shuffled.
+    The automaton is broadcast as item texts, in blocks of about ``max_benchmark_bytes``.  One
+    block: the documents are read once and not shuffled.  More: each block's hits are written
+    (:func:`block_hits`), a pass over the documents per block, and meet by the md5 of the text.
+    A bound of 0 allows no automaton and asks for :func:`decontaminate_by_join`, whose ``spans``
+    are in words; no benchmark size leads there.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     items = items.where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > max_benchmark_bytes:
-        return decontaminate_by_join(docs, items, text_col, window)
+        if max_benchmark_bytes <= 0:
+            return decontaminate_by_join(docs, items, text_col, window)
+        return decontaminate_in_blocks(docs, items, text_col, window, max_benchmark_bytes)
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     kept: dict = {}
@@ -110,8 +125,89 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out.select("*", "__found.*").drop("__found")
 
 
+def item_parts(items: DataFrame, window: int) -> DataFrame:
+    """(item, text) with texts of ``PART_WORDS`` windows at most: together they have the windows of
+    the items and no others."""
+    w = items.select("item", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({WORD})"), 1).alias("w"))
+    last = F.greatest(F.size("w") - window, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last, F.lit(PART_WORDS)),
+                      lambda i: F.array_join(F.slice("w", i + 1, PART_WORDS + window - 1), " "))
+    return w.where(F.size("w") > 0).select("item", F.explode(cut).alias("text")).distinct()
+
+
+RUNS = pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "b", "start", "end")]))
+HITS_DDL = "key string, runs array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>, items array<string>"
+
+
+def block_hits(texts: DataFrame, block: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """(key, runs, items) of the texts (key, text) that a block's automaton hits."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        automaton = build_automaton(item_windows(shared.value, window))
+        for batch in batches:
+            found = [(k, *scan_runs(t.as_py(), automaton)[1:]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+            found = [f for f in found if f[1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], RUNS),
+                 pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["key", "runs", "items"])
+
+    # a repeated text has the same hits
+    out = written(texts.mapInArrow(run, HITS_DDL).dropDuplicates(["key"]), "hits")
+    shared.destroy()
+    return out
+
+
+def decontaminate_in_blocks(docs: DataFrame, items: DataFrame, text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """The same for a benchmark of any size, ``items(item, text)``: one automaton per block, so
+    neither the driver nor a worker holds more than one block's items."""
+    ship_package(docs.sparkSession)
+    parts = item_parts(items, window)
+    weight = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))
+    total = parts.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    parts = written(parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))), "item-parts")
+    texts = docs.select(F.md5(F.col(text_col).cast("binary")).alias("key"), F.col(text_col).alias("text")).where("text <> ''")
+    hits = None
+    for b in range(n_blocks):
+        block = [tuple(r) for r in parts.where(F.col("block") == b).select("item", "text").collect()]
+        if block:
+            got = block_hits(texts, block, window)
+            hits = got if hits is None else hits.unionByName(got)
+    if hits is None:
+        hits = docs.sparkSession.createDataFrame([], HITS_DDL)
+    # runs of several blocks overlap or touch in words
+    runs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
+    hits = hits.groupBy("key").agg(runs.alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+
+    @F.arrow_udf("array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>")
+    def union(all_runs: pa.Array) -> pa.Array:
+        out = []
+        for found in all_runs.to_pylist():
+            whole: list[dict] = []
+            for r in found:
+                if whole and r["a"] <= whole[-1]["b"]:
+                    if r["b"] > whole[-1]["b"]:
+                        whole[-1] |= {"b": r["b"], "end": r["end"]}
+                else:
+                    whole.append(r)
+            out.append(whole)
+        return pa.array(out, RUNS)
+
+    hits = hits.select(F.col("key").alias("__key"), union("runs").alias("__runs"), "__items")
+    out = docs.drop(*COLUMNS).withColumn("__key", F.md5(F.col(text_col).cast("binary"))).join(hits, "__key", "left")
+    n_hit = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    spans = F.transform("__runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    words = F.size(F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(f"({WORD})"), 1))
+    return out.select(
+        *[c for c in docs.columns if c not in COLUMNS], F.coalesce(F.when(F.col(text_col).isNotNull(), words), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+
+
 def decontaminate_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
-    """The same for a benchmark of any size, ``items(item, text)``; ``spans`` are in words.
+    """The same without an automaton, ``items(item, text)``; ``spans`` are in words.
 
     Distinct texts are cut into windows of each length that an item needs, joined with the
     item windows on a 64-bit hash, and the hits of a text meet again by its md5."""

@@ -181,3 +181,17 @@ def test_decontamination_against_brute_force(spark, limit):
         assert [(s["start"], s["end"]) for s in r["spans"]] == want
     assert decontaminate(docs, bench.limit(0), max_benchmark_bytes=limit).where("n_hit > 0").count() == 0
     assert decontaminate(docs.limit(0), bench, max_benchmark_bytes=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit,part", [(40, 2048), (60, 3), (150, 1)])
+def test_a_large_benchmark_gives_the_same_spans(spark, monkeypatch, limit, part):
+    from rollframe.llm import decontamination as dc
+
+    monkeypatch.setattr(dc, "PART_WORDS", part)
+    more = [(20, "kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"), (21, "mu nu"), (22, "only three")]
+    texts = [*TEXTS, "É x alpha beta gamma, delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon! phi chi"]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)] * 2, "doc_id bigint, text string, items string")
+    bench = spark.createDataFrame(ITEMS + more, "item_id bigint, text string")
+    one = sorted(map(str, decontaminate(docs, bench).collect()))
+    assert sorted(map(str, decontaminate(docs, bench, max_benchmark_bytes=limit).collect())) == one
+    assert decontaminate(docs, spark.createDataFrame([(1, "... " * 100)], bench.schema), max_benchmark_bytes=limit).where("n_hit > 0").count() == 0
