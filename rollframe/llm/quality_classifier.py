@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer
 numpy network with temperature-calibrated probabilities.
 
-A word type gets the sum of the sparse random index vectors of its neighbours (random
+A word type gets the sum of the sparse random index vectors of its neighbours' types (random
 indexing: no counts matrix, no factorisation).  Frequent words are types of their own; the
 others share the type of their shape (``Aa,``, ``A!``, ``a*``), so unseen words have vectors
 too.  A document is the mean of its words' vectors, of their shapes' index vectors, and of a
@@ -91,18 +91,17 @@ class WordVectors:
         self.known: dict[str, int] = {}
         kind = np.array([self.row.get(("w", w)) or self.row[("s", s)] for w, s in zip(spelled, shape)], np.int64)[index] if len(words) else index
         kinds = len(self.row) + 1
-        names, sid = np.unique(shape.astype(str), return_inverse=True)
-        look = np.array([index_vector("s" + s, p.dims, p.nonzero) for s in names.tolist()], np.float32).reshape(-1, p.dims)
+        # every type has an index vector of its own; row 0 has none
+        look = np.array([np.zeros(p.dims), *(index_vector("".join(n), p.dims, p.nonzero) for n in types)], np.float32)
         same = index_vector("same", p.dims, p.nonzero)
         context = np.zeros((kinds, p.dims), np.float32)
-        sid = sid[index]
         for step in (1, 2):
             ok = np.flatnonzero(doc[step:] == doc[:-step]) if len(doc) > step else np.zeros(0, int)
             again = ok[index[ok] == index[ok + step]]
             for at, other, turn, rep in ((ok + step, ok, step, again + step), (ok, ok + step, step + 8, again)):
-                # neighbours by type and shape are counted before their vectors are added
-                pair, times = np.unique(kind[at] * len(names) + sid[other], return_counts=True)
-                np.add.at(context, pair // max(1, len(names)), times[:, None] * np.roll(look, turn, axis=1)[pair % max(1, len(names))])
+                # neighbours by type are counted before their vectors are added
+                pair, times = np.unique(kind[at] * kinds + kind[other], return_counts=True)
+                np.add.at(context, pair // kinds, times[:, None] * np.roll(look, turn, axis=1)[pair % kinds])
                 context += np.bincount(kind[rep], minlength=kinds)[:, None] * same
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = context / np.where(norm > 0, norm, 1)
@@ -110,7 +109,7 @@ class WordVectors:
         shaped = {("w", spelled[i]): shape[i] for i in often}
         own = np.zeros_like(self.vectors)
         for name, i in self.row.items():
-            own[i] = look[np.searchsorted(names, shaped.get(name, name[1]))]
+            own[i] = look[self.row[("s", shaped.get(name, name[1]))]]
         self.vectors = np.concatenate((self.vectors, own), axis=1)
 
     def rows(self, words: pa.Array) -> np.ndarray:

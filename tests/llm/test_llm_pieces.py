@@ -142,6 +142,16 @@ def test_classifier_edges(spark):
     assert quality_classifier(docs.limit(0), few, params=p).count() == 0
 
 
+def test_words_of_one_shape_are_told_apart(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(names[:20] if i % 2 else names[20:], k=30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    held = quality_classifier(docs, labels, threshold=0.5).where("held_out").collect()
+    assert len(held) > 40 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) / len(held) > 0.9
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
