@@ -5,13 +5,15 @@ A word type gets the sum of the sparse random index vectors of its neighbours' t
 indexing: no counts matrix, no factorisation).  Frequent words are types of their own; the
 others share the type of their shape (``Aa,``, ``A!``, ``a*``), so unseen words have vectors
 too.  A document is the mean of its words' vectors, of their shapes' index vectors, and of a
-few word-level rates.
+few word-level rates.  Document frequencies and neighbours are counted over all documents on the
+executors; the driver gets the bounded types, their summed vectors and the sample's features.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,19 +25,20 @@ from pyspark.sql import types as T
 
 from rollframe.session import ship_package
 from rollframe.llm.sentencepiece import in_slices
+from rollframe.llm.work import written
 
 
 @dataclass(frozen=True)
 class ClassifierParams:
-    """max_rows, max_bytes: the bound of the labelled sample that is fitted on the driver (rows,
-    and bytes of one text: longer ones aren't sampled).  max_words, min_docs: word types.
+    """max_rows: the bound of the labelled sample whose features the network is fitted to.
+    max_words, min_docs: word types, and at most as many shapes; max_name: bytes of a word type.
     dims, nonzero: of the vectors.  hidden, epochs, rate, decay: of the network.
-    slice_bytes: text pooled at a time; max_known: words that a worker remembers."""
+    slice_bytes: text counted or pooled at a time."""
 
     max_rows: int = 2000
-    max_bytes: int = 1 << 14
     max_words: int = 5000
     min_docs: int = 5
+    max_name: int = 256
     dims: int = 64
     nonzero: int = 8
     hidden: int = 24
@@ -43,7 +46,6 @@ class ClassifierParams:
     rate: float = 0.02
     decay: float = 1e-3
     slice_bytes: int = 1 << 20
-    max_known: int = 400_000
 
 
 _SHAPE = [(r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{M}]+", "a"), (r"\p{N}+", "0"), (r"(\W)\W*", r"\1")]
@@ -75,51 +77,86 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return doc[real], coded.dictionary, index[real]
 
 
+COUNTS_DDL = "kind string, name string, n bigint"
+
+
+def _count_types(p: ClassifierParams):
+    """Over texts: (kind, name, documents) of the words (w) and shapes (s) of each slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in in_slices(batch.column(0), p.slice_bytes):
+                doc, words, index = tokens(texts)
+                if not len(doc):
+                    continue
+                names, sid = np.unique(np.array(shapes(words).to_pylist(), object).astype(str), return_inverse=True)
+                for kind, name, of in (("w", words, index), ("s", pa.array(names.tolist(), pa.string()), sid[index])):
+                    n = np.bincount(np.unique(doc * len(name) + of) % len(name), minlength=len(name))
+                    some = pa.array(np.flatnonzero(n))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(some), pa.string()), pc.cast(name.take(some), pa.string()), pa.array(n[n > 0], pa.int64())],
+                        names=["kind", "name", "n"])
+
+    return run
+
+
+def frequent_types(texts: DataFrame, p: ClassifierParams) -> list[tuple[str, str]]:
+    """The word types and shapes with the most documents, of all texts."""
+    counts = texts.mapInArrow(_count_types(p), COUNTS_DDL).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    is_type = (F.col("n") >= p.min_docs) & (F.octet_length("name") <= p.max_name)
+    counts = written(counts.where((F.col("kind") == "s") | is_type), "types")
+    return [(kind, r["name"]) for kind in "ws"
+            for r in counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "name").limit(p.max_words).collect()]
+
+
 class WordVectors:
-    """Types and their vectors, from the sample; row 0 is for shapes that it doesn't have."""
+    """Types and their vectors; row 0 is for words of no type."""
 
-    def __init__(self, texts: pa.Array, p: ClassifierParams):
+    def __init__(self, types: list[tuple[str, str]], p: ClassifierParams):
         self.p = p
-        doc, words, index = tokens(texts)
-        shape = np.array(shapes(words).to_pylist(), object) if len(words) else np.array([], object)
-        spelled = words.to_pylist()
-        once = np.unique(doc * max(1, len(words)) + index) % max(1, len(words))
-        in_docs = np.bincount(once, minlength=len(words)) if len(words) else np.zeros(0, int)
-        often = [i for i in np.argsort(-in_docs, kind="stable")[:p.max_words] if in_docs[i] >= p.min_docs]
-        types = [("w", spelled[i]) for i in often] + [("s", s) for s in sorted(set(shape.tolist()))]
+        self.types = types
         self.row = {n: i + 1 for i, n in enumerate(types)}
-        self.known: dict[str, int] = {}
-        kind = np.array([self.row.get(("w", w)) or self.row[("s", s)] for w, s in zip(spelled, shape)], np.int64)[index] if len(words) else index
-        kinds = len(self.row) + 1
         # every type has an index vector of its own; row 0 has none
         look = np.array([np.zeros(p.dims), *(index_vector("".join(n), p.dims, p.nonzero) for n in types)], np.float32)
-        same = index_vector("same", p.dims, p.nonzero)
-        context = np.zeros((kinds, p.dims), np.float32)
+        self.at = np.zeros((len(look), p.nonzero), np.int64)
+        self.at[1:] = np.nonzero(look[1:])[1].reshape(-1, p.nonzero)
+        self.sign = np.take_along_axis(look, self.at, axis=1)
+
+    def context(self, texts: pa.Array) -> np.ndarray:
+        """Sums of the index vectors next to each type in the texts: whole numbers, in any order."""
+        p, kinds = self.p, len(self.at)
+        doc, words, index = tokens(texts)
+        kind = self.rows(words)[index]
+        same = index_vector("same", p.dims, p.nonzero).astype(np.int64)
+        out = np.zeros((kinds, p.dims), np.int64)
         for step in (1, 2):
             ok = np.flatnonzero(doc[step:] == doc[:-step]) if len(doc) > step else np.zeros(0, int)
             again = ok[index[ok] == index[ok + step]]
             for at, other, turn, rep in ((ok + step, ok, step, again + step), (ok, ok + step, step + 8, again)):
-                # neighbours by type are counted before their vectors are added
-                pair, times = np.unique(kind[at] * kinds + kind[other], return_counts=True)
-                np.add.at(context, pair // kinds, times[:, None] * np.roll(look, turn, axis=1)[pair % kinds])
-                context += np.bincount(kind[rep], minlength=kinds)[:, None] * same
+                to = kind[at][:, None] * p.dims + ((self.at + turn) % p.dims)[kind[other]]
+                out += np.bincount(to.ravel(), self.sign[kind[other]].ravel(), kinds * p.dims).astype(np.int64).reshape(kinds, -1)
+                out += np.bincount(kind[rep], minlength=kinds)[:, None] * same
+        return out
+
+    def finish(self, context: np.ndarray) -> None:
+        p = self.p
+        context = context.astype(np.float32)
         norm = np.linalg.norm(context, axis=1, keepdims=True)
-        self.vectors = context / np.where(norm > 0, norm, 1)
-        self.vectors[0] = self.vectors[1:].mean(axis=0) if len(self.row) else 0
-        shaped = {("w", spelled[i]): shape[i] for i in often}
-        own = np.zeros_like(self.vectors)
-        for name, i in self.row.items():
-            own[i] = look[self.row[("s", shaped.get(name, name[1]))]]
-        self.vectors = np.concatenate((self.vectors, own), axis=1)
+        vectors = context / np.where(norm > 0, norm, 1)
+        vectors[0] = vectors[1:].mean(axis=0) if len(self.row) else 0
+        shape = shapes(pa.array([n for k, n in self.types], pa.string())).to_pylist()
+        own = np.zeros_like(vectors)
+        for i, ((kind, name), s) in enumerate(zip(self.types, shape)):
+            own[i + 1] = index_vector("s" + (s if kind == "w" else name), p.dims, p.nonzero)
+        self.vectors = np.concatenate((vectors, own), axis=1)
 
     def rows(self, words: pa.Array) -> np.ndarray:
-        if len(self.known) > self.p.max_known:
-            self.known.clear()
-        spelled = words.to_pylist()
-        new = [w for w in spelled if w not in self.known]
-        for w, s in zip(new, shapes(pa.array(new, pa.string())).to_pylist()):
-            self.known[w] = self.row.get(("w", w)) or self.row.get(("s", s)) or 0
-        return np.array([self.known[w] for w in spelled], np.int64)
+        """The type of each word: its own, else its shape's, else 0."""
+        own, shaped = (pa.array([n for k, n in self.types if k == kind], words.type) for kind in "ws")
+        out = np.asarray(pc.fill_null(pc.index_in(words, own), -1)).astype(np.int64) + 1
+        rest = np.flatnonzero(out == 0)
+        at = np.asarray(pc.fill_null(pc.index_in(shapes(words.take(pa.array(rest))), shaped), -1)).astype(np.int64)
+        out[rest] = np.where(at >= 0, at + len(own) + 1, 0)
+        return out
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
         """One row per text, whole texts: mean vectors and rates; zeros for a text without words."""
@@ -190,6 +227,31 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -30, 30)))
 
 
+def word_vectors(texts: DataFrame, p: ClassifierParams) -> WordVectors:
+    """Vectors of the frequent types from all ``texts``: a task adds its own up and sends one row
+    per type that it met."""
+    out = WordVectors(frequent_types(texts, p), p)
+    shared = texts.sparkSession.sparkContext.broadcast(out)
+    dims = [f"v{i}" for i in range(p.dims)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = shared.value
+        total = np.zeros((len(vectors.at), p.dims), np.int64)
+        for batch in batches:
+            for part in in_slices(batch.column(0), p.slice_bytes):
+                total += vectors.context(part)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(p.dims))], names=["kind", *dims])
+
+    sums = (texts.mapInArrow(run, "kind bigint, " + ", ".join(f"{c} bigint" for c in dims))
+            .groupBy("kind").agg(*[F.sum(c).alias(c) for c in dims]).toArrow())
+    shared.destroy()
+    context = np.zeros((len(out.at), p.dims), np.int64)
+    context[np.asarray(sums.column("kind"))] = np.stack([np.asarray(sums.column(c)) for c in dims], axis=1)
+    out.finish(context)
+    return out
+
+
 def fold(id_: Column) -> Column:
     """crc32 of the id as text, mod 5 (null: of the empty text)."""
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 5
@@ -197,25 +259,37 @@ def fold(id_: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
         p: ClassifierParams) -> tuple[WordVectors, Network]:
-    """Vectors and network from at most ``p.max_rows`` labelled rows outside the held-out fold,
-    chosen by the md5 of their id.  Only these reach the driver."""
+    """Vectors from all documents; the network from at most ``p.max_rows`` labelled rows outside
+    the held-out fold, chosen by the md5 of their id, of any length.  Only their features reach
+    the driver."""
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     own = own.where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & (fold(F.col("__id")) != 0))
     own = own.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z")
     own = own.withColumn("__k", F.md5(F.col("__id").cast("string"))).orderBy("__k").limit(p.max_rows)
-    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    text = text.where(F.octet_length("__t").between(1, p.max_bytes))
-    rows = text.join(F.broadcast(own), "__id").groupBy("__id").agg(
-        F.min("__t").alias("t"), F.first("__y").alias("y"), F.first("__k").alias("k")).collect()
-    rows = sorted(rows, key=lambda r: r["k"])
-    texts, y = pa.array([r["t"] for r in rows], pa.string()), np.array([r["y"] for r in rows], np.int64)
-    hold = np.array([int(r["k"][-1], 16) % 5 == 0 for r in rows], bool)
-    vectors = WordVectors(texts, p)
-    x = np.concatenate([vectors.pooled(s) for s in in_slices(texts, p.slice_bytes)] or [np.zeros((0, 2 * p.dims + 4), np.float32)])
-    vectors.known.clear()
+    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__t <> ''")
+    vectors = word_vectors(text.select("__t"), p)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in in_slices(batch.column("t"), p.slice_bytes):
+                x = shared.value.pooled(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k").slice(at, len(part)), batch.column("y").slice(at, len(part)),
+                     pa.array(x.astype(np.float64).tolist(), pa.list_(pa.float64()))], names=["k", "y", "x"])
+                at += len(part)
+
+    sample = text.join(F.broadcast(own), "__id").groupBy("__id").agg(
+        F.min("__t").alias("t"), F.first("__y").alias("y"), F.first("__k").alias("k"))
+    rows = sample.mapInArrow(features, "k string, y int, x array<double>").toArrow().sort_by("k")
+    k, y = rows.column("k").to_pylist(), np.asarray(rows.column("y")).astype(np.int64)
+    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(k), 2 * p.dims + 4).astype(np.float32)
+    hold = np.array([int(h[-1], 16) % 5 == 0 for h in k], bool)
     network = Network(x, y, hold, p)
+    shared.destroy()
     # the driver keeps the model, not the sample
-    del rows, texts, x
+    del rows, x
     gc.collect()
     pa.default_memory_pool().release_unused()
     return vectors, network

@@ -152,6 +152,23 @@ def test_words_of_one_shape_are_told_apart(spark):
     assert len(held) > 40 and sum(r["predicted"] == r["doc_id"] % 2 for r in held) / len(held) > 0.9
 
 
+def test_vectors_cover_all_documents(spark):
+    from rollframe.llm.quality_classifier import fit
+
+    long = "qqrs " * 4 + "filler words of a text above the old bound " * 800
+    rows = [(i, "few labelled words here") for i in range(10)] + [(100 + i, "seldom labelled word zyxw") for i in range(30)]
+    rows += [(200 + i, long) for i in range(6)] + [(None, None), (300, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(200 + i, 1) for i in range(6)], "doc_id bigint, quality int")
+    p = ClassifierParams(epochs=5)
+    vectors, network = fit(docs, labels, "doc_id", "text", "quality", p)
+    assert {("w", "zyxw"), ("w", "qqrs"), ("w", "labelled")} <= set(vectors.row)
+    again = fit(docs.repartition(5), labels, "doc_id", "text", "quality", p)[0]
+    assert again.types == vectors.types and (again.vectors == vectors.vectors).all()
+    longs = vectors.pooled(pa.array([long]))
+    assert (abs((longs - network.mean) / network.scale) < 8).all()  # lengths like it were learned from
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
