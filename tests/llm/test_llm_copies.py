@@ -245,6 +245,16 @@ def test_suffix_family_keeps_few_levels():
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
 
 
+def test_a_large_group_of_copies_is_emptied_and_kept(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, "the same page" if i < 5 else f"page {i} alone", "en", "s", 13) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cleaned = cp.lines(spark, docs, "")
+    assert {r["doc_id"] for r in cleaned.where("text = ''").collect()} == set(range(5))
+    assert cp.near_copies(spark, cleaned, "").where("text = ''").count() == 5
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as cp
     from rollframe.llm.quality_classifier import quality_classifier
