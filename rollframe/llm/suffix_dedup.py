@@ -1,12 +1,13 @@
-"""Exact removal of long byte strings that occur earlier, by a family of suffix arrays.
+"""Exact removal of long byte strings that occur earlier, by sorted windows in levels.
 
 A 100-byte window always contains the same minimal k-gram, its anchor, wherever it occurs.
 So documents are read once and cut into runs of windows with one anchor; runs meet their
 equals by the anchor's hash.  Runs that are whole copies are settled by a 64-bit fingerprint
 next to the anchor's, most of them before any shuffle.  The runs that share an anchor but not
 all of their bytes (the edges of copied passages) are fetched from the texts and settled byte
-for byte: within a key range, batches in text order get suffix arrays, each is merge-scanned
-against the levels that are there, and levels of equal size merge geometrically.
+for byte: within a key range, batches in text order are sorted arrays of 100-byte windows, each
+is probed against the levels that are there, and levels of equal size merge geometrically.  These
+stand in for suffix arrays; runs settled by fingerprint are not compared byte for byte.
 """
 
 from __future__ import annotations
