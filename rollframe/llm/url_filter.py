@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rollframe.functions.answers import let
 from rollframe.llm.work import written
 
 #: (host, path prefix, verdict)
@@ -64,9 +65,11 @@ def spelling(host: Column, path: Column) -> Column:
 
 
 def _grams(s: Column, order: int) -> Column:
-    chars = F.split(F.concat(F.lit("^" * (order - 1)), s, F.lit("$")), "")
-    return F.transform(F.sequence(F.lit(0), F.length(s)),
-                       lambda i: F.concat(*[F.get(chars, i + k) for k in range(order)]))
+    """All substrings of ``order`` characters of the padded spelling.  The characters are split
+    once and bound: inside the inner lambda they would be split anew for every position."""
+    padded = F.concat(F.lit("^" * (order - 1)), s, F.lit("$"))
+    return let(F.split(padded, ""), lambda chars: F.transform(
+        F.sequence(F.lit(0), F.length(s)), lambda i: F.concat(*[F.get(chars, i + k) for k in range(order)])))
 
 
 def gram_ratios(top: DataFrame, params: MarkovParams) -> DataFrame:
