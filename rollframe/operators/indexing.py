@@ -24,20 +24,28 @@ def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def running_total(df: DataFrame, order_by, value: Column, out_col: str) -> DataFrame:
-    """Sum of ``value`` (an integer column) over all rows before this one in ``order_by`` order."""
+def running_totals(df: DataFrame, order_by, values: dict[str, Column]) -> DataFrame:
+    """For each (name, integer column) of ``values``: its sum over all rows before this one in
+    ``order_by`` order.  One pass, however many sums."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"__k{i}" for i in range(len(_cols(order_by)))]
-    keyed = df.withColumns(dict(zip(names, _cols(order_by)))).withColumn("__v", value.cast("bigint"))
+    vals = {f"__v{i}": v.cast("bigint") for i, v in enumerate(values.values())}
+    keyed = df.withColumns(dict(zip(names, _cols(order_by)))).withColumns(vals)
     dealt = materialise(keyed.repartitionByRange(n, *names).withColumn("__part", F.spark_partition_id()), "ranged")
     before = (Window.unboundedPreceding, -1)
     # one row per partition
-    totals = dealt.groupBy("__part").agg(F.sum("__v").alias("__t"))
-    starts = totals.select("__part", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(*before)), F.lit(0)).alias("__start"))
-    inside = F.sum("__v").over(Window.partitionBy("__part").orderBy(*names).rowsBetween(*before))
-    return (dealt.withColumn("__in", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "__part")
-            .withColumn(out_col, (F.col("__start") + F.col("__in")).cast("bigint"))
-            .drop("__part", "__start", "__in", "__v", *names))
+    totals = dealt.groupBy("__part").agg(*[F.sum(v).alias(f"{v}t") for v in vals])
+    earlier = Window.orderBy("__part").rowsBetween(*before)
+    starts = totals.select("__part", *[F.coalesce(F.sum(f"{v}t").over(earlier), F.lit(0)).alias(f"{v}s") for v in vals])
+    inside = Window.partitionBy("__part").orderBy(*names).rowsBetween(*before)
+    out = dealt.withColumns({f"{v}i": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in vals}).join(F.broadcast(starts), "__part")
+    out = out.withColumns({name: (F.col(f"{v}s") + F.col(f"{v}i")).cast("bigint") for name, v in zip(values, vals)})
+    return out.drop("__part", *names, *[f"{v}{x}" for v in vals for x in ("", "s", "i")])
+
+
+def running_total(df: DataFrame, order_by, value: Column, out_col: str) -> DataFrame:
+    """Sum of ``value`` (an integer column) over all rows before this one in ``order_by`` order."""
+    return running_totals(df, order_by, {out_col: value})
 
 
 def with_row_index(df: DataFrame, order_by, out_col: str = "row_idx") -> DataFrame:
