@@ -83,6 +83,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.mixing import mix_sources, taken_words
+
+    out = taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollframe.llm.whitening import component_rows, whiten
+
+    return component_rows(whiten(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -94,4 +107,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_source_mix": op12_source_mix,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }

@@ -220,3 +220,75 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BI
   sha256(unhex(kept.h)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def _network(src: str) -> str:
+    """SQL of the keyed permutation's six rounds over ``src(x, a, b, k0 ... k5)``: adds y."""
+    q = f"SELECT *, x // b AS l0, x % b AS r0 FROM {src}"
+    for i in range(6):
+        t = f"((r{i} + k{i}) % 2147483647)"
+        q = (f"SELECT *, r{i} AS l{i + 1}, (l{i} + ({t} * {t} % 2147483647) * {t} % 2147483647) % {'ab'[i % 2]} AS r{i + 1} "
+             f"FROM ({q})")
+    return f"SELECT *, l6 * b + r6 AS y FROM ({q})"
+
+
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_KEYS = ", ".join(f"k{i}" for i in range(6))
+
+ORACLES["op12_source_mix"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    {_HASH.format("'17|' || coalesce(doc_id::VARCHAR, '')")} AS place, {_HASH.format("text")} AS th FROM documents),
+s0 AS (
+  SELECT source, size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS si,
+    coalesce(sum(size) OVER (ORDER BY source IS NULL, source {_BEFORE}), 0)::BIGINT AS src_start
+  FROM (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source)),
+s1 AS (SELECT *, [5, 2, 1][si % 3 + 1]::BIGINT AS w FROM s0),
+s2 AS (
+  SELECT *, coalesce(sum(2 * size) OVER (ORDER BY (2 * size)::DOUBLE / w, si {_BEFORE}), 0) AS fill,
+    coalesce(sum(w) OVER (ORDER BY (2 * size)::DOUBLE / w, si {_BEFORE}), 0) AS weighed FROM s1),
+line AS (
+  SELECT max((1.5::DOUBLE * (SELECT sum(size) FROM s1)::DOUBLE - fill::DOUBLE)
+    / ((SELECT sum(w) FROM s1) - weighed)::DOUBLE) AS v FROM s2),
+s3 AS (SELECT si, source, size, src_start, least((2 * size)::DOUBLE, w::DOUBLE * (SELECT v FROM line)) AS target,
+  ((size + 63) // 64)::BIGINT AS blocks FROM s2),
+s4 AS (SELECT *, CASE WHEN size > 0 THEN least(floor(target * blocks / size + 0.5)::BIGINT, 2 * blocks) ELSE 0 END AS want FROM s3),
+s AS (SELECT *, coalesce(sum(want) OVER (ORDER BY si {_BEFORE}), 0)::BIGINT AS lo FROM s4),
+nn AS (SELECT sum(want)::BIGINT AS n FROM s),
+draws AS (
+  SELECT i // 4096 AS shard, {_HASH.format("'17|draw|' || (i // 4096) || '|' || (i % 4096)")} % n AS x
+  FROM (SELECT n, unnest(range(n)) AS i FROM nn)),
+c0 AS (SELECT shard, si, count(*)::BIGINT AS n FROM draws JOIN s ON x >= lo AND x < lo + want GROUP BY shard, si),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY si ORDER BY shard {_BEFORE}), 0)::BIGINT AS before FROM c0),
+t0 AS (SELECT s.si, want, blocks, coalesce(sum(n), 0)::BIGINT AS drew FROM s LEFT JOIN c0 USING (si) GROUP BY ALL),
+t AS (
+  SELECT *, coalesce(sum(greatest(drew - want, 0)) OVER (ORDER BY si {_BEFORE}), 0)::BIGINT AS over_at,
+    coalesce(sum(greatest(want - drew, 0)) OVER (ORDER BY si {_BEFORE}), 0)::BIGINT AS under_at FROM t0),
+sl AS (SELECT shard, c.si, want, over_at, unnest(range(before, before + n)) AS slot FROM c JOIN t USING (si)),
+short AS (SELECT si, unnest(range(drew, want)) AS slot, under_at - drew AS shift FROM t WHERE drew < want),
+slots AS (
+  SELECT shard, si, slot FROM sl WHERE slot < want
+  UNION ALL
+  SELECT sl.shard, short.si, short.slot FROM sl JOIN short ON sl.over_at + sl.slot - sl.want = short.shift + short.slot
+  WHERE sl.slot >= sl.want),
+ky AS (SELECT si, epoch, {", ".join(_HASH.format(f"'17|' || si || '|' || epoch || '|{r}'") + f" % 2147483647 AS k{r}" for r in range(6))}
+  FROM (SELECT si, unnest([0, 1]) AS epoch FROM s)),
+start AS (
+  SELECT si, slot, blocks, a, greatest(ceil(blocks / a)::BIGINT, 1) AS b, slot % blocks AS x, {_KEYS}
+  FROM (SELECT slots.si, slot, t.blocks, slot // t.blocks AS epoch, greatest(ceil(sqrt(t.blocks))::BIGINT, 1) AS a FROM slots JOIN t USING (si))
+  JOIN ky USING (si, epoch)),
+walk AS (
+  SELECT si, slot, blocks, a, b, y AS x, {_KEYS} FROM ({_network("start")})
+  UNION ALL
+  SELECT si, slot, blocks, a, b, y, {_KEYS} FROM ({_network("(SELECT * FROM walk WHERE x >= blocks)")})),
+used AS (SELECT si, x AS block, count(*) AS times FROM walk WHERE x < blocks GROUP BY si, x),
+r AS (
+  SELECT rid, doc_id, d.size AS size, s.size AS source_size, target, si,
+    (coalesce(sum(d.size) OVER (ORDER BY si, place, doc_id NULLS FIRST, th NULLS FIRST, rid {_BEFORE}), 0) - src_start)::BIGINT AS lo
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT rid, si, lo, lo + size AS hi, unnest(range(lo // 64, (lo + size - 1) // 64 + 1)) AS block FROM r WHERE size > 0),
+k AS (SELECT rid, sum(times * (least(hi, (block + 1) * 64) - greatest(lo, block * 64)))::BIGINT AS taken FROM p JOIN used USING (si, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN k USING (rid)
+"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """A :func:`written` whose tables are deleted as the block ends: for steps whose last reader
+    is a table written after them.  What the block returns must not read them any more."""
+    paths = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        paths.extend({f.rsplit("/", 1)[0] for f in out.inputFiles()})
+        return out
+
+    try:
+        yield step
+    finally:
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for p in paths:
+            hadoop(p).getFileSystem(conf).delete(hadoop(p), True)
