@@ -83,6 +83,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations rebuilt on the beginnings of others."""
+    from rollframe.llm.prefix_trie import encoded_turns, ends_digests, prefix_trie, spliced
+
+    return ends_digests(prefix_trie(*spliced(encoded_turns(read_table(spark, sf_dir, "conversations")))))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollframe.llm.mixing import mix_sources, taken_words
 
@@ -107,6 +114,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_source_mix": op12_source_mix,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

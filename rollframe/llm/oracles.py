@@ -221,6 +221,40 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BI
 FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+ORACLES["op11_prefix_trie"] = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY v) AS t FROM (
+    SELECT v, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS v))),
+o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(list_reduce(list_transform(range(length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, i + 1, 1))::BIGINT),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM o), tab),
+q AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, sha256(length(r) || ':' || r || x) AS e, octet_length(encode(x)) AS bytes
+  FROM (SELECT h.c, 0 AS own, p, r, x FROM h JOIN o ON o.c = h.c - h.c % 5 AND p <= h
+        UNION ALL SELECT h.c, 1, p, r, x FROM h JOIN o ON o.c = h.c AND p > h)),
+pre AS (
+  SELECT c, 0 AS d, '' AS k, NULL AS up, 0 AS bytes FROM h
+  UNION ALL
+  SELECT c, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), ''), bytes
+  FROM (SELECT c, d, bytes, sha256(string_agg(e, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM q)),
+n AS (SELECT k, d, min(c) AS conv, count(*) AS n, any_value(up) AS up, any_value(bytes) AS bytes FROM pre GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+s AS (
+  SELECT pre.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n - 1) * f.bytes) AS saved
+  FROM f JOIN pre ON pre.c = f.conv AND pre.d <= f.d GROUP BY pre.k),
+e AS (
+  SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k FROM pre GROUP BY c) GROUP BY k)
+SELECT f.conv AS conv_id, f.d::BIGINT AS depth, a.conv AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN n a ON a.k = f.up
+"""
+
 
 def _network(src: str) -> str:
     """SQL of the keyed permutation's six rounds over ``src(x, a, b, k0 ... k5)``: adds y."""

@@ -169,8 +169,8 @@ def fit_whitening(fit: DataFrame, max_passes: int = 6) -> Whitening:
 
 def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list:
     """Exact sum over entries of (n x - sums)^2; null where a long cannot hold it."""
-    if not len(x):
-        return []
+    if not x.size:
+        return [0] * len(x)
     most = n * max(abs(int(x.min())), abs(int(x.max()))) + max(map(abs, sums))
     if most * most * len(sums) <= LONG:
         return ((n * x - np.array(sums, dtype=np.int64)) ** 2).sum(axis=1).tolist()
