@@ -42,13 +42,47 @@ def q_restore_order(spark, sf_dir):
     return BL.restore_order(parts, "pos").select("doc_id", "n_chars", "pos")
 
 
-@register("token_budget_batches", """WITH d AS (SELECT doc_id, n_chars, lang AS batch FROM documents)
-, k AS (SELECT batch, CAST(ceil(sum(n_chars) / 50000.0) AS BIGINT) AS k FROM d GROUP BY batch)
-, r AS (SELECT d.doc_id, d.batch, k.k, row_number() OVER (PARTITION BY d.batch ORDER BY -d.n_chars, d.doc_id) - 1 AS r FROM d JOIN k USING (batch))
-SELECT doc_id, batch, CAST(CASE WHEN (r // k) % 2 = 0 THEN r % k ELSE k - 1 - r % k END AS INTEGER) AS micro_batch FROM r""")
+@register("token_budget_batches", """WITH d AS (SELECT n_chars, doc_id // 2048 AS batch, CAST(doc_id % 4 AS INTEGER) AS rank FROM documents)
+, b AS (SELECT 2 * max(n_chars) AS budget FROM d)
+, r AS (SELECT batch, rank, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS tokens, max(n_chars) AS longest FROM d GROUP BY batch, rank)
+, k AS (SELECT batch, greatest(max(CAST(ceil(CAST(tokens AS DOUBLE) / budget) AS INTEGER)), 1) AS n_micro_batches FROM r, b GROUP BY batch)
+SELECT batch, rank, n_rows, tokens, n_micro_batches, n_micro_batches AS n_used, true AS within_longest FROM r JOIN k USING (batch)""")
 def q_token_budget_batches(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("batch"))
-    return BL.token_budget_batches(d, 50000, "n_chars", "doc_id", "batch").select("doc_id", "batch", "micro_batch")
+    """Micro-batches of every rank: the number all ranks share, how many a rank uses, and whether
+    their sums differ by the rank's longest row at most."""
+    d = T.table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.floor(F.col("doc_id") / 2048).alias("batch"), (F.col("doc_id") % 4).cast("int").alias("rank"))
+    budget = 2 * (d.agg(F.max("n_chars")).first()[0] or 1)
+    cut = BL.token_budget_batches(d, budget, "n_chars", "doc_id", "batch", "rank")
+    parts = cut.groupBy("batch", "rank", "n_micro_batches", "micro_batch").agg(
+        F.count("*").alias("rows"), F.sum("n_chars").alias("tokens"), F.max("n_chars").alias("longest"))
+    spread = F.max("tokens") - F.min("tokens")
+    return parts.groupBy("batch", "rank").agg(
+        F.sum("rows").alias("n_rows"), F.sum("tokens").alias("tokens"), F.max("n_micro_batches").alias("n_micro_batches"),
+        F.count("*").cast("int").alias("n_used"), (spread <= F.max("longest")).alias("within_longest"))
+
+
+@register("differencing_partitions", """WITH d AS (SELECT coalesce(n_chars, 0) AS n_chars, (SELECT count(*) FROM documents) AS n FROM documents)
+, s AS (SELECT unnest([true, false]) AS equal_size)
+SELECT equal_size, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS tokens, 8 AS n_parts, true AS within_longest, true AS sizes_right, true AS below_snake
+FROM d, s GROUP BY equal_size""")
+def q_differencing_partitions(spark, sf_dir):
+    """Whole-table differencing into 8 parts, of equal size or not: all rows placed, sums within the
+    longest row of each other and never further apart than the snake draft's."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    snake = BL.balance_report(BL.balance_partitions(d, 8, "n_chars", "doc_id", equal_size=False), "part", "n_chars")
+    out = None
+    for equal in (True, False):
+        parts = BL.differencing_partitions(d, 8, "n_chars", "doc_id", equal, block_rows=256)
+        s = parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("tokens"), F.max("n_chars").alias("longest"))
+        spread = F.max("tokens") - F.min("tokens")
+        one = s.agg(F.sum("rows").alias("n_rows"), F.sum("tokens").alias("tokens"), F.count("*").cast("int").alias("n_parts"),
+                    (spread <= F.max("longest")).alias("within_longest"),
+                    ((F.max("rows") == F.min("rows")) | F.lit(not equal)).alias("sizes_right"), spread.alias("gap"))
+        one = one.join(F.broadcast(snake.select("spread"))).select(F.lit(equal).alias("equal_size"), "n_rows", "tokens", "n_parts",
+                                                                   "within_longest", "sizes_right", (F.col("gap") <= F.col("spread")).alias("below_snake"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("balance_in_batches", """WITH RECURSIVE d AS (
