@@ -1,8 +1,9 @@
 """Registered source / sink / streaming queries.  Logs are written below
 the session's ``spark.checkpoint.dir`` and read back, batch or streaming.
 
-Streaming queries read their log as files of rows in hashed order, two files a micro-batch, and
-a closing record at the end."""
+Streaming queries read their log as files, two a micro-batch.  Rows come up to a tenth of the
+log's span of event time after later ones, in hashed order, so the operators' lateness is
+finite: rows leave them as the watermark passes.  A closing record at the end lets the last ones go."""
 
 from __future__ import annotations
 
@@ -22,8 +23,12 @@ def _at(id_):
     return F.timestamp_seconds(F.lit(946684800) + id_)
 
 
-#: The source has ended when the closing record comes: nothing before it is late.
-LATENESS = "36500 days"
+def _span(log, time_col):
+    """(first, last) event time of a log in seconds, and the lateness of its files."""
+    sec = F.col(time_col).cast("double")
+    lo, hi = log.agg(F.min(sec), F.max(sec)).first()
+    lo, hi = lo or 0.0, hi or 0.0
+    return lo, hi, float(int((hi - lo) / 10) + 1)
 
 
 @register("read_parquet_concat", """SELECT doc_id, NULL AS item_id, text, lang FROM documents
@@ -99,20 +104,38 @@ def q_write_metrics(spark, sf_dir):
     return spark.read.parquet(path).select("step", "split", "metric", "value")
 
 
+def _arrival(log, time_col):
+    """Number of the file that a row comes in: event time plus a delay by hash below the lateness."""
+    lo, hi, late = _span(log, time_col)
+    delay = F.pmod(F.xxhash64(*log.columns), F.lit(int(late)))
+    return F.least(F.floor((F.col(time_col).cast("double") - lo + delay) / ((hi - lo + late) / FILES)), F.lit(FILES - 1)).cast("int"), late
+
+
+def _files(log, path, time_col, numbers=range(FILES)):
+    """Writes files one after the other: a file source reads them in the order of their times."""
+    number, late = _arrival(log, time_col)
+    for n in numbers:
+        log.where(number == n).coalesce(1).write.mode("append").json(path)
+    return late
+
+
 def _stream(spark, log, name, time_col=None, close=None):
-    """``log`` as a stream of JSON files in hashed row order; the closing record comes last."""
+    """(``log`` as a stream of JSON files, its lateness in seconds); the closing record comes last."""
     path = IO.scratch_path(spark, name)
-    log.repartition(FILES, F.xxhash64(*log.columns)).write.json(path)
+    late = 0.0
     if time_col:
+        late = _files(log, path, time_col)
         S.closing_rows(log, time_col, **(close or {})).coalesce(1).write.mode("append").json(path)
-    return IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH)
+    else:
+        log.repartition(FILES, F.xxhash64(*log.columns)).write.json(path)
+    return IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH), late
 
 
 @register("stream_reward_type_share", with_(ROLLOUTS_SQL) + """
 SELECT step, data_source, pred AS reward_type, count(*) AS n,
   round(count(*) / sum(count(*)) OVER (PARTITION BY step, data_source), 6) AS share FROM rollouts GROUP BY step, data_source, pred""")
 def q_stream_reward_type_share(spark, sf_dir):
-    stream = _stream(spark, _log(spark, sf_dir).select("step", "data_source", "reward_type"), "rt-log")
+    stream, _ = _stream(spark, _log(spark, sf_dir).select("step", "data_source", "reward_type"), "rt-log")
     out = S.drain_complete(S.stream_reward_type_share(stream), IO.scratch_path(spark, "rt-out"),
                            IO.scratch_path(spark, "ckpt"), S.reward_type_shares)
     return out.select("step", "data_source", "reward_type", "n", r6("share").alias("share"))
@@ -123,13 +146,37 @@ def q_stream_reward_type_share(spark, sf_dir):
 , s AS (SELECT grp, CASE WHEN count(*) < 4 THEN 'incomplete' WHEN min(acc) <> max(acc) THEN 'kept' END AS status FROM g GROUP BY grp)
 SELECT response_id, grp, acc, status FROM g JOIN s USING (grp) WHERE status IS NOT NULL""")
 def q_stream_group_filter(spark, sf_dir):
+    stream, late, span = _groups(spark, sf_dir)
+    # a group's rows may be as far apart as the log is long
+    out = S.drain(S.stream_group_filter(stream, 4, "grp", "acc", "at", f"{int(late)} seconds", int(span * 1000) + 1000),
+                  IO.scratch_path(spark, "grp-out"), IO.scratch_path(spark, "ckpt"))
+    return out.where("grp <> 'closing'").select("response_id", "grp", "acc", "status")
+
+
+def _groups(spark, sf_dir):
     r = T.rollouts(spark, sf_dir).select(
         "response_id", F.concat(F.col("uid").cast("string"), F.lit("-"), (F.col("sample_idx") / 4).cast("bigint").cast("string")).alias("grp"),
         "acc", _at(F.col("response_id")).alias("at"))
-    stream = _stream(spark, r, "grp-log", "at", {"grp": F.lit("closing")})
-    out = S.drain(S.stream_group_filter(stream, 4, "grp", "acc", "at", LATENESS, 1000), IO.scratch_path(spark, "grp-out"),
-                  IO.scratch_path(spark, "ckpt"))
-    return out.where("grp <> 'closing'").select("response_id", "grp", "acc", "status")
+    lo, hi, _ = _span(r, "at")
+    return *_stream(spark, r, "grp-log", "at", {"grp": F.lit("closing")}), hi - lo
+
+
+@register("stream_keep_until_enough", with_(ROLLOUTS_SQL) + """
+, g AS (SELECT *, CAST(uid AS VARCHAR) || '-' || CAST(sample_idx // 4 AS VARCHAR) AS grp FROM rollouts)
+, s AS (SELECT grp, min(acc) AS lo, max(acc) AS hi FROM g GROUP BY grp HAVING count(*) = 4 AND min(acc) <> max(acc))
+SELECT count(*) // 2 AS n_groups, 4 * (count(*) // 2) AS n_rows, true AS all_vary, true AS rounds_in_order FROM s""")
+def q_stream_keep_until_enough(spark, sf_dir):
+    """Generation until half of the groups that can be kept are: exactly so many come out."""
+    stream, late, span = _groups(spark, sf_dir)
+    r = T.rollouts(spark, sf_dir).groupBy("uid", (F.col("sample_idx") / 4).cast("bigint").alias("k")).agg(
+        F.count("*").alias("n"), F.min("acc").alias("lo"), F.max("acc").alias("hi"))
+    target = r.where("n = 4 and lo <> hi").count() // 2
+    filtered = S.stream_group_filter(stream, 4, "grp", "acc", "at", f"{int(late)} seconds", int(span * 1000) + 1000)
+    kept = S.keep_until_enough(filtered, target, FILES, "grp", IO.scratch_path(spark, "enough"), IO.scratch_path(spark, "ckpt"))
+    g = kept.groupBy("grp").agg(F.count("*").alias("n"), (F.min("acc") != F.max("acc")).alias("varies"), F.max("round").alias("round"),
+                                F.min("round").alias("first"))
+    return g.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), F.min("varies").alias("all_vary"),
+                 F.min(F.col("round") == F.col("first")).alias("rounds_in_order"))
 
 
 def _attempts(spark, sf_dir):
@@ -142,15 +189,15 @@ SELECT event_id, user_id, CASE WHEN value > coalesce(lag(value) OVER (PARTITION
   THEN 0.0e0 ELSE -0.05e0 END AS tool_reward FROM events"""
 
 
-def _tool_rewards(stream):
-    return S.stream_tool_reward(stream, "user_id", "event_id", "reward", "at", LATENESS)
+def _tool_rewards(stream, late):
+    return S.stream_tool_reward(stream, "user_id", "event_id", "reward", "at", late, grace=late)
 
 
 @register("stream_tool_reward", _TOOL_SQL)
 def q_stream_tool_reward(spark, sf_dir):
-    stream = _stream(spark, _attempts(spark, sf_dir), "tool-log", "at", {"user_id": F.lit(-1)})
-    out = S.drain(_tool_rewards(stream), IO.scratch_path(spark, "tool-out"), IO.scratch_path(spark, "ckpt"))
-    return out.where("user_id >= 0").select("event_id", "user_id", "tool_reward")
+    stream, late = _stream(spark, _attempts(spark, sf_dir), "tool-log", "at", {"user_id": F.lit(-1)})
+    out = S.drain(_tool_rewards(stream, late), IO.scratch_path(spark, "tool-out"), IO.scratch_path(spark, "ckpt"))
+    return out.where("user_id >= 0 and status = 'ok'").select("event_id", "user_id", "tool_reward")
 
 
 @register("resume", _TOOL_SQL)
@@ -160,16 +207,14 @@ def q_resume(spark, sf_dir):
     log, path = _attempts(spark, sf_dir), IO.scratch_path(spark, "resume-log")
     out, ckpt = IO.scratch_path(spark, "resume-out"), IO.scratch_path(spark, "ckpt")
 
-    def run():
+    def run(late):
         stream = IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH)
-        return S.drain(_tool_rewards(stream), out, ckpt)
+        return S.drain(_tool_rewards(stream, late), out, ckpt)
 
-    early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
-    log.where(early).repartition(FILES).write.json(path)
-    run()
-    log.where(~early).repartition(FILES).write.mode("append").json(path)
+    run(_files(log, path, "at", range(FILES // 2)))
+    late = _files(log, path, "at", range(FILES // 2, FILES))
     S.closing_rows(log, "at", user_id=F.lit(-1)).coalesce(1).write.mode("append").json(path)
-    return run().where("user_id >= 0").select("event_id", "user_id", "tool_reward")
+    return run(late).where("user_id >= 0 and status = 'ok'").select("event_id", "user_id", "tool_reward")
 
 
 @register("stream_adaptive_kl", with_(TOKENS_SQL) + """
@@ -184,10 +229,10 @@ def q_stream_adaptive_kl(spark, sf_dir):
     kl = F.abs(F.aggregate(F.zip_with("log_probs", "ref_log_probs", lambda a, b: a - b), F.lit(0.0), lambda s, x: s + x))
     steps = t.select(F.col("uid").alias("run"), F.col("response_id").alias("step"), kl.alias("kl"), F.lit(4).alias("n_steps"),
                      _at(F.col("response_id")).alias("at"))
-    stream = _stream(spark, steps, "kl-log", "at", {"run": F.lit(-1)})
-    out = S.drain(S.stream_adaptive_kl(stream, 0.2, 0.1, 1000, "at", LATENESS), IO.scratch_path(spark, "kl-out"),
+    stream, late = _stream(spark, steps, "kl-log", "at", {"run": F.lit(-1)})
+    out = S.drain(S.stream_adaptive_kl(stream, 0.2, 0.1, 1000, "at", late, grace=late), IO.scratch_path(spark, "kl-out"),
                   IO.scratch_path(spark, "ckpt"))
-    return out.where("run >= 0").select("run", "step", r6("kl_coef").alias("kl_coef"))
+    return out.where("run >= 0 and status = 'ok'").select("run", "step", r6("kl_coef").alias("kl_coef"))
 
 
 @register("scoring timeout", """
@@ -201,8 +246,8 @@ def q_scoring_timeout(spark, sf_dir):
     given = ev.where(F.col("event_id") % 3 != 0).select(
         F.col("event_id").alias("event_id_result"), _at(F.col("event_id") + F.col("event_id") % 500).alias("at_result"),
         F.col("value").alias("score"), F.lit("Correct").alias("reward_type"))
-    requests = _stream(spark, asked, "asked", "at", {"event_id": F.lit(-1)})
-    results = _stream(spark, given, "given", "at_result", {"event_id_result": F.lit(-2)})
-    out = S.drain(S.scoring_with_timeout(requests, results, "event_id", "at", watermark=LATENESS), IO.scratch_path(spark, "scored"),
+    requests, a = _stream(spark, asked, "asked", "at", {"event_id": F.lit(-1)})
+    results, b = _stream(spark, given, "given", "at_result", {"event_id_result": F.lit(-2)})
+    out = S.drain(S.scoring_with_timeout(requests, results, "event_id", "at", watermark=f"{int(max(a, b) + 1000)} seconds"), IO.scratch_path(spark, "scored"),
                   IO.scratch_path(spark, "ckpt"))
     return out.where("event_id >= 0").select("event_id", "score", "reward_type")

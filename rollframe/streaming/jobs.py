@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,105 +60,188 @@ def _plain(values: list) -> list:
 def stream_group_filter(responses: DataFrame, n_per_group: int, group_col: str, metric_col: str, time_col: str,
                         watermark: str, wait_ms: int) -> DataFrame:
     """Hold a group's responses until ``n_per_group`` have arrived; emit them with ``status``
-    ``kept`` if the metric varies (or the group is one trajectory), else nothing.  A group that
-    is still short ``wait_ms`` of event time after its latest row comes out with ``status``
-    ``incomplete``, so no group stays in state for ever and none is lost unseen.
+    ``kept`` if the metric varies (or the group is one trajectory), else nothing.  Null and NaN
+    metrics are no values: they are left out of the comparison, as in the batch filter.
+
+    A group that is still short ``wait_ms`` of event time after its latest row comes out with
+    ``status`` ``incomplete``, so no group stays in state for ever and none is lost unseen.  For
+    as long, a decided group is remembered, without its rows: what still comes of it has
+    ``status`` ``extra``, also from the micro-batch that completed it.
 
     State is one typed array per column."""
     ship_package(responses.sparkSession)
     names = [f.name for f in responses.schema.fields if f.name not in (group_col, time_col)]
     key_field = responses.schema[group_col]
     out = T.StructType([key_field, *[responses.schema[n] for n in names], T.StructField("status", T.StringType())])
-    state_type = T.StructType([*_held(responses.schema, names).fields, T.StructField("until", T.LongType())])
+    state_type = T.StructType([*_held(responses.schema, names).fields, T.StructField("until", T.LongType()),
+                               T.StructField("decided", T.BooleanType())])
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
-        until = state.get[-1] if state.exists else 0
+        until, decided = (state.get[-2], state.get[-1]) if state.exists else (0, False)
 
-        def emit(status: str) -> pd.DataFrame:
-            return pd.DataFrame({group_col: [key[0]] * len(held[names[0]]), **held, "status": status})
+        def frame(rows: dict, status: str) -> pd.DataFrame:
+            return pd.DataFrame({group_col: [key[0]] * len(rows[names[0]]), **rows, "status": status})
 
         if state.hasTimedOut:
             state.remove()
-            yield emit("incomplete")
+            if not decided:
+                yield frame(held, "incomplete")
             return
+        arrived: list[tuple] = []
         for pdf in pdfs:
-            for n in names:
-                held[n] += _plain(pdf[n].tolist())
             if len(pdf):
-                until = max(until, int(_millis(pdf[time_col]).max()) + wait_ms)
-        if len(held[names[0]]) >= n_per_group:
-            if state.exists:
-                state.remove()
-            values = held[metric_col]
-            if len(values) == 1 or max(values) != min(values):
-                yield emit("kept")
-        elif held[names[0]]:
-            state.update((*[held[n] for n in names], until))
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+                arrived += zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names])
+        arrived.sort(key=lambda r: r[0])
+        until = max([until, *[r[0] + wait_ms for r in arrived]])
+        room = 0 if decided else n_per_group - len(held[names[0]])
+        for i, n in enumerate(names):
+            held[n] += [r[i + 1] for r in arrived[:room]]
+        extra = {n: [r[i + 1] for r in arrived[room:]] for i, n in enumerate(names)}
+        if not decided and len(held[names[0]]) == n_per_group:
+            decided = True
+            values = [v for v in held[metric_col] if v is not None]
+            if n_per_group == 1 or (values and max(values) != min(values)):
+                yield frame(held, "kept")
+            held = {n: [] for n in names}
+        if extra[names[0]]:
+            yield frame(extra, "extra")
+        state.update((*[held[n] for n in names], until, decided))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
     return responses.withWatermark(time_col, watermark).groupBy(group_col).applyInPandasWithState(
         fn, outputStructType=out, stateStructType=state_type, outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
-def _ordered_scan(rows: DataFrame, key_col: str, order_col: str, value_cols: list[str], time_col: str, watermark: str,
-                  start: float, step: Callable[[float, tuple], tuple[float, float]], out_col: str) -> DataFrame:
+def keep_until_enough(filtered: DataFrame, target: int, max_rounds: int, group_col: str, path: str, checkpoint: str) -> DataFrame:
+    """Dynamic sampling: rounds of generation (micro-batches) until ``target`` groups are kept.
+
+    ``filtered`` is :func:`stream_group_filter`.  Each round that keeps groups writes them to a
+    folder of its own below ``path``, in round order and by group within a round; the last one
+    writes only as many as are still missing.  The number kept so far is read from the rounds
+    before, so a round that is run again after a failure writes the same again.  Once ``target``
+    is reached the query is stopped and what the source still has is not asked for.
+
+    Raises RuntimeError if ``max_rounds`` rounds (0: any number) or the whole source give fewer.
+    Returns the kept rows with their ``round``: exactly ``target`` groups."""
+    spark = filtered.sparkSession
+    schema = T.StructType([*[f for f in filtered.schema.fields if f.name != "status"], T.StructField("round", T.LongType())])
+    state = {"have": 0, "rounds": 0}
+
+    def so_far(before: int) -> int:
+        folders = [f"{path}/round-{r}" for r in range(before)]
+        there = [f for f in folders if _exists(spark, f)]
+        return spark.read.schema(schema).parquet(*there).select(group_col).distinct().count() if there else 0
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        have = so_far(batch_id)
+        state["have"], state["rounds"] = have, batch_id
+        if have >= target or (max_rounds and batch_id >= max_rounds):
+            batch.write.format("noop").mode("overwrite").save()  # the engine wants its state committed
+            return
+        kept = batch.where("status = 'kept'").drop("status").withColumn("round", F.lit(batch_id).cast("long"))
+        # a micro-batch with state must be computed once
+        kept.select(*schema.names).write.mode("overwrite").parquet(f"{path}/kept-{batch_id}")
+        kept = spark.read.schema(schema).parquet(f"{path}/kept-{batch_id}")
+        # at most ``target`` groups are ever asked for: a bounded sort, not a ranking of the round
+        chosen = kept.select(group_col).distinct().orderBy(group_col).limit(target - have)
+        kept.join(chosen, group_col).select(*schema.names).write.mode("overwrite").parquet(f"{path}/round-{batch_id}")
+        state["have"], state["rounds"] = so_far(batch_id + 1), batch_id + 1
+
+    q = (filtered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    while q.isActive and state["have"] < target and not (max_rounds and state["rounds"] >= max_rounds):
+        q.awaitTermination(1)
+    q.stop()
+    if q.exception():
+        raise q.exception()
+    have = so_far(state["rounds"])
+    if have < target:
+        raise RuntimeError(f"{have} of {target} groups kept after {state['rounds']} rounds of generation")
+    return spark.read.schema(schema).parquet(*[f for f in (f"{path}/round-{r}" for r in range(state["rounds"])) if _exists(spark, f)])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _ordered_scan(rows: DataFrame, key_col: str, order_col: str, value_cols: list[str], time_col: str, lateness: float,
+                  grace: float, start: float, step: Callable[[float, tuple], tuple[float, float]], out_col: str) -> DataFrame:
     """Per key, ``carry, out = step(carry, values)`` over rows in (event time, order) order.
 
-    Rows wait in state, as typed arrays, until the watermark has passed them."""
+    Rows wait in state, as typed arrays, until the latest event time is ``lateness`` seconds past
+    them; then they leave, so a key holds the rows of that span and its carry.  A row that comes
+    later than that has missed its turn: it comes out at once with ``status`` ``late`` and no
+    value, if by no more than ``grace`` seconds; later still it is dropped by the engine and counted
+    in the query's progress (``numRowsDroppedByWatermark``).  All others have ``status`` ``ok``."""
     ship_package(rows.sparkSession)
-    out = T.StructType([rows.schema[key_col], rows.schema[order_col], T.StructField(out_col, T.DoubleType())])
+    out = T.StructType([rows.schema[key_col], rows.schema[order_col], T.StructField(out_col, T.DoubleType()),
+                        T.StructField("status", T.StringType())])
     names = [order_col, *value_cols]
     state_type = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), *_held(rows.schema, names).fields,
                                T.StructField("carry", T.DoubleType())])
+    grace_ms = int(grace * 1000)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         had = state.get if state.exists else None
         waiting = list(zip(*had[:-1])) if had is not None else []
         carry = had[-1] if had is not None else start
+        mark = state.getCurrentWatermarkMs()
+        passed = mark + grace_ms if mark > 0 else -1
+        done: list[tuple] = []
         for pdf in pdfs:
             if len(pdf):
-                waiting += zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names])
+                for r in zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names]):
+                    if r[0] <= passed:
+                        done.append((key[0], r[1], None, "late"))
+                    else:
+                        waiting.append(r)
         waiting.sort(key=lambda r: (r[0], r[1]))
-        passed = state.getCurrentWatermarkMs()
-        done: list[tuple] = []
         n = 0
         while n < len(waiting) and waiting[n][0] <= passed:
             carry, value = step(carry, waiting[n][2:])
-            done.append((key[0], waiting[n][1], value))
+            done.append((key[0], waiting[n][1], value, "ok"))
             n += 1
         rest = waiting[n:]
         columns = [list(c) for c in zip(*rest)] if rest else [[] for _ in range(len(names) + 1)]
         state.update((*columns, float(carry)))
         if rest:
-            state.setTimeoutTimestamp(max(rest[0][0], passed + 1))
+            state.setTimeoutTimestamp(max(rest[0][0] - grace_ms, mark + 1))
         if done:
-            yield pd.DataFrame(done, columns=[key_col, order_col, out_col])
+            yield pd.DataFrame(done, columns=[key_col, order_col, out_col, "status"])
 
-    return rows.withWatermark(time_col, watermark).groupBy(key_col).applyInPandasWithState(
+    delay = f"{int((lateness + grace) * 1000)} milliseconds"
+    return rows.withWatermark(time_col, delay).groupBy(key_col).applyInPandasWithState(
         fn, outputStructType=out, stateStructType=state_type, outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_tool_reward(attempts: DataFrame, instance_col: str, attempt_col: str, reward_col: str, time_col: str,
-                       watermark: str) -> DataFrame:
+                       lateness: float, grace: float = 0.0) -> DataFrame:
     """Per instance, the tool penalty of each attempt: 0.0 when the reward improved on the
-    previous attempt (0.0 before the first), else -0.05."""
-    return _ordered_scan(attempts, instance_col, attempt_col, [reward_col], time_col, watermark, 0.0,
-                         lambda last, v: (v[0], 0.0 if v[0] > last else -0.05), "tool_reward")
+    previous attempt (0.0 before the first), else -0.05.  Order, lateness and ``status`` as in
+    :func:`_ordered_scan`; a null reward improves on nothing and is passed over by the next one."""
+    def step(last: float, v: tuple) -> tuple[float, float]:
+        return (last, -0.05) if v[0] is None else (v[0], 0.0 if v[0] > last else -0.05)
+
+    return _ordered_scan(attempts, instance_col, attempt_col, [reward_col], time_col, lateness, grace, 0.0, step, "tool_reward")
 
 
-def stream_adaptive_kl(step_kl: DataFrame, init_coef: float, target: float, horizon: int, time_col: str, watermark: str,
-                       run_col: str = "run", step_col: str = "step", kl_col: str = "kl",
+def stream_adaptive_kl(step_kl: DataFrame, init_coef: float, target: float, horizon: int, time_col: str, lateness: float,
+                       grace: float = 0.0, run_col: str = "run", step_col: str = "step", kl_col: str = "kl",
                        n_col: str = "n_steps") -> DataFrame:
     """Adaptive KL coefficient per run: the coefficient used at each step, updated after it by
-    ``beta *= 1 + clip(kl/target - 1, +-0.2) * n/horizon``."""
+    ``beta *= 1 + clip(kl/target - 1, +-0.2) * n/horizon``; a step without a KL value leaves it
+    as it is.  Order, lateness and ``status`` as in :func:`_ordered_scan`."""
     def step(beta: float, v: tuple) -> tuple[float, float]:
+        if v[0] is None or v[1] is None:
+            return beta, beta
         err = min(max(v[0] / target - 1, -0.2), 0.2)
         return beta * (1 + err * v[1] / horizon), beta
 
-    return _ordered_scan(step_kl, run_col, step_col, [kl_col, n_col], time_col, watermark, float(init_coef), step, "kl_coef")
+    return _ordered_scan(step_kl, run_col, step_col, [kl_col, n_col], time_col, lateness, grace, float(init_coef), step, "kl_coef")
 
 
 def scoring_with_timeout(requests: DataFrame, results: DataFrame, key: str, ts_col: str,
