@@ -324,12 +324,44 @@ def _whole_number(x: Column) -> Column:
     return F.when((F.abs(v) < 1e15) & (F.abs(v - F.round(v)) <= 1e-7), F.round(v).cast("bigint").cast("string"))
 
 
+#: Commands whose argument is its own text; symbols and their plain spelling
+LATEX_TEXT_COMMANDS = ["text", "textbf", "textit", "textrm", "mathrm", "mathbf", "mathit", "mathsf", "mbox", "operatorname"]
+LATEX_SYMBOLS = [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]
+_ARG = r"\{([^{}]*)\}"
+_NO_COMMAND = r"(?<!\\[A-Za-z]{1,24})(?<![}\]\\])"
+
+
+def _inner_groups(x: Column) -> Column:
+    """One turn of the reader: every innermost group goes into the command that takes it."""
+    x = F.regexp_replace(x, r"\\(frac|sqrt)\s+", r"\\$1")
+    # an argument without braces is one character or one command
+    x = F.regexp_replace(x, r"\\sqrt(\d|[A-Za-z](?![A-Za-z])|\\(?:pi|infty)(?![A-Za-z]))", r"\\sqrt{$1}")
+    x = F.regexp_replace(x, r"\\frac(\d|\\(?:pi|infty)(?![A-Za-z]))", r"\\frac{$1}")
+    x = F.regexp_replace(x, rf"\\frac{_ARG}\s*([^{{}}\s\\]|\\(?:pi|infty)(?![A-Za-z]))", r"\\frac{$1}{$2}")
+    x = F.regexp_replace(x, rf"\\frac{_ARG}\s*{_ARG}", " $1/$2")
+    x = F.regexp_replace(x, rf"\\sqrt(?:\[[^\[\]{{}}]*\])?{_ARG}", "sqrt($1)")
+    x = F.regexp_replace(x, rf"\\(?:{'|'.join(LATEX_TEXT_COMMANDS)})\s*{_ARG}", "$1")
+    return F.regexp_replace(x, rf"{_NO_COMMAND}{_ARG}", "$1")
+
+
 def plain_latex(x: Column) -> Column:
-    """Fractions, roots and a few symbols as plain text; other commands stay."""
-    x = F.regexp_replace(x, r"\\[td]frac", r"\\frac")
-    x = F.regexp_replace(x, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
-    x = F.regexp_replace(x, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
-    for a, b in [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]:
+    """LaTeX as plain text: fractions as a/b, roots as sqrt(a), the text of text commands, groups
+    without their braces, and a few symbols, however deep they are nested.  Other commands and
+    groups that do not close stay.
+
+    Groups are read from the inside out: a turn resolves all innermost ones, so there are as many
+    turns as levels; a text that a turn leaves unchanged is not read again."""
+    x = F.regexp_replace(x, r"\\[td]frac(?![A-Za-z])", r"\\frac")
+    x = F.regexp_replace(x, r"\\(?:left|right)(?![A-Za-z])", "")
+    opened = F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) + F.lit(2)
+    start = F.struct(x.alias("t"), F.lit(True).alias("on"))
+
+    def turn(s: Column, _: Column) -> Column:
+        read = let(_inner_groups(s["t"]), lambda t: F.struct(t.alias("t"), (t != s["t"]).alias("on")))
+        return F.when(s["on"], read).otherwise(s)
+
+    x = F.aggregate(F.sequence(F.lit(1), opened), start, turn, lambda s: s["t"])
+    for a, b in LATEX_SYMBOLS:
         x = _repl(x, a, b)
     return F.regexp_replace(x, _TRIM, "")
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollframe.functions.permute import permuted, round_keys
 from rollframe.operators.indexing import row_count, with_row_index
 
 IDX = "row_idx"
@@ -193,13 +194,24 @@ def shuffle_key(seed: int, epoch: int | None, id_col: str):
     return F.md5(F.concat_ws("|", *parts))
 
 
+def permuted_index(index_col: str, n: int, seed: int, epoch: int):
+    """Place of the row with this index in the order of (seed, epoch), without a sort."""
+    return permuted(F.col(index_col).cast("bigint"), F.lit(max(n, 1)).cast("bigint"), [F.lit(k) for k in round_keys(seed, epoch)])
+
+
 def minibatch_ids(df: DataFrame, batch_size: int, id_col: str, seed: int = 0, epoch: int = 0,
-                  shuffle: bool = True, n: int | None = None) -> DataFrame:
+                  shuffle: bool = True, n: int | None = None, index_col: str | None = None) -> DataFrame:
     """Per-epoch seeded permutation cut into fixed-size mini-batches; the batch size
-    must divide the row count."""
+    must divide the row count.
+
+    With ``index_col``, a row index from 0 to n - 1 that the table already has, every row computes
+    its place by a keyed permutation (:func:`permuted`): no epoch sorts or moves a row."""
     n = row_count(df) if n is None else n
     if n % batch_size != 0:
         raise ValueError(f"batch size {batch_size} must divide the row count {n}")
+    if index_col is not None:
+        d = df.withColumn("perm_idx", permuted_index(index_col, n, seed, epoch) if shuffle else F.col(index_col).cast("bigint"))
+        return d.withColumn("minibatch", F.floor(F.col("perm_idx") / batch_size))
     order = [shuffle_key(seed, epoch, id_col), F.col(id_col)] if shuffle else [F.col(id_col)]
     d = with_row_index(df.withColumn("__k", order[0]) if shuffle else df,
                        ["__k", id_col] if shuffle else [id_col], out_col="perm_idx")
@@ -208,11 +220,14 @@ def minibatch_ids(df: DataFrame, batch_size: int, id_col: str, seed: int = 0, ep
 
 
 def epoch_batches(df: DataFrame, batch_size: int, id_col: str, seed: int = 1, shuffle: bool = True,
-                  drop_last: bool = True, n: int | None = None) -> DataFrame:
+                  drop_last: bool = True, n: int | None = None, index_col: str | None = None, epoch: int = 0) -> DataFrame:
     """Seeded shuffle (or sequential) then consecutive batches; ``drop_last`` removes a
-    final partial batch."""
+    final partial batch.  ``index_col`` as in :func:`minibatch_ids`: then each ``epoch`` has an
+    order of its own."""
     n = row_count(df) if n is None else n
-    if shuffle:
+    if index_col is not None:
+        d = df.withColumn("perm_idx", permuted_index(index_col, n, seed, epoch) if shuffle else F.col(index_col).cast("bigint"))
+    elif shuffle:
         d = with_row_index(df.withColumn("__k", shuffle_key(seed, None, id_col)), ["__k", id_col],
                            out_col="perm_idx").drop("__k")
     else:

@@ -252,6 +252,89 @@ def majority_vote(df: DataFrame, keys: list[str], pred_col: str, val_col: str, o
             .select(*keys, F.col(pred_col).alias("maj_pred"), F.col("__v").alias("maj_val"), F.col("__c").alias("maj_count")))
 
 
+def plurality_chances(counts: list[int], n: int) -> list[float]:
+    """Chance of each prediction to win a vote of ``n`` draws with replacement from predictions
+    that stand ``counts`` times in the sample; of equally frequent ones each is as likely to come
+    first.
+
+    The draws are independent Poisson counts given that they add up to n.  For a winning count k
+    all others are at most k, and t others that have k too leave the winner 1 / (t + 1): the
+    integral of u^t over [0, 1], which Gauss-Legendre nodes give exactly.  Products over all other
+    predictions come from products over those before and behind, by distinct count."""
+    import numpy as np
+
+    total, kinds = sum(counts), sorted(set(counts))
+    rate = {c: n * c / total for c in kinds}
+    many = {c: counts.count(c) for c in kinds}
+    x = np.arange(n + 1)
+    log_fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    pmf = {c: np.exp(x * np.log(rate[c]) - rate[c] - log_fact) for c in kinds}
+    whole = float(np.exp(n * np.log(n) - n - log_fact[n]))  # that they add up to n
+    win = dict.fromkeys(kinds, 0.0)
+
+    def times(a, b):
+        return np.convolve(a, b)[:n + 1]
+
+    def power(a, e):
+        out = np.eye(1, n + 1)[0]
+        while e:
+            if e & 1:
+                out = times(out, a)
+            a, e = times(a, a), e >> 1
+        return out
+
+    # the fullest prediction has at least its share
+    for k in range(max(1, -(-n // len(counts))), n + 1):
+        ties = min(len(counts) - 1, n // k - 1)
+        nodes, weights = np.polynomial.legendre.leggauss(max(1, -(-(ties + 1) // 2)))
+        for u, w in zip((nodes + 1) / 2, weights / 2):
+            upto = {}
+            for c in kinds:
+                f = np.where(x < k, pmf[c], 0.0)
+                f[k] = u * pmf[c][k]
+                upto[c] = f
+            behind = [np.eye(1, n + 1)[0]]
+            for c in reversed(kinds[1:]):
+                behind.append(times(behind[-1], power(upto[c], many[c])))
+            before = np.eye(1, n + 1)[0]
+            for c, after in zip(kinds, reversed(behind)):
+                before = times(before, power(upto[c], many[c] - 1))
+                win[c] += w * pmf[c][k] * float(before[:n - k + 1] @ after[n - k::-1][:n - k + 1])
+                before = times(before, upto[c])
+    return [win[c] / whole for c in counts]
+
+
+def plurality_at_n(df: DataFrame, keys: list[str], pred_col: str, val_col: str, sizes: list[int] | None = None) -> DataFrame:
+    """Exact ``maj@n`` mean and standard deviation per group: what :func:`majority_at_n_bootstrap`
+    estimates.
+
+    The winner's value is that of a row drawn among its prediction's, so its moments are the
+    prediction's.  Null is a prediction of its own; null values are left out of a prediction's
+    moments.  ``sizes``: the votes' sizes; by default the powers of two below the group's rows, and
+    their number.  Rows are counted per (group, prediction) before the shuffle, so a group is as
+    many rows as it has different predictions, whatever its size."""
+    import pandas as pd
+
+    v = F.col(val_col).cast("double")
+    g = df.groupBy(*keys, pred_col).agg(F.count("*").alias("__c"), F.avg(v).alias("__m"), F.avg(v * v).alias("__q"))
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = [int(c) for c in pdf["__c"]]
+        total = sum(counts)
+        rows = []
+        for n in sizes or [2 ** i for i in range(1, 40) if 2 ** i < total] + [total]:
+            chance = pd.Series(plurality_chances(counts, n), index=pdf.index)[pdf["__m"].notna()]
+            share = chance / chance.sum() if chance.sum() else chance
+            mean, square = float((share * pdf["__m"].dropna()).sum()), float((share * pdf["__q"].dropna()).sum())
+            some = len(chance) > 0
+            rows.append({**{k: pdf[k].iloc[0] for k in keys}, "n": n, "maj_mean": mean if some else None,
+                         "maj_std": max(square - mean * mean, 0.0) ** 0.5 if some else None})
+        return pd.DataFrame(rows)
+
+    key_schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
+    return g.groupBy(*keys).applyInPandas(per_group, f"{key_schema}, n int, maj_mean double, maj_std double")
+
+
 def majority_at_n_bootstrap(df: DataFrame, keys: list[str], pred_col: str, val_col: str, order_col: str,
                             n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
     """Reference-parity bootstrap of maj@n (seeded numpy per group) via ``applyInPandas``;
@@ -262,7 +345,7 @@ def majority_at_n_bootstrap(df: DataFrame, keys: list[str], pred_col: str, val_c
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col)
         values = pdf[val_col].to_numpy(float)
-        names = pd.factorize(pdf[pred_col])[0]
+        names = pd.factorize(pdf[pred_col], use_na_sentinel=False)[0]  # null is a prediction of its own
         n_resps, width = len(values), int(names.max()) + 1
         sizes = [2 ** i for i in range(1, 40) if 2 ** i < n_resps] + [n_resps]
         out = []

@@ -93,7 +93,8 @@ def score_by_source(df: DataFrame, registry: ScorerRegistry | None = None,
 
     ``executed(key, score)`` holds the scores of responses whose programs were run (see
     :mod:`rollframe.operators.outcomes`); rows of the code and test-case routes get theirs from
-    it, 0.0 if it has none."""
+    it, 0.0 if it has none.  Without ``executed`` those rows cannot be scored: they raise, or get
+    a null score with ``on_unknown="null"``."""
     reg = registry or default_registry()
     src = F.col(source_col)
     out = df.withColumns({
@@ -101,7 +102,10 @@ def score_by_source(df: DataFrame, registry: ScorerRegistry | None = None,
         out_col: reg.score(src, F.col(response_col), F.col(ground_truth_col), on_unknown),
     })
     if executed is None:
-        return out
+        if on_unknown != "error":
+            return out
+        missing = F.raise_error(F.concat(F.lit("no executed results for source "), F.coalesce(src, F.lit("NULL")))).cast("double")
+        return out.withColumn(out_col, F.when(F.col("scorer").isin(*EXECUTED), missing).otherwise(F.col(out_col)))
     ran = executed.select(F.col(key_col), F.col("score").cast("double").alias("__ran"))
     out = out.join(ran, key_col, "left")
     return out.withColumn(out_col, F.when(F.col("scorer").isin(*EXECUTED), F.coalesce("__ran", F.lit(0.0))).otherwise(
@@ -183,12 +187,17 @@ def score_numeric_tolerance(df: DataFrame, pred_col: str, ref_col: str, out_col:
 def place_terminal_reward(df: DataFrame, score_col: str = "score", length_col: str = "response_len",
                           width: int | None = None, width_col: str | None = None,
                           out_col: str = "token_level_scores") -> DataFrame:
-    """Zeros with the sequence score at index ``response_len - 1`` (array of ``width``)."""
-    w = F.lit(width) if width is not None else F.col(width_col or length_col)
-    n = F.col(length_col)
+    """Zeros with the sequence score at index ``response_len - 1`` (array of ``width``).
+
+    An empty response (length 0 or null) has its score at index 0, so that no score is lost, unless
+    the width is 0: then there is no token and the array is empty.  A response longer than the
+    width is cut: its score stands at the last index."""
+    w = F.greatest(F.coalesce((F.lit(width) if width is not None else F.col(width_col or length_col)).cast("int"), F.lit(0)), F.lit(0))
+    last = F.least(F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(1)).cast("int"), w)
     s = F.col(score_col).cast("double")
-    return df.withColumn(out_col, F.transform(
-        F.sequence(F.lit(0), w - 1), lambda i: F.when(i == n - 1, s).otherwise(F.lit(0.0))))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return df.withColumn(out_col, F.when(w == 0, F.array().cast("array<double>")).otherwise(
+        F.concat(zeros(last - 1), F.array(s), zeros(w - last))))
 
 
 def overlong_penalty(df: DataFrame, length_col: str, max_resp_len: int, buffer_len: int,

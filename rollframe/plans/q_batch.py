@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollframe.operators import batch as B
+from rollframe.operators import cursor as CU
 from rollframe.operators.indexing import with_row_index
 from rollframe.plans import tables as T
 from rollframe.plans.catalog import TOKENS_SQL, register, with_
+from rollframe.sources import io as IO
 
 _CUST = """WITH cust AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM customer)
 """
@@ -176,3 +178,54 @@ SELECT CAST(sum(8) AS BIGINT) AS response_id_bytes, CAST(sum(8) AS BIGINT) AS ui
   CAST(sum(len(token_level_scores) * 8) AS BIGINT) AS token_level_scores_bytes FROM tokens""")
 def q_batch_size_report(spark, sf_dir):
     return B.batch_size_report(T.tokens(spark, sf_dir))
+
+
+def _permuted_sql(src: str) -> str:
+    """SQL of the keyed permutation over ``src(x, n, k0 ... k5)``: all its columns and y, walked
+    until y is below n."""
+    def network(rows: str) -> str:
+        q = f"SELECT *, x // b AS l0, x % b AS r0 FROM {rows}"
+        for i in range(6):
+            t = f"((r{i} + k{i}) % 2147483647)"
+            q = (f"SELECT *, r{i} AS l{i + 1}, (l{i} + ({t} * {t} % 2147483647) * {t} % 2147483647) % {'ab'[i % 2]} AS r{i + 1} "
+                 f"FROM ({q})")
+        return f"SELECT id, a, b, n, {keys}, l6 * b + r6 AS x FROM ({q})"
+
+    keys = ", ".join(f"k{i}" for i in range(6))
+    return f"""radix AS (SELECT *, greatest(CAST(ceil(n / a) AS BIGINT), 1) AS b FROM (
+    SELECT *, greatest(CAST(ceil(sqrt(n)) AS BIGINT), 1) AS a FROM {src})),
+walk AS (SELECT * FROM ({network("radix")}) UNION ALL SELECT * FROM ({network("(SELECT * FROM walk WHERE x >= n)")})),
+placed AS (SELECT id, x AS y FROM walk WHERE x < n)"""
+
+
+def _key_sql(seed: int, epoch: int) -> str:
+    """The round keys, hashed in SQL as the operator hashes them."""
+    return ", ".join(f"CAST('0x' || substr(md5('{seed}|{epoch}|{r}'), 1, 15) AS BIGINT) % 2147483647 AS k{r}" for r in range(6))
+
+
+@register("minibatch_ids_by_index", f"""WITH RECURSIVE idx AS (
+  SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS x, (SELECT count(*) FROM orders) AS n, {_key_sql(3, 2)} FROM orders),
+{_permuted_sql("idx")}
+SELECT id AS o_orderkey, y AS perm_idx, y // (SELECT count(*) // (SELECT max(k) FROM range(1, 11) t(k) WHERE (SELECT count(*) FROM orders) % k = 0) FROM orders) AS minibatch
+FROM placed""")
+def q_minibatch_ids_by_index(spark, sf_dir):
+    """An epoch's mini-batches over a table that has a row index: each row computes its place."""
+    o = with_row_index(T.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "row_idx")
+    n = o.count()
+    size = n // max(k for k in range(1, 11) if n % k == 0)
+    return B.minibatch_ids(o, size, "o_orderkey", seed=3, epoch=2, n=n, index_col="row_idx").select("o_orderkey", "perm_idx", "minibatch")
+
+
+@register("resume_batches", f"""WITH RECURSIVE idx AS (
+  SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS x, (SELECT count(*) FROM orders) AS n, {_key_sql(5, 1)} FROM orders),
+{_permuted_sql("idx")}
+SELECT id AS o_orderkey, y // 64 AS batch FROM placed
+WHERE y // 64 < (SELECT count(*) // 64 FROM orders) AND y // 64 >= (SELECT (count(*) // 64) // 2 FROM orders)""")
+def q_resume_batches(spark, sf_dir):
+    """A run that stopped in the middle of its second epoch, gone on with from its saved position."""
+    o = with_row_index(T.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "row_idx")
+    n = o.count()
+    folder, per_epoch = IO.scratch_path(spark, "cursor"), max(n // 64, 1)
+    CU.save_cursor(spark, folder, CU.BatchCursor(5))
+    CU.save_cursor(spark, folder, CU.load_cursor(spark, folder).advanced(per_epoch, per_epoch + per_epoch // 2))
+    return CU.remaining_batches(o, CU.load_cursor(spark, folder), 64, "row_idx", n).select("o_orderkey", "batch")

@@ -129,3 +129,30 @@ SELECT uid, CAST(unnest(list_concat(list_filter(list_transform(range(1, 40), lam
 def q_sample_sizes(spark, sf_dir):
     n = T.rollouts(spark, sf_dir).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     return M.sample_sizes(n).select("uid", "sample_size")
+
+
+@register("plurality_at_n", with_(ROLLOUTS_SQL) + """
+, c AS (SELECT uid, pred, count(*) AS c, avg(acc) AS m, avg(acc * acc) AS q FROM rollouts GROUP BY uid, pred)
+, p AS (SELECT uid, m, q, c / sum(c) OVER (PARTITION BY uid) AS p FROM c)
+, s AS (SELECT uid, sum(p * p) AS p2 FROM p GROUP BY uid)
+, w AS (
+  SELECT uid, 2 AS n, m, q, p AS w FROM p
+  UNION ALL
+  SELECT p.uid, 3, m, q, p * p * p + 3 * p * p * (1 - p) + p * ((1 - p) * (1 - p) - (p2 - p * p)) FROM p JOIN s ON p.uid = s.uid)
+SELECT uid, n, round(sum(w * m), 6) AS maj_mean, round(sqrt(greatest(sum(w * q) - sum(w * m) * sum(w * m), 0)), 6) AS maj_std FROM w GROUP BY uid, n""")
+def q_plurality_at_n(spark, sf_dir):
+    """Exact majority of two and of three draws, for which SQL has a closed form."""
+    d = M.plurality_at_n(T.rollouts(spark, sf_dir), ["uid"], "pred", "acc", [2, 3])
+    return d.select("uid", "n", r6("maj_mean").alias("maj_mean"), r6("maj_std").alias("maj_std"))
+
+
+@register("best_worst_at_n", with_(ROLLOUTS_SQL) + """
+, r AS (SELECT uid, score, count(*) OVER (PARTITION BY uid) AS N, rank() OVER (PARTITION BY uid ORDER BY score) AS lo,
+    rank() OVER (PARTITION BY uid ORDER BY score) + count(*) OVER (PARTITION BY uid, score) - 1 AS hi FROM rollouts)
+, v AS (SELECT DISTINCT uid, score, N, lo, hi FROM r)
+, s AS (SELECT *, CAST(unnest(list_concat(list_filter(list_transform(range(1, 40), lambda e: CAST(pow(2, e) AS BIGINT)), lambda p: p < N), [N])) AS INTEGER) AS s FROM v WHERE N > 1)
+, p AS (SELECT uid, s, score, pow(hi / N, s) - pow((lo - 1) / N, s) AS pmax, pow((N - lo + 1) / N, s) - pow((N - hi) / N, s) AS pmin FROM s)
+SELECT uid, s, round(sum(score * pmax), 6) AS best_mean, round(sum(score * pmin), 6) AS worst_mean FROM p GROUP BY uid, s""")
+def q_best_worst_at_n(spark, sf_dir):
+    d = M.best_worst_at_n(T.rollouts(spark, sf_dir), ["uid"], "score")
+    return d.select("uid", "s", r6("best_mean").alias("best_mean"), r6("worst_mean").alias("worst_mean"))

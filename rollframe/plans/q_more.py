@@ -486,3 +486,21 @@ def q_score_boxed_math_forms(spark, sf_dir):
         k = F.col("event_id") % len(BOXED_KINDS) == i
         text, truth = F.when(k, F.lit(a)).otherwise(text), F.when(k, F.lit(b)).otherwise(truth)
     return ev.select("event_id", A.score_boxed_math(F.replace(text, F.lit("N"), n), F.replace(truth, F.lit("N"), n)).alias("score"))
+
+
+@register("plain_latex", r"""WITH l AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS q, l_linenumber AS n FROM lineitem)
+SELECT q, n, 'sqrt(' || q || ')/' || n AS nested, q || '/' || n AS bare, 'x^' || q || ' m' || n AS grouped, 'sqrt(' || q || '/sqrt(' || n || '))' AS deep, true AS same FROM l""")
+def q_plain_latex(spark, sf_dir):
+    """Nested fractions and roots, arguments without braces, text commands and groups."""
+    d = T.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("bigint").alias("q"), F.col("l_linenumber").alias("n")).distinct()
+    q, n = F.col("q").cast("string"), F.col("n").cast("string")
+    lit = F.lit
+    nested = F.concat(lit("\\frac{\\sqrt{"), q, lit("}}{"), n, lit("}"))
+    other = F.concat(lit("\\sqrt{"), q, lit("}/"), n)
+    forms = {
+        "nested": nested, "bare": F.concat(lit("\\dfrac{"), q, lit("}"), n),
+        "grouped": F.concat(lit("{x}^{{"), q, lit("}} \\text{m}{"), n, lit("}")),
+        "deep": F.concat(lit("\\left\\sqrt[3]{\\tfrac{{"), q, lit("}}{\\sqrt{"), n, lit("}}}\\right")),
+    }
+    d = d.select("q", "n", *[A.plain_latex(x).alias(k) for k, x in forms.items()], A.score_tuple_answers(nested, other).alias("same"))
+    return d.select("q", "n", "nested", "bare", "grouped", F.regexp_replace("deep", r"\( ", "(").alias("deep"), "same")
