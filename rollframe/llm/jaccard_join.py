@@ -26,10 +26,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from rollframe.llm.components import components
 from rollframe.llm.sentencepiece import in_slices
-from rollframe.llm.suffix_dedup import _mix, _tables
+from rollframe.llm.suffix_dedup import _mix
 from rollframe.llm.work import written
 from rollframe.session import ship_package
 
@@ -93,8 +94,7 @@ def _slice_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     coded = parts.flatten().dictionary_encode()
     index, spelled = np.asarray(coded.indices).astype(np.int64), pc.cast(coded.dictionary, pa.large_binary())
     size = np.asarray(pc.binary_length(spelled)).astype(np.int64)
-    at = np.frombuffer(spelled.buffers()[1], np.int64)[spelled.offset:spelled.offset + len(spelled)]
-    word = _word_hashes(np.frombuffer(spelled.buffers()[2] or b"", np.uint8), at, size)
+    word = _word_hashes(spelled)
     real = size[index] > 0
     doc, seq = doc[real], word[index[real]]
     count = np.bincount(doc, minlength=len(texts))
@@ -119,31 +119,10 @@ def _slice_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return count, out
 
 
-def _word_hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    value, power, inverse = _tables()
-    out = np.zeros(len(at), np.uint64)
-    block = len(power) // 2
-    longest = np.flatnonzero(size > block)
-    ok = np.flatnonzero(size <= block)
-    # neighbouring words share one prefix sum, as many as the power table covers
-    i = 0
-    while i < len(ok):
-        j = i + int(np.searchsorted(at[ok[i:]] + size[ok[i:]], at[ok[i]] + len(power), "right"))
-        w = ok[i:max(j, i + 1)]
-        base, end = at[w[0]], at[w[-1]] + size[w[-1]]
-        s = np.zeros(end - base + 1, np.uint64)
-        np.cumsum(value[raw[base:end]] * power[:end - base], out=s[1:])
-        a = at[w] - base
-        out[w] = (s[a + size[w]] - s[a]) * inverse[a]
-        i += len(w)
-    for w in longest:  # a word of over a megabyte, block by block
-        h = np.uint64(0)
-        for a in range(at[w], at[w] + size[w], block):
-            x = raw[a:min(a + block, at[w] + size[w])]
-            h = _mix(np.array([h * C1 + (value[x] * power[:len(x)]).sum()], np.uint64))[0]
-        out[w] = h
-    return _mix(out ^ (size.astype(np.uint64) * C2))
+def _word_hashes(spelled: pa.LargeBinaryArray) -> np.ndarray:
+    """64-bit hash of each distinct word.  A polynomial modulo 2^64 won't do: it gives some pairs
+    of words (a Thue-Morse word and its complement) one value for every base."""
+    return np.fromiter((xxh3_64_intdigest(w) for w in spelled.to_pylist()), np.uint64, len(spelled))
 
 
 def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -234,6 +213,18 @@ def _points(words: int, t: Threshold):
     return run
 
 
+def _set_blocks(words: int, t: Threshold):
+    """(id, text) to (cell, s1, s2): the indexed blocks of each row under its set's digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, count, hashes in shingle_sets(batch.column(1), words):
+                s1, s2 = _sums(_mix(hashes ^ C1), count).view(np.int64), _sums(_mix(hashes ^ C3), count).view(np.int64)
+                r, key, _ = cell_keys(count, hashes, t)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s1[r]), pa.array(s2[r])], ["cell", "s1", "s2"])
+
+    return run
+
+
 def _sets(words: int):
     """(id, text) to (id, set): sorted shingle hashes as bytes."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
@@ -362,7 +353,7 @@ PAIR_DDL = "a bigint, b bigint"
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90,
-                    den: int = 100, tree_rows: int = 2048, star_rounds: int = 1, hot_rows: int = 32) -> DataFrame:
+                    den: int = 100, tree_rows: int = 512, star_rounds: int = 1, hot_rows: int = 32) -> DataFrame:
     """(id, n_shingles, component_id) for every input row: two documents link when den *
     intersection >= num * union of their sets of distinct ``words``-word shingles (ASCII
     letters lowered; a shorter text is one shingle), and the component is named by its
@@ -402,6 +393,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = copies.join(nodes, "copy", "left_semi").select(F.col("id").alias("a"), F.col("copy").alias("b"))
     to = copies.join(nodes, "copy", "left_anti").select("copy", F.col("id").alias("to"))
 
+    # such an id's blocks may be of any of its sets: they are indexed anew, under each set's node
+    spread = sets.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    mixed = written(spread.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("id"), "mixed")
+    if not mixed.isEmpty():
+        anew = rows.join(mixed, "id").mapInArrow(_set_blocks(words, t), "cell bigint, s1 bigint, s2 bigint").distinct()
+        blocks = (blocks.join(mixed, "id", "left_anti").select("cell", "id")
+                  .unionByName(anew.join(same.select("s1", "s2", "id"), ["s1", "s2"]).select("cell", "id")))
+
     # cells with more than one set; of cells with the same members one
     shared = blocks.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
     members = blocks.join(written(shared, "shared"), "cell").join(to, F.col("id") == F.col("copy"), "left")

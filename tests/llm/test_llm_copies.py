@@ -78,6 +78,30 @@ def test_unsettled_cells_are_settled_by_the_tree(spark, rounds, tree_rows):
     assert sorted(map(tuple, got), key=str) == brute_classes(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_copies_of_texts_of_ids_with_several(spark, seed):
+    rng = random.Random(seed)
+    texts = [t for _, t in varied(rng, 9, 6)]
+    rows = [(rng.randint(1, 40), t) for t in texts + rng.sample(texts, 12)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1 + seed)
+    assert sorted((tuple(r) for r in jj.jaccard_classes(d).collect()), key=str) == brute_classes(rows, 3, 90, 100)
+
+
+def test_a_link_through_an_id_with_two_texts_in_one_batch(spark):
+    w = [f"w{i}" for i in range(80)]
+    y, other, z = " ".join(w), " ".join(f"v{i}" for i in range(60)), " ".join(w[:-1] + ["end"])
+    rows = [(5, y), (5, other), (1, y), (9, z)]
+    got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 1), (1, 1), (9, 1)}
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    got = jj.jaccard_classes(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_jaccard_long_texts_and_empty_table(spark):
     long = " ".join(f"w{i % 5000} v{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "z" * 300_000), (4, "z" * 300_000)]
