@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rollframe.functions.answers import let
 
@@ -12,6 +16,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Strings and comments of Python text, the first to begin wins; a triple-quoted one may span lines
+_TOKENS = re.compile(r'''("""|\'\'\')(?:\\.|(?!\1).)*(?:\1|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\#[^\n]*''', re.S)
+
+
+@F.arrow_udf(StringType())
+def without_strings(code: pa.Array) -> pa.Array:
+    """Python text with its strings empty and its comments gone: what is left are the program's
+    own words.  Null stays null."""
+    return pa.array([None if c is None else _TOKENS.sub(lambda m: "" if m.group().startswith("#") else '""', c)
+                     for c in code.to_pylist()], pa.string())
+
+
 def has_assert(code) -> Column:
     """An ``assert`` on some line, before any comment or string on it starts."""
     return F.exists(F.split(_c(code), "\n"), lambda line: F.regexp_replace(line, "[#\"'].*$", "").contains("assert"))
@@ -20,10 +36,12 @@ def has_assert(code) -> Column:
 def validate_harness_text(code, entry_point=None) -> Column:
     """Is a test-harness program usable: not empty, at least one top-level function called
     ``generate_input_...``, an assert if it defines ``check_output`` at the top level, and no
-    definition of the entry point that it is to test."""
+    definition of the entry point that it is to test.  Functions are those of the program: a
+    ``def`` inside a string of several lines is none."""
     c = _c(code)
-    ok = (F.length(c) > 0) & c.rlike(r"(?m)^def generate_input_\w*\s*\(")
-    ok = ok & (~c.rlike(r"(?m)^def check_output\s*\(") | has_assert(c))
+    bare = without_strings(c)
+    ok = (F.length(c) > 0) & bare.rlike(r"(?m)^def\s+generate_input_\w*\s*\(")
+    ok = ok & (~bare.rlike(r"(?m)^def\s+check_output\s*\(") | has_assert(c))
     if entry_point is not None:
         name = _c(entry_point) if isinstance(entry_point, Column) else F.lit(entry_point)
         ok = ok & ~F.coalesce(F.contains(c, F.concat(F.lit("def "), name, F.lit("("))), F.lit(False))

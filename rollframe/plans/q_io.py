@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
+from rollframe.operators import callbacks as CB
 from rollframe.plans import tables as T
 from rollframe.plans.catalog import ROLLOUTS_SQL, TOKENS_SQL, register, r6, with_
 from rollframe.sources import io as IO
+from rollframe.sources.fanout import write_fan_out
 from rollframe.streaming import jobs as S
 
 FILES, PER_BATCH = 6, 2
@@ -251,3 +253,69 @@ def q_scoring_timeout(spark, sf_dir):
     out = S.drain(S.scoring_with_timeout(requests, results, "event_id", "at", watermark=f"{int(max(a, b) + 1000)} seconds"), IO.scratch_path(spark, "scored"),
                   IO.scratch_path(spark, "ckpt"))
     return out.where("event_id >= 0").select("event_id", "score", "reward_type")
+
+
+@register("write_fan_out", with_(ROLLOUTS_SQL) + """
+, m AS (SELECT step, 'mean_score/' || data_source AS metric, round(avg(score), 6) AS value FROM rollouts GROUP BY step, data_source)
+SELECT unnest(['csv', 'jsonl', 'parquet']) AS back_end, step, metric, value FROM m""")
+def q_write_fan_out(spark, sf_dir):
+    """Metric rows to three back ends in one pass, read back from each."""
+    path = IO.scratch_path(spark, "fanout").removeprefix("file:")
+    m = T.rollouts(spark, sf_dir).groupBy("step", "data_source").agg(r6(F.avg("score")).alias("value"))
+    m = m.select("step", F.concat(F.lit("mean_score/"), "data_source").alias("metric"), "value")
+    write_fan_out(m, [(f, f"{path}/{f}") for f in ("parquet", "jsonl", "csv")])
+    schema = m.schema
+    back = [spark.read.parquet(f"{path}/parquet"), spark.read.schema(schema).json(f"{path}/jsonl"),
+            spark.read.schema(schema).option("header", True).csv(f"{path}/csv")]
+    back = [b.select(F.lit(n).alias("back_end"), *schema.names) for n, b in zip(("parquet", "jsonl", "csv"), back)]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@register("metric_callbacks", with_(ROLLOUTS_SQL) + """
+SELECT 'lengths' AS callback, 'longest' AS metric, round(CAST(max(length(pred)) AS DOUBLE), 6) AS value FROM rollouts
+UNION ALL SELECT 'scores', 'mean', round(avg(score), 6) FROM rollouts
+UNION ALL SELECT 'scores', 'best', round(max(score), 6) FROM rollouts
+UNION ALL SELECT 'types', 'share_1', round(avg(CASE WHEN pred = '1' THEN 1.0e0 ELSE 0.0e0 END), 6) FROM rollouts""")
+def q_metric_callbacks(spark, sf_dir):
+    """Three callbacks over one write of the batch, their metrics logged by them; a fourth, for a
+    column that the batch lacks, does not run."""
+    batch = T.rollouts(spark, sf_dir).select("uid", "pred", "score")
+    rows = []
+
+    def log(name):
+        return lambda step, split, values: rows.extend((name, k, float(v)) for k, v in values.items())
+
+    path = IO.scratch_path(spark, "batch")
+    CB.write_with_callbacks(batch, lambda d: d.write.parquet(path), [
+        CB.MetricCallback("scores", {"mean": F.avg("score"), "best": F.max("score")}, log("scores"), ("score",)),
+        CB.MetricCallback("lengths", {"longest": F.max(F.length("pred"))}, log("lengths"), ("pred",)),
+        CB.MetricCallback("types", {f"share_{k}": v for k, v in CB.class_counts("pred", ["1"]).items()}, log("types"), ("pred",)),
+        CB.MetricCallback("missing", {"n": F.count("reward_types")}, log("missing"), ("reward_types",))], step=3)
+    return spark.createDataFrame(rows, "callback string, metric string, value double").select("callback", "metric", r6("value").alias("value"))
+
+
+@register("transform_records", """SELECT conv_id, role || ': ' || length(text) AS line FROM conversations WHERE role <> 'system'
+UNION ALL SELECT conv_id, 'system' AS line FROM conversations WHERE role = 'system'
+UNION ALL SELECT conv_id, 'again' AS line FROM conversations WHERE role = 'system'""")
+def q_transform_records(spark, sf_dir):
+    """A user's record transform that gives one or two records for each."""
+    def lines(record, mark):
+        if record["role"] == "system":
+            return [{"conv_id": record["conv_id"], "line": x} for x in ("system", mark)]
+        return {"conv_id": record["conv_id"], "line": f"{record['role']}: {len(record['text'])}"}
+
+    return CB.transform_records(T.table(spark, sf_dir, "conversations"), lines, "conv_id bigint, line string", mark="again")
+
+
+@register("write_generations_jsonl", with_(ROLLOUTS_SQL) + """
+SELECT step, count(*) AS n, round(sum(score), 6) AS total, count(DISTINCT data_source) AS sources FROM rollouts WHERE step >= 3 GROUP BY step""")
+def q_write_generations_jsonl(spark, sf_dir):
+    """The generations log, appended step by step in two writes and read from one step on: the
+    step is a folder, so earlier ones are not opened."""
+    path = IO.scratch_path(spark, "generations")
+    log = _log(spark, sf_dir).select("input", "output", "score", "step", "data_source")
+    IO.write_generations_jsonl(log.where("step % 2 = 0"), path)
+    IO.write_generations_jsonl(log.where("step % 2 = 1"), path)
+    back = IO.read_rollout_log(spark, path, extra=TT.StructType([TT.StructField("data_source", TT.StringType())]))
+    return back.where("step >= 3").groupBy("step").agg(F.count("*").alias("n"), r6(F.sum("score")).alias("total"),
+                                                      F.countDistinct("data_source").alias("sources"))

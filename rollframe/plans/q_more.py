@@ -504,3 +504,16 @@ def q_plain_latex(spark, sf_dir):
     }
     d = d.select("q", "n", *[A.plain_latex(x).alias(k) for k, x in forms.items()], A.score_tuple_answers(nested, other).alias("same"))
     return d.select("q", "n", "nested", "bare", "grouped", F.regexp_replace("deep", r"\( ", "(").alias("deep"), "same")
+
+
+@register("validate_harness_strings", """SELECT o_orderkey, o_orderkey % 5 IN (0, 4) AS ok FROM orders""")
+def q_validate_harness_strings(spark, sf_dir):
+    """Harness programs whose functions stand in the program, in a string of several lines (after
+    a comment with a quote), and in both."""
+    k = F.col("o_orderkey").cast("string")
+    real = F.concat(F.lit("def generate_input_"), k, F.lit("():\n    return [1]\n"))
+    hidden = F.concat(F.lit("# it's no string\ndoc = \"\"\"\n"), real, F.lit("\"\"\"\n"))
+    check = F.lit("def check_output(a, b):\n    return a == b\n")
+    code = F.element_at(F.array(real, hidden, F.concat(real, check), F.concat(hidden, F.lit("x = 1\n")),
+                                F.concat(real, F.lit("'''\n"), check, F.lit("'''\n"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", C.validate_harness_text(code).alias("ok"))
