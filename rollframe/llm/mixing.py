@@ -110,7 +110,9 @@ def numbered_slots(sources: DataFrame, counts: DataFrame) -> DataFrame:
     s = sources.select("source_index", "blocks_wanted").join(drew, "source_index", "left").na.fill(0, ["drew", "begin"])
     over, under = (F.greatest(F.col(a) - F.col(b), F.lit(0)) for a, b in (("drew", "blocks_wanted"), ("blocks_wanted", "drew")))
     s = written(running_totals(s, "source_index", {"over_start": over, "under_start": under}), "mix-drew")
-    slots = counts.join(s, "source_index").select(
+    # a row is up to a whole shard's slots: small rows that grow must not be read by a few tasks
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = counts.join(s, "source_index").repartition(n, "out_shard", "source_index").select(
         "out_shard", "source_index", "blocks_wanted", "over_start",
         F.explode(F.sequence(F.col("before") - F.col("begin"), F.col("before") - F.col("begin") + F.col("n") - 1)).alias("slot"))
     kept = slots.where("slot < blocks_wanted").select("out_shard", "source_index", "slot")
