@@ -208,37 +208,20 @@ def dpo_group_loss(df: DataFrame, scores_col: str, acc_col: str, mask_col: str,
     return d.agg(F.sum(F.col("__loss") * F.col("__weight")).alias("dpo_loss"))
 
 
-#: Up to so many different accuracies, pairwise_accuracy keeps one running count for each.
-MAX_LEVELS = 32
-
-
 def pairwise_accuracy(df: DataFrame, scores_col: str, acc_col: str, mask_col: str,
                       group_col: str = "uid", order_col: str = "sample_idx") -> DataFrame:
     """Mean over groups of the |acc diff|-weighted agreement between score and accuracy
     orderings over pairs i < j (0.5 when all accuracies are equal).
 
-    Computed without forming pairs: with ``s`` ordered by (score, position), a higher-acc
-    member agrees with a lower-acc one exactly when it comes later in that order.  With few
-    different accuracies in the table (0 and 1, say) the numerator is a running count per
-    accuracy, over a window of the group; with more, each group (the samples of one prompt)
-    is merge-sorted in one task.  A lone response has no pairs and counts in no mean."""
+    Computed without forming pairs: with ``s`` ordered by (score, position), a higher-acc member
+    agrees with a lower-acc one exactly when it comes later in that order.  One walk in that order
+    over sums by accuracy rank counts them; a group is the samples of one prompt, three numbers
+    each, in one task.  Null accuracies are left out; a lone response has no pairs and counts in
+    no mean."""
     d = df.select(F.col(group_col).alias("__g"), F.col(order_col).alias("__o"), AR.masked_sum(scores_col, mask_col).alias("__s"),
-                  F.col(acc_col).cast("double").alias("__a"))
-    levels = [r[0] for r in d.select("__a").distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(levels) <= MAX_LEVELS:
-        w = Window.partitionBy("__g").orderBy("__s", "__o").rowsBetween(Window.unboundedPreceding, -1)
-        wall = Window.partitionBy("__g")
-        num, den = F.lit(0.0), F.lit(0.0)
-        for v in sorted(x for x in levels if x is not None):
-            before = F.coalesce(F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(w), F.lit(0))
-            total = F.sum(F.when(F.col("__a") == v, 1).otherwise(0)).over(wall)
-            gain = F.when(F.col("__a") > v, F.col("__a") - v).otherwise(F.lit(0.0))
-            num, den = num + before * gain, den + total * gain
-        per = d.select("__g", num.alias("__num"), den.alias("__den"))
-        g = per.groupBy("__g").agg(F.sum("__num").alias("n"), F.sum("__den").alias("dd"), F.count("*").alias("c"))
-    else:
-        ship_package(df.sparkSession)
-        g = d.groupBy("__g").applyInPandas(_pair_sums, "n double, dd double, c bigint")
+                  F.col(acc_col).cast("double").alias("__a")).where(F.col("__a").isNotNull())
+    ship_package(df.sparkSession)
+    g = d.groupBy("__g").applyInPandas(_pair_sums, "n double, dd double, c bigint")
     ratio = F.when(F.col("dd") == 0, F.lit(0.5)).otherwise(F.col("n") / F.col("dd"))
     return g.where("c > 1").agg(F.avg(ratio).alias("pairwise_accuracy"))
 

@@ -229,11 +229,11 @@ def token_process_reward(df: DataFrame, beta: float, lam: float = 0.0, granulari
     return d.withColumn(out_col, out).drop("__n", "__q", "__r", "__sum")
 
 
-def group_context_arrays(df: DataFrame, group_col: str = "uid", order_col: str = "sample_idx",
-                         cols: tuple[str, ...] = ("score", "acc"), max_group: int = 4096) -> DataFrame:
-    """Attach to each response the arrays of all group members' values, ordered by
-    ``order_col``.  A group is the samples of one prompt; more than ``max_group`` of them
-    fail the job before any list is built."""
+def group_arrays(df: DataFrame, group_col: str = "uid", order_col: str = "sample_idx",
+                 cols: tuple[str, ...] = ("score", "acc"), max_group: int = 4096) -> DataFrame:
+    """One row per group with the arrays of its members' values, ordered by ``order_col``: as many
+    values as the table has.  A group is the samples of one prompt; more than ``max_group`` of
+    them fail the job before any list is built."""
     size = df.groupBy(group_col).agg(F.count("*").alias("__n"))
     most = size.agg(F.max("__n")).first()[0] or 0
     if most > max_group:
@@ -241,8 +241,16 @@ def group_context_arrays(df: DataFrame, group_col: str = "uid", order_col: str =
     agg = df.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(order_col, *cols))).alias("__g"))
     def field(c):
         return F.transform("__g", lambda s: s[c]).alias(f"group_{c}")
-    out = agg.select(group_col, *[field(c) for c in cols])
-    return df.join(out, group_col, "left")
+    return agg.select(group_col, *[field(c) for c in cols])
+
+
+def group_context_arrays(df: DataFrame, group_col: str = "uid", order_col: str = "sample_idx",
+                         cols: tuple[str, ...] = ("score", "acc"), max_group: int = 4096) -> DataFrame:
+    """Attach to each response the arrays of all group members' values (:func:`group_arrays`).
+
+    The arrays are kept once per group until this join, which the output needs: a group of n rows
+    has n arrays of n values there.  Where one row per group will do, take the arrays themselves."""
+    return df.join(group_arrays(df, group_col, order_col, cols, max_group), group_col, "left")
 
 
 def batch_norm_rewards(df: DataFrame, rewards_col: str, batch_col: str = "batch_id",

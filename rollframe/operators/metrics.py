@@ -74,9 +74,11 @@ def best_worst_at_n(df: DataFrame, keys: list[str], value_col: str) -> DataFrame
 
 
 def validation_metrics(df: DataFrame, var_cols: list[str], source_col: str = "data_source",
-                       prompt_col: str = "uid", pred_col: str | None = None, order_col: str = "sample_idx") -> DataFrame:
+                       prompt_col: str = "uid", pred_col: str | None = None, order_col: str = "sample_idx",
+                       majority: str = "exact") -> DataFrame:
     """String variables are skipped.  With ``pred_col``, ``maj@s`` mean and std of each variable
-    come from the seeded bootstrap of :func:`majority_at_n_bootstrap`.
+    are exact (:func:`plurality_at_n`), or with ``majority="bootstrap"`` from the seeded draws of
+    :func:`majority_at_n_bootstrap`.
 
     Per (source, prompt, var): ``mean@N``, population ``std@N``, ``best@s``/``worst@s``
     mean and std; then the mean over prompts per (source, var, metric).
@@ -103,7 +105,8 @@ def validation_metrics(df: DataFrame, var_cols: list[str], source_col: str = "da
     ).select(*keys, "kv.metric", "kv.value")
     per_prompt = basic.unionByName(bw)
     if pred_col:
-        maj = majority_at_n_bootstrap(long, keys, pred_col, "value", order_col)
+        maj = (plurality_at_n(long, keys, pred_col, "value") if majority == "exact"
+               else majority_at_n_bootstrap(long, keys, pred_col, "value", order_col))
         n = F.col("n").cast("string")
         per_prompt = per_prompt.unionByName(maj.select(*keys, F.explode(F.array(*[
             F.struct(F.concat(F.lit("maj@"), n, F.lit(f"/{stat}")).alias("metric"), F.col(f"maj_{stat}").alias("value"))
@@ -376,13 +379,14 @@ BRUTE_FORCE_KEYWORDS = ["brute_", "brute-"]
 PROPERTY_SIGNS = ["!=", ">", "<", "check", "valid"]
 
 
-def testcase_style_share(df: DataFrame, response_col: str, source_col: str = "data_source") -> DataFrame:
+def testcase_style_share(df: DataFrame, response_col: str, source_col: str = "data_source",
+                         complex_keywords: tuple[str, ...] = ()) -> DataFrame:
     """Shares, overall and per source, of responses whose last python block is of a style.
 
     ``brute_force``: a keyword, the word brute, or code that begins with a function whose name
     contains correct.  ``property``: a line with an assert that has a property sign before any
-    ``#`` or ``"`` on it.  ``complex_input`` has no keywords, so no response is.  Responses
-    without a block are of no style."""
+    ``#`` or ``"`` on it.  ``complex_input``: any of ``complex_keywords``, in lower case (none are
+    known by default, so no response is).  Responses without a block are of no style."""
     code = F.coalesce(F.try_element_at(F.regexp_extract_all(F.col(response_col), F.lit(r"(?s)```python\n(.*?)\n```"), 1), F.lit(-1)), F.lit(""))
     d = df.select(source_col, code.alias("code")).withColumn("low", F.lower("code"))
     brute = F.col("low").rlike(r"\bbrute\b") | F.col("low").rlike(r"^\s*def\s+\w*correct\w*\s*\(")
@@ -396,10 +400,13 @@ def testcase_style_share(df: DataFrame, response_col: str, source_col: str = "da
             has = has | head.contains(sign)
         return line.contains("assert") & has
 
-    d = d.select(source_col, brute.alias("brute"), F.exists(F.split("code", "\n"), signed).alias("prop"))
+    dense = F.lit(False)
+    for word in complex_keywords:
+        dense = dense | F.col("low").contains(word)
+    d = d.select(source_col, brute.alias("brute"), F.exists(F.split("code", "\n"), signed).alias("prop"), dense.alias("dense"))
     share = lambda c: F.avg(F.col(c).cast("double"))
     return d.groupingSets([[], [source_col]], source_col).agg(
-        share("brute").alias("brute_force_share"), share("prop").alias("property_share"), F.lit(0.0).alias("complex_input_share"))
+        share("brute").alias("brute_force_share"), share("prop").alias("property_share"), share("dense").alias("complex_input_share"))
 
 
 def best_reward_from_logs(lines: DataFrame, text_col: str = "value", pattern: str = r"reward[:=]\s*(-?[0-9.]+)",
