@@ -143,6 +143,36 @@ def test_line_dedup(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = table(spark, ["menu\nown a", "menu\nown b", "menu", None])
+    names = ["__hs", "__hit", "__keep", "__host", "__drop", "host", "lines", "HS"]
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    rows = line_dedup(docs, "source", "text", 0.5, 3).collect()
+    assert all([r[c] for c in names] == names for r in rows)
+    assert {r["doc_id"]: r["text"] for r in rows} == {0: "own a", 1: "own b", 2: "", 3: None}
+
+
+def test_line_dedup_of_pages_that_are_all_boilerplate(spark):
+    import time
+
+    page = "\n".join(f"line {i * 7919 % 80_000}" for i in range(80_000))
+    docs = table(spark, [page, page + "\nown", page, page])
+    t = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_dropped_lines"]) for r in line_dedup(docs, "source", "text", 0.5, 3).collect()}
+    assert got == {0: ("", 80_000), 1: ("own", 80_000), 2: ("", 80_000), 3: ("", 80_000)}
+    assert time.time() - t < 120
+
+
+def test_line_dedup_looks_up_few_and_many_lines_alike(spark):
+    import random
+
+    rng = random.Random(2)
+    pages = ["\n".join(rng.sample([f"l{i}" for i in range(200)], rng.choice([3, 31, 32, 33, 120]))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(table(spark, pages), "source", "text", 0.25, 3).collect()}
+    seen = Counter(x for p in pages for x in set(p.split("\n")))
+    assert got == {i: "\n".join(x for x in p.split("\n") if not (seen[x] >= 3 and seen[x] > 15)) for i, p in enumerate(pages)}
+
+
 def test_line_dedup_counts_pages_not_lines(spark):
     docs = table(spark, ["again\nagain\nagain\nagain", "x", "y", "z"])
     assert {r["n_dropped_lines"] for r in line_dedup(docs, "source", "text", 0.5, 2).collect()} == {0}
