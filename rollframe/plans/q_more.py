@@ -300,29 +300,45 @@ def q_append_response_turn(spark, sf_dir):
     return TK.append_response_turn(c, "chat", "response", "</s>").select("conv_id", "turn", "chat")
 
 
-@register("flatten_candidates", """SELECT item_id, CAST(i AS INTEGER) AS candidate_idx, ' number ' || i AS response FROM benchmark, range(3) t(i)""")
+@register("flatten_candidates", """WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS i FROM conversations)
+SELECT conv_id, CAST(i AS INTEGER) AS candidate_idx, ' ' || text AS response FROM t WHERE i >= 0""")
 def q_flatten_candidates(spark, sf_dir):
-    b = T.table(spark, sf_dir, "benchmark")
-    b = b.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.col("text"), F.lit(" number "), i.cast("string"))))
-    return TK.flatten_candidates(b, "text", "c").select("item_id", "candidate_idx", "response")
+    """A conversation's first turn as prompt, each later turn as a candidate's transcript."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    c = T.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).withColumn("prompt", F.col("t")[0])
+    c = c.withColumn("c", F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: F.concat(F.col("prompt"), F.lit(" "), x)))
+    return TK.flatten_candidates(c, "prompt", "c").select("conv_id", "candidate_idx", "response")
 
 
 @register("assemble_sequence", with_(_IDS_SQL) + """
-, p AS (SELECT doc_id, len(ids) AS n, ids FROM ids)
-, r AS (SELECT doc_id, n, [0, 0, 7, 8] AS prompt, [0, 0, 1, 1] AS pm,
-    list_transform(range(32), lambda i: CASE WHEN i < n THEN ids[i + 1] ELSE 0 END) AS resp FROM p)
+, p AS (SELECT doc_id, ids[1:1 + doc_id % 3] AS pr, ids[2 + doc_id % 3:] AS ids FROM ids)
+, r AS (SELECT doc_id, len(pr) AS k, list_concat(list_transform(range(4 - len(pr)), lambda i: CAST(0 AS INTEGER)), pr) AS prompt,
+    list_transform(range(4), lambda i: CASE WHEN i < 4 - len(pr) THEN 0 ELSE 1 END) AS pm,
+    list_transform(range(32), lambda i: CASE WHEN i < len(ids) THEN ids[i + 1] ELSE 0 END) AS resp FROM p)
 , s AS (SELECT *, list_transform(range(32), lambda i: CASE WHEN coalesce(list_position(resp, 9), 99) - 1 >= i THEN 1 ELSE 0 END) AS rm FROM r)
 SELECT doc_id, list_transform(list_concat(prompt, resp), lambda x: CAST(x AS INTEGER)) AS input_ids,
   list_transform(list_concat(pm, rm), lambda x: CAST(x AS INTEGER)) AS attention_mask,
-  list_transform(list_concat([0, 0, 0, 1], list_transform(range(32), lambda i: i + 2)), lambda x: CAST(x AS BIGINT)) AS position_ids FROM s""")
+  list_transform(list_concat(list_transform(range(4), lambda i: greatest(i - (4 - k), 0)), list_transform(range(32), lambda i: i + k)), lambda x: CAST(x AS BIGINT)) AS position_ids FROM s""")
 def q_assemble_sequence(spark, sf_dir):
-    ints = lambda *v: F.array(*[F.lit(x) for x in v])
-    d = _word_ids(spark, sf_dir).withColumns({"prompt": ints(0, 0, 7, 8), "pm": ints(0, 0, 1, 1)})
+    """The first one to three words of a document as prompt, padded to four, the rest as response."""
+    d = _word_ids(spark, sf_dir)
+    k = (F.col("doc_id") % 3 + 1).cast("int")
+    d = d.withColumns({"p": F.slice("ids", F.lit(1), k), "ids": F.slice("ids", k + 1, F.size("ids"))})
+    pad = F.array_repeat(F.lit(0), F.lit(4) - F.size("p"))
+    d = d.withColumns({"prompt": F.concat(pad, "p"), "pm": F.concat(pad, F.transform("p", lambda _: F.lit(1)))})
     out = TK.assemble_sequence(d, "prompt", "pm", "ids", 32, 0, 9)
     return out.select("doc_id", *[F.col(c).cast("array<int>").alias(c) for c in ("input_ids", "attention_mask")],
                       F.col("position_ids").cast("array<bigint>").alias("position_ids"))
 
 
+@register("position_ids_multiturn", with_(_IDS_SQL) + """
+SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN x % 3 = 0 THEN 0 ELSE CAST(i - 1 AS INTEGER) END) AS position_ids FROM ids""")
+def q_position_ids_multiturn(spark, sf_dir):
+    """Positions where words of a length that 3 divides are masked."""
+    mask = F.transform("ids", lambda x: F.when(x % 3 == 0, 0).otherwise(1))
+    return _word_ids(spark, sf_dir).select("doc_id", TK.position_ids_multiturn(mask).alias("position_ids"))
+
+
 @register("expand_reward_to_eos", with_(TOKENS_SQL) + """
 SELECT response_id, list_transform(range(32, 64), lambda i: CASE WHEN i = 15 + response_id % 49 THEN CAST(response_id AS DOUBLE) ELSE 0.0e0 END) AS token_level_scores FROM tokens""")
 def q_expand_reward_to_eos(spark, sf_dir):
