@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.llm.work import written
+from rollframe.llm.work import free_name, written
 from rollframe.session import ship_package
 
 #: Item words in a row that stay in one block.
@@ -88,7 +88,8 @@ COLUMNS = ("n_words", "n_hit", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = 10, max_benchmark_bytes: int = 1 << 20) -> DataFrame:
+                  item_text_col: str = "text", window: int = 10, max_benchmark_bytes: int = 1 << 20,
+                  pass_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` plus ``n_words``, ``n_hit``, ``spans`` and ``items``.
 
     A window is ``window`` consecutive item words, or all of a shorter item.  Words inside any
@@ -98,19 +99,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     without an id hit but are not listed; repeated rows of either side change nothing else.
     Input columns named like the four are replaced, all others pass through.
 
-    The automaton is broadcast as item texts, in blocks of about ``max_benchmark_bytes``.  One
-    block: the documents are read once and not shuffled.  More: each block's hits are written
-    (:func:`block_hits`), a pass over the documents per block, and meet by the md5 of the text.
-    A bound of 0 allows no automaton and asks for :func:`decontaminate_by_join`, whose ``spans``
-    are in words; no benchmark size leads there.
+    An automaton is built of about ``max_benchmark_bytes`` of item texts, which are broadcast.  One block:
+    the documents are read once and not shuffled.  More: a batch of documents goes through the
+    blocks' automata one after the other, up to ``pass_bytes`` of items (the broadcast's bound) in
+    one scan of the documents, and hits meet by the md5 of the text (:func:`block_hits`).  Spans
+    and counts are the same for every bound.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     items = items.where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > max_benchmark_bytes:
-        if max_benchmark_bytes <= 0:
-            return decontaminate_by_join(docs, items, text_col, window)
-        return decontaminate_in_blocks(docs, items, text_col, window, max_benchmark_bytes)
+        return decontaminate_in_blocks(docs, items, text_col, window, max_benchmark_bytes, pass_bytes)
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     kept: dict = {}
@@ -121,8 +120,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             kept["a"] = build_automaton(item_windows(shared.value, window))
         return pa.array([dict(zip(COLUMNS, scan(t.as_py(), kept["a"]))) for t in texts], FOUND)
 
-    out = docs.drop(*COLUMNS).withColumn("__found", found(F.col(text_col)))
-    return out.select("*", "__found.*").drop("__found")
+    name = free_name("__found", docs.columns)
+    out = docs.drop(*COLUMNS).withColumn(name, found(F.col(text_col)))
+    return out.select("*", f"{name}.*").drop(name)
 
 
 def item_parts(items: DataFrame, window: int) -> DataFrame:
@@ -136,49 +136,58 @@ def item_parts(items: DataFrame, window: int) -> DataFrame:
 
 
 RUNS = pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "b", "start", "end")]))
-HITS_DDL = "key string, runs array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>, items array<string>"
+HITS_DDL = "key string, block int, runs array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>, items array<string>"
 
 
-def block_hits(texts: DataFrame, block: list[tuple[str | None, str]], window: int) -> DataFrame:
-    """(key, runs, items) of the texts (key, text) that a block's automaton hits."""
-    shared = texts.sparkSession.sparkContext.broadcast(block)
+def block_hits(texts: DataFrame, blocks: list[list[tuple[str | None, str]]], window: int) -> DataFrame:
+    """(key, block, runs, items) of the texts (key, text) that a block's automaton hits: one scan of
+    the texts, one automaton in memory at a time."""
+    shared = texts.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches):
-        automaton = build_automaton(item_windows(shared.value, window))
+        alone = build_automaton(item_windows(shared.value[0], window)) if len(shared.value) == 1 else None
         for batch in batches:
-            found = [(k, *scan_runs(t.as_py(), automaton)[1:]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            found = [f for f in found if f[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], RUNS),
-                 pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["key", "runs", "items"])
+            keys = batch.column(0).to_pylist()
+            for b, block in enumerate(shared.value):
+                automaton = alone or build_automaton(item_windows(block, window))
+                found = [(k, *scan_runs(t.as_py(), automaton)[1:]) for k, t in zip(keys, batch.column(1))]
+                found = [f for f in found if f[1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.string()), pa.array([b] * len(found), pa.int32()),
+                     pa.array([f[1] for f in found], RUNS), pa.array([f[2] for f in found], pa.list_(pa.string()))],
+                    names=["key", "block", "runs", "items"])
 
     # a repeated text has the same hits
-    out = written(texts.mapInArrow(run, HITS_DDL).dropDuplicates(["key"]), "hits")
+    out = written(texts.mapInArrow(run, HITS_DDL).dropDuplicates(["key", "block"]), "hits")
     shared.destroy()
     return out
 
 
-def decontaminate_in_blocks(docs: DataFrame, items: DataFrame, text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """The same for a benchmark of any size, ``items(item, text)``: one automaton per block, so
-    neither the driver nor a worker holds more than one block's items."""
+def decontaminate_in_blocks(docs: DataFrame, items: DataFrame, text_col: str, window: int, block_bytes: int,
+                            pass_bytes: int) -> DataFrame:
+    """The same for a benchmark of any size, ``items(item, text)``: the driver and a worker hold
+    the items of one pass and one block's automaton."""
     ship_package(docs.sparkSession)
     parts = item_parts(items, window)
     weight = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))
     total = parts.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // block_bytes))
+    n_blocks = max(1, -(-total // max(1, block_bytes)))
+    a_pass = max(1, pass_bytes // max(1, block_bytes))
     parts = written(parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))), "item-parts")
     texts = docs.select(F.md5(F.col(text_col).cast("binary")).alias("key"), F.col(text_col).alias("text")).where("text <> ''")
     hits = None
-    for b in range(n_blocks):
-        block = [tuple(r) for r in parts.where(F.col("block") == b).select("item", "text").collect()]
-        if block:
-            got = block_hits(texts, block, window)
+    for first in range(0, n_blocks, a_pass):
+        blocks: dict[int, list] = {}
+        for r in parts.where(F.col("block").between(first, first + a_pass - 1)).collect():
+            blocks.setdefault(r["block"], []).append((r["item"], r["text"]))
+        if blocks:
+            got = block_hits(texts, list(blocks.values()), window)
             hits = got if hits is None else hits.unionByName(got)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], HITS_DDL)
     # runs of several blocks overlap or touch in words
     runs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
-    hits = hits.groupBy("key").agg(runs.alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    hits = hits.groupBy("key").agg(runs.alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found_items"))
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>")
     def union(all_runs: pa.Array) -> pa.Array:
@@ -194,48 +203,14 @@ def decontaminate_in_blocks(docs: DataFrame, items: DataFrame, text_col: str, wi
             out.append(whole)
         return pa.array(out, RUNS)
 
-    hits = hits.select(F.col("key").alias("__key"), union("runs").alias("__runs"), "__items")
-    out = docs.drop(*COLUMNS).withColumn("__key", F.md5(F.col(text_col).cast("binary"))).join(hits, "__key", "left")
-    n_hit = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-    spans = F.transform("__runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    key, runs, listed = (free_name(c, docs.columns) for c in ("__key", "__runs", "__items"))
+    hits = hits.select(F.col("key").alias(key), union("runs").alias(runs), F.col("found_items").alias(listed))
+    out = docs.drop(*COLUMNS).withColumn(key, F.md5(F.col(text_col).cast("binary"))).join(hits, key, "left")
+    n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    spans = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
     words = F.size(F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(f"({WORD})"), 1))
     return out.select(
         *[c for c in docs.columns if c not in COLUMNS], F.coalesce(F.when(F.col(text_col).isNotNull(), words), F.lit(0)).cast("long").alias("n_words"),
         F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
-        F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
-
-
-def decontaminate_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
-    """The same without an automaton, ``items(item, text)``; ``spans`` are in words.
-
-    Distinct texts are cut into windows of each length that an item needs, joined with the
-    item windows on a 64-bit hash, and the hits of a text meet again by its md5."""
-    words = lambda c: F.regexp_extract_all(F.translate(F.col(c), UPPER, LOWER), F.lit(f"({WORD})"), 1)
-
-    def cut(length):
-        return F.when(F.size("w") >= length, F.transform(
-            F.sequence(F.lit(0), F.size("w") - length),
-            lambda i: F.struct(i.alias("i"), length.alias("len"), F.xxhash64(F.slice(F.col("w"), i + 1, length)).alias("h"))))
-
-    wins = items.select("item", words("text").alias("w")).where(F.size("w") > 0)
-    wins = wins.select("item", F.explode(cut(F.least(F.size("w"), F.lit(window)))).alias("x")).select("item", "x.len", "x.h").distinct()
-    rows = docs.drop(*COLUMNS).withColumn("__k", F.md5(F.coalesce(text_col, F.lit(""))))
-    w = rows.groupBy(F.col("__k").alias("k")).agg(F.first(text_col).alias("t")).select("k", words("t").alias("w"))
-    all_cuts = F.filter(F.array(*[cut(F.lit(n)) for n in range(1, window + 1)]), lambda a: a.isNotNull())
-    hits = (w.select("k", F.explode(F.flatten(all_cuts)).alias("x")).select("k", "x.i", "x.len", "x.h").join(wins, ["len", "h"])
-            .groupBy("k").agg(F.collect_set(F.struct("i", "len")).alias("at"), F.collect_set("item").alias("items")))
-    at = F.sort_array(F.array_distinct(F.flatten(F.transform(
-        "at", lambda x: F.sequence(x["i"], x["i"] + x["len"] - 1)))))
-    hits = hits.select("k", at.alias("at"), F.sort_array("items").alias("items"))
-    pos = F.col("at")
-    first = F.filter(pos, lambda p, j: ~F.coalesce(F.get(pos, j - 1) == p - 1, F.lit(False)))
-    last = F.filter(pos, lambda p, j: ~F.coalesce(F.get(pos, j + 1) == p + 1, F.lit(False)))
-    spans = F.zip_with(first, last, lambda a, b: F.struct(a.cast("long").alias("start"), (b + 1).cast("long").alias("end")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    hits = hits.select(F.col("k").alias("__k"), F.size("at").alias("__hit"), spans.alias("__spans"), F.col("items").alias("__items"))
-    out = rows.join(hits, "__k", "left")
-    return out.select(
-        *[c for c in rows.columns if c != "__k"], F.coalesce(F.size(words(text_col)), F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__spans", none).alias("spans"),
-        F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+        F.coalesce(listed, F.array().cast("array<string>")).alias("items"))

@@ -194,9 +194,11 @@ TEXTS = [None, "", "...", "only THREE, words and only three words", "x alpha bet
          "a b " * 30_000 + "only three words"]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 1])
 def test_decontamination_against_brute_force(spark, limit):
     docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(TEXTS)] * 2, "doc_id bigint, text string, items string")
+    mine = ["__found", "__KEY", "__runs", "__items", "found_items", "block"]
+    docs = docs.withColumns({c: F.lit(c) for c in mine})
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     rows = decontaminate(docs, bench, max_benchmark_bytes=limit).collect()
     assert len(rows) == 2 * len(TEXTS)
@@ -204,8 +206,8 @@ def test_decontamination_against_brute_force(spark, limit):
         n, hit, ids, spots = brute_hits(r["text"], ITEMS)
         assert (r["n_words"], r["n_hit"], r["items"]) == (n, len(hit), ids)
         runs = [(a, b) for a, b in ((h, next(x for x in range(h, n + 1) if x not in hit)) for h in hit if h - 1 not in hit)]
-        want = runs if limit == 0 else [(spots[a][0], spots[b - 1][1]) for a, b in runs]
-        assert [(s["start"], s["end"]) for s in r["spans"]] == want
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [(spots[a][0], spots[b - 1][1]) for a, b in runs]
+        assert [r[c] for c in mine] == mine
     assert decontaminate(docs, bench.limit(0), max_benchmark_bytes=limit).where("n_hit > 0").count() == 0
     assert decontaminate(docs.limit(0), bench, max_benchmark_bytes=limit).count() == 0
 
@@ -222,3 +224,20 @@ def test_a_large_benchmark_gives_the_same_spans(spark, monkeypatch, limit, part)
     one = sorted(map(str, decontaminate(docs, bench).collect()))
     assert sorted(map(str, decontaminate(docs, bench, max_benchmark_bytes=limit).collect())) == one
     assert decontaminate(docs, spark.createDataFrame([(1, "... " * 100)], bench.schema), max_benchmark_bytes=limit).where("n_hit > 0").count() == 0
+
+
+def test_a_benchmark_of_many_blocks_takes_one_scan(spark, tmp_path, monkeypatch):
+    from rollframe.llm import decontamination as dc
+
+    words = [f"w{i}" for i in range(30_000)]
+    items = [(i, " ".join(words[20 * i:20 * i + 24])) for i in range(1_000)]
+    texts = [(i, " ".join(words[40 * i:40 * i + 11])) for i in range(300)] + [(999, "nothing of it " * 50)]
+    bench, docs = (spark.createDataFrame(r, s) for r, s in ((items, "item_id bigint, text string"), (texts, "doc_id bigint, text string")))
+    passes, hits = [], dc.block_hits
+    monkeypatch.setattr(dc, "block_hits", lambda t, blocks, w: passes.append(len(blocks)) or hits(t, blocks, w))
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate(docs, bench, max_benchmark_bytes=20_000).collect()}
+    assert len(passes) == 1 and passes[0] >= 6
+    want = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == want and sum(n > 0 for n, _ in got.values()) == 300
+    decontaminate(docs, bench, max_benchmark_bytes=20_000, pass_bytes=60_000).count()
+    assert len(passes) > 2 and max(passes[1:]) <= 3
