@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollframe.llm.work import written
+from rollframe.llm.work import scratch, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,15 +13,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, write=written) -> DataFrame:
     """(id, component) for every id in ``links(a, b)``: the smallest id reachable.
 
     Alternating stars: every id hands its larger neighbours to the smallest one it knows
     (large star), then its smaller ones (small star), until each component is one star around
     its smallest id.  The number of rounds grows with the logarithm of a component's size; each
     round is two grouped minima with map-side combine and two joins on the id, written to the
-    shared folder, so no lineage grows and a hub's neighbours are never in one group.
+    shared folder, so no lineage grows and a hub's neighbours are never in one group.  The rounds'
+    tables are deleted at the end; the result is written by ``write``.
     """
+    with scratch(links.sparkSession) as step:
+        return write(_components(links, step), "components")
+
+
+def _components(links: DataFrame, written) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "star")
     state = _state(edges)
@@ -43,4 +49,4 @@ def components(links: DataFrame) -> DataFrame:
             break
     own = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     hubs = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return written(own.unionByName(hubs.join(own, "id", "left_anti")), "components")
+    return own.unionByName(hubs.join(own, "id", "left_anti"))

@@ -31,7 +31,7 @@ from xxhash import xxh3_64_intdigest
 from rollframe.llm.components import components
 from rollframe.llm.sentencepiece import in_slices
 from rollframe.llm.suffix_dedup import _mix
-from rollframe.llm.work import written
+from rollframe.llm.work import scratch, written
 from rollframe.session import ship_package
 
 #: Groups of the count vector: of GROUPS random counts the minima bound sets of up to some ten
@@ -374,28 +374,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled members is split into parts that meet pairwise, so no task of the tree step
     holds more than two parts.
     """
-    t = Threshold(num, den)
+    with scratch(docs.sparkSession) as step:  # some sixty tables; none is read after the result is written
+        return written(_classes(docs, id_col, text_col, words, Threshold(num, den), tree_rows, star_rounds, hot_rows, step), "classes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, t: Threshold, tree_rows: int, star_rounds: int, hot_rows: int,
+             step) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = written(rows.mapInArrow(_points(words, t), POINTS_DDL), "points")
+    table = step(rows.mapInArrow(_points(words, t), POINTS_DDL), "points")
     points = table.where("kind = 0").select("id", "n", "s1", "s2", "point", "agree")
     blocks = table.where("kind = 1").select(F.col("s1").alias("cell"), "id")
 
     # equal sets: the smallest id stands for all, its copies follow it
     sets = points.where("n > 0 and id is not null")
-    same = written(sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("point").alias("point"), F.min("agree").alias("agree")), "same")
-    copies = written(sets.select("s1", "s2", F.col("id").alias("copy")).join(
+    same = step(sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("point").alias("point"), F.min("agree").alias("agree")), "same")
+    copies = step(sets.select("s1", "s2", F.col("id").alias("copy")).join(
         same.where("id <> last").select("s1", "s2", "id"), ["s1", "s2"]).where("copy <> id").select("copy", "id").distinct(), "copies")
     # an id with several texts may be a copy of one set and stand for another: then it is a node of its own
     both = copies.join(same.select(F.col("id").alias("copy")).distinct(), "copy", "left_semi")
     several = copies.groupBy("copy").count().where("count > 1").select("copy")
-    nodes = written(both.select("copy").unionByName(several).distinct(), "nodes")
+    nodes = step(both.select("copy").unionByName(several).distinct(), "nodes")
     links = copies.join(nodes, "copy", "left_semi").select(F.col("id").alias("a"), F.col("copy").alias("b"))
     to = copies.join(nodes, "copy", "left_anti").select("copy", F.col("id").alias("to"))
 
     # such an id's blocks may be of any of its sets: they are indexed anew, under each set's node
     spread = sets.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
-    mixed = written(spread.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("id"), "mixed")
+    mixed = step(spread.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("id"), "mixed")
     if not mixed.isEmpty():
         anew = rows.join(mixed, "id").mapInArrow(_set_blocks(words, t), "cell bigint, s1 bigint, s2 bigint").distinct()
         blocks = (blocks.join(mixed, "id", "left_anti").select("cell", "id")
@@ -403,8 +408,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # cells with more than one set; of cells with the same members one
     shared = blocks.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
-    members = blocks.join(written(shared, "shared"), "cell").join(to, F.col("id") == F.col("copy"), "left")
-    members = written(members.select("cell", F.coalesce("to", "id").alias("id")).distinct(), "members")
+    members = blocks.join(step(shared, "shared"), "cell").join(to, F.col("id") == F.col("copy"), "left")
+    members = step(members.select("cell", F.coalesce("to", "id").alias("id")).distinct(), "members")
     # a member agrees with each of its partners on ``agree`` blocks at least: if fewer of its cells
     # than that are hot, it meets every partner in another one, and leaves the hot ones
     size = members.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
@@ -417,7 +422,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("w2"), F.min("id").alias("hub")]
     cells = members.groupBy("cell").agg(*who).where("m > 1")
     cells = cells.groupBy("m", "w1", "w2", "hub").agg(F.min("cell").alias("cell")).select("cell", "m", "hub")
-    members = written(members.join(cells, "cell"), "cells")
+    members = step(members.join(cells, "cell"), "cells")
 
     point = same.select("id", "point")
 
@@ -432,22 +437,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         for had in fetched:
             ids = ids.join(had.select("id"), "id", "left_anti")
-        fetched.append(written(rows.join(ids.hint("merge"), "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets"))
+        fetched.append(step(rows.join(ids.hint("merge"), "id").mapInArrow(_sets(words), "id bigint, shingles binary"), "sets"))
         bodies = reduce(DataFrame.unionByName, fetched)
         near = (pairs.join(bodies.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
                 .join(bodies.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))
-        return written(near.select("a", "b", "sa", "sb").mapInArrow(_verify(t), PAIR_DDL), "links")
+        return step(near.select("a", "b", "sa", "sb").mapInArrow(_verify(t), PAIR_DDL), "links")
 
     # first each member with the smallest of its cells' hubs
-    tested = written(members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
-    found = components(links.unionByName(verified(written(bounded(tested), "near"))))
+    tested = step(members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
+    found = components(links.unionByName(verified(step(bounded(tested), "near"))), step)
     left = members.select("cell", "id", "m")
     for turn in range(star_rounds + 1):
         # what is left: cells with members in several components
         named = left.select("cell", "id", "m").join(found, "id", "left").select(
             "cell", "id", "m", F.coalesce("component", "id").alias("component"))
         open_ = named.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
-        left = written(named.join(open_, "cell"), "unsettled")
+        left = step(named.join(open_, "cell"), "unsettled")
         if left.isEmpty():
             break
         if turn < star_rounds:
@@ -464,14 +469,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = F.least("own", "other").cast("long") * F.lit(1 << 20) + F.greatest("own", "other")
             pairs = (dealt.select("cell", part.alias("part"), "id", "component", "point").repartition("cell", "part")
                      .sortWithinPartitions("cell", "part").mapInArrow(_tree_pairs(t), PAIR_DDL).distinct())
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = step(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        more = verified(written(bounded(pairs), "near") if turn < star_rounds else pairs)
+        more = verified(step(bounded(pairs), "near") if turn < star_rounds else pairs)
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             # the stars found so far stand for the links that made them
-            found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+            found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), step)
     node = points.select("id", "n").join(to, F.col("id") == F.col("copy"), "left").withColumn("node", F.coalesce("to", "id"))
     out = node.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
     kind = docs.schema[id_col].dataType
