@@ -147,7 +147,8 @@ mo AS (
     sum(b) AS nb, sum(b * score) / sum(b) AS mb, sum(b * score * score) / sum(b) AS qb FROM sc WHERE cal),
 sd AS (SELECT *, sqrt(greatest(qa - ma * ma, 0)) AS sa, sqrt(greatest(qb - mb * mb, 0)) AS sb FROM mo),
 th AS (
-  SELECT CASE WHEN coalesce(na, 0) = 0 OR coalesce(nb, 0) = 0 THEN '-infinity'::DOUBLE
+  SELECT CASE WHEN coalesce(na, 0) = 0 OR coalesce(nb, 0) = 0 THEN
+      CASE WHEN (SELECT sum(a) FILTER (NOT cal) > 0 AND sum(b) FILTER (NOT cal) > 0 FROM seen) THEN 0.0::DOUBLE ELSE '-infinity'::DOUBLE END
     WHEN sa + sb > 0 THEN round((ma * sb + mb * sa) / (sa + sb), 9) ELSE round((ma + mb) / 2, 9) END AS t FROM sd)
 SELECT page_id, host, path, rule,
   coalesce(said, CASE WHEN score >= (SELECT t FROM th) THEN 'allow' ELSE 'block' END) AS verdict

@@ -121,7 +121,8 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule's, else the model's: allow at or above the calibrated threshold.  ``score`` is the
     mean log ratio per character (null where a rule decides).  Null and odd URLs have empty
     host and path and are judged like any other spelling; repeated rows give repeated
-    results; without examples of both classes everything no rule blocks is allowed.
+    results; without examples of both classes everything no rule blocks is allowed, and with
+    examples that are all counted and none left to calibrate the likelier class is the verdict.
 
     Spellings are grouped before their characters are counted, so copies of a URL or a hot
     host cost one row each; scores go back to the pages by a join in which AQE may split a
@@ -136,19 +137,23 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = rows.groupBy("s").agg(count("allow").alias("a"), count("block").alias("b"),
                                  F.max(F.col("rule").isNull()).alias("open"))
     zero = F.lit(0).cast("long")
+    # a spelling goes by its digest from here on: its text on each of its grams would be its square
     seen = written(seen.select(
-        "s", "open", F.when(cal, zero).otherwise(F.col("a")).alias("acc"), F.when(cal, zero).otherwise(F.col("b")).alias("rej"),
+        F.md5("s").alias("key"), "s", "open", F.when(cal, zero).otherwise(F.col("a")).alias("acc"), F.when(cal, zero).otherwise(F.col("b")).alias("rej"),
         F.when(cal, F.col("a")).otherwise(zero).alias("cal_acc"), F.when(cal, F.col("b")).otherwise(zero).alias("cal_rej")),
         "spellings")
-    grams = seen.select("*", F.explode(_grams(F.col("s"), params.order)).alias("gram"))
+    grams = seen.select("key", "open", "acc", "rej", "cal_acc", "cal_rej", F.explode(_grams(F.col("s"), params.order)).alias("gram"))
     top = written(grams.groupBy("gram").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")), "grams")
     ratios = written(gram_ratios(top, params), "ratios")
     scores = (grams.where(F.col("open") | (F.col("cal_acc") + F.col("cal_rej") > 0)).join(ratios, "gram")
-              .groupBy("s").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("cal_acc").alias("cal_acc"),
+              .groupBy("key").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("cal_acc").alias("cal_acc"),
                                 F.first("cal_rej").alias("cal_rej")))
     scores = written(scores, "scores")
     limit = calibrated_threshold(scores)
-    out = rows.join(scores.select("s", "score"), "s", "left")
+    if limit == -math.inf:  # no spelling of a class fell to the calibration: both models may know the class all the same
+        counted = seen.agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).first()
+        limit = 0.0 if counted["acc"] and counted["rej"] else limit
+    out = rows.withColumn("key", F.md5("s")).join(scores.select("key", "score"), "key", "left")
     said = F.coalesce("said", F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", said.alias("verdict"),
                       F.when(F.col("rule").isNull(), F.col("score")).alias("score"))
