@@ -192,10 +192,9 @@ def _read_runs(window: int, k: int):
 
 def _match_runs(window: int):
     """Over rows sorted by (k, h, id, sub, pos): spans pass; later rows of one (k, h) are copies;
-    the first rows of each h of a k with several are asked for (kind 2)."""
+    the first ones go on (kind 2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (k, h, id, sub, pos) of the latest first row
-        alone = None  # the one first row of the latest k, while it has no other
         for batch in batches:
             kind = np.asarray(batch.column(0))
             if (kind == 1).any():
@@ -211,49 +210,62 @@ def _match_runs(window: int):
             later = _greater(ids, sub, pos, heads[np.cumsum(head) - 1])
             if later.any():
                 yield _spans(ids[later], sub[later], pos[later], window)
-            hk = k[heads]
-            near = np.zeros(len(heads), bool)
-            near[1:] |= hk[1:] == hk[:-1]
-            near[:-1] |= hk[1:] == hk[:-1]
-            if last is not None and alone is None:
-                near[0] = False  # it was asked for already, and so are the others of its k
-                near[1:] |= hk[1:] == hk[0]
-            ask = heads[near]
-            if len(ask):
-                yield _rows(2, k[ask], h[ask], ids[ask], sub[ask], pos[ask])
+            new = heads[1:] if last is not None else heads
+            yield _rows(2, k[new], h[new], ids[new], sub[new], pos[new])
             i = heads[-1]
-            was_asked = bool(near[-1]) or (last is not None and alone is None and len(heads) == 1)
             last = (k[i], h[i], ids[i], sub[i], pos[i])
-            alone = None if was_asked else last
 
     return run
 
 
 class SuffixFamily:
-    """Suffix arrays of the windows seen so far, in levels of geometrically growing size.  A level
-    is the sorted array of its distinct windows' bytes."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def add(self, suffixes: np.ndarray) -> np.ndarray:
-        """Which windows of a batch (in text order) occur earlier, in the batch or in a level."""
-        if not len(suffixes):
-            return np.zeros(0, bool)
-        order = np.argsort(suffixes, kind="stable")
-        array = suffixes[order]
-        seen = np.zeros(len(array), bool)
-        seen[1:] = array[1:] == array[:-1]
+    """Suffix arrays of the texts added so far, in levels of geometrically growing size.
+
+    A level is an array of starts in ``data``, one per distinct string, sorted by the ``window``
+    bytes from there on: a suffix array as deep as a match must be long.  Strings are cut from the
+    data while arrays are compared and not kept."""
+
+    def __init__(self, data: np.ndarray, window: int):
+        self.data, self.window, self.levels = data, window, []
+        self.view = np.lib.stride_tricks.sliding_window_view(data, window) if len(data) >= window else None
+
+    def strings(self, starts: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.view[starts]).view(f"S{self.window}").ravel()
+
+    def _scan(self, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge scan of two suffix arrays: the merged array, old before new among equals, and which
+        entries of ``new`` match one of ``old``.  A stable sort of two sorted runs is a merge."""
+        strings = np.concatenate((self.strings(old), self.strings(new)))
+        order = np.argsort(strings, kind="stable")
+        merged = strings[order]
+        match = np.zeros(len(order), bool)
+        match[1:] = (merged[1:] == merged[:-1]) & (order[1:] >= len(old)) & (order[:-1] < len(old))
+        known = np.zeros(len(new), bool)
+        known[order[match] - len(old)] = True
+        return np.concatenate((old, new))[order], known
+
+    def add(self, starts: np.ndarray) -> np.ndarray:
+        """Which suffixes of a batch (starts in text order) match an earlier one over the whole
+        window, in the batch or in a level."""
+        out = np.zeros(len(starts), bool)
+        if not len(starts):
+            return out
+        strings = self.strings(starts)
+        order = np.argsort(strings, kind="stable")
+        strings = strings[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = strings[1:] == strings[:-1]
+        out[order[again]] = True
+        first = order[~again]
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            seen |= level[at] == array
-        out = np.empty(len(array), bool)
-        out[order] = seen
-        fresh = array[~seen]
-        if len(fresh):
-            self.levels.append(fresh)
-            while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-                self.levels[-2:] = [np.sort(np.concatenate(self.levels[-2:]), kind="stable")]
+            known = self._scan(level, starts[first])[1]
+            out[first[known]] = True
+            first = first[~known]
+            if not len(first):
+                return out
+        self.levels.append(starts[first])
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            self.levels[-2:] = [self._scan(*self.levels[-2:])[0]]
         return out
 
 
@@ -286,6 +298,7 @@ def _place(pos: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _settle(window: int, batch_windows: int = 1 << 16):
     """Over contexts (k, id, sub, pos, bytes) sorted by position: spans of windows that occur earlier.
+    Batches of suffixes in text order are merge-scanned against the family's levels and join it.
     Windows whose 64-bit hash no other window of the key range has are left out first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
@@ -300,11 +313,10 @@ def _settle(window: int, batch_windows: int = 1 << 16):
         ctx, place, start, hashes, data = _windows(t.column("body").combine_chunks(), window)
         _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
         some = np.flatnonzero(times[back] > 1)
-        family, dup = SuffixFamily(), np.zeros(len(ctx), bool)
-        view = np.lib.stride_tricks.sliding_window_view(data, window)
+        family, dup = SuffixFamily(data, window), np.zeros(len(ctx), bool)
         for a in range(0, len(some), batch_windows):
             w = some[a:a + batch_windows]
-            dup[w] = family.add(np.ascontiguousarray(view[start[w]]).view(f"S{window}").ravel())
+            dup[w] = family.add(start[w])
         hit = np.flatnonzero(dup)
         if len(hit):
             yield _spans(ids[ctx[hit]], sub[ctx[hit]], _place(pos[ctx[hit]], place[hit]), window)
@@ -466,9 +478,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = rows.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").limit(1).count()
     rows = rows.select("row_id", "id", (mark if several else F.lit(0)).cast("long").alias("sub"), "body")
     runs = rows.select("id", "sub", "body").mapInArrow(_read_runs(window, k), FOUND_DDL)
-    found = written(runs.repartition("k").sortWithinPartitions("k", "h", "id", "sub", "pos")
+    # equal runs meet by anchor and fingerprint: a frequent anchor is as many keys as it has runs
+    found = written(runs.repartition("k", "h").sortWithinPartitions("k", "h", "id", "sub", "pos")
                     .mapInArrow(_match_runs(window), FOUND_DDL), "runs")
-    asked = found.where("kind = 2")
+    heads = found.where("kind = 2")
+    # an anchor with several runs: their windows may be equal in part
+    parted = written(heads.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "parted-anchors")
+    asked = written(heads.join(parted.select("k"), "k").select("id", "sub", "k", "pos"), "asked")
     n_asked = asked.count()
     spans = found.where("kind = 1")
     if n_asked:
@@ -476,7 +492,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = rows.select("id", "sub", "body").join(per_doc, ["id", "sub"])
         contexts = texts.mapInArrow(_cut_contexts(window), CONTEXT_DDL)
         # an anchor with more edges than a task takes is split by the windows themselves
-        hot = written(asked.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > contexts_per_task).select("k"), "hot-anchors")
+        hot = written(parted.where(F.col("n") > contexts_per_task).select("k"), "hot-anchors")
         if not hot.isEmpty():
             spans = spans.unionByName(written(_settle_hot(contexts.join(F.broadcast(hot), "k"), window), "hot-edges"))
             contexts = contexts.join(F.broadcast(hot), "k", "left_anti")

@@ -257,14 +257,18 @@ def test_many_texts_with_one_id_need_no_rank(spark):
 
 
 def test_suffix_family_keeps_few_levels():
-    rng, family, seen = np.random.default_rng(1), sd.SuffixFamily(), set()
-    for _ in range(64):
-        batch = np.array([b"%03d" % x for x in rng.integers(0, 700, 40)], "S3")
-        want = []
-        for x in batch.tolist():
+    rng, seen = np.random.default_rng(1), set()
+    data = rng.integers(0, 9, 64 * 40 + 2).astype(np.uint8)
+    data[rng.integers(0, len(data), 200)] = 0  # zero bytes, also at a string's end
+    family = sd.SuffixFamily(data, 3)
+    for i in range(64):
+        starts, want = np.arange(40 * i, 40 * i + 40), []
+        for x in (bytes(data[a:a + 3]) for a in starts):
             want.append(x in seen)
             seen.add(x)
-        assert family.add(batch).tolist() == want
+        assert family.add(starts).tolist() == want
+        for level in family.levels:
+            assert (lambda t: t == sorted(t) and len(t) == len(set(t)))([bytes(data[a:a + 3]) for a in level])
     sizes = [len(x) for x in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
 
@@ -317,3 +321,15 @@ def test_pipeline_stages_keep_columns_and_odd_rows(spark):
         assert stage(spark, both.limit(0), sf).count() == 0
     copies = cp.near_copies(spark, both, sf).collect()
     assert sum(r["doc_id"] == 7 for r in copies) == 1 and sum(r["doc_id"] is None for r in copies) == 4
+
+
+def test_scratch_tables_go_when_their_last_reader_ends(spark):
+    import os
+
+    from rollframe.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    d = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id bigint, text string")
+    assert jj.jaccard_classes(d).count() == 20
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if n.startswith("llm-")] == ["llm-classes"]
