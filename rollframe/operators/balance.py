@@ -49,12 +49,17 @@ def contiguous_partitions(df: DataFrame, k: int, id_col: str, out_col: str = "pa
     return d.withColumn(out_col, F.least((F.col("__r") / max(size, 1)).cast("int"), F.lit(k - 1))).drop("__r")
 
 
-def greedy_parts(lengths: list[int], k: int, cap: int) -> list[int]:
-    """Part of each row of falling length: the one with the smallest sum that has fewer than ``cap``."""
+def greedy_parts(lengths: list[int], k: int, cap: int, full: int | None = None) -> list[int]:
+    """Part of each row of falling length: the one with the smallest sum that has fewer than ``cap``;
+    only ``full`` parts (any, if not given) get a last one."""
     heap = [(0, p) for p in range(k)]
     counts, parts = [0] * k, []
     for length in lengths:
         s, p = heapq.heappop(heap)  # full parts have left the heap
+        if full is not None:
+            while counts[p] == cap - 1 and not full:
+                s, p = heapq.heappop(heap)
+            full -= counts[p] == cap - 1
         parts.append(p)
         counts[p] += 1
         if counts[p] < cap:
@@ -158,21 +163,24 @@ def tight_parts(lengths: list[int], k: int, equal_size: bool) -> list[int]:
     first = differencing_parts(lengths, k, equal_size)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     second = [0] * len(lengths)
-    for i, p in zip(order, greedy_parts([lengths[i] for i in order], k, -(-len(lengths) // k) if equal_size else len(lengths))):
+    cap = -(-len(lengths) // k) if equal_size else len(lengths)
+    full = len(lengths) - k * (cap - 1) if equal_size else None
+    for i, p in zip(order, greedy_parts([lengths[i] for i in order], k, cap, full)):
         second[i] = p
     return first if spread(first) <= spread(second) else second
 
 
 def differencing_partitions(df: DataFrame, k: int, len_col: str, id_col: str, equal_size: bool = True,
-                            out_col: str = "part", block_rows: int = 4096) -> DataFrame:
+                            out_col: str = "part", block_rows: int = 4096, divisible: bool = True) -> DataFrame:
     """``df`` with the part of each row by the largest differencing method in two levels.
 
     Blocks of ``block_rows`` neighbouring ranks by length are solved in parallel (or by the greedy
     rule, where that comes out narrower); then the
     blocks, as k sums each, are merged in one small task (one row per block).  Sums of two
-    parts differ by the longest row at most.  ``equal_size`` needs k to divide the rows.  Null
+    parts differ by the longest row at most.  ``equal_size`` needs k to divide the rows; if they
+    need not be ``divisible``, the sizes of two parts differ by one at most.  Null
     lengths count as 0; ties go by ``id_col``."""
-    if equal_size and row_count(df) % k:
+    if equal_size and divisible and row_count(df) % k:
         raise ValueError(f"equal-size balancing needs the rows to be a multiple of k={k}")
     length = F.coalesce(F.col(len_col), F.lit(0)).cast("bigint")
     d = with_row_index(df, [-length, F.col(id_col)], out_col="__r")

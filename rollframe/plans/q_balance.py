@@ -67,18 +67,19 @@ def q_token_budget_batches(spark, sf_dir):
 SELECT equal_size, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS tokens, 8 AS n_parts, true AS within_longest, true AS sizes_right, true AS below_snake
 FROM d, s GROUP BY equal_size""")
 def q_differencing_partitions(spark, sf_dir):
-    """Whole-table differencing into 8 parts, of equal size or not: all rows placed, sums within the
-    longest row of each other and never further apart than the snake draft's."""
+    """Whole-table differencing into 8 parts, of equal size (if 8 does not divide the rows: to one row)
+    or not: all rows placed, sums within the longest row of each other and never further apart than
+    the snake draft's."""
     d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     snake = BL.balance_report(BL.balance_partitions(d, 8, "n_chars", "doc_id", equal_size=False), "part", "n_chars")
     out = None
     for equal in (True, False):
-        parts = BL.differencing_partitions(d, 8, "n_chars", "doc_id", equal, block_rows=256)
+        parts = BL.differencing_partitions(d, 8, "n_chars", "doc_id", equal, block_rows=256, divisible=False)
         s = parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("tokens"), F.max("n_chars").alias("longest"))
         spread = F.max("tokens") - F.min("tokens")
         one = s.agg(F.sum("rows").alias("n_rows"), F.sum("tokens").alias("tokens"), F.count("*").cast("int").alias("n_parts"),
                     (spread <= F.max("longest")).alias("within_longest"),
-                    ((F.max("rows") == F.min("rows")) | F.lit(not equal)).alias("sizes_right"), spread.alias("gap"))
+                    ((F.max("rows") - F.min("rows") <= F.least(F.sum("rows") % 8, F.lit(1))) | F.lit(not equal)).alias("sizes_right"), spread.alias("gap"))
         one = one.join(F.broadcast(snake.select("spread"))).select(F.lit(equal).alias("equal_size"), "n_rows", "tokens", "n_parts",
                                                                    "within_longest", "sizes_right", (F.col("gap") <= F.col("spread")).alias("below_snake"))
         out = one if out is None else out.unionByName(one)

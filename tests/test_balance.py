@@ -76,3 +76,28 @@ def test_token_budget_is_one_number_for_all_ranks(spark):
     few = spark.createDataFrame([(1, 0, 0, 9), (2, 0, 0, 9), (3, 0, 1, 1)], "i bigint, b int, r int, n bigint")
     with pytest.raises(ValueError, match="fewer rows"):
         BL.token_budget_batches(few, 9, "n", "i", "b", "r")
+
+
+def test_equal_sizes_to_one_row_when_k_does_not_divide(spark):
+    rng = random.Random(5)
+    for n in (1, 5, 8, 9, 13, 63):
+        for lengths in ([rng.randint(0, 90) for _ in range(n)], [1000] + [0] * (n - 1)):
+            parts = BL.tight_parts(lengths, 8, True)
+            counts = [parts.count(p) for p in range(8)]
+            assert max(counts) - min(counts) <= 1 and sum(counts) == n
+    rows = [(i, rng.randint(0, 500)) for i in range(331)]
+    d = spark.createDataFrame(rows, "i bigint, n bigint").repartition(5)
+    s = BL.differencing_partitions(d, 8, "n", "i", True, block_rows=64, divisible=False).groupBy("part").agg(
+        F.count("*").alias("c"), F.sum("n").alias("s")).collect()
+    assert sorted(r["c"] for r in s) == [41] * 5 + [42] * 3 and max(r["s"] for r in s) - min(r["s"] for r in s) <= 500
+
+
+def test_differencing_query_places_a_table_that_8_does_not_divide(spark, tmp_path):
+    from rollframe.plans import catalog, q_balance  # noqa: F401
+
+    rows = [(i, None if i % 50 == 0 else 7 * i % 301) for i in range(605)]
+    spark.createDataFrame(rows, "doc_id bigint, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["equal_size"]: r.asDict() for r in catalog.QUERIES["differencing_partitions"](spark, str(tmp_path)).collect()}
+    for equal in (True, False):
+        assert got[equal] == {"equal_size": equal, "n_rows": 605, "tokens": sum(n or 0 for _, n in rows), "n_parts": 8,
+                              "within_longest": True, "sizes_right": True, "below_snake": True}
