@@ -18,6 +18,8 @@ from rollframe.sources.fanout import write_fan_out
 from rollframe.streaming import jobs as S
 
 FILES, PER_BATCH = 6, 2
+#: Rows of a log part; a file of the log is so many of them as its rows need.
+PART_ROWS = 250_000
 
 
 def _at(id_):
@@ -26,11 +28,11 @@ def _at(id_):
 
 
 def _span(log, time_col):
-    """(first, last) event time of a log in seconds, and the lateness of its files."""
+    """(first, last) event time of a log in seconds, the lateness of its files, and its rows."""
     sec = F.col(time_col).cast("double")
-    lo, hi = log.agg(F.min(sec), F.max(sec)).first()
+    lo, hi, n = log.agg(F.min(sec), F.max(sec), F.count(F.lit(1))).first()
     lo, hi = lo or 0.0, hi or 0.0
-    return lo, hi, float(int((hi - lo) / 10) + 1)
+    return lo, hi, float(int((hi - lo) / 10) + 1), n
 
 
 @register("read_parquet_concat", """SELECT doc_id, NULL AS item_id, text, lang FROM documents
@@ -108,7 +110,7 @@ def q_write_metrics(spark, sf_dir):
 
 def _arrival(log, time_col):
     """Number of the file that a row comes in: event time plus a delay by hash below the lateness."""
-    lo, hi, late = _span(log, time_col)
+    lo, hi, late, _ = _span(log, time_col)
     delay = F.pmod(F.xxhash64(*log.columns), F.lit(int(late)))
     return F.least(F.floor((F.col(time_col).cast("double") - lo + delay) / ((hi - lo + late) / FILES)), F.lit(FILES - 1)).cast("int"), late
 
@@ -121,16 +123,49 @@ def _files(log, path, time_col, numbers=range(FILES)):
     return late
 
 
+class _Arrivals:
+    """A log dealt once by the number of the file that a row comes in: event time plus a delay by
+    hash below the lateness.  A file is ``parts`` part files, as many for each number, so that a
+    micro-batch takes whole files and tasks share the writing."""
+
+    def __init__(self, spark, log, time_col):
+        lo, hi, self.late, n = _span(log, time_col)
+        self.log, self.time_col, self.parts = log, time_col, max(1, -(-n // (FILES * PART_ROWS)))
+        delay = F.pmod(F.xxhash64(*log.columns), F.lit(int(self.late)))
+        number = F.least(F.floor((F.col(time_col).cast("double") - lo + delay) / ((hi - lo + self.late) / FILES)), F.lit(FILES - 1)).cast("int")
+        path = IO.scratch_path(spark, "arrivals")
+        numbered = log.withColumn("__file", number)
+        numbered.write.partitionBy("__file").parquet(path)
+        self.numbered = spark.read.schema(numbered.schema).parquet(path)
+
+    def write(self, path, numbers=range(FILES)):
+        """Files one after the other: a file source reads them in the order of their times."""
+        spark, schema = self.log.sparkSession, self.log.schema
+        none = spark.createDataFrame([], schema).coalesce(1)
+        for n in numbers:
+            self.numbered.where(F.col("__file") == n).drop("__file").repartition(self.parts).write.mode("append").json(path)
+            # a part without rows is not written: an empty one takes its place
+            there = len(spark.read.schema(schema).json(path).inputFiles())
+            for _ in range((n + 1) * self.parts - there):
+                none.write.mode("append").json(path)
+
+    def close(self, path, **values):
+        S.closing_rows(self.log, self.time_col, **values).coalesce(1).write.mode("append").json(path)
+
+    def stream(self, path):
+        return IO.read_rollout_log(self.log.sparkSession, path, self.log.schema, streaming=True, max_files_per_trigger=PER_BATCH * self.parts)
+
+
 def _stream(spark, log, name, time_col=None, close=None):
     """(``log`` as a stream of JSON files, its lateness in seconds); the closing record comes last."""
     path = IO.scratch_path(spark, name)
-    late = 0.0
     if time_col:
-        late = _files(log, path, time_col)
-        S.closing_rows(log, time_col, **(close or {})).coalesce(1).write.mode("append").json(path)
-    else:
-        log.repartition(FILES, F.xxhash64(*log.columns)).write.json(path)
-    return IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH), late
+        arrivals = _Arrivals(spark, log, time_col)
+        arrivals.write(path)
+        arrivals.close(path, **(close or {}))
+        return arrivals.stream(path), arrivals.late
+    log.repartition(FILES, F.xxhash64(*log.columns)).write.json(path)
+    return IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH), 0.0
 
 
 @register("stream_reward_type_share", with_(ROLLOUTS_SQL) + """
@@ -159,7 +194,7 @@ def _groups(spark, sf_dir):
     r = T.rollouts(spark, sf_dir).select(
         "response_id", F.concat(F.col("uid").cast("string"), F.lit("-"), (F.col("sample_idx") / 4).cast("bigint").cast("string")).alias("grp"),
         "acc", _at(F.col("response_id")).alias("at"))
-    lo, hi, _ = _span(r, "at")
+    lo, hi, *_ = _span(r, "at")
     return *_stream(spark, r, "grp-log", "at", {"grp": F.lit("closing")}), hi - lo
 
 

@@ -1,6 +1,7 @@
 """Structured Streaming twins of the batch operators over the JSONL rollout logs.
 
-Each job returns a streaming DataFrame.  Stateful jobs keep typed state per group and act on
+Each job returns a streaming DataFrame.  Stateful jobs keep state per bucket of groups (a call
+and a state row per group would cost more than the rows) and act on
 it in event-time order: rows wait in state until the watermark has passed them, so neither the
 order of files nor the cut into micro-batches or Arrow chunks changes a result.  State lives
 in the query's ``checkpointLocation``; a restart with the same location resumes.  Results go
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +56,52 @@ def _millis(ts: pd.Series) -> pd.Series:
 
 
 def _plain(values: list) -> list:
-    """Python values for the state row (no numpy scalars; missing as None)."""
+    """Python values (no numpy scalars; missing as None)."""
     return [None if v is None or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v for v in values]
 
 
+#: Buckets of keys that share one call and one state row.
+BUCKETS = 1024
+
+
+def _bucketed(rows: DataFrame, key_col: str, buckets: int) -> DataFrame:
+    """Rows with the bucket of their key; a null key has one of its own, so that the others'
+    columns hold no nulls and keep their type in pandas."""
+    return rows.withColumn("__bucket", F.when(F.col(key_col).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key_col), F.lit(buckets))))
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas(integer_object_nulls=True)
+
+
+def _arrived(pdfs: Iterator[pd.DataFrame], time_col: str, names: list[str]) -> pd.DataFrame:
+    """The rows of a call in arrival order, with ``__at`` in milliseconds."""
+    rows = _appended(*pdfs)
+    return rows[names].assign(__at=_millis(rows[time_col])) if len(rows) else pd.DataFrame(columns=[*names, "__at"])
+
+
+def _appended(*frames: pd.DataFrame) -> pd.DataFrame:
+    """One frame; those without rows have no say in its types."""
+    there = [f for f in frames if len(f)] or list(frames[:1]) or [pd.DataFrame()]
+    return pd.concat(there, ignore_index=True)
+
+
+def _codes(*keys: pd.Series) -> tuple[list[np.ndarray], pd.Series]:
+    """Each series as numbers of its values, and the values; missing ones count as one value."""
+    codes, values = pd.factorize(pd.concat([k for k in keys if len(k)], ignore_index=True), use_na_sentinel=False)
+    return np.split(codes, np.cumsum([len(k) for k in keys])[:-1]), pd.Series(values)
+
+
 def stream_group_filter(responses: DataFrame, n_per_group: int, group_col: str, metric_col: str, time_col: str,
-                        watermark: str, wait_ms: int) -> DataFrame:
+                        watermark: str, wait_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """Hold a group's responses until ``n_per_group`` have arrived; emit them with ``status``
     ``kept`` if the metric varies (or the group is one trajectory), else nothing.  Null and NaN
     metrics are no values: they are left out of the comparison, as in the batch filter.
@@ -68,49 +111,53 @@ def stream_group_filter(responses: DataFrame, n_per_group: int, group_col: str,
     as long, a decided group is remembered, without its rows: what still comes of it has
     ``status`` ``extra``, also from the micro-batch that completed it.
 
-    State is one typed array per column."""
+    Groups are dealt to ``buckets`` by hash; a bucket's groups share a state row, two Arrow
+    tables: held rows, and groups with the time at which they leave."""
     ship_package(responses.sparkSession)
     names = [f.name for f in responses.schema.fields if f.name not in (group_col, time_col)]
-    key_field = responses.schema[group_col]
-    out = T.StructType([key_field, *[responses.schema[n] for n in names], T.StructField("status", T.StringType())])
-    state_type = T.StructType([*_held(responses.schema, names).fields, T.StructField("until", T.LongType()),
-                               T.StructField("decided", T.BooleanType())])
+    out = T.StructType([responses.schema[group_col], *[responses.schema[n] for n in names], T.StructField("status", T.StringType())])
+    group_cols = [group_col, "__until", "__timeout", "__decided"]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {n: list(v) for n, v in zip(names, state.get)} if state.exists else {n: [] for n in names}
-        until, decided = (state.get[-2], state.get[-1]) if state.exists else (0, False)
-
-        def frame(rows: dict, status: str) -> pd.DataFrame:
-            return pd.DataFrame({group_col: [key[0]] * len(rows[names[0]]), **rows, "status": status})
-
-        if state.hasTimedOut:
+        held, groups = map(_unpacked, state.get) if state.exists else (pd.DataFrame(columns=[group_col, *names]), pd.DataFrame(columns=group_cols))
+        mark = state.getCurrentWatermarkMs()
+        new = _arrived(pdfs, time_col, [group_col, *names]).sort_values("__at", kind="stable")
+        (of_group, of_held, of_new), values = _codes(groups[group_col], held[group_col], new[group_col])
+        n = len(values)
+
+        # what is known of each group, by its number
+        until, timeout = np.zeros(n, "int64"), np.zeros(n, "int64")
+        decided, here = np.zeros(n, bool), np.zeros(n, bool)
+        until[of_group], timeout[of_group], decided[of_group] = groups["__until"], groups["__timeout"], groups["__decided"]
+        here[of_new] = True
+        np.maximum.at(until, of_new, new["__at"].to_numpy("int64") + wait_ms)
+        timeout[here] = np.maximum(until[here], mark + 1)
+        gone = ~here & (timeout < mark)
+
+        # the first n_per_group rows of a group that is not decided are its own, others are extra
+        rows, of_row = _appended(held, new.drop(columns="__at")), np.concatenate([of_held, of_new])
+        extra = decided[of_row] | (pd.Series(of_row).groupby(of_row).cumcount().to_numpy() >= n_per_group)
+        full = ~decided & (np.bincount(of_row, minlength=n) >= n_per_group)
+        varies = np.full(n, n_per_group == 1)
+        counts = ~extra & full[of_row] & rows[metric_col].notna().to_numpy()
+        if counts.any():
+            metric = rows.loc[counts, metric_col].groupby(of_row[counts])
+            lo, hi = metric.min(), metric.max()
+            varies[lo.index] |= (lo != hi).to_numpy()
+
+        status = np.select([extra, (full & varies)[of_row], (gone & ~decided)[of_row]], ["extra", "kept", "incomplete"], "")
+        leaves = status != ""
+        if leaves.any():
+            yield rows[leaves].assign(status=status[leaves])
+        if gone.all():
             state.remove()
-            if not decided:
-                yield frame(held, "incomplete")
             return
-        arrived: list[tuple] = []
-        for pdf in pdfs:
-            if len(pdf):
-                arrived += zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names])
-        arrived.sort(key=lambda r: r[0])
-        until = max([until, *[r[0] + wait_ms for r in arrived]])
-        room = 0 if decided else n_per_group - len(held[names[0]])
-        for i, n in enumerate(names):
-            held[n] += [r[i + 1] for r in arrived[:room]]
-        extra = {n: [r[i + 1] for r in arrived[room:]] for i, n in enumerate(names)}
-        if not decided and len(held[names[0]]) == n_per_group:
-            decided = True
-            values = [v for v in held[metric_col] if v is not None]
-            if n_per_group == 1 or (values and max(values) != min(values)):
-                yield frame(held, "kept")
-            held = {n: [] for n in names}
-        if extra[names[0]]:
-            yield frame(extra, "extra")
-        state.update((*[held[n] for n in names], until, decided))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-    return responses.withWatermark(time_col, watermark).groupBy(group_col).applyInPandasWithState(
-        fn, outputStructType=out, stateStructType=state_type, outputMode="append",
+        stay = pd.DataFrame(dict(zip(group_cols, (values, until, timeout, decided | full))))[~gone]
+        state.update((_packed(rows[~leaves & ~full[of_row]]), _packed(stay)))
+        state.setTimeoutTimestamp(max(int(stay["__timeout"].min()), mark + 1))
+
+    return _bucketed(responses.withWatermark(time_col, watermark), group_col, buckets).groupBy("__bucket").applyInPandasWithState(
+        fn, outputStructType=out, stateStructType="held binary, groups binary", outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 

@@ -105,3 +105,26 @@ def test_a_round_run_again_writes_the_same(spark, tmp_path):
     rows = S.keep_until_enough(stream, 15, 0, *args).collect()
     assert {r["g"] for r in rows if r["round"] == 0} == {f"g{i:03d}" for i in range(10)}
     assert len({r["g"] for r in rows}) == 15 and len(rows) == 30
+
+
+def state_rows(q):
+    return max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators)
+
+
+def test_groups_share_state_rows(spark, tmp_path):
+    """Many groups are few calls and state rows, and each gets what it would get alone."""
+    sizes = {f"g{i}": 1 + i % 5 for i in range(60)} | {None: 4}
+    members = sorted((j, g or "") for g, n in sizes.items() for j in range(n))
+    rows = [(g or None, None if i % 11 == 0 else float(i * 7 % 3), i, at(i)) for i, (_, g) in enumerate(members)]
+    feeding = [*rows, ("end", 0.0, -1, at(5000)), ("end2", 0.0, -2, at(5001))]
+    stream = S.stream_group_filter(feed(spark, tmp_path, feeding, GROUP, 50), 3, "g", "m", "at", "30 seconds", 1_000_000, buckets=4)
+    q = started(stream, tmp_path)
+    expected = {}
+    for g in sizes:
+        own = [r for r in rows if r[0] == g]
+        values = {r[1] for r in own[:3]} - {None}
+        status = "incomplete" if len(own) < 3 else "kept" if len(values) > 1 else None
+        expected |= {(g, r[2]): (r[1], status) for r in own[:3] if status} | {(g, r[2]): (r[1], "extra") for r in own[3:]}
+    out = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["i"] >= 0]
+    assert {(r["g"], r["i"]): (r["m"], r["status"]) for r in out} == expected and len(out) == len(expected)
+    assert state_rows(q) <= 5
