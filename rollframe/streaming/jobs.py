@@ -47,10 +47,6 @@ def stream_reward_type_share_windowed(events: DataFrame, ts_col: str, window: st
             .groupBy(F.window(ts_col, window), class_col).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _held(schema: T.StructType, names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.ArrayType(schema[n].dataType)) for n in names])
-
-
 def _millis(ts: pd.Series) -> pd.Series:
     return (ts.astype("datetime64[ns]").astype("int64") // 1_000_000).astype("int64")
 
@@ -215,53 +211,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _ordered_scan(rows: DataFrame, key_col: str, order_col: str, value_cols: list[str], time_col: str, lateness: float,
-                  grace: float, start: float, step: Callable[[float, tuple], tuple[float, float]], out_col: str) -> DataFrame:
+                  grace: float, start: float, step: Callable[[float, tuple], tuple[float, float]], out_col: str,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Per key, ``carry, out = step(carry, values)`` over rows in (event time, order) order.
 
-    Rows wait in state, as typed arrays, until the latest event time is ``lateness`` seconds past
+    Rows wait in state, as Arrow tables, until the latest event time is ``lateness`` seconds past
     them; then they leave, so a key holds the rows of that span and its carry.  A row that comes
     later than that has missed its turn: it comes out at once with ``status`` ``late`` and no
     value, if by no more than ``grace`` seconds; later still it is dropped by the engine and counted
-    in the query's progress (``numRowsDroppedByWatermark``).  All others have ``status`` ``ok``."""
+    in the query's progress (``numRowsDroppedByWatermark``).  All others have ``status`` ``ok``.
+
+    Keys are dealt to ``buckets`` by hash; a bucket's keys share a state row."""
     ship_package(rows.sparkSession)
     out = T.StructType([rows.schema[key_col], rows.schema[order_col], T.StructField(out_col, T.DoubleType()),
                         T.StructField("status", T.StringType())])
-    names = [order_col, *value_cols]
-    state_type = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), *_held(rows.schema, names).fields,
-                               T.StructField("carry", T.DoubleType())])
+    names = list(dict.fromkeys([key_col, order_col, *value_cols]))
     grace_ms = int(grace * 1000)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        had = state.get if state.exists else None
-        waiting = list(zip(*had[:-1])) if had is not None else []
-        carry = had[-1] if had is not None else start
+        waiting, carries = map(_unpacked, state.get) if state.exists else (pd.DataFrame(columns=[*names, "__at"]), pd.DataFrame(columns=[key_col, "__carry"]))
         mark = state.getCurrentWatermarkMs()
         passed = mark + grace_ms if mark > 0 else -1
-        done: list[tuple] = []
-        for pdf in pdfs:
-            if len(pdf):
-                for r in zip(_millis(pdf[time_col]).tolist(), *[_plain(pdf[n].tolist()) for n in names]):
-                    if r[0] <= passed:
-                        done.append((key[0], r[1], None, "late"))
-                    else:
-                        waiting.append(r)
-        waiting.sort(key=lambda r: (r[0], r[1]))
-        n = 0
-        while n < len(waiting) and waiting[n][0] <= passed:
-            carry, value = step(carry, waiting[n][2:])
-            done.append((key[0], waiting[n][1], value, "ok"))
-            n += 1
-        rest = waiting[n:]
-        columns = [list(c) for c in zip(*rest)] if rest else [[] for _ in range(len(names) + 1)]
-        state.update((*columns, float(carry)))
-        if rest:
-            state.setTimeoutTimestamp(max(rest[0][0] - grace_ms, mark + 1))
-        if done:
-            yield pd.DataFrame(done, columns=[key_col, order_col, out_col, "status"])
+        new = _arrived(pdfs, time_col, names)
+        (of_carry, of_waiting, of_new), values = _codes(carries[key_col], waiting[key_col], new[key_col])
+        late = (new["__at"] <= passed).to_numpy(bool)
+        if late.any():
+            yield new.loc[late, [key_col, order_col]].assign(**{out_col: float("nan"), "status": "late"})
+        waiting = _appended(waiting, new[~late]).assign(__key=np.concatenate([of_waiting, of_new[~late]]))
+        leaves = (waiting["__at"] <= passed).to_numpy(bool)
+        carry = np.full(len(values), start)
+        carry[of_carry] = carries["__carry"]
+        if leaves.any():
+            ready = waiting[leaves].sort_values(["__at", order_col], kind="stable")
+            last, done = carry.tolist(), []
+            for k, *v in zip(ready["__key"].tolist(), *[_plain(ready[c].tolist()) for c in value_cols]):
+                last[k], value = step(last[k], v)
+                done.append(value)
+            carry = np.array(last, "float64")
+            yield ready[[key_col, order_col]].assign(**{out_col: done, "status": "ok"})
+        rest = waiting[~leaves].drop(columns="__key")
+        state.update((_packed(rest), _packed(pd.DataFrame({key_col: values, "__carry": carry}))))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["__at"].min()) - grace_ms, mark + 1))
 
     delay = f"{int((lateness + grace) * 1000)} milliseconds"
-    return rows.withWatermark(time_col, delay).groupBy(key_col).applyInPandasWithState(
-        fn, outputStructType=out, stateStructType=state_type, outputMode="append",
+    return _bucketed(rows.withWatermark(time_col, delay), key_col, buckets).groupBy("__bucket").applyInPandasWithState(
+        fn, outputStructType=out, stateStructType="waiting binary, carries binary", outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 

@@ -128,3 +128,43 @@ def test_groups_share_state_rows(spark, tmp_path):
     out = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["i"] >= 0]
     assert {(r["g"], r["i"]): (r["m"], r["status"]) for r in out} == expected and len(out) == len(expected)
     assert state_rows(q) <= 5
+
+
+def test_keys_share_state_rows(spark, tmp_path):
+    """As above, for scans in order: keys of 17 digits beside a null one, missing rewards, rows out of order."""
+    big = 10 ** 16 + 1
+    rows = [(None if i % 40 == 39 else big + i % 40, i, None if i % 13 == 0 else float(i * 5 % 7), at(i)) for i in range(300)]
+    feeding = [rows[i ^ 1] for i in range(300)] + [(-1, -1, 0.0, at(5000)), (-1, -2, 0.0, at(5001))]
+    stream = S._ordered_scan(feed(spark, tmp_path, feeding, "k bigint, i bigint, r double, at timestamp", 75), "k", "i", ["r"], "at", 20, 20, 0.0,
+                             lambda last, v: (last if v[0] is None else v[0], last), "before", buckets=4)
+    q = started(stream, tmp_path)
+    last, expected = {}, {}
+    for k, i, r, _ in rows:
+        expected[k, i] = (last.get(k, 0.0), "ok")
+        last[k] = last.get(k, 0.0) if r is None else r
+    out = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["i"] >= 0]
+    assert {(r["k"], r["i"]): (r["before"], r["status"]) for r in out} == expected and len(out) == 300
+    assert state_rows(q) <= 5
+
+
+@pytest.mark.parametrize("name", ["stream_tool_reward"])
+def test_log_files_have_as_many_parts_each(spark, tmp_path, monkeypatch, name):
+    """Files of several parts, some without rows, are micro-batches of whole files: no row comes late."""
+    from rollframe.plans import catalog, q_io
+
+    monkeypatch.setattr(q_io, "PART_ROWS", 20)
+    ids = [i if i < 240 else 10_000 + i for i in range(300)]
+    rows = [(e, i * 3 % 17, "click", float(i * 11 % 23)) for i, e in enumerate(ids)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    arrivals = q_io._Arrivals(spark, q_io._attempts(spark, str(tmp_path)), "at")
+    assert arrivals.parts == 3
+    arrivals.write(str(tmp_path / "log"))
+    files = list((tmp_path / "log").glob("part-*"))
+    assert len(files) == q_io.FILES * 3 and any(f.stat().st_size == 0 for f in files)
+    last, expected = {}, {}
+    for e, u, _, v in rows:
+        expected[e] = (u, 0.0 if v > last.get(u, 0.0) else -0.05)
+        last[u] = v
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["event_id"]: (r["user_id"], r["tool_reward"]) for r in got} == expected and len(got) == 300
