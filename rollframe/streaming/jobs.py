@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rollframe.operators.indexing import with_row_index
 from rollframe.session import ship_package
 
 #: Event time of a closing record: a source that has ended sends one, so that the watermark
@@ -186,10 +187,14 @@ def keep_until_enough(filtered: DataFrame, target: int, max_rounds: int, group_c
         kept = batch.where("status = 'kept'").drop("status").withColumn("round", F.lit(batch_id).cast("long"))
         # a micro-batch with state must be computed once
         kept.select(*schema.names).write.mode("overwrite").parquet(f"{path}/kept-{batch_id}")
-        kept = spark.read.schema(schema).parquet(f"{path}/kept-{batch_id}")
-        # at most ``target`` groups are ever asked for: a bounded sort, not a ranking of the round
-        chosen = kept.select(group_col).distinct().orderBy(group_col).limit(target - have)
-        kept.join(chosen, group_col).select(*schema.names).write.mode("overwrite").parquet(f"{path}/round-{batch_id}")
+        kept = spark.read.schema(schema).parquet(f"{path}/kept-{batch_id}").where(F.col(group_col).isNotNull())
+        groups = kept.select(group_col).distinct()
+        if have + groups.count() > target:
+            # more than are missing: the first of them by a distributed ranking, since a sort with a
+            # limit passes all that are missing through one task
+            chosen = with_row_index(groups, group_col, "__place").where(F.col("__place") < target - have)
+            kept = kept.join(chosen.select(group_col), group_col)
+        kept.select(*schema.names).write.mode("overwrite").parquet(f"{path}/round-{batch_id}")
         state["have"], state["rounds"] = so_far(batch_id + 1), batch_id + 1
 
     q = (filtered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

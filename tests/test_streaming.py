@@ -147,6 +147,13 @@ def test_keys_share_state_rows(spark, tmp_path):
     assert state_rows(q) <= 5
 
 
+def test_a_round_takes_only_groups_that_can_be_named(spark, tmp_path):
+    rows = [(g, float(i % 2), i, at(i)) for i, g in enumerate((None, None, "a", "a", "b", "b"))]
+    stream = S.stream_group_filter(feed(spark, tmp_path, rows, GROUP, 6), 2, "g", "m", "at", "30 seconds", 60_000)
+    kept = S.keep_until_enough(stream, 1, 0, "g", str(tmp_path / "kept"), str(tmp_path / "ckpt")).collect()
+    assert [(r["g"], r["round"]) for r in kept] == [("a", 0), ("a", 0)]
+
+
 @pytest.mark.parametrize("name", ["stream_tool_reward"])
 def test_log_files_have_as_many_parts_each(spark, tmp_path, monkeypatch, name):
     """Files of several parts, some without rows, are micro-batches of whole files: no row comes late."""
