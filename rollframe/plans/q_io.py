@@ -108,21 +108,6 @@ def q_write_metrics(spark, sf_dir):
     return spark.read.parquet(path).select("step", "split", "metric", "value")
 
 
-def _arrival(log, time_col):
-    """Number of the file that a row comes in: event time plus a delay by hash below the lateness."""
-    lo, hi, late, _ = _span(log, time_col)
-    delay = F.pmod(F.xxhash64(*log.columns), F.lit(int(late)))
-    return F.least(F.floor((F.col(time_col).cast("double") - lo + delay) / ((hi - lo + late) / FILES)), F.lit(FILES - 1)).cast("int"), late
-
-
-def _files(log, path, time_col, numbers=range(FILES)):
-    """Writes files one after the other: a file source reads them in the order of their times."""
-    number, late = _arrival(log, time_col)
-    for n in numbers:
-        log.where(number == n).coalesce(1).write.mode("append").json(path)
-    return late
-
-
 class _Arrivals:
     """A log dealt once by the number of the file that a row comes in: event time plus a delay by
     hash below the lateness.  A file is ``parts`` part files, as many for each number, so that a
@@ -241,17 +226,17 @@ def q_stream_tool_reward(spark, sf_dir):
 def q_resume(spark, sf_dir):
     """The tool rewards again, by a query that ends after part of its files and is started anew
     from its checkpoint when the rest has come."""
-    log, path = _attempts(spark, sf_dir), IO.scratch_path(spark, "resume-log")
+    arrivals, path = _Arrivals(spark, _attempts(spark, sf_dir), "at"), IO.scratch_path(spark, "resume-log")
     out, ckpt = IO.scratch_path(spark, "resume-out"), IO.scratch_path(spark, "ckpt")
 
-    def run(late):
-        stream = IO.read_rollout_log(spark, path, log.schema, streaming=True, max_files_per_trigger=PER_BATCH)
-        return S.drain(_tool_rewards(stream, late), out, ckpt)
+    def run():
+        return S.drain(_tool_rewards(arrivals.stream(path), arrivals.late), out, ckpt)
 
-    run(_files(log, path, "at", range(FILES // 2)))
-    late = _files(log, path, "at", range(FILES // 2, FILES))
-    S.closing_rows(log, "at", user_id=F.lit(-1)).coalesce(1).write.mode("append").json(path)
-    return run(late).where("user_id >= 0 and status = 'ok'").select("event_id", "user_id", "tool_reward")
+    arrivals.write(path, range(FILES // 2))
+    run()
+    arrivals.write(path, range(FILES // 2, FILES))
+    arrivals.close(path, user_id=F.lit(-1))
+    return run().where("user_id >= 0 and status = 'ok'").select("event_id", "user_id", "tool_reward")
 
 
 @register("stream_adaptive_kl", with_(TOKENS_SQL) + """

@@ -154,7 +154,7 @@ def test_a_round_takes_only_groups_that_can_be_named(spark, tmp_path):
     assert [(r["g"], r["round"]) for r in kept] == [("a", 0), ("a", 0)]
 
 
-@pytest.mark.parametrize("name", ["stream_tool_reward"])
+@pytest.mark.parametrize("name", ["stream_tool_reward", "resume"])
 def test_log_files_have_as_many_parts_each(spark, tmp_path, monkeypatch, name):
     """Files of several parts, some without rows, are micro-batches of whole files: no row comes late."""
     from rollframe.plans import catalog, q_io
