@@ -180,7 +180,8 @@ def keep_until_enough(filtered: DataFrame, target: int, max_rounds: int, group_c
 
     def write(batch: DataFrame, batch_id: int) -> None:
         have = so_far(batch_id)
-        state["have"], state["rounds"] = have, batch_id
+        # a micro-batch that starts before the query is stopped is no further round
+        state["have"], state["rounds"] = have, min(batch_id, max_rounds or batch_id)
         if have >= target or (max_rounds and batch_id >= max_rounds):
             batch.write.format("noop").mode("overwrite").save()  # the engine wants its state committed
             return
@@ -200,7 +201,7 @@ def keep_until_enough(filtered: DataFrame, target: int, max_rounds: int, group_c
     q = (filtered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     while q.isActive and state["have"] < target and not (max_rounds and state["rounds"] >= max_rounds):
-        q.awaitTermination(1)
+        q.awaitTermination(0.05)  # far less than a micro-batch: the next one must not be committed
     q.stop()
     if q.exception():
         raise q.exception()
